@@ -10,22 +10,24 @@ from uttera.functions import text
 from uttera.operators import metrics, ranking
 
 # Words (or characters) as ASCII symbols, since the SQL engine's levenshtein counts bytes.
-_SYMBOLS = "array_to_string(list_transform({x}, lambda w: chr(33 + list_position(list_distinct(list_concat({a}, {b})), w)::int)), '')"
+def _symbols(x: str, alphabet: str) -> str:
+    return f"array_to_string(list_transform({x}, lambda w: chr(33 + list_position({alphabet}, w)::int)), '')"
 
 
-def _distance(a: str, b: str) -> str:
-    return f"levenshtein({_SYMBOLS.format(x=a, a=a, b=b)}, {_SYMBOLS.format(x=b, a=a, b=b)})"
+def _distance(a: str, b: str, alphabet: str) -> str:
+    return f"levenshtein({_symbols(a, alphabet)}, {_symbols(b, alphabet)})"
 
 
 v.VIEWS["worded"] = (
     ("pairs",),
-    f"""SELECT *, {v.sql_words('ref')} AS rw, {v.sql_words('hyp')} AS hw,
-        string_split(ref, '') AS rc, string_split(hyp, '') AS hc FROM pairs""",
+    f"""SELECT *, list_distinct(list_concat(rw, hw)) AS wd, list_distinct(list_concat(rc, hc)) AS cd FROM (
+        SELECT *, {v.sql_words('ref')} AS rw, {v.sql_words('hyp')} AS hw,
+        string_split(ref, '') AS rc, string_split(hyp, '') AS hc FROM pairs)""",
 )
 v.VIEWS["edits"] = (
     ("worded",),
-    f"""SELECT * EXCLUDE (rw, hw, rc, hc), {_distance('rw', 'hw')}::bigint AS word_edits, len(rw)::bigint AS ref_words,
-        {_distance('rc', 'hc')}::bigint AS char_edits, length(ref)::bigint AS ref_chars,
+    f"""SELECT * EXCLUDE (rw, hw, rc, hc, wd, cd), {_distance('rw', 'hw', 'wd')}::bigint AS word_edits, len(rw)::bigint AS ref_words,
+        {_distance('rc', 'hc', 'cd')}::bigint AS char_edits, length(ref)::bigint AS ref_chars,
         CASE WHEN len(rw) <= 5 THEN 'short' WHEN len(rw) <= 15 THEN 'medium' ELSE 'long' END AS bucket
         FROM worded""",
 )
@@ -137,7 +139,7 @@ def join_ref_hyp(spark, folder):
 @query(
     "merge_shards",
     v.sql(
-        """SELECT round(sum(loss) / greatest(1, sum(n)), 6) AS loss, round(sum(aux) / greatest(1, sum(n)), 6) AS aux,
+        """SELECT round(sum(loss) / greatest(1, sum(n)), 9) AS loss, round(sum(aux) / greatest(1, sum(n)), 9) AS aux,
         sum(n)::bigint AS samples FROM (SELECT metric, count(*) AS n, sum(value) AS loss, sum(value * 0.5::double) AS aux FROM step_metrics GROUP BY metric)""",
         "step_metrics",
     ),
@@ -147,7 +149,7 @@ def merge_shards(spark, folder):
         F.count("*").alias("n"), F.sum("value").alias("loss"), F.sum(F.col("value") * 0.5).alias("aux")
     )
     out = metrics.merge_partials(shards, ["loss", "aux"], "n")
-    return out.withColumns({c: F.round(c, 6) for c in ("loss", "aux")})
+    return out.withColumns({c: F.round(c, 9) for c in ("loss", "aux")})
 
 
 @query(

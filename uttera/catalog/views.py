@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from uttera.config import FilterConfig, SplitConfig
 from uttera.functions import hashing, text
 from uttera.operators import quality, splits
+from uttera.operators.common import spread
 
 # The alignment bounds of the checked fixture: 2 to 20 characters per second.
 CFG = FilterConfig(min_chars_per_second=2.0, max_chars_per_second=20.0)
@@ -41,7 +42,7 @@ def sql(body: str, *views: str, recursive: bool = False) -> str:
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    return spread(spark.read.parquet(f"{folder}/{name}.parquet"))
 
 
 # --- SQL twins of the text functions -------------------------------------------------

@@ -10,6 +10,11 @@ def zero() -> Column:
     return F.lit(0.0)
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value worked out once, also where the body loops over it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def array_total(a: Column) -> Column:
     return F.aggregate(a, zero(), lambda acc, x: acc + x.cast("double"))
 
@@ -28,8 +33,11 @@ def argmax(a: Column) -> Column:
 
 
 def log_sum_exp(a: Column) -> Column:
-    peak = F.array_max(a).cast("double")
-    return peak + F.log(F.aggregate(a, zero(), lambda acc, x: acc + F.exp(x.cast("double") - peak)))
+    return let(
+        F.array_max(a).cast("double"),
+        lambda peak: peak
+        + F.log(F.aggregate(a, zero(), lambda acc, x: acc + F.exp(x.cast("double") - peak))),
+    )
 
 
 def log_add_exp(a: Column, b: Column) -> Column:
@@ -64,11 +72,13 @@ def interleave_blank(ids: Column, blank: int = 0) -> Column:
 
 
 def uniform_alignment(ids: Column, frames: Column, blank: int = 0) -> Column:
-    states = interleave_blank(ids, blank)
-    n = F.size(states)
-    spread = F.transform(
-        F.sequence(F.lit(0), frames.cast("int") - 1),
-        lambda t: F.element_at(states, F.least(F.floor(t * n / frames), n - 1).cast("int") + 1),
+    n = F.size(ids) * 2 + 1
+    spread = let(
+        interleave_blank(ids, blank),
+        lambda states: F.transform(
+            F.sequence(F.lit(0), frames.cast("int") - 1),
+            lambda t: F.element_at(states, F.least(F.floor(t * n / frames), n - 1).cast("int") + 1),
+        ),
     )
     return (
         F.when(frames <= 0, F.array().cast("array<int>"))

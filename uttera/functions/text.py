@@ -111,11 +111,14 @@ def run_name(project: Column, started: Column, epoch: Column, step: Column) -> C
     return F.concat(slug, F.lit("_"), stamp, suffix)
 
 
-def bucket_name(ref: Column) -> Column:
-    n = word_count(ref)
+def bucket_of(n: Column) -> Column:
     return F.when(n <= 5, "short").when(n <= 15, "medium").otherwise("long")
 
 
+def bucket_name(ref: Column) -> Column:
+    return bucket_of(word_count(ref))
+
+
 def is_url(c: Column) -> Column:
     return c.rlike(r"(?i)^https?:")
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from uttera.functions import text
+from uttera.operators.common import computed_once
 
 SURROGATES = 0xD800
 FIRST_CODE = 0x100
@@ -30,27 +31,27 @@ def _as_characters(tokens: Column, alphabet: Column) -> Column:
     return F.array_join(F.transform(tokens, code), "")
 
 
-def word_edits(ref: Column, hyp: Column) -> Column:
-    a, b = text.words(ref), text.words(hyp)
-    alphabet = F.array_distinct(F.concat(a, b))
-    distance = F.levenshtein(_as_characters(a, alphabet), _as_characters(b, alphabet))
-    return F.when(ref == hyp, F.lit(0)).otherwise(distance).cast("bigint")
-
-
-def char_edits(ref: Column, hyp: Column) -> Column:
-    return F.when(ref == hyp, F.lit(0)).otherwise(F.levenshtein(ref, hyp)).cast("bigint")
-
-
 def with_edits(pairs: DataFrame) -> DataFrame:
-    """Adds word_edits, ref_words, char_edits, ref_chars and the length bucket."""
+    """Adds word_edits, ref_words, char_edits, ref_chars and the length bucket.
+
+    Word lists and the alphabet of each row are made once; equal rows skip the distance.
+    """
     ref, hyp = F.col("ref"), F.col("hyp")
-    return pairs.select(
-        "*",
-        word_edits(ref, hyp).alias("word_edits"),
-        text.word_count(ref).cast("bigint").alias("ref_words"),
-        char_edits(ref, hyp).alias("char_edits"),
+    listed = computed_once(pairs, __a=text.words(ref), __b=text.words(hyp))
+    differ = ref != hyp
+    alphabet = F.when(differ, F.array_distinct(F.concat("__a", "__b")))
+    coded = computed_once(listed, __alphabet=alphabet)
+    by_word = F.levenshtein(
+        _as_characters(F.col("__a"), F.col("__alphabet")), _as_characters(F.col("__b"), F.col("__alphabet"))
+    )
+    n = F.size("__a")
+    return coded.select(
+        *pairs.columns,
+        F.when(differ, by_word).otherwise(F.lit(0)).cast("bigint").alias("word_edits"),
+        n.cast("bigint").alias("ref_words"),
+        F.when(differ, F.levenshtein(ref, hyp)).otherwise(F.lit(0)).cast("bigint").alias("char_edits"),
         F.length(ref).cast("bigint").alias("ref_chars"),
-        text.bucket_name(ref).alias("bucket"),
+        text.bucket_of(n).alias("bucket"),
     )
 
 
@@ -69,15 +70,13 @@ def cer_of() -> Column:
 
 
 def wer(pairs: DataFrame) -> DataFrame:
-    ref, hyp = F.col("ref"), F.col("hyp")
-    return pairs.select(
-        word_edits(ref, hyp).alias("word_edits"), text.word_count(ref).alias("ref_words")
-    ).agg(F.sum("word_edits").alias("edits"), F.sum("ref_words").alias("total"), wer_of().alias("wer"))
+    return with_edits(pairs).agg(
+        F.sum("word_edits").alias("edits"), F.sum("ref_words").alias("total"), wer_of().alias("wer")
+    )
 
 
 def cer(pairs: DataFrame) -> DataFrame:
-    ref, hyp = F.col("ref"), F.col("hyp")
-    return pairs.select(char_edits(ref, hyp).alias("char_edits"), F.length(ref).alias("ref_chars")).agg(
+    return with_edits(pairs).agg(
         F.sum("char_edits").alias("edits"), F.sum("ref_chars").alias("total"), cer_of().alias("cer")
     )
 

@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from uttera.config import INF, TRAINING, FilterConfig, FrontendConfig
 from uttera.functions import audio, text
+from uttera.operators.common import computed_once
 
 # Accepted column names, in order of preference.
 TRANSCRIPT_ALIASES = ("sentence", "transcript", "transcription", "text", "normalized_text")
@@ -86,18 +87,20 @@ def duration_reason(duration: Column, cfg: FilterConfig = TRAINING) -> Column:
     )
 
 
-def transcript_reason(c: Column, cfg: FilterConfig = TRAINING) -> Column:
+def transcript_reason(c: Column, cfg: FilterConfig = TRAINING, ratio: Column | None = None) -> Column:
+    ratio = text.symbol_ratio(c) if ratio is None else ratio
     return (
         F.when(F.length(c) < cfg.min_chars, "too_short")
         .when(F.length(c) > cfg.max_chars, "too_long")
-        .when(text.symbol_ratio(c) > cfg.max_symbol_ratio, "symbol_ratio")
+        .when(ratio > cfg.max_symbol_ratio, "symbol_ratio")
         .when(~text.has_alnum(c), "no_alnum")
     )
 
 
-def alignment_reason(c: Column, duration: Column, cfg: FilterConfig = TRAINING) -> Column:
+def alignment_reason(
+    chars: Column, words: Column, duration: Column, cfg: FilterConfig = TRAINING
+) -> Column:
     """Speaking-rate bounds, low before high; bounds that cannot fail add nothing to the plan."""
-    chars, words = text.char_count(c), text.word_count(c)
     rates = (
         ("chars_per_second", chars / duration),
         ("words_per_second", words / duration),
@@ -156,13 +159,22 @@ def with_rejection(
         pick_speaker(df).alias("__speaker"),
     )
     picked = picked.withColumn("__utterance", utterance_id(df, F.col("audio_path"), F.col(row_index)))
-    picked = picked.withColumn("__text", text.normalize_transcript(F.col("__raw"), cfg.lowercase))
+    picked = computed_once(picked, __text=text.normalize_transcript(F.col("__raw"), cfg.lowercase))
     t, d = F.col("__text"), F.col("__duration")
+    picked = computed_once(
+        picked, __chars=text.char_count(t), __words=text.word_count(t), __ratio=text.symbol_ratio(t)
+    )
     reason = (
         F.when(F.col("__raw").isNull(), "missing_transcript")
         .when(F.col("audio_path").isNull() & F.col("audio_bytes").isNull(), "missing_audio")
         .when(d.isNull(), "missing_duration")
-        .otherwise(F.coalesce(duration_reason(d, cfg), transcript_reason(t, cfg), alignment_reason(t, d, cfg)))
+        .otherwise(
+            F.coalesce(
+                duration_reason(d, cfg),
+                transcript_reason(t, cfg, F.col("__ratio")),
+                alignment_reason(F.col("__chars"), F.col("__words"), d, cfg),
+            )
+        )
     )
     extra = [c for c in ("source", "source_ord") if c in df.columns]
     samples = audio.num_samples(d)
