@@ -1,6 +1,6 @@
 """Importing this package fills the registry."""
 
-from uttera.catalog import batches, evaluate, prepare  # noqa: F401
+from uttera.catalog import batches, ctc, evaluate, prepare  # noqa: F401
 from uttera.catalog.base import REGISTRY
 
 __all__ = ["REGISTRY"]
