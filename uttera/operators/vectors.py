@@ -118,7 +118,8 @@ def spec_augment(
     out = frames.join(lengths.select(key, F.col("length").alias("__len")), key)
     bands = {}
     for i in range(freq_masks):
-        width = draw(f"fw{i}", F.lit(min(freq_width, bins - 1) if freq_width >= bins else freq_width))
+        drawn = draw(f"fw{i}", F.lit(freq_width))
+        width = F.when(drawn < bins, drawn).otherwise(0)
         bands[f"__fw{i}"], bands[f"__fs{i}"] = width, draw(f"fs{i}", F.lit(bins) - width)
     longest = F.greatest(F.floor(F.col("__len") * time_ratio), F.lit(1))
     for i in range(time_masks):
