@@ -1,6 +1,6 @@
 """Importing this package fills the registry."""
 
-from uttera.catalog import batches, ctc, evaluate, language, prepare, texts  # noqa: F401
+from uttera.catalog import batches, ctc, evaluate, language, prepare, storage, texts  # noqa: F401
 from uttera.catalog.base import REGISTRY
 
 __all__ = ["REGISTRY"]

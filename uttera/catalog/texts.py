@@ -232,7 +232,7 @@ def utterance_id(spark, folder):
 @query(
     "resolve_audio",
     """SELECT page_id, CASE WHEN k = 0 THEN url WHEN k = 1 THEN '/abs/' || page_id WHEN k IN (2, 3) THEN 'base/dir/rel/' || page_id END AS audio_path,
-       CASE WHEN k IN (3, 4) THEN length(encode(html)) END AS n FROM (SELECT page_id, url, html, page_id % 6 AS k FROM pages)""",
+       CASE WHEN k IN (3, 4) THEN strlen(html) END AS n FROM (SELECT page_id, url, html, page_id % 6 AS k FROM pages)""",
 )
 def resolve_audio(spark, folder):
     k, name = F.col("page_id") % 6, F.col("page_id").cast("string")
