@@ -9,6 +9,7 @@ from uttera.catalog.base import query
 from uttera.config import FrontendConfig
 from uttera.functions import audio, hashing
 from uttera.operators import blobs, features, ngram, quality, vocab
+from uttera.operators.common import computed_once
 from uttera.session import scratch_path
 from uttera.sources import manifests, records
 
@@ -178,10 +179,9 @@ def wav_clips(spark, folder):
         F.lit("64617461"), _le(size, 4),
     )
     whole = F.unhex(F.concat(head, F.col("body")))
-    return body.select(
-        "utterance_id",
-        F.when(F.col("utterance_id") % 10 == 3, F.substring(whole, 1, 30)).otherwise(whole).alias("audio_bytes"),
-    )
+    built = computed_once(body, __wav=whole)
+    cut = F.when(F.col("utterance_id") % 10 == 3, F.substring("__wav", 1, 30)).otherwise(F.col("__wav"))
+    return built.select("utterance_id", cut.alias("audio_bytes"))
 
 
 _CLIPS = "SELECT (vec_id // 25)::bigint AS utterance_id, count(*) * 64 AS n FROM embeddings GROUP BY 1"
@@ -264,13 +264,13 @@ def sniff_opus(spark, folder):
 
 @query(
     "require_readable",
-    v.sql("SELECT row_index FROM records WHERE source IN (SELECT source FROM documents WHERE lang = 'de')", "records"),
+    v.sql("SELECT row_index FROM records WHERE source IN (SELECT source FROM documents WHERE n_chars > 15000)", "records"),
 )
 def require_readable(spark, folder):
-    """Readable = listed: the listing holds the clips of all sources with German texts."""
+    """Readable = listed: the listing holds the clips of all sources with long texts."""
     rows = v.records(spark, folder)
-    german = v.table(spark, folder, "documents").filter(F.col("lang") == "de").select("source").distinct()
-    listing = v.manifest(spark, folder).join(german, "source", "left_semi").select("path").filter(F.col("path").isNotNull())
+    long_ones = v.table(spark, folder, "documents").filter(F.col("n_chars") > 15000).select("source").distinct()
+    listing = v.manifest(spark, folder).join(long_ones, "source", "left_semi").select("path").filter(F.col("path").isNotNull())
     return quality.require_readable(rows, listing).select("row_index")
 
 

@@ -99,8 +99,12 @@ FROM (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line,
 
 
 def manifest(spark: SparkSession, folder: str) -> DataFrame:
+    return manifest_of(table(spark, folder, "documents"))
+
+
+def manifest_of(documents: DataFrame) -> DataFrame:
     """One manifest row per line; ids, missing fields and durations come from the document id."""
-    lines = table(spark, folder, "documents").select(
+    lines = documents.select(
         "doc_id", "source", F.posexplode(F.split("text", "\n")).alias("pos", "line")
     )
     doc, pos, chars = F.col("doc_id"), F.col("pos"), F.length("line")

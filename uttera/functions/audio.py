@@ -44,16 +44,22 @@ def le_uint(data: Column, offset: int, width: int) -> Column:
     return F.when(F.length(raw) == 2 * width, F.conv(swapped, 16, 10).cast("bigint"))
 
 
-def wav_header(data: Column) -> Column:
-    """Struct of a canonical PCM header, null where the bytes are not such a file."""
-    is_riff = (F.hex(F.substring(data, 1, 4)) == "52494646") & (
-        F.hex(F.substring(data, 9, 8)) == "57415645666D7420"
+HEADER_BYTES = 44
+
+
+def wav_header(head: Column, size: Column) -> Column:
+    """Struct of a canonical PCM header, null where the bytes are not such a file.
+
+    ``head`` holds the first HEADER_BYTES of the file, ``size`` its whole length.
+    """
+    is_riff = (F.hex(F.substring(head, 1, 4)) == "52494646") & (
+        F.hex(F.substring(head, 9, 8)) == "57415645666D7420"
     )
-    is_data = F.hex(F.substring(data, 37, 4)) == "64617461"
-    channels, rate, bits, size = (
-        le_uint(data, 22, 2), le_uint(data, 24, 4), le_uint(data, 34, 2), le_uint(data, 40, 4),
+    is_data = F.hex(F.substring(head, 37, 4)) == "64617461"
+    channels, rate, bits, body = (
+        le_uint(head, 22, 2), le_uint(head, 24, 4), le_uint(head, 34, 2), le_uint(head, 40, 4),
     )
-    held = F.least(size, F.length(data) - 44)
+    held = F.least(body, size - HEADER_BYTES)
     step = channels * (bits / 8).cast("bigint")
     sound = is_riff & is_data & (channels > 0) & (bits >= 8) & (rate > 0)
     return F.when(

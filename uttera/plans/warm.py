@@ -36,11 +36,9 @@ def extract_features(
     keyed = clips.withColumn("key", hashing.cache_key(F.col("utterance_id"), cfg))
     stored = _stored(clips, path)
     todo = keyed if stored is None else features.cache_miss(keyed, stored, overwrite=overwrite)
-    probed = audio.wav_header(F.col("audio_bytes"))
-    guess = audio.estimate_frames(probed["num_samples"], probed["sample_rate"], cfg)
-    made = signal.clip_features(todo.select("key", "audio_bytes", guess.alias("guess")), cfg, "key", fail_fast)
-    # A clip's own frame limit follows from its header, which is the estimate of the job.
-    plausible = (F.col("cols") == cfg.n_mels) & (F.col("rows") > 0)
+    made = signal.clip_features(todo.select("key", "audio_bytes"), cfg, "key", fail_fast)
+    guess = audio.estimate_frames(F.col("num_samples"), F.col("sample_rate"), cfg)
+    plausible = signal.believable(F.col("rows"), F.col("cols"), cfg.n_mels, guess)
     good = made.filter(F.col("error").isNull() & plausible).select("key", "rows", "cols", "values")
     features.append_features(good, path, version, shards=shards)
     log = clips.sparkSession.read.parquet(path)
