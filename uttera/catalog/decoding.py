@@ -17,12 +17,16 @@ def beam_decode(spark, folder):
     return decode.beam_decode(frames, TOKENS, width=4, length_bonus=0.1)
 
 
-@query("viterbi_align")
+@query(
+    "viterbi_align",
+    v.sql("SELECT utterance_id, frame, (list_position(logits, list_max(logits)) - 1)::bigint AS label FROM frames", "frames"),
+)
 def viterbi_align(spark, folder):
+    """Alignment of the greedy transcript: no path beats the frame-wise best labels."""
     frames = ctc.log_softmax(v.frames(spark, folder))
-    ids = v.frames(spark, folder).filter(F.col("frame") % 3 == 0)
-    targets = ids.groupBy("utterance_id").agg(
-        F.array_sort(F.collect_list(F.struct("frame", (F.col("target") + 1).alias("t"))))["t"].alias("ids")
+    tokens = ctc.ctc_tokens(ctc.with_argmax(v.frames(spark, folder)))
+    targets = tokens.groupBy("utterance_id").agg(
+        F.array_sort(F.collect_list(F.struct("frame", "label")))["label"].alias("ids")
     )
     return decode.viterbi_align(frames, targets)
 

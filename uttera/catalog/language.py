@@ -177,9 +177,7 @@ def array_decode(spark, folder):
     """Encoding and decoding again gives the text back."""
     table = char_table(spark, folder)
     ids = vocab.encode_chars(v.records(spark, folder).select("row_index", "transcript"), "transcript", table)
-    back = table.agg(F.map_from_entries(F.collect_list(F.struct("id", "token"))).alias("names"))
-    joined = ids.withColumn("one", F.lit(1)).join(F.broadcast(back.withColumn("one", F.lit(1))), "one")
-    return joined.select("row_index", vocab.decode_ids(F.col("ids"), F.col("names")).alias("text"))
+    return ids.select("row_index", vocab.decode_ids(F.col("ids"), table).alias("text"))
 
 
 @query(

@@ -37,31 +37,27 @@ class NgramModel:
     alpha: float
 
 
-def _positions(history: Column, order: int) -> Column:
-    """(context, token) at every position of a padded symbol array."""
-    width = order - 1
-    last = F.size(history) - width
-    at = F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
-    return F.transform(
-        at,
-        lambda i: F.struct(
-            F.array_join(F.slice(history, i, F.lit(width)), SEP).alias("context"),
-            F.element_at(history, i + width).alias("token"),
-        ),
-    )
-
-
 def _padded(symbols: Column, order: int, eos: bool = True) -> Column:
     head = F.array_repeat(F.lit(BOS), order - 1)
     return F.concat(head, symbols, F.array(F.lit(EOS))) if eos else F.concat(head, symbols)
 
 
 def explode_ngrams(df: DataFrame, column: str, order: int, eos: bool = True) -> DataFrame:
+    """(context, token) at every position of every text.
+
+    Positions are generated and read from the symbol array inside one generated-code
+    stage, together with the partial count that follows; no array per position is made.
+    """
     if order < 1:
         raise ValueError("order must be at least 1")
+    width = order - 1
     history = computed_once(df, __h=_padded(characters(F.col(column)), order, eos))
-    return history.withColumn("__g", F.explode(_positions(F.col("__h"), order))).select(
-        *df.columns, F.col("__g.context").alias("context"), F.col("__g.token").alias("token")
+    h, i = F.col("__h"), F.col("__i")
+    last = F.size(h) - width
+    at = F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
+    context = F.concat_ws(SEP, *[F.element_at(h, i + k) for k in range(width)]) if width else F.lit("")
+    return history.withColumn("__i", F.explode(at)).select(
+        *df.columns, context.alias("context"), F.element_at(h, i + width).alias("token")
     )
 
 

@@ -87,12 +87,11 @@ def duration_reason(duration: Column, cfg: FilterConfig = TRAINING) -> Column:
     )
 
 
-def transcript_reason(c: Column, cfg: FilterConfig = TRAINING, ratio: Column | None = None) -> Column:
-    ratio = text.symbol_ratio(c) if ratio is None else ratio
+def transcript_reason(c: Column, cfg: FilterConfig = TRAINING) -> Column:
     return (
         F.when(F.length(c) < cfg.min_chars, "too_short")
         .when(F.length(c) > cfg.max_chars, "too_long")
-        .when(ratio > cfg.max_symbol_ratio, "symbol_ratio")
+        .when(text.symbol_ratio(c) > cfg.max_symbol_ratio, "symbol_ratio")
         .when(~text.has_alnum(c), "no_alnum")
     )
 
@@ -161,9 +160,8 @@ def with_rejection(
     picked = picked.withColumn("__utterance", utterance_id(df, F.col("audio_path"), F.col(row_index)))
     picked = computed_once(picked, __text=text.normalize_transcript(F.col("__raw"), cfg.lowercase))
     t, d = F.col("__text"), F.col("__duration")
-    picked = computed_once(
-        picked, __chars=text.char_count(t), __words=text.word_count(t), __ratio=text.symbol_ratio(t)
-    )
+    chars, words = text.normalized_counts(t)
+    picked = computed_once(picked, __chars=chars, __words=words)
     reason = (
         F.when(F.col("__raw").isNull(), "missing_transcript")
         .when(F.col("audio_path").isNull() & F.col("audio_bytes").isNull(), "missing_audio")
@@ -171,7 +169,7 @@ def with_rejection(
         .otherwise(
             F.coalesce(
                 duration_reason(d, cfg),
-                transcript_reason(t, cfg, F.col("__ratio")),
+                transcript_reason(t, cfg),
                 alignment_reason(F.col("__chars"), F.col("__words"), d, cfg),
             )
         )

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from uttera.operators.common import computed_once
+
 BLANK = "<blank>"
 
 
 def characters(c: Column) -> Column:
-    return F.filter(F.split(c, ""), lambda x: x != "")
+    """Code points of a text as an array; the empty text gives an empty array."""
+    return F.array_remove(F.split(c, ""), "")
 
 
 def char_vocab(df: DataFrame, column: str, min_count: int = 1) -> DataFrame:
@@ -29,20 +34,30 @@ def char_vocab(df: DataFrame, column: str, min_count: int = 1) -> DataFrame:
     return blank.unionByName(numbered)
 
 
-def vocab_map(vocab: DataFrame) -> DataFrame:
-    """One row holding token -> id. A character vocabulary is bounded by Unicode."""
-    return vocab.agg(F.map_from_entries(F.collect_list(F.struct("token", "id"))).alias("vocab"))
+def id_table(vocab: DataFrame) -> Column:
+    """Array from code point (+1) to id. The vocabulary is a fitted artifact with at most one
+    entry per code point of Unicode, so it is read by the driver and becomes a constant."""
+    rows = vocab.filter(F.length("token") == 1).select(F.ascii("token").alias("cp"), "id").collect()
+    table: list[int | None] = [None] * (max((r["cp"] for r in rows), default=0) + 1)
+    for r in rows:
+        table[r["cp"]] = r["id"]
+    return F.from_json(F.lit(json.dumps(table)), "array<int>")
 
 
 def encode_chars(df: DataFrame, column: str, vocab: DataFrame, out: str = "ids") -> DataFrame:
     """Characters to ids; a row with unknown characters fails the job and names them."""
-    table = vocab_map(vocab).withColumn("__one", F.lit(1))
-    joined = df.withColumn("__one", F.lit(1)).join(F.broadcast(table), "__one").drop("__one")
-    chars = characters(F.col(column))
-    unknown = F.array_distinct(F.filter(chars, lambda x: F.try_element_at("vocab", x).isNull()))
-    ids = F.transform(chars, lambda x: F.try_element_at("vocab", x))
+    table = id_table(vocab)
+    listed = computed_once(df, __chars=characters(F.col(column)))
+    coded = computed_once(
+        listed, __ids=F.transform("__chars", lambda x: F.try_element_at(table, F.ascii(x) + 1))
+    )
+    known = ~F.exists("__ids", lambda x: x.isNull())
+    unknown = F.array_distinct(
+        F.filter(F.col("__chars"), lambda x: F.try_element_at(table, F.ascii(x) + 1).isNull())
+    )
     fail = F.raise_error(F.concat(F.lit("characters not in the vocabulary: "), F.array_join(unknown, " ")))
-    return joined.withColumn(out, F.when(F.size(unknown) == 0, ids).otherwise(fail.cast("array<int>"))).drop("vocab")
+    ids = F.when(known, F.col("__ids")).otherwise(fail.cast("array<int>"))
+    return coded.withColumn(out, ids).drop("__chars", "__ids")
 
 
 def unknown_chars(df: DataFrame, column: str, vocab: DataFrame) -> DataFrame:
@@ -92,6 +107,16 @@ def label_tokens(df: DataFrame, vocab: DataFrame, token: str = "token_id", blank
     return df.join(names, token, "left").withColumn("label", label).drop("__text", "__piece")
 
 
-def decode_ids(ids: Column, vocab: Column) -> Column:
-    """Ids to text through a map id -> token."""
-    return F.array_join(F.transform(ids, lambda x: F.try_element_at(vocab, x)), "")
+def token_table(vocab: DataFrame) -> Column:
+    """Constant array from id (+1) to token."""
+    rows = vocab.collect()
+    table: list[str | None] = [None] * (max((r["id"] for r in rows), default=0) + 1)
+    for r in rows:
+        table[r["id"]] = r["token"]
+    return F.from_json(F.lit(json.dumps(table)), "array<string>")
+
+
+def decode_ids(ids: Column, vocab: DataFrame) -> Column:
+    """Ids to text."""
+    table = token_table(vocab)
+    return F.array_join(F.transform(ids, lambda x: F.try_element_at(table, x + 1)), "")
