@@ -128,9 +128,8 @@ def rescore_nbest(spark, folder):
 )
 def token_logprob(spark, folder):
     lm = model(spark, folder)
-    size = lm.meta.select("vocab_size").withColumn("one", F.lit(1))
-    joined = lm.counts.join(lm.totals, "context").withColumn("one", F.lit(1)).join(F.broadcast(size), "one")
-    logp = ngram.token_logprob(F.col("n"), F.col("total"), F.col("vocab_size"), ALPHA)
+    joined = lm.counts.join(lm.totals, "context")
+    logp = ngram.token_logprob(F.col("n"), F.col("total"), lm.vocab_size(), ALPHA)
     return joined.select("context", "token", F.round(logp, 9).alias("logp"))
 
 

@@ -133,8 +133,7 @@ def lm_artifact(spark, folder):
     path = scratch_path(spark, "lm")
     ngram.save_lm(ngram.train(v.corpus(spark, folder).select("text"), "text", 3, 0.1), path)
     lm = ngram.load_lm(spark, path)
-    meta = lm.meta.select("vocab_size", "order").withColumn("one", F.lit(1))
-    return lm.totals.withColumn("one", F.lit(1)).join(F.broadcast(meta), "one").drop("one")
+    return lm.totals.withColumn("vocab_size", lm.vocab_size()).withColumn("order", F.lit(lm.order))
 
 
 @query("blob_store", "SELECT sha256(text) AS name, count(*) AS copies, strlen(any_value(text)) AS size FROM documents GROUP BY 1")

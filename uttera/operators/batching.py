@@ -211,13 +211,11 @@ def shard_rows(
 
 
 def shard_batches(batched: DataFrame, world: int, mode: str = "uneven") -> DataFrame:
-    """The same on whole batches; batch ids are already dense, so no ranking is needed.
-
-    The number of batches is one aggregate row, joined by a literal key.
-    """
-    total = batched.agg((F.max("batch_id") + 1).alias("__rows")).withColumn("__one", F.lit(1))
-    joined = batched.withColumn("__one", F.lit(1)).join(F.broadcast(total), "__one").drop("__one")
-    return _deal(joined.withColumn("__pos", F.col("batch_id")), "__pos", "__rows", world, mode)
+    """The same on whole batches; batch ids are already dense, so no ranking is needed and
+    their number is a scalar subquery."""
+    total = batched.agg(F.max("batch_id") + 1).scalar()
+    placed = batched.withColumn("__pos", F.col("batch_id")).withColumn("__rows", total)
+    return _deal(placed, "__pos", "__rows", world, mode)
 
 
 def collate(df: DataFrame, values: str, pad: float = 0.0, keys: str = "batch_id") -> DataFrame:

@@ -135,10 +135,9 @@ def token_histogram(frames: DataFrame, k: int = 5, column: str = "logits") -> Da
     Counted once per token first; the total is a sum over that small table.
     """
     counts = frames.groupBy(arrays.argmax(F.col(column)).alias("token_id")).agg(F.count("*").alias("n"))
-    total = counts.agg(F.sum("n").alias("__total")).withColumn("__one", F.lit(1))
-    shares = counts.withColumn("__one", F.lit(1)).join(F.broadcast(total), "__one")
+    total = counts.agg(F.sum("n")).scalar()
     return (
-        shares.select("token_id", (F.col("n") / F.col("__total")).alias("share"))
+        counts.select("token_id", (F.col("n") / total).alias("share"))
         .orderBy(F.desc("share"), "token_id")
         .limit(k)
     )

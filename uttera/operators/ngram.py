@@ -36,6 +36,10 @@ class NgramModel:
     order: int
     alpha: float
 
+    def vocab_size(self) -> Column:
+        """A scalar subquery over the one-row table."""
+        return self.meta.select("vocab_size").scalar()
+
 
 def _padded(symbols: Column, order: int, eos: bool = True) -> Column:
     head = F.array_repeat(F.lit(BOS), order - 1)
@@ -122,14 +126,12 @@ def token_logprob(n: Column, total: Column, vocab_size: Column, alpha: float) ->
 
 
 def _with_counts(positions: DataFrame, model: NgramModel, limit: int) -> DataFrame:
-    """Positions with (n, total, vocab_size) of the model.
+    """Positions with (n, total) of the model.
 
     A model within the limit is broadcast, so positions are not shuffled at all. Beyond it
     positions meet one row per context; frequent contexts would make that join uneven, so
     positions get a salt from their own hash and the model is repeated once per salt.
     """
-    size = model.meta.select("vocab_size").withColumn("__one", F.lit(1))
-    positions = positions.withColumn("__one", F.lit(1)).join(F.broadcast(size), "__one").drop("__one")
     if model.counts.limit(limit + 1).count() <= limit:
         return positions.join(F.broadcast(model.counts), ["context", "token"], "left").join(
             F.broadcast(model.totals), "context", "left"
@@ -146,7 +148,7 @@ def score_text(
 ) -> DataFrame:
     """Log probability of each text: sum over its positions, combined before the shuffle."""
     positions = explode_ngrams(df.select(key, column), column, model.order, eos).select(key, "context", "token")
-    logp = token_logprob(F.col("n"), F.col("total"), F.col("vocab_size"), model.alpha)
+    logp = token_logprob(F.col("n"), F.col("total"), model.vocab_size(), model.alpha)
     sums = _with_counts(positions, model, limit).groupBy(key).agg(F.sum(logp).alias("score"))
     return df.select(key).join(sums, key, "left").select(key, F.coalesce("score", F.lit(0.0)).alias("score"))
 
@@ -159,7 +161,7 @@ def score_extension(df: DataFrame, key: str, column: str, model: NgramModel, lim
     context = F.slice("__h", F.col("__n") - width, F.lit(width)) if width else F.array().cast("array<string>")
     last = tail.select(key, F.array_join(context, SEP).alias("context"), F.element_at("__h", -1).alias("token"))
     scored = _with_counts(last, model, limit)
-    logp = token_logprob(F.col("n"), F.col("total"), F.col("vocab_size"), model.alpha)
+    logp = token_logprob(F.col("n"), F.col("total"), model.vocab_size(), model.alpha)
     return df.select(key).join(scored.select(key, logp.alias("score")), key, "left").select(
         key, F.coalesce("score", F.lit(0.0)).alias("score")
     )
