@@ -13,7 +13,7 @@ from uttera.catalog import REGISTRY
 PYTHON = {
     "beam_decode", "viterbi_align", "scorer_plugin", "decode_wav", "log_mel", "fbank_stacked", "augment_waveform",
     "extract_features", "stream_alert", "unigram_vocab", "batch_length_bucket", "batch_max_frames", "batch_duration",
-    "batch_adaptive", "batch_adaptive_frames", "assign_batch", "padding_waste", "longest_first",
+    "batch_adaptive", "batch_adaptive_frames", "assign_batch", "batch_plan", "feature_payload", "padding_waste", "longest_first",
 }
 
 

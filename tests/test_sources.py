@@ -110,6 +110,22 @@ def test_feature_shards(spark, tmp_path):
     assert features.latest_state(spark.read.parquet(path), ["value"]).count() == 500
 
 
+def test_payload(spark):
+    df = spark.createDataFrame([("k", 2, 3, [1.0, 2.0, 3.0, 4.0, 5.0, 6.5])], "key string, rows int, cols int, values array<float>")
+    cell = features.encode_payload(df, ["key"])
+    raw = bytes(cell.first()["payload"])
+    assert raw[:16] == b"SFCF32L1" + (2).to_bytes(4, "little") + (3).to_bytes(4, "little") and len(raw) == 40
+    assert features.decode_payload(cell, ["key"]).collect() == df.collect()
+    for damaged in (raw[:-1], b"other" + raw, raw[:10]):
+        with pytest.raises(Exception, match="payload"):
+            features.decode_payload(spark.createDataFrame([("k", bytearray(damaged))], "key string, payload binary"), ["key"]).collect()
+
+
+def test_vocab_export(spark):
+    table = spark.createDataFrame([("<blank>", 0), ("b", 2), ("a", 1)], "token string, id int")
+    assert json.loads(records.export_vocab(table).first()[0]) == {"type": "character", "symbols": ["a", "b"]}
+
+
 def test_first_hit(spark):
     feats = spark.createDataFrame([("k1", 1.0), ("k2", 2.0)], "key string, value double")
     recs = spark.createDataFrame([(1, ["x", "k2", "k1"]), (2, ["x"]), (3, ["k1"])], "id int, keys array<string>")

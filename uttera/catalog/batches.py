@@ -79,6 +79,11 @@ def assign_batch(spark, folder):
     return batching.plan_batches(sized(spark, folder), BatchConfig(max_frames=12000)).select("row_index", "batch_id")
 
 
+@query("batch_plan", _greedy("num_samples, estimated_frames", "num_samples", "g.total + o.unit <= 1920000"))
+def batch_plan(spark, folder):
+    return batching.plan_batches(sized(spark, folder), BatchConfig(max_duration_sec=120.0)).select("row_index", "batch_id")
+
+
 @query(
     "rank_in_group",
     v.sql("SELECT row_index, estimated_frames, row_number() OVER (PARTITION BY estimated_frames ORDER BY row_index) AS rank FROM sized", "sized"),

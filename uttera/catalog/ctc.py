@@ -420,7 +420,34 @@ def log_add_exp(spark, folder):
     return v.table(spark, folder, "embeddings").select("vec_id", F.round(arrays.log_add_exp(a, b), 9).alias("lae"))
 
 
-@query("spec_augment")
+def _sql_bands() -> str:
+    """Widths and starts of two frequency and five time bands per utterance."""
+
+    def draw(name: str, top: str) -> str:
+        tagged = f"utterance_id || ':1:{name}'"
+        return f"floor({v.sql_unit_hash(f'({tagged})', 13)} * ({top} + 1))::int"
+
+    widths = [f"{draw(f'fw{i}', '27')} AS fw{i}" for i in range(2)]
+    widths += [f"{draw(f'tw{i}', 'greatest(floor(n * 0.05::double), 1)')} AS tw{i}" for i in range(5)]
+    starts = [f"{draw(f'fs{i}', f'64 - fw{i}')} AS fs{i}" for i in range(2)]
+    starts += [f"{draw(f'ts{i}', f'n - tw{i}')} AS ts{i}" for i in range(5)]
+    inner = f"SELECT utterance_id, n, {', '.join(widths)} FROM (SELECT utterance_id, count(*) AS n FROM frames GROUP BY 1)"
+    return f"SELECT *, {', '.join(starts)} FROM ({inner})"
+
+
+_IN_TIME = " OR ".join(f"(tw{i} < n AND frame >= ts{i} AND frame < ts{i} + tw{i})" for i in range(5))
+_IN_FREQ = " OR ".join(f"(j - 1 >= fs{i} AND j - 1 < fs{i} + fw{i})" for i in range(2))
+
+
+@query(
+    "spec_augment",
+    v.sql(
+        f""", b AS ({_sql_bands()})
+        SELECT utterance_id, frame, list_transform(logits, lambda x, j: CASE WHEN {_IN_TIME} OR {_IN_FREQ} THEN 0.0::double ELSE x END) AS logits
+        FROM frames JOIN b USING (utterance_id)""",
+        "frames",
+    ),
+)
 def spec_augment(spark, folder):
     frames = v.frames(spark, folder).drop("target")
     lengths = frames.groupBy("utterance_id").agg(F.count("*").alias("length"))

@@ -115,6 +115,23 @@ def json_write(spark, folder):
     return spark.read.text(path)
 
 
+@query(
+    "write_report",
+    v.sql(
+        """SELECT '{"source":"' || source || '","scanned":' || count(*) || ',"missing_audio":' || count(*) FILTER (reject_reason = 'missing_audio') || '}' AS value
+        FROM judged GROUP BY source""",
+        "judged",
+    ),
+)
+def write_report(spark, folder):
+    from uttera.operators import audit
+
+    path = scratch_path(spark, "report")
+    summary = audit.loader_summary(v.judged(spark, folder))
+    records.write_report(summary.select("source", "scanned", F.col("skipped_missing_audio").alias("missing_audio")), path)
+    return spark.read.text(path)
+
+
 @query("json_get", "SELECT event_id, (props->>'k')::bigint AS k FROM events")
 def json_get(spark, folder):
     parsed = F.from_json("props", "k bigint")
@@ -218,17 +235,58 @@ def decode_wav(spark, folder):
     )
 
 
-def _signal_query(name, job):
-    @query(name)
+# The feature jobs written out in SQL: every sample, frame, transform bin and filter is a row.
+_PCM = """WITH pcm AS (SELECT u, (vec_id % 25) * 64 + d - 1 AS n, round_even(e * 32767, 0) / 32768 AS x FROM (
+    SELECT (vec_id // 25)::bigint AS u, vec_id, unnest(embedding)::double AS e, generate_subscripts(embedding, 1) AS d FROM embeddings) WHERE u % 10 <> 3),
+  st AS (SELECT u, avg(x) AS m, count(*) AS len FROM pcm GROUP BY u)"""
+
+_LOG_MEL = _PCM + """,
+  c AS (SELECT u, n, x - m AS x, len FROM pcm JOIN st USING (u)),
+  pk AS (SELECT u, greatest(max(abs(x)), 1e-6) AS p FROM c GROUP BY u),
+  e AS (SELECT u, n, len, x - 0.97::double * coalesce(lag(x) OVER (PARTITION BY u ORDER BY n), 0) AS x FROM (SELECT u, n, len, x / p AS x FROM c JOIN pk USING (u))),
+  ix AS (SELECT u, t, k, CASE WHEN j < 0 THEN -j WHEN j >= len THEN 2 * (len - 1) - j ELSE j END AS n FROM (
+    SELECT u, len, t, k, t * 160 + k - 200 AS j FROM (SELECT u, len, unnest(range(0, len // 160 + 1)) AS t FROM st), (SELECT unnest(range(0, 400)) AS k))),
+  f AS (SELECT u, t, k, x * (0.5 - 0.5 * cos(2 * pi() * k / 400)) AS y FROM ix JOIN e USING (u, n)),
+  sp AS (SELECT u, t, b, sum(y * cos(2 * pi() * (b * k % 400) / 400)) AS re, sum(y * sin(2 * pi() * (b * k % 400) / 400)) AS im
+    FROM f, (SELECT unnest(range(0, 201)) AS b) GROUP BY u, t, b),
+  pt AS (SELECT i, 700 * (pow(10, i * 2595 * log10(1 + 8000 / 700.0::double) / 81 / 2595) - 1) AS hz FROM (SELECT unnest(range(0, 82)) AS i)),
+  fb AS (SELECT l.i AS m, b, greatest(0, least((b * 40 - l.hz) / (o.hz - l.hz), (r.hz - b * 40) / (r.hz - o.hz))) AS w
+    FROM pt l JOIN pt o ON o.i = l.i + 1 JOIN pt r ON r.i = l.i + 2, (SELECT unnest(range(0, 201)) AS b)),
+  mel AS (SELECT u, t, m, ln(greatest(sum((re * re + im * im) * w), 1e-5)) AS v FROM sp JOIN fb USING (b) GROUP BY u, t, m),
+  nm AS (SELECT u, m, avg(v) AS mean, greatest(stddev_pop(v), 1e-5) AS sd FROM mel GROUP BY u, m)
+SELECT u AS utterance_id, t AS frame, list(round((v - mean) / sd, 4) + 0.0 ORDER BY m) AS features FROM mel JOIN nm USING (u, m) GROUP BY u, t"""
+
+_FBANK = _PCM + """,
+  fr AS (SELECT u, t, k, x * 32768 AS x FROM (SELECT u, t, k, t * 160 + k AS n FROM
+    (SELECT u, unnest(range(0, 1 + (len - 400) // 160)) AS t FROM st WHERE len >= 400), (SELECT unnest(range(0, 400)) AS k)) JOIN pcm USING (u, n)),
+  dc AS (SELECT u, t, k, x - avg(x) OVER (PARTITION BY u, t) AS x FROM fr),
+  f AS (SELECT u, t, k, (x - 0.97::double * coalesce(lag(x) OVER (PARTITION BY u, t ORDER BY k), x)) * pow(0.5 - 0.5 * cos(2 * pi() * k / 399), 0.85) AS y FROM dc),
+  sp AS (SELECT u, t, b, sum(y * cos(2 * pi() * (b * k % 512) / 512))::float::double AS re, sum(y * sin(2 * pi() * (b * k % 512) / 512))::float::double AS im
+    FROM f, (SELECT unnest(range(0, 257)) AS b) GROUP BY u, t, b),
+  sc AS (SELECT 1127 * ln(1 + 20 / 700.0::double) AS lo, 1127 * ln(1 + 8000 / 700.0::double) AS hi),
+  pt AS (SELECT i, lo + (hi - lo) * i / 81 AS q FROM sc, (SELECT unnest(range(0, 82)) AS i)),
+  fb AS (SELECT l.i AS m, b, greatest(0, least((z - l.q) / (o.q - l.q), (r.q - z) / (r.q - o.q))) AS w
+    FROM pt l JOIN pt o ON o.i = l.i + 1 JOIN pt r ON r.i = l.i + 2, (SELECT b, 1127 * ln(1 + b * 31.25::double / 700) AS z FROM (SELECT unnest(range(0, 257)) AS b))),
+  mel AS (SELECT u, t, m, ln(greatest(sum((re * re + im * im) * w), 1.192092955078125e-7)) AS v FROM sp JOIN fb USING (b) GROUP BY u, t, m),
+  nm AS (SELECT u, m, avg(v) AS mean, sqrt(CASE WHEN count(*) > 1 THEN var_samp(v) ELSE 0 END + 1e-7) AS sd FROM mel GROUP BY u, m),
+  st2 AS (SELECT u, t // 2 AS frame, list(round((v - mean) / sd, 4) + 0.0 ORDER BY t, m) AS features FROM mel JOIN nm USING (u, m) GROUP BY ALL)
+SELECT u AS utterance_id, frame, list_resize(features, 160, 1.0::double) AS features FROM st2"""
+
+
+def _signal_query(name, job, sql=None):
+    @query(name, sql)
     def run(spark, folder):
         from uttera.operators import signal
 
         decoded = signal.decode_wav(signal.prevalidate(wav_clips(spark, folder)))
-        return getattr(signal, job)(decoded)
+        out = getattr(signal, job)(decoded)
+        if "features" not in out.columns:
+            return out
+        return out.withColumn("features", F.transform("features", lambda x: F.round(x, 4) + 0.0))
 
 
-_signal_query("log_mel", "log_mel")
-_signal_query("fbank_stacked", "fbank_stacked")
+_signal_query("log_mel", "log_mel", _LOG_MEL)
+_signal_query("fbank_stacked", "fbank_stacked", _FBANK)
 _signal_query("augment_waveform", "augment_waveform")
 
 
@@ -310,6 +368,16 @@ _LATEST = """SELECT key, version, value FROM (SELECT *, row_number() OVER (PARTI
    WHERE n = 1 AND NOT deleted"""
 
 
+@query("feature_payload", "SELECT vec_id, 1 AS rows, len(embedding)::int AS cols, list_transform(embedding, lambda x: x::double) AS values FROM embeddings")
+def feature_payload(spark, folder):
+    """Matrices to interchange cells and back."""
+    rows = v.table(spark, folder, "embeddings").select(
+        "vec_id", F.lit(1).alias("rows"), F.size("embedding").alias("cols"), F.col("embedding").alias("values")
+    )
+    back = features.decode_payload(features.encode_payload(rows, ["vec_id"]), ["vec_id"])
+    return back.withColumn("values", F.col("values").cast("array<double>"))
+
+
 @query("latest_features", v.sql(_LATEST, "cache_log"))
 def latest_features(spark, folder):
     return features.latest_state(v.cache_log(spark, folder), ["value"])

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,14 +39,15 @@ def read_features(spark: SparkSession, path: str, schema: str) -> DataFrame:
 def latest_state(log: DataFrame, payload: list[str], key: str = "key", version: str = "version") -> DataFrame:
     """Newest row per key; a key whose newest row is a deletion is gone.
 
-    Narrow payloads ride along in ``max_by``, which combines before the shuffle.
+    Narrow payloads ride along in ``max_by``, which combines before the shuffle; number
+    columns keep the whole aggregate in hash tables. Versions are unique within a key.
     """
-    newest = F.max_by(F.struct("deleted", *payload), version)
+    newest = [F.max_by(c, version).alias(c) for c in payload]
     return (
         log.groupBy(key)
-        .agg(newest.alias("w"), F.max(version).alias(version))
-        .filter(~F.col("w.deleted"))
-        .select(key, version, *[F.col(f"w.{c}").alias(c) for c in payload])
+        .agg(F.max_by("deleted", version).alias("__deleted"), F.max(version).alias(version), *newest)
+        .filter(~F.col("__deleted"))
+        .select(key, version, *payload)
     )
 
 
@@ -101,3 +106,45 @@ def feature_plausible(features: Column, bins: int, estimated: Column) -> Column:
     regular = F.forall(features, lambda r: F.size(r) == cols)
     frames = F.when(cols == bins, rows).when(rows == bins, cols).otherwise(F.lit(0))
     return F.coalesce(features.isNotNull() & regular & (frames > 0) & (frames <= limit), F.lit(False))
+
+
+# Fixed values of the interchange payload: magic, then rows and cols as little-endian
+# 32-bit integers, then rows * cols little-endian 32-bit floats.
+PAYLOAD_MAGIC = b"SFCF32L1"
+
+
+def encode_payload(df: DataFrame, keep: list[str]) -> DataFrame:
+    """(rows, cols, values) to one binary cell, for exchange with other readers."""
+    kept = [f"{c} {df.schema[c].dataType.simpleString()}" for c in keep]
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            cells = [
+                PAYLOAD_MAGIC + np.array([r, c], "<u4").tobytes() + np.asarray(x, "<f4").tobytes()
+                for r, c, x in zip(part["rows"], part["cols"], part["values"])
+            ]
+            yield part[keep].assign(payload=cells)
+
+    return df.select(*keep, "rows", "cols", "values").mapInPandas(run, ", ".join([*kept, "payload binary"]))
+
+
+def decode_payload(df: DataFrame, keep: list[str]) -> DataFrame:
+    """Binary cells back to (rows, cols, values); damaged cells fail the job."""
+    kept = [f"{c} {df.schema[c].dataType.simpleString()}" for c in keep]
+    start = len(PAYLOAD_MAGIC)
+
+    def one(cell: bytes):
+        if not cell.startswith(PAYLOAD_MAGIC) or len(cell) < start + 8:
+            raise ValueError("not a feature payload")
+        rows, cols = (int(x) for x in np.frombuffer(cell, "<u4", 2, start))
+        if len(cell) != start + 8 + 4 * rows * cols:
+            raise ValueError(f"feature payload of {len(cell)} bytes does not hold {rows} x {cols} values")
+        return rows, cols, np.frombuffer(cell, "<f4", rows * cols, start + 8)
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            cells = pd.DataFrame([one(bytes(c)) for c in part["payload"]], columns=["rows", "cols", "values"])
+            yield pd.concat([part[keep].reset_index(drop=True), cells], axis=1)
+
+    schema = ", ".join([*kept, "rows int, cols int, values array<float>"])
+    return df.select(*keep, "payload").mapInPandas(run, schema)

@@ -38,15 +38,19 @@ def embedding_distance(student: DataFrame, teacher: DataFrame, key: str) -> Data
 
 
 def average_vectors(df: DataFrame, keys: list[str], order: str, column: str = "vector") -> DataFrame:
-    """Elementwise mean per group; vectors whose size differs from the first one's are skipped."""
-    template = df.groupBy(*keys).agg(F.min_by(F.size(column), order).alias("__size"))
+    """Elementwise mean per group; vectors whose size differs from the first one's are skipped.
+
+    Every size is averaged in one pass; the size that holds the first vector is then picked
+    from the few rows per group.
+    """
     vec = array_to_vector(F.col(column).cast("array<double>"))
-    return (
-        df.join(template, keys)
-        .filter(F.size(column) == F.col("__size"))
-        .groupBy(*keys)
-        .agg(vector_to_array(Summarizer.mean(vec)).alias("mean"), F.count("*").alias("averaged"))
+    by_size = df.groupBy(*keys, F.size(column).alias("__size")).agg(
+        vector_to_array(Summarizer.mean(vec)).alias("mean"),
+        F.count("*").alias("averaged"),
+        F.min(order).alias("__first"),
     )
+    chosen = F.min_by(F.struct("mean", "averaged"), "__first")
+    return by_size.groupBy(*keys).agg(chosen.alias("c")).select(*keys, "c.mean", "c.averaged")
 
 
 def normalize_features(

@@ -80,3 +80,9 @@ def save_vocab(vocab: DataFrame, path: str) -> None:
 
 def load_vocab(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("token string, id int").parquet(path)
+
+
+def export_vocab(vocab: DataFrame) -> DataFrame:
+    """Interchange form of a character vocabulary: one JSON object with its symbols in order."""
+    symbols = F.array_sort(F.collect_list(F.when(F.col("id") > 0, F.struct("id", "token"))))["token"]
+    return vocab.agg(F.to_json(F.struct(F.lit("character").alias("type"), symbols.alias("symbols"))).alias("value"))
