@@ -21,6 +21,7 @@ from uttera.functions.audio import DEFAULT
 from uttera.functions.hashing import order_hash
 from uttera.operators import sequence
 from uttera.operators.sequence import CHUNK
+from uttera.session import cut_lineage
 
 UNBOUNDED = 1 << 62
 PLAN_COLUMNS = "__room long, __open long, __base long, __cap long"
@@ -73,7 +74,8 @@ def _pack(
     df: DataFrame, keys: list[str], unit: Column, kind: str, budget: int, order: str, chunk: int
 ) -> DataFrame:
     blocked = df.withColumn("__block", sequence.block_of(F.col(order), chunk))
-    counts = blocked.groupBy(*keys, "__block").agg(F.count("*").alias("n"))
+    # Used for the histogram and for the offsets: kept, so the rows are read for it once.
+    counts = cut_lineage(blocked.groupBy(*keys, "__block").agg(F.count("*").alias("n")))
     histogram = counts.groupBy(*keys).agg(F.sum("n").alias("n")).withColumn("unit", unit.cast("bigint"))
     key_types = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys)
     plan = (

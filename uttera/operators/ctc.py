@@ -168,11 +168,16 @@ def ctc_greedy(labels: DataFrame, vocab: DataFrame, blank: int = 0, chunk: int =
     )
 
 
+def number_runs(before: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """``run`` from the previous label: it counts the frames at which a stretch starts."""
+    starts = F.when(F.col("__prev").isNull() | (F.col("__prev") != F.col("label")), 1).otherwise(0)
+    return sequence.running_sum(before, [UTT], FRAME, starts, "run", chunk)
+
+
 def with_runs(labels: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """Adds ``run``: the number of the maximal stretch of equal labels a frame belongs to."""
-    before = sequence.neighbour(labels, [UTT], FRAME, {"label": "__prev"}, -1, chunk)
-    starts = F.when(F.col("__prev").isNull() | (F.col("__prev") != F.col("label")), 1).otherwise(0)
-    return sequence.running_sum(before, [UTT], FRAME, starts, "run", chunk).drop("__prev")
+    before = sequence.neighbour(labels, [UTT], FRAME, {"label": "__prev"}, -1, chunk, keep_block=True)
+    return number_runs(before, chunk).drop("__prev")
 
 
 def ctc_segments(labels: DataFrame, blank: int = 0, chunk: int = CHUNK) -> DataFrame:
@@ -204,9 +209,10 @@ def gated_pooling(
     confidence, left and right boundary), scaled up where the boundaries are weak.
     """
     label = F.col("label") + 1
-    runs = with_runs(frames.select(UTT, FRAME, "label", "shallow", "final", "boundary"), chunk)
-    runs = sequence.neighbour(runs, [UTT], FRAME, {"boundary": "__left"}, -1, chunk)
-    runs = runs.filter(F.col("label") != blank).withColumn("__s", F.element_at("shallow", label))
+    wanted = frames.select(UTT, FRAME, "label", "shallow", "final", "boundary")
+    previous = {"label": "__prev", "boundary": "__left"}
+    before = sequence.neighbour(wanted, [UTT], FRAME, previous, -1, chunk, keep_block=True)
+    runs = number_runs(before, chunk).filter(F.col("label") != blank).withColumn("__s", F.element_at("shallow", label))
     runs = runs.withColumn("__c", (F.col("__s") + F.element_at("final", label)) * 0.5)
     gate = F.lit(1.0) / (F.exp((F.col("__c") - threshold) * -12.0) + 1.0) + 0.05
     runs = runs.withColumn("__gate", gate)
@@ -217,11 +223,12 @@ def gated_pooling(
         F.avg("__c").alias("__conf"),
         F.avg("__s").alias("__label_conf"),
         F.min_by("__left", FRAME).alias("__left"),
+        F.min_by("__prev", FRAME).alias("__prev"),
         F.max_by("boundary", FRAME).alias("__right"),
     )
-    first = stretches.groupBy(UTT).agg(F.min("start").alias("start")).withColumn("__first", F.lit(True))
-    left = F.when(F.col("__first"), F.lit(1.0)).otherwise(F.col("__left"))
-    placed = stretches.join(first, [UTT, "start"], "left").withColumn("__l", left)
+    # Neighbouring runs differ, so the first stretch is run 1, or run 2 after a blank run 1.
+    first = (F.col("run") == 1) | ((F.col("run") == 2) & (F.col("__prev") == blank))
+    placed = stretches.withColumn("__l", F.when(first, F.lit(1.0)).otherwise(F.col("__left")))
     scale = F.lit(1.0) + (F.lit(1.0) - F.col("__l")) * 0.25 + (F.lit(1.0) - F.col("__right")) * 0.25
     extra = F.array("__conf", "__label_conf", "__l", "__right")
     feature = F.concat("__shallow", "__final", extra)

@@ -46,8 +46,9 @@ def _padded(symbols: Column, order: int, eos: bool = True) -> Column:
     return F.concat(head, symbols, F.array(F.lit(EOS))) if eos else F.concat(head, symbols)
 
 
-def explode_ngrams(df: DataFrame, column: str, order: int, eos: bool = True) -> DataFrame:
-    """(context, token) at every position of every text.
+def explode_ngrams(df: DataFrame, column: str, order: int, eos: bool = True, keep_empty: bool = False) -> DataFrame:
+    """(context, token) at every position of every text; with ``keep_empty`` a text without
+    positions gives one row with a null token.
 
     Positions are generated and read from the symbol array inside one generated-code
     stage, together with the partial count that follows; no array per position is made.
@@ -60,7 +61,8 @@ def explode_ngrams(df: DataFrame, column: str, order: int, eos: bool = True) ->
     last = F.size(h) - width
     at = F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
     context = F.concat_ws(SEP, *[F.element_at(h, i + k) for k in range(width)]) if width else F.lit("")
-    return history.withColumn("__i", F.explode(at)).select(
+    spread = F.explode_outer(at) if keep_empty else F.explode(at)
+    return history.withColumn("__i", spread).select(
         *df.columns, context.alias("context"), F.element_at(h, i + width).alias("token")
     )
 
@@ -147,24 +149,27 @@ def score_text(
     df: DataFrame, key: str, column: str, model: NgramModel, eos: bool = True, limit: int = BROADCAST_ROWS
 ) -> DataFrame:
     """Log probability of each text: sum over its positions, combined before the shuffle."""
-    positions = explode_ngrams(df.select(key, column), column, model.order, eos).select(key, "context", "token")
+    positions = explode_ngrams(df.select(key, column), column, model.order, eos, keep_empty=True)
     logp = token_logprob(F.col("n"), F.col("total"), model.vocab_size(), model.alpha)
-    sums = _with_counts(positions, model, limit).groupBy(key).agg(F.sum(logp).alias("score"))
-    return df.select(key).join(sums, key, "left").select(key, F.coalesce("score", F.lit(0.0)).alias("score"))
+    scored = _with_counts(positions.select(key, "context", "token"), model, limit)
+    return scored.groupBy(key).agg(
+        F.sum(F.when(F.col("token").isNull(), 0.0).otherwise(logp)).alias("score")
+    )
 
 
 def score_extension(df: DataFrame, key: str, column: str, model: NgramModel, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Log probability of the last character of each text given those before it."""
     history = _padded(characters(F.col(column)), model.order, eos=False)
     width = model.order - 1
-    tail = computed_once(df.filter(F.col(column) != "").select(key, history.alias("__h")), __n=F.size("__h"))
+    tail = computed_once(df.select(key, F.col(column).alias("__t"), history.alias("__h")), __n=F.size("__h"))
     context = F.slice("__h", F.col("__n") - width, F.lit(width)) if width else F.array().cast("array<string>")
-    last = tail.select(key, F.array_join(context, SEP).alias("context"), F.element_at("__h", -1).alias("token"))
-    scored = _with_counts(last, model, limit)
+    # Null for the empty text, whose score is 0; its padding must not be read as a context.
+    last = F.when(F.col("__t") != "", F.element_at("__h", -1))
+    where = F.when(F.col("__t") != "", F.array_join(context, SEP))
+    rows = tail.select(key, where.alias("context"), last.alias("token"))
     logp = token_logprob(F.col("n"), F.col("total"), model.vocab_size(), model.alpha)
-    return df.select(key).join(scored.select(key, logp.alias("score")), key, "left").select(
-        key, F.coalesce("score", F.lit(0.0)).alias("score")
-    )
+    scored = _with_counts(rows, model, limit)
+    return scored.select(key, F.when(F.col("token").isNull(), 0.0).otherwise(logp).alias("score"))
 
 
 # Log scores are summed in bands of this width, so that exp() neither overflows nor vanishes.

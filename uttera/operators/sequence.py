@@ -14,6 +14,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from uttera.session import cut_lineage
+
 CHUNK = 1 << 20
 FAN_IN = 1 << 10
 
@@ -92,7 +94,8 @@ def dense_position(
     the order and split the rows into pieces that fit one task.
     """
     blocked = df.withColumn("__block", block_of(F.col(order), chunk) if block is None else block)
-    counts = blocked.groupBy("__block").agg(F.count("*").alias("__n"))
+    # The counts feed both levels of the prefix sum: kept, so the rows are read for them once.
+    counts = cut_lineage(blocked.groupBy("__block").agg(F.count("*").alias("__n")))
     offsets = _offsets_global(counts, "__block", "__n")
     local = Window.partitionBy("__block").orderBy(order)
     result = (
@@ -108,8 +111,12 @@ def dense_position(
 def running_sum(
     df: DataFrame, keys: list[str], order: str, value: Column, out: str, chunk: int = CHUNK
 ) -> DataFrame:
-    """Inclusive running sum of an integer expression inside each group."""
-    blocked = df.withColumn("__block", block_of(F.col(order), chunk)).withColumn("__v", value.cast("bigint"))
+    """Inclusive running sum of an integer expression inside each group.
+
+    Rows that already carry their ``__block`` (see ``neighbour``) are not shuffled again.
+    """
+    blocked = df if "__block" in df.columns else df.withColumn("__block", block_of(F.col(order), chunk))
+    blocked = blocked.withColumn("__v", value.cast("bigint"))
     counts = blocked.groupBy(*keys, "__block").agg(F.sum("__v").alias("__n"))
     offsets = _offsets_in_groups(counts, keys, "__block", "__n")
     local = Window.partitionBy(*keys, "__block").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
@@ -150,6 +157,7 @@ def neighbour(
     columns: dict[str, str],
     step: int,
     chunk: int = CHUNK,
+    keep_block: bool = False,
 ) -> DataFrame:
     """Value of the previous (step=-1) or next (step=1) row of a gap-free integer order.
 
@@ -175,4 +183,5 @@ def neighbour(
     pick = F.lag if step == -1 else F.lead
     for source, out in columns.items():
         ghosted = ghosted.withColumn(out, pick(source, 1).over(window))
-    return ghosted.filter(~F.col("__ghost")).drop("__b", "__block", "__ghost")
+    extra = () if keep_block else ("__block",)
+    return ghosted.filter(~F.col("__ghost")).drop("__b", "__ghost", *extra)
