@@ -2,7 +2,7 @@
 
 BENCH_SF_DIR (default /root/testdata/sf0.1) and BENCH_CPUS (default 8) choose input and cores;
 BENCH_QUERIES may name other registered queries. Each query is run once to warm up and then
-BENCH_RUNS times (default 1); the median is reported. Results are written to Spark's no-op
+BENCH_RUNS times (default 3); the median is reported. Results are written to Spark's no-op
 sink, so every row is produced and none is collected.
 """
 
@@ -30,7 +30,7 @@ HEADLINE = (
 def main() -> None:
     folder = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cores = os.environ.get("BENCH_CPUS", "8")
-    runs = int(os.environ.get("BENCH_RUNS", "1"))
+    runs = int(os.environ.get("BENCH_RUNS", "3"))
     names = os.environ.get("BENCH_QUERIES", " ".join(HEADLINE)).split()
     spark = local_session("bench", cores)
     times: dict[str, float] = {}

@@ -6,6 +6,8 @@ sum of (edits, reference length) and therefore a partial + final aggregate.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,42 +16,62 @@ from uttera.operators.common import computed_once
 
 SURROGATES = 0xD800
 FIRST_CODE = 0x100
+# Rows with at most this many different words find their characters in a constant array.
+QUICK_CODES = 4096
+
+
+def _code(at: Column) -> Column:
+    """Character number ``at`` (from 1), jumping over the code points of surrogates."""
+    point = at + (FIRST_CODE - 1)
+    point = F.when(point >= SURROGATES, point + 0x800).otherwise(point)
+    return F.decode(F.unhex(F.lpad(F.hex(point), 8, "0")), "UTF-32")
 
 
 def _as_characters(tokens: Column, alphabet: Column) -> Column:
     """Every word as one character: its position in the row's own alphabet.
 
-    Code points of the surrogate range are skipped, so a row may hold over a million
-    different words.
+    A row may hold over a million different words.
     """
+    quick = F.from_json(F.lit(json.dumps([chr(FIRST_CODE + i) for i in range(QUICK_CODES)])), "array<string>")
+    short = F.transform(tokens, lambda w: F.element_at(quick, F.array_position(alphabet, w).cast("int")))
+    long = F.transform(tokens, lambda w: _code(F.array_position(alphabet, w)))
+    return F.array_join(F.when(F.size(alphabet) <= QUICK_CODES, short).otherwise(long), "")
 
-    def code(w: Column) -> Column:
-        at = F.array_position(alphabet, w) + (FIRST_CODE - 1)
-        at = F.when(at >= SURROGATES, at + 0x800).otherwise(at)
-        return F.decode(F.unhex(F.lpad(F.hex(at), 8, "0")), "UTF-32")
 
-    return F.array_join(F.transform(tokens, code), "")
+# Edits up to this many are found in a band around the diagonal, in time linear in the text.
+BAND = 32
 
 
 def with_edits(pairs: DataFrame) -> DataFrame:
     """Adds word_edits, ref_words, char_edits, ref_chars and the length bucket.
 
-    Word lists and the alphabet of each row are made once; equal rows skip the distance.
+    Word lists, alphabets and codes of each row are made once; equal rows skip the distance.
+    The banded distance answers most rows; only rows beyond the band pay the full one.
     """
     ref, hyp = F.col("ref"), F.col("hyp")
-    listed = computed_once(pairs, __a=text.words(ref), __b=text.words(hyp))
     differ = ref != hyp
-    alphabet = F.when(differ, F.array_distinct(F.concat("__a", "__b")))
-    coded = computed_once(listed, __alphabet=alphabet)
-    by_word = F.levenshtein(
-        _as_characters(F.col("__a"), F.col("__alphabet")), _as_characters(F.col("__b"), F.col("__alphabet"))
+    rows = computed_once(pairs, __a=text.words(ref), __b=text.words(hyp))
+    rows = computed_once(rows, __alphabet=F.when(differ, F.array_distinct(F.concat("__a", "__b"))))
+    rows = computed_once(
+        rows,
+        __wa=F.when(differ, _as_characters(F.col("__a"), F.col("__alphabet"))),
+        __wb=F.when(differ, _as_characters(F.col("__b"), F.col("__alphabet"))),
     )
+    rows = computed_once(
+        rows,
+        __words=F.when(differ, F.levenshtein("__wa", "__wb", BAND)).otherwise(F.lit(0)),
+        __chars=F.when(differ, F.levenshtein(ref, hyp, BAND)).otherwise(F.lit(0)),
+    )
+
+    def exact(banded: str, left: Column, right: Column) -> Column:
+        return F.when(F.col(banded) >= 0, F.col(banded)).otherwise(F.levenshtein(left, right)).cast("bigint")
+
     n = F.size("__a")
-    return coded.select(
+    return rows.select(
         *pairs.columns,
-        F.when(differ, by_word).otherwise(F.lit(0)).cast("bigint").alias("word_edits"),
+        exact("__words", F.col("__wa"), F.col("__wb")).alias("word_edits"),
         n.cast("bigint").alias("ref_words"),
-        F.when(differ, F.levenshtein(ref, hyp)).otherwise(F.lit(0)).cast("bigint").alias("char_edits"),
+        exact("__chars", ref, hyp).alias("char_edits"),
         F.length(ref).cast("bigint").alias("ref_chars"),
         text.bucket_of(n).alias("bucket"),
     )
