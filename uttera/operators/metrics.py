@@ -38,15 +38,15 @@ def _as_characters(tokens: Column, alphabet: Column) -> Column:
     return F.array_join(F.when(F.size(alphabet) <= QUICK_CODES, short).otherwise(long), "")
 
 
-# Edits up to this many are found in a band around the diagonal, in time linear in the text.
-BAND = 32
+# Distances are looked for in a narrow band around the diagonal first, then in a wide one;
+# only rows beyond both pay the full quadratic distance. The result is always exact.
+NARROW, WIDE = 12, 96
 
 
 def with_edits(pairs: DataFrame) -> DataFrame:
     """Adds word_edits, ref_words, char_edits, ref_chars and the length bucket.
 
     Word lists, alphabets and codes of each row are made once; equal rows skip the distance.
-    The banded distance answers most rows; only rows beyond the band pay the full one.
     """
     ref, hyp = F.col("ref"), F.col("hyp")
     differ = ref != hyp
@@ -57,21 +57,23 @@ def with_edits(pairs: DataFrame) -> DataFrame:
         __wa=F.when(differ, _as_characters(F.col("__a"), F.col("__alphabet"))),
         __wb=F.when(differ, _as_characters(F.col("__b"), F.col("__alphabet"))),
     )
+    sides = {"__words": (F.col("__wa"), F.col("__wb")), "__chars": (ref, hyp)}
     rows = computed_once(
-        rows,
-        __words=F.when(differ, F.levenshtein("__wa", "__wb", BAND)).otherwise(F.lit(0)),
-        __chars=F.when(differ, F.levenshtein(ref, hyp, BAND)).otherwise(F.lit(0)),
+        rows, **{k: F.when(differ, F.levenshtein(x, y, NARROW)).otherwise(F.lit(0)) for k, (x, y) in sides.items()}
     )
+    wider = {f"{k}2": F.when(F.col(k) >= 0, F.col(k)).otherwise(F.levenshtein(x, y, WIDE)) for k, (x, y) in sides.items()}
+    rows = computed_once(rows, **wider)
 
-    def exact(banded: str, left: Column, right: Column) -> Column:
-        return F.when(F.col(banded) >= 0, F.col(banded)).otherwise(F.levenshtein(left, right)).cast("bigint")
+    def exact(side: str) -> Column:
+        banded = F.col(f"{side}2")
+        return F.when(banded >= 0, banded).otherwise(F.levenshtein(*sides[side])).cast("bigint")
 
     n = F.size("__a")
     return rows.select(
         *pairs.columns,
-        exact("__words", F.col("__wa"), F.col("__wb")).alias("word_edits"),
+        exact("__words").alias("word_edits"),
         n.cast("bigint").alias("ref_words"),
-        exact("__chars", ref, hyp).alias("char_edits"),
+        exact("__chars").alias("char_edits"),
         F.length(ref).cast("bigint").alias("ref_chars"),
         text.bucket_of(n).alias("bucket"),
     )
