@@ -155,8 +155,8 @@ def merge_shards(spark, folder):
 @query(
     "reduce_metrics",
     v.sql(
-        """SELECT metric, round(avg(value), 6) AS mean, round(sum(value), 4) AS total,
-        round(sum(value * (run + 1)) / sum(run + 1), 6) AS weighted_mean, min(value) AS low, max(value) AS high
+        """SELECT metric, round(avg(value), 9) AS mean, round(sum(value), 4) AS total,
+        round(sum(value * (run + 1)) / sum(run + 1), 9) AS weighted_mean, min(value) AS low, max(value) AS high
         FROM step_metrics GROUP BY metric""",
         "step_metrics",
     ),
@@ -165,7 +165,7 @@ def reduce_metrics(spark, folder):
     steps = v.step_metrics(spark, folder).withColumn("weight", (F.col("run") + 1).cast("double"))
     out = metrics.reduce_metrics(steps, ["metric"], "value", "weight")
     return out.withColumns(
-        {"mean": F.round("mean", 6), "total": F.round("total", 4), "weighted_mean": F.round("weighted_mean", 6)}
+        {"mean": F.round("mean", 9), "total": F.round("total", 4), "weighted_mean": F.round("weighted_mean", 9)}
     )
 
 
@@ -186,14 +186,14 @@ def best_so_far(spark, folder):
 @query(
     "flatten_metrics",
     v.sql(
-        """, m AS (SELECT metric, round(avg(value), 6) AS mean, min(value) AS low, max(value) AS high FROM step_metrics GROUP BY metric)
+        """, m AS (SELECT metric, round(avg(value), 9) AS mean, min(value) AS low, max(value) AS high FROM step_metrics GROUP BY metric)
         SELECT metric || '/' || name AS name, value FROM (UNPIVOT m ON mean, low, high INTO NAME name VALUE value)""",
         "step_metrics",
     ),
 )
 def flatten_metrics(spark, folder):
     rows = v.step_metrics(spark, folder).groupBy("metric").agg(
-        F.round(F.avg("value"), 6).alias("mean"), F.min("value").alias("low"), F.max("value").alias("high")
+        F.round(F.avg("value"), 9).alias("mean"), F.min("value").alias("low"), F.max("value").alias("high")
     ).withColumnRenamed("metric", "grp")
     return metrics.flatten_metrics(rows, "grp", ["mean", "low", "high"])
 
@@ -251,14 +251,14 @@ def examples_table(spark, folder):
 
 v.VIEWS["runs"] = (
     ("step_metrics",),
-    """SELECT run % 7 AS signature, metric AS path, count(*) AS step, run AS epoch, round(avg(value), 6) AS wer,
+    """SELECT run % 7 AS signature, metric AS path, count(*) AS step, run AS epoch, round(avg(value), 9) AS wer,
        CASE WHEN count(*) > 12 THEN 'ok' END AS marker FROM step_metrics GROUP BY run, metric""",
 )
 
 
 def runs(spark, folder):
     return v.step_metrics(spark, folder).groupBy("run", "metric").agg(
-        F.count("*").alias("step"), F.round(F.avg("value"), 6).alias("wer")
+        F.count("*").alias("step"), F.round(F.avg("value"), 9).alias("wer")
     ).select(
         (F.col("run") % 7).alias("signature"), F.col("metric").alias("path"), "step",
         F.col("run").alias("epoch"), "wer", F.when(F.col("step") > 12, "ok").alias("marker"),

@@ -60,7 +60,7 @@ def stream_features(spark, folder):
 @query(
     "stream_metrics",
     v.sql(
-        """SELECT time_bucket(INTERVAL 6 HOUR, ts) AS start, metric, count(*) AS n, round(sum(value * (run + 1)) / sum(run + 1), 6) AS mean
+        """SELECT time_bucket(INTERVAL 6 HOUR, ts) AS start, metric, count(*) AS n, round(sum(value * (run + 1)) / sum(run + 1), 9) AS mean
         FROM step_metrics GROUP BY ALL""",
         "step_metrics",
     ),
@@ -71,7 +71,7 @@ def stream_metrics(spark, folder):
     means = jobs.stream_metrics(steps, "ts", ["metric"], "value", "weight", "6 hours", "1 day")
     jobs.drain(means, out, scratch_path(spark, "ckpt"), mode="complete")
     done = spark.read.parquet(out)
-    return done.withColumn("mean", F.round("mean", 6)).withColumn("start", F.col("start").cast("timestamp_ntz"))
+    return done.withColumn("mean", F.round("mean", 9)).withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
 @query(
