@@ -69,11 +69,13 @@ def is_held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 3 == 1, F.lit(False))
 
 
-def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, per_class: int) -> DataFrame:
-    """Training rows (doc_id, label, text): at most ``per_class`` of each class, never held-out ones.
+def labelled_sample(
+    documents: DataFrame, labels: DataFrame, label: str, per_class: int, metadata: list[str] | None = None
+) -> DataFrame:
+    """Training rows (doc_id, label, text, *metadata): at most ``per_class`` of each class, never held-out ones.
 
     Which rows are taken depends on a hash of their id alone. An id with contradicting labels is left
-    out; an id with several texts gives its smallest. At most 2 * per_class ids are broadcast.
+    out; an id with several texts gives its smallest row. At most 2 * per_class ids are broadcast.
     """
     known = (
         labels.filter(F.col(label).isin(0, 1) & ~is_held_out())
@@ -87,10 +89,11 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, per_cla
         part = known.filter(F.col("label") == value).orderBy("__h", "doc_id").limit(per_class)
         chosen = part if chosen is None else chosen.unionAll(part)
     return (
-        documents.select("doc_id", "text")
+        documents.select("doc_id", F.struct("text", *(metadata or [])).alias("row"))
         .join(F.broadcast(chosen.select("doc_id", "label")), "doc_id")
         .groupBy("doc_id", "label")
-        .agg(F.min("text").alias("text"))
+        .agg(F.min("row").alias("row"))
+        .select("doc_id", "label", "row.*")
     )
 
 
