@@ -3,22 +3,50 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from uttera.llm import simhash_ring
+from uttera.llm import factorisation, feistel, fm_index, mixing, simhash_ring
+from uttera.llm.catalog import GOOD_FROM, SHARDS
 from uttera.llm.common import table
 from uttera.session import scratch_path
 
 
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the factorisation machine rates below GOOD_FROM go. It is fitted on the input's own labels."""
+    machine = factorisation.fit(docs, table(spark, sf_dir, "labels"))
+    return factorisation.score(docs, machine).filter(F.col("score") >= GOOD_FROM).select("record.*")
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays, the one with the smallest id."""
     return simhash_ring.keep_one(docs)
 
 
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of which test items cover a twentieth of the words or more go; the others stay as they are."""
+    items = table(spark, sf_dir, "benchmark").select("item_id", "text")
+    return fm_index.find_phrases(docs, items).filter(~fm_index.is_contaminated()).select("record.*")
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in the amounts of the mix: left out, once, or twice."""
+    return mixing.mix_documents(docs).select("record.*")
+
+
+def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All rows with the columns ``shard`` and ``slot``."""
+    return feistel.shard_rows(docs, [F.col("doc_id"), F.xxhash64("text", "source")], SHARDS)
+
+
 STAGES = [
+    ("factorisation_quality", quality),
     ("simhash_near_dedup", near_dedup),
+    ("fm_index_decontamination", decontaminate),
+    ("golden_ratio_mix", mix),
+    ("feistel_shards", shard),
 ]
 
-# Fingerprints and the fitted classifier have no SQL form; the stages are tested against brute force.
+# The fitted classifier and the fingerprints have no SQL form; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 

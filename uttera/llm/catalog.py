@@ -1,12 +1,117 @@
-"""The registered queries of this package, each applied to its whole table."""
+"""The registered queries of this package, each applied to its whole table, and their SQL twins.
+
+A query derives its columns from what its operator returns. Queries without SQL use what DuckDB does not have
+(trained models, CRC-32, XXH64, byte-exact substring classes); tests/llm holds them against brute force.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from uttera.llm import simhash_ring
-from uttera.llm.common import table
+from uttera.llm import (
+    collisions,
+    factorisation,
+    feistel,
+    fm_index,
+    mixing,
+    pii_tagger,
+    simhash_ring,
+    suffix_dedup,
+    toxic_segments,
+    warc_chunks,
+)
+from uttera.llm.common import is_held_out, table
+
+SHARDS = 8
+TOXIC_FROM = 0.7
+GOOD_FROM = 0.5
+
+
+def op1_factorisation_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text", "n_chars")
+    machine = factorisation.fit(docs, table(spark, folder, "labels"))
+    return factorisation.score(docs, machine).select("record.doc_id", "score").select(
+        "doc_id", is_held_out().alias("held_out"), "score", (F.col("score") >= GOOD_FROM).cast("int").alias("predicted")
+    )
+
+
+def op2_toxic_segments(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    lexicon = toxic_segments.fit(docs, table(spark, folder, "labels"))
+    return toxic_segments.score(docs, lexicon).select("record.doc_id", "score", F.size("passages").alias("n_passages")).select(
+        "doc_id", is_held_out().alias("held_out"), "score", (F.col("score") >= TOXIC_FROM).cast("int").alias("predicted"), "n_passages"
+    )
+
+
+def op3_fm_index_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    found = fm_index.find_phrases(docs, table(spark, folder, "benchmark").select("item_id", "text"))
+    return found.select(
+        "record.doc_id",
+        "n_words",
+        fm_index.n_hit().alias("n_hit"),
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        fm_index.is_contaminated().alias("contaminated"),
+    )
+
+
+def op4_warc_chunk_table(spark: SparkSession, folder: str) -> DataFrame:
+    return warc_chunks.through_archives(table(spark, folder, "pages").select("page_id", "url", "html"))
+
+
+def op5_golden_ratio_mix(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mixture(table(spark, folder, "documents").select("doc_id", "text", "source"))
+
+
+def op6_feistel_shards(spark: SparkSession, folder: str) -> DataFrame:
+    whole = F.coalesce("text", F.lit(""))
+    docs = table(spark, folder, "documents").select(
+        "doc_id", (F.octet_length(whole) + 1).cast("long").alias("size"), F.crc32(whole).alias("text_crc32")
+    )
+    order = [F.col("doc_id"), F.col("text_crc32"), F.col("size")]
+    return feistel.shard_rows(docs, order, SHARDS).select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
+def op7_collision_counting(spark: SparkSession, folder: str) -> DataFrame:
+    return collisions.neighbours(table(spark, folder, "embeddings").select("vec_id", "embedding")).select(
+        "query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score"
+    )
+
+
+def op8_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    cut = suffix_dedup.without_repeats(table(spark, folder, "documents").select("doc_id", "text"), with_text=False)
+    length = F.aggregate(
+        F.transform("runs", lambda x, i: F.when(i % 2 == 0, -x).otherwise(x)), F.lit(0).cast("long"), lambda a, x: a + x
+    )
+    return cut.select(
+        "doc_id",
+        "n_bytes",
+        length.alias("n_removed"),
+        F.floor(F.size("runs") / 2).cast("long").alias("n_spans"),
+        "kept_sha256",
+    )
+
+
+def op9_bilstm_crf_pii(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    found = pii_tagger.find_personal_data(docs, pii_tagger.fit(docs))
+    order = F.create_map(*[F.lit(x) for kv in zip(pii_tagger.KINDS, range(4), strict=True) for x in kv])
+
+    def joined(spans):
+        listed = F.array_sort(F.transform(spans, lambda s: F.struct(F.element_at(order, s["kind"]).alias("k"), s["start"], s["end"], s["kind"])))
+        return F.array_join(F.transform(listed, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+    def count(kind):
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    counts = [count(kind) for kind in pii_tagger.KINDS]
+    return found.select(
+        "record.doc_id", *counts, F.sha2(joined("base"), 256).alias("base_sha256"), joined(F.concat("base", "added")).alias("spans")
+    )
 
 
 def op10_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
@@ -19,7 +124,81 @@ def op10_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
-    "op10_simhash_near_dedup": op10_simhash_near_dedup,
+    f.__name__: f
+    for f in (
+        op1_factorisation_quality,
+        op2_toxic_segments,
+        op3_fm_index_decontamination,
+        op4_warc_chunk_table,
+        op5_golden_ratio_mix,
+        op6_feistel_shards,
+        op7_collision_counting,
+        op8_suffix_array_dedup,
+        op9_bilstm_crf_pii,
+        op10_simhash_near_dedup,
+    )
 }
 
-ORACLES: dict[str, str] = {}
+_OP3 = r"""
+WITH coded AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+items AS (
+    SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+starts AS (SELECT item_id, w, least(13, len(w)) AS n, unnest(range(1, greatest(len(w) - 13, 0) + 2)) AS p FROM items WHERE len(w) > 0),
+windows AS (SELECT DISTINCT item_id, n, array_to_string(w[p:p + n - 1], ' ') AS words FROM starts),
+lengths AS (SELECT DISTINCT n FROM windows),
+places AS (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS p FROM coded, lengths WHERE len(w) >= n),
+found AS (
+    SELECT doc_id, item_id, p, n
+    FROM (SELECT doc_id, n, p, array_to_string(w[p:p + n - 1], ' ') AS words FROM places) JOIN windows USING (n, words)),
+hits AS (SELECT doc_id, count(DISTINCT k) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + n)) AS k FROM found) GROUP BY doc_id),
+listed AS (
+    SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+    FROM (SELECT DISTINCT doc_id, cast(item_id AS varchar) AS item FROM found) GROUP BY doc_id)
+SELECT doc_id, cast(len(w) AS bigint) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+    sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM coded LEFT JOIN hits USING (doc_id) LEFT JOIN listed USING (doc_id)
+"""
+
+_OP4 = """
+WITH sized AS (SELECT page_id, coalesce(html, '') AS html, octet_length(encode(coalesce(html, ''))) AS n FROM pages),
+kept AS (SELECT html, max(page_id) AS kept FROM sized WHERE n >= 1000 GROUP BY html)
+SELECT page_id, cast(n AS bigint) AS payload_bytes, sha1(s.html) AS payload_digest,
+    CASE WHEN page_id < kept THEN 'revisit' ELSE 'response' END AS record_type,
+    CASE WHEN page_id < kept THEN kept END AS refers_to
+FROM sized s LEFT JOIN kept ON s.html = kept.html AND s.n >= 1000
+"""
+
+_OP5 = r"""
+WITH sized AS (
+    SELECT doc_id, source, cast(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS bigint) AS size,
+        md5(concat(coalesce(cast(doc_id AS varchar), ''), '|', md5(coalesce(text, '')))) AS key FROM documents),
+per AS (SELECT source, count(*) AS n, cast(sum(size) AS bigint) AS source_size FROM sized GROUP BY source),
+weighed AS (
+    SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS sid, 2 * source_size AS cap,
+        1.5::double * cast(sum(source_size) OVER () AS bigint) AS budget FROM per),
+weights AS (SELECT *, ([5.0, 2.0, 1.0]::double[])[cast(sid % 3 + 1 AS int)] AS w FROM weighed),
+filling AS (
+    SELECT *, coalesce(cast(sum(cap) OVER (ORDER BY cap / w, sid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS bigint), 0) AS filled,
+        sum(w) OVER (ORDER BY cap / w, sid ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS opened FROM weights),
+level AS (
+    SELECT budget - filled AS remains, opened AS shared FROM filling
+    WHERE (budget - filled) / opened <= cap / w ORDER BY cap / w, sid LIMIT 1),
+targets AS (
+    SELECT source, sid, n, source_size, least(cast(cap AS double), remains * w / shared) AS target FROM filling, level),
+placed AS (
+    SELECT doc_id, size, source_size, target, least(cast(round(target) AS bigint), 2 * source_size) AS words,
+        cast(sum(size) OVER (PARTITION BY sid ORDER BY key ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS bigint) - size AS place
+    FROM sized JOIN targets ON sized.source IS NOT DISTINCT FROM targets.source)
+SELECT doc_id, size, source_size, target,
+    greatest(0, least(place + size, words) - place) + greatest(0, least(source_size + place + size, words) - source_size - place) AS taken
+FROM placed
+"""
+
+ORACLES: dict[str, str] = {
+    "op3_fm_index_decontamination": _OP3,
+    "op4_warc_chunk_table": _OP4,
+    "op5_golden_ratio_mix": _OP5,
+}
