@@ -216,8 +216,10 @@ def _search(phrases: Phrases, text_at: int, names: list[str]):
             doc = np.searchsorted(starts, position, "right") - 1
             spans, items = spans.to_pylist(), items.to_pylist()
             order = np.argsort(doc, kind="stable")
-            cuts = np.flatnonzero(np.r_[True, np.diff(doc[order]) > 0]) if len(order) else []
-            for a, b in zip(cuts, [*cuts[1:], len(order)], strict=True):
+            cuts = [0, *(np.flatnonzero(np.diff(doc[order])) + 1).tolist(), len(order)]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                if a == b:  # nothing found in the batch
+                    continue
                 rows = order[a:b]
                 d = doc[rows[0]]
                 first = position[rows] - starts[d]
