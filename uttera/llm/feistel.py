@@ -12,10 +12,10 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from uttera.session import cut_lineage
+from uttera.operators.sequence import position_by
 
 ROUNDS = 6
 #: Steps of one walk. A step stays outside with a chance below N ** -0.5; where N < WALK ** 2 there are fewer
@@ -26,39 +26,6 @@ MULTIPLY = (668265263, 374761393)
 MASK = (1 << 31) - 1
 
 
-def row_numbers(df: DataFrame, order: list[Column], parts: int | None = None) -> DataFrame:
-    """(df.*, __number, __count): gap-free numbers in the given order, without a single-task sort.
-
-    Rows are range-partitioned and sorted once and written to the shared folder; then only the counts of
-    the partitions are summed up. Rows that are equal in ``order`` are numbered in any order.
-    """
-    spark = df.sparkSession
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keys = [f"__k{i}" for i in range(len(order))]
-    keyed = df.select("*", *[c.alias(k) for c, k in zip(order, keys, strict=True)])
-    # The low 33 bits of the id count the rows of a partition, the bits above number the partitions.
-    placed = cut_lineage(
-        keyed.repartitionByRange(parts, *keys)
-        .sortWithinPartitions(*keys)
-        .drop(*keys)
-        .withColumn("__id", F.monotonically_increasing_id())
-    )
-    part = F.shiftright("__id", 33)
-    counts = placed.groupBy(part.alias("__part")).agg(F.count("*").alias("__n"))
-    # One row per partition, so the window below and the broadcast are as small as that setting.
-    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(
-        "__part",
-        F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"),
-        F.sum("__n").over(Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("__count"),
-    )
-    return placed.withColumn("__part", part).join(F.broadcast(offsets), "__part").select(
-        *df.columns,
-        (F.col("__before") + F.col("__id").bitwiseAND(F.lit((1 << 33) - 1))).alias("__number"),
-        "__count",
-    )
-
-
 def _sides(n: int) -> tuple[int, int]:
     a = max(2, math.isqrt(max(0, n - 1)) + 1)
     return a, max(2, -(-n // a))
@@ -76,10 +43,15 @@ def round_keys(seed: int) -> list[int]:
     return [(seed * 7919 + (i + 1) * 104729) * 2654435761 % (1 << 31) for i in range(ROUNDS)]
 
 
+def _div(x: Column, n: int) -> Column:
+    """Whole-number division, exact for any bigint."""
+    return F.call_function("div", x, F.lit(n).cast("long"))
+
+
 def _network(x: Column, n: int, seed: int) -> Column:
     """One pass of the permutation of 0 .. a*b-1. Even rounds move the first half, odd rounds the second."""
     a, b = _sides(n)
-    state = F.struct(F.floor(x / F.lit(b)).cast("long").alias("l"), (x % b).cast("long").alias("r"))
+    state = F.struct(_div(x, b).alias("l"), (x % b).cast("long").alias("r"))
     rounds = F.array(*[
         F.struct(F.lit(i % 2).alias("odd"), F.lit(k).cast("long").alias("key")) for i, k in enumerate(round_keys(seed))
     ])
@@ -116,12 +88,12 @@ def shard_rows(df: DataFrame, order: list[Column], shards: int, seed: int = 1) -
     their places in any way. An empty table gives no rows. Input columns named like the new ones are
     replaced.
     """
-    numbered = row_numbers(df.drop("shard", "slot"), order)
-    n = numbered.select("__count").first()
-    n = n[0] if n else 0
-    placed = numbered.withColumn("__place", permuted(F.col("__number"), max(1, n), seed))
+    kept = [c for c in df.columns if c not in ("shard", "slot")]
+    numbered = position_by(df.select(*kept), order, "__number", "__count")
+    row = numbered.select("__count").first()
+    placed = numbered.withColumn("__place", permuted(F.col("__number"), row[0] if row else 1, seed))
     return placed.select(
-        *[c for c in df.columns if c not in ("shard", "slot")],
+        *kept,
         (F.col("__place") % shards).cast("int").alias("shard"),
-        F.floor(F.col("__place") / shards).cast("long").alias("slot"),
+        _div(F.col("__place"), shards).alias("slot"),
     )
