@@ -26,8 +26,8 @@ from uttera.llm.common import ALNUM, label_counts, labelled_sample, map_texts
 PER_CLASS = 2000
 #: z-score and size of the log-odds from which a word is evidence.
 MIN_Z, MIN_ODDS = 3.5, 1.0
-#: Weight of the corpus prior, in words.
-PRIOR_WORDS = 10000.0
+#: Weight of the corpus prior, as a share of the sample's words.
+PRIOR_SHARE = 0.2
 #: Segments with at most so many expected chance occurrences in a clean text of that length are significant.
 MAX_EXPECTED = 0.05
 
@@ -179,10 +179,10 @@ def fit(documents: DataFrame, labels: DataFrame, label: str = "toxic", per_class
         return nothing
     # Words that the sample alone makes likely evidence; the corpus then gives their prior.
     both = sum(counts[0].values()) + sum(counts[1].values())
-    rough = _log_odds(counts[1], counts[0], {w: (counts[0][w] + counts[1][w]) / both for w in counts[1]}, PRIOR_WORDS)
+    rough = _log_odds(counts[1], counts[0], {w: (counts[0][w] + counts[1][w]) / both for w in counts[1]}, PRIOR_SHARE * both)
     wanted = [w for w, (d, z) in rough.items() if z >= MIN_Z / 2 and d > 0]
     in_corpus, total = corpus_counts(documents, wanted)
-    rated = _log_odds(counts[1], counts[0], {w: in_corpus.get(w, 0) / max(1, total) for w in wanted}, PRIOR_WORDS)
+    rated = _log_odds(counts[1], counts[0], {w: in_corpus.get(w, 0) / max(1, total) for w in wanted}, PRIOR_SHARE * both)
     scores = {w: d for w, (d, z) in rated.items() if z >= MIN_Z and d >= MIN_ODDS}
     if not scores:
         return nothing
