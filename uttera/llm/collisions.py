@@ -7,8 +7,9 @@ window. A vector that reaches the collision threshold is verified by its true di
 the radius reaches the distance of the k-th best: every vector at most that far away collides on one line with
 probability at least p, and the threshold lies ``SLACK`` standard deviations below the expected count.
 
-No number of candidates is capped. Queries are a stated set; they are sent to the tasks in blocks of at most
-``QUERIES`` vectors, and each task keeps its k best per query, which are merged by rank.
+No number of candidates is capped. Queries are a stated set; they are written to the shared folder in files of at
+most ``QUERIES`` vectors, and every set of sorted arrays answers them file by file. The k best per query and set are
+merged by rank. Candidates are read once and queries are never gathered.
 """
 
 from __future__ import annotations
@@ -18,9 +19,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from uttera.llm.common import opened
+from uttera.session import scratch_path
+from uttera.sources.files import list_files
+
 PROJECTIONS = 64
 #: Width of a window over the radius.
 WIDTH = 2.0
@@ -105,20 +111,21 @@ def _by_dimension(ids: list, vectors: list) -> dict[int, tuple[np.ndarray, np.nd
     return out
 
 
-def _search(queries: dict[int, tuple[np.ndarray, np.ndarray]], k: int, index_rows: int):
-    def answer(ids: list, vectors: list) -> pa.RecordBatch:
-        q_out, i_out, d_out = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0)]
-        for d, (own, rows) in _by_dimension(ids, vectors).items():
-            if d not in queries:
-                continue
-            block = SortedLines(rows, own)
-            for q, x in zip(*queries[d], strict=True):
-                i, dist = block.nearest(x, q, k)
-                q_out.append(np.full(len(i), q))
-                i_out.append(i)
-                d_out.append(dist)
-        columns = [pa.array(np.concatenate(x)) for x in (q_out, i_out, d_out)]
-        return pa.RecordBatch.from_arrays(columns, names=["query_id", "vec_id", "score"])
+def _search(query_files: list[str], k: int, index_rows: int):
+    def answer(ids: list, vectors: list) -> Iterator[pa.RecordBatch]:
+        blocks = {d: SortedLines(rows, own) for d, (own, rows) in _by_dimension(ids, vectors).items()}
+        for address in query_files:
+            files, path = opened(address)
+            asked = pq.read_table(path, filesystem=files)
+            q_out, i_out, d_out = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0)]
+            for q, x in zip(asked["vec_id"].to_pylist(), asked["embedding"].to_pylist(), strict=True):
+                if len(x) in blocks:
+                    i, dist = blocks[len(x)].nearest(np.array(x, np.float64), q, k)
+                    q_out.append(np.full(len(i), q))
+                    i_out.append(i)
+                    d_out.append(dist)
+            columns = [pa.array(np.concatenate(x)) for x in (q_out, i_out, d_out)]
+            yield pa.RecordBatch.from_arrays(columns, names=["query_id", "vec_id", "score"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, vectors = [], []
@@ -129,10 +136,10 @@ def _search(queries: dict[int, tuple[np.ndarray, np.ndarray]], k: int, index_row
             ids += batch.column(0).to_pylist()
             vectors += [flat[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
             while len(ids) >= index_rows:
-                yield answer(ids[:index_rows], vectors[:index_rows])
+                yield from answer(ids[:index_rows], vectors[:index_rows])
                 ids, vectors = ids[index_rows:], vectors[index_rows:]
         if ids:
-            yield answer(ids, vectors)
+            yield from answer(ids, vectors)
 
     return run
 
@@ -151,23 +158,12 @@ def nearest(
     usable_rows = lambda df: df.filter(usable(embedding) & F.col(vec_id).isNotNull()).select(
         F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast("array<double>").alias("embedding")
     )
-    candidates, asked = usable_rows(vectors), usable_rows(queries).dropDuplicates(["vec_id"])
-    found, ids, rows = [], [], []
-
-    def take():
-        found.append(candidates.mapInArrow(_search(_by_dimension(ids, rows), k, index_rows), "query_id long, vec_id long, score double"))
-
-    for row in asked.toLocalIterator():
-        ids.append(row["vec_id"])
-        rows.append(row["embedding"])
-        if len(ids) == block:
-            take()
-            ids, rows = [], []
-    if ids or not found:
-        take()
-    merged = found[0]
-    for part in found[1:]:
-        merged = merged.unionAll(part)
+    spark = vectors.sparkSession
+    path = scratch_path(spark, "queries")
+    asked = usable_rows(queries).dropDuplicates(["vec_id"])
+    asked.write.option("maxRecordsPerFile", block).parquet(path)
+    found = [f for f in list_files(spark, path) if f.endswith(".parquet")]
+    merged = usable_rows(vectors).mapInArrow(_search(found, k, index_rows), "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return merged.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -112,3 +114,8 @@ def ragged(lists: list, kind: pa.DataType) -> pa.ListArray:
     ends = np.cumsum([0, *(len(x) for x in lists)])
     flat = np.concatenate([np.asarray(x) for x in lists]) if len(lists) and ends[-1] else np.empty(0, np.int64)
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat).cast(kind))
+
+
+def opened(address: str) -> tuple[pa.fs.FileSystem, str]:
+    """File system and path of an address that executors share; Hadoop also writes local ones with a single slash."""
+    return pa.fs.FileSystem.from_uri(re.sub(r"^file:/(?!/)", "file:///", address))

@@ -18,11 +18,11 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-import pyarrow.fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from uttera.llm.common import opened
 from uttera.session import cut_lineage, scratch_path
 
 CHUNK = 1 << 20
@@ -120,11 +120,6 @@ def _head(row: dict) -> bytes:
     return CRLF.join(lines) + 2 * CRLF + http
 
 
-def _opened(address: str) -> tuple[pa.fs.FileSystem, str]:
-    """File system and path of an address; Hadoop also writes local ones with a single slash."""
-    return pa.fs.FileSystem.from_uri(re.sub(r"^file:/(?!/)", "file:///", address))
-
-
 def write_archives(chunks: DataFrame, folder: str, segment: int = SEGMENT) -> DataFrame:
     """Writes chunk rows as WARC files below ``folder`` and returns their index, checkpointed.
 
@@ -133,7 +128,7 @@ def write_archives(chunks: DataFrame, folder: str, segment: int = SEGMENT) -> Da
     columns = [c for c in chunks.columns if c not in ("chunk", "chunk_no")]
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        files, base = _opened(folder)
+        files, base = opened(folder)
         task = TaskContext.get()
         name = f"part-{task.partitionId():05d}-{task.taskAttemptId()}-{uuid.uuid4().hex}.warc"
         path = f"{folder.rstrip('/')}/{name}"
@@ -264,7 +259,7 @@ def read_archives(index: DataFrame, chunk: int = CHUNK, payload: bool = True) ->
         rows, held = [], 0
         for batch in batches:
             for entry in batch.to_pylist():
-                files, path = _opened(entry["path"])
+                files, path = opened(entry["path"])
                 with files.open_input_file(path) as source:
                     source.seek(entry["offset"])
                     for row in _chunks(_Reader(source, entry["length"], chunk)):
