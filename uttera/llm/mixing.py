@@ -28,6 +28,8 @@ BUCKET_ROWS = 4096
 GOLDEN = 2654435769
 SPACE = 1 << 32
 GRID_BITS = 12
+#: Sources up to which tables with a row per source are broadcast; beyond, their joins shuffle.
+FEW_SOURCES = 1 << 16
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -70,12 +72,17 @@ def source_targets(sized: DataFrame, weights: tuple = WEIGHTS, share: float = SH
     return per.select("source", "sid", "rows", "source_size", F.coalesce(target, F.col("cap").cast("double")).alias("target"))
 
 
+def _per_source(df: DataFrame, sources: int) -> DataFrame:
+    """A table with a row per source, to be broadcast where that is small."""
+    return F.broadcast(df) if sources <= FEW_SOURCES else df
+
+
 def streams(docs: DataFrame, targets: DataFrame) -> DataFrame:
     """(docs.*, sid, source_size, target, __bucket, __row, __at): where a document's words begin in the shuffled
     words of its source. ``docs`` has source, size and key."""
     buckets = F.ceil(F.col("rows") / BUCKET_ROWS)
     place = F.floor(F.conv(F.substring("key", 1, 8), 16, 10).cast("long") * buckets / F.lit(SPACE))
-    placed = null_safe_join(docs, targets, ["source"]).withColumn("__bucket", place.cast("long"))
+    placed = null_safe_join(docs, _per_source(targets, targets.count()), ["source"]).withColumn("__bucket", place.cast("long"))
     sums = placed.groupBy("sid", "__bucket").agg(F.sum("size").alias("__n"))
     earlier = Window.partitionBy("sid").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     before = sums.select("sid", "__bucket", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"))
@@ -101,7 +108,7 @@ def schedule(targets: DataFrame, slot_words: int = SLOT_WORDS) -> DataFrame:
     spark = targets.sparkSession
     goal = F.least(F.round("target").cast("long"), MOST * F.col("source_size"))
     parts = targets.select("sid", goal.alias("words"), "target").filter("words > 0")
-    total = parts.agg(F.sum("words")).first()[0] or 0
+    total, sources = parts.agg(F.coalesce(F.sum("words"), F.lit(0)), F.count("*")).first()
     n = -(-total // slot_words)
     until = Window.orderBy("sid").rowsBetween(Window.unboundedPreceding, 0)
     everything = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
@@ -112,16 +119,15 @@ def schedule(targets: DataFrame, slot_words: int = SLOT_WORDS) -> DataFrame:
     )
     point = (F.col("id") % (1 << 31)) * F.lit(GOLDEN) % F.lit(SPACE)
     slots = spark.range(n).select(F.col("id").alias("slot"), point.alias("point"))
-    slots = slots.withColumn("cell", F.shiftright("point", 32 - GRID_BITS)).join(F.broadcast(cells), "cell").filter(
+    slots = slots.withColumn("cell", F.shiftright("point", 32 - GRID_BITS)).join(_per_source(cells, sources), "cell").filter(
         "point >= low and point < high"
     )
     ranked = rank_in_group(slots.select("slot", "sid"), ["sid"], "slot", chunk=1 << 16).withColumn("rank", F.col("rank").cast("long") - 1)
     counts = slots.groupBy("sid").agg(F.count("*").alias("slots"))
     held = parts.select("sid", "words").join(counts, "sid", "left")
     late = held.filter("slots is null").select((F.lit(n) + F.col("sid")).alias("slot"), "sid", F.lit(0).cast("long").alias("rank"))
-    return ranked.select("slot", "sid", "rank").unionAll(late).join(
-        held.select("sid", F.coalesce("slots", F.lit(1)).alias("slots"), "words"), "sid"
-    )
+    sizes = held.select("sid", F.coalesce("slots", F.lit(1)).alias("slots"), "words")
+    return ranked.select("slot", "sid", "rank").unionAll(late).join(_per_source(sizes, sources), "sid")
 
 
 def _edge(rank: Column) -> Column:
@@ -133,8 +139,8 @@ def _edge(rank: Column) -> Column:
 
 def _passes(placed: DataFrame, plan: DataFrame) -> DataFrame:
     """A row per document and pass over its source, with ``begin`` and ``slots``, ``words`` of the source."""
-    sizes = plan.groupBy("sid").agg(F.first("slots").alias("slots"), F.first("words").alias("words"))
-    return placed.join(sizes, "sid", "left").select(
+    sizes = cut_lineage(plan.groupBy("sid").agg(F.max("slots").alias("slots"), F.max("words").alias("words")))
+    return placed.join(_per_source(sizes, sizes.count()), "sid", "left").select(
         "*", F.explode(F.array(*[F.lit(k).cast("long") for k in range(MOST)])).alias("pass")
     ).withColumn("begin", F.col("__at") + F.col("pass") * F.col("source_size"))
 
