@@ -369,7 +369,9 @@ def fit(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", most:
     return train(both[:, :WINDOW].copy(), both[:, WINDOW:].astype(np.int64))
 
 
-SPAN = "array<struct<kind:string,start:long,end:long>>"
+SPANS = T.ArrayType(
+    T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
+)
 
 
 def find_personal_data(documents: DataFrame, tagger: Tagger | None, text: str = "text") -> DataFrame:
@@ -411,8 +413,7 @@ def find_personal_data(documents: DataFrame, tagger: Tagger | None, text: str =
 
         return work
 
-    spans = T._parse_datatype_string(SPAN)
-    return map_texts(documents, make, [T.StructField("base", spans), T.StructField("added", spans)], text)
+    return map_texts(documents, make, [T.StructField("base", SPANS), T.StructField("added", SPANS)], text)
 
 
 def _decode(tagger: Tagger, x: np.ndarray, block: int = 512) -> tuple[np.ndarray, np.ndarray]:
