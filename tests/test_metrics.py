@@ -76,13 +76,54 @@ def test_nothing_to_evaluate(spark, edits):
     assert metrics.decode_debug(none).first()["decoded_empty_fraction"] == 0.0
 
 
+def pairing(spark, refs, hyps):
+    return spark.createDataFrame(refs, "utterance_id string, ref string"), spark.createDataFrame(hyps, "utterance_id string, hyp string")
+
+
 def test_strict_pairing(spark):
-    refs = spark.createDataFrame([("a", "x"), ("b", "y")], "utterance_id string, ref string")
-    hyps = spark.createDataFrame([("a", "x")], "utterance_id string, hyp string")
+    refs, hyps = pairing(spark, [("a", "x"), ("b", "y"), ("c", "z"), ("c", "z")], [("a", "x"), ("c", "z"), ("d", "q")])
     states = {r["utterance_id"]: r["state"] for r in metrics.pair_ref_hyp(refs, hyps, strict=False).collect()}
-    assert states == {"a": "paired", "b": "ref_only"}
-    with pytest.raises(Exception, match="unpaired utterance: b"):
-        metrics.pair_ref_hyp(refs, hyps).collect()
+    assert states == {"a": "paired", "b": "ref_only", "c": "repeated", "d": "hyp_only"}
+
+
+@pytest.mark.parametrize(
+    ("refs", "hyps", "told"),
+    [
+        ([("a", "x"), ("b", "y")], [("a", "x")], "unpaired utterance: b"),
+        ([("a", "x")], [("a", "x"), ("b", "y")], "unpaired utterance: b"),
+        ([("a", "x"), ("b", "y")], [("a", "x"), ("b", "y"), ("b", "y")], "repeated utterance: b"),
+        ([("a", "x"), (None, "y")], [("a", "x"), (None, "y")], "unpaired utterance: null"),
+    ],
+)
+def test_strict_pairing_fails_whatever_is_read_of_it(spark, refs, hyps, told):
+    for report in (metrics.wer, metrics.cer, metrics.decode_debug):
+        with pytest.raises(Exception, match=told):
+            report(metrics.pair_ref_hyp(*pairing(spark, refs, hyps))).collect()
+
+
+def test_a_missing_text_is_empty(spark):
+    rows = [("x y z", None), (None, "q r"), (None, None), ("same", "same")]
+    df = spark.createDataFrame(rows, "ref string, hyp string")
+    got = [(r["word_edits"], r["ref_words"], r["char_edits"], r["ref_chars"]) for r in metrics.with_edits(df).collect()]
+    assert got == [(3, 3, 5, 5), (2, 0, 3, 0), (0, 0, 0, 0), (0, 1, 0, 4)]
+    assert metrics.wer(df).first()["wer"] == 5 / 4 and metrics.cer(df).first()["cer"] == 8 / 9
+
+
+def test_word_distance_against_brute_force(spark):
+    import random
+
+    random.seed(4)
+    some = lambda: " ".join(random.choices("abcd", k=random.randint(0, 9)))
+    rows = [(some(), some()) for _ in range(300)] + [("a a", "a"), ("a", "a a"), ("a b a", "a"), ("a  b", "a b")]
+    df = spark.createDataFrame(rows, "ref string, hyp string")
+    for r in metrics.with_word_edits(df).collect():
+        assert r["word_edits"] == distance(r["ref"].split(), r["hyp"].split()), r
+
+
+def test_each_rate_pays_for_its_own_side_only(spark):
+    df = spark.createDataFrame([("a", "b")], "ref string, hyp string")
+    for report, other in ((metrics.wer, "levenshtein(ref"), (metrics.cer, "__wa")):
+        assert other not in report(df)._jdf.queryExecution().optimizedPlan().toString()
 
 
 def test_shard_losses(spark):

@@ -50,6 +50,25 @@ def cer(spark, folder):
     return r9(metrics.cer(v.pairs(spark, folder)), "cer")
 
 
+_GAPS = """, gaps AS (SELECT CASE WHEN row_index % 13 = 2 THEN NULL ELSE ref END AS ref, CASE WHEN row_index % 7 = 3 THEN NULL ELSE hyp END AS hyp FROM pairs),
+  g AS (SELECT coalesce(ref, '') AS ref, coalesce(hyp, '') AS hyp FROM gaps),
+  w AS (SELECT *, {rw} AS rw, {hw} AS hw FROM g), d AS (SELECT *, list_distinct(list_concat(rw, hw)) AS wd FROM w)
+SELECT sum({distance})::bigint AS edits, sum(len(rw))::bigint AS total,
+  round(CASE WHEN sum(len(rw)) > 0 THEN sum({distance})::double / sum(len(rw)) ELSE 0 END, 9) AS wer FROM d""".format(
+    rw=v.sql_words("ref"), hw=v.sql_words("hyp"), distance=_distance("rw", "hw", "wd")
+)
+
+
+@query("wer_with_gaps", v.sql(_GAPS, "pairs"))
+def wer_with_gaps(spark, folder):
+    """Pairs in which some references and hypotheses are missing."""
+    pairs = v.pairs(spark, folder)
+    gaps = pairs.select(
+        F.when(F.col("row_index") % 13 != 2, F.col("ref")).alias("ref"), F.when(F.col("row_index") % 7 != 3, F.col("hyp")).alias("hyp")
+    )
+    return r9(metrics.wer(gaps), "wer")
+
+
 def _bucket_sql() -> str:
     parts = []
     for b in metrics.BUCKETS:

@@ -38,47 +38,65 @@ def _as_characters(tokens: Column, alphabet: Column) -> Column:
     return F.array_join(F.when(F.size(alphabet) <= QUICK_CODES, short).otherwise(long), "")
 
 
-# Distances are looked for in a narrow band around the diagonal first, then in a wide one;
-# only rows beyond both pay the full quadratic distance. The result is always exact.
-NARROW, WIDE = 12, 96
+# Distances are looked for in a band around the diagonal first; only rows beyond it pay the full
+# quadratic distance. The result is always exact.
+BAND = 24
 
 
-def with_edits(pairs: DataFrame) -> DataFrame:
-    """Adds word_edits, ref_words, char_edits, ref_chars and the length bucket.
+def _told(pairs: DataFrame) -> DataFrame:
+    """Pairs without nulls: a missing reference or hypothesis counts as an empty text."""
+    return pairs.withColumns({c: F.coalesce(F.col(c), F.lit("")) for c in ("ref", "hyp")})
+
+
+def _distance(rows: DataFrame, a: Column, b: Column, out: str) -> DataFrame:
+    """Adds the edit distance of two texts; equal ones skip it."""
+    rows = computed_once(rows, __near=F.when(a != b, F.levenshtein(a, b, BAND)).otherwise(F.lit(0)))
+    exact = F.when(F.col("__near") >= 0, F.col("__near")).otherwise(F.levenshtein(a, b))
+    return rows.withColumn(out, exact.cast("bigint")).drop("__near")
+
+
+def _same_ahead(a: Column, b: Column) -> Column:
+    """Number of equal elements at the start of two arrays."""
+    first = F.array_position(F.zip_with(a, b, lambda x, y: x.eqNullSafe(y)), F.lit(False))
+    return F.when(first > 0, first - 1).otherwise(F.least(F.size(a), F.size(b))).cast("int")
 
-    Word lists, alphabets and codes of each row are made once; equal rows skip the distance.
+
+def with_word_edits(pairs: DataFrame) -> DataFrame:
+    """Adds word_edits, ref_words and the length bucket.
+
+    Words that both sides share at the start and the end cost nothing; the rest is coded as one
+    character per word.
     """
-    ref, hyp = F.col("ref"), F.col("hyp")
-    differ = ref != hyp
-    rows = computed_once(pairs, __a=text.words(ref), __b=text.words(hyp))
-    rows = computed_once(rows, __alphabet=F.when(differ, F.array_distinct(F.concat("__a", "__b"))))
+    known = _told(pairs)
+    rows = computed_once(known, __a=text.words(F.col("ref")), __b=text.words(F.col("hyp")))
+    rows = rows.withColumn("ref_words", F.size("__a").cast("bigint"))
+    for _ in range(2):  # from the front, then, reversed, from the back
+        rows = computed_once(rows, __skip=_same_ahead(F.col("__a"), F.col("__b")))
+        rest = lambda c: F.reverse(F.slice(c, F.col("__skip") + 1, F.size(c)))
+        rows = computed_once(rows, __x=rest("__a"), __y=rest("__b")).drop("__a", "__b", "__skip")
+        rows = rows.withColumnsRenamed({"__x": "__a", "__y": "__b"})
+    rows = computed_once(rows, __alphabet=F.array_distinct(F.concat("__a", "__b")))
     rows = computed_once(
         rows,
-        __wa=F.when(differ, _as_characters(F.col("__a"), F.col("__alphabet"))),
-        __wb=F.when(differ, _as_characters(F.col("__b"), F.col("__alphabet"))),
-    )
-    sides = {"__words": (F.col("__wa"), F.col("__wb")), "__chars": (ref, hyp)}
-    rows = computed_once(
-        rows, **{k: F.when(differ, F.levenshtein(x, y, NARROW)).otherwise(F.lit(0)) for k, (x, y) in sides.items()}
+        __wa=_as_characters(F.col("__a"), F.col("__alphabet")),
+        __wb=_as_characters(F.col("__b"), F.col("__alphabet")),
     )
-    wider = {f"{k}2": F.when(F.col(k) >= 0, F.col(k)).otherwise(F.levenshtein(x, y, WIDE)) for k, (x, y) in sides.items()}
-    rows = computed_once(rows, **wider)
-
-    def exact(side: str) -> Column:
-        banded = F.col(f"{side}2")
-        return F.when(banded >= 0, banded).otherwise(F.levenshtein(*sides[side])).cast("bigint")
-
-    n = F.size("__a")
-    return rows.select(
-        *pairs.columns,
-        exact("__words").alias("word_edits"),
-        n.cast("bigint").alias("ref_words"),
-        exact("__chars").alias("char_edits"),
-        F.length(ref).cast("bigint").alias("ref_chars"),
-        text.bucket_of(n).alias("bucket"),
+    return _distance(rows, F.col("__wa"), F.col("__wb"), "word_edits").select(
+        *pairs.columns, "word_edits", "ref_words", text.bucket_of(F.col("ref_words")).alias("bucket")
     )
 
 
+def with_char_edits(pairs: DataFrame) -> DataFrame:
+    """Adds char_edits and ref_chars."""
+    rows = _distance(_told(pairs), F.col("ref"), F.col("hyp"), "char_edits")
+    return rows.withColumn("ref_chars", F.length("ref").cast("bigint"))
+
+
+def with_edits(pairs: DataFrame) -> DataFrame:
+    """Both kinds of edits and the length bucket. Null texts come out empty."""
+    return with_char_edits(with_word_edits(pairs))
+
+
 def rate(edits: str, length: str) -> Column:
     """Summed edits over summed length; 0 where there is nothing to compare with."""
     total = F.sum(length)
@@ -94,13 +112,13 @@ def cer_of() -> Column:
 
 
 def wer(pairs: DataFrame) -> DataFrame:
-    return with_edits(pairs).agg(
+    return with_word_edits(pairs).agg(
         F.sum("word_edits").alias("edits"), F.sum("ref_words").alias("total"), wer_of().alias("wer")
     )
 
 
 def cer(pairs: DataFrame) -> DataFrame:
-    return with_edits(pairs).agg(
+    return with_char_edits(pairs).agg(
         F.sum("char_edits").alias("edits"), F.sum("ref_chars").alias("total"), cer_of().alias("cer")
     )
 
@@ -183,21 +201,39 @@ def decode_debug(pairs: DataFrame) -> DataFrame:
     )
 
 
+def _once(side: DataFrame, mark: str) -> DataFrame:
+    """One row per id with the number of its rows; several rows give the largest."""
+    others = [c for c in side.columns if c != "utterance_id"]
+    return (
+        side.groupBy("utterance_id")
+        .agg(F.max(F.struct(*others)).alias("__row"), F.count("*").alias(mark))
+        .select("utterance_id", "__row.*", mark)
+    )
+
+
 def pair_ref_hyp(refs: DataFrame, hyps: DataFrame, strict: bool = True) -> DataFrame:
-    """Strict pairing by utterance id: a side without its partner fails the job.
+    """References and hypotheses side by side, with all other columns of both.
 
-    The check is an expression inside the joined rows, so no separate pass is needed.
+    Strict pairing fails the job on an id without its partner, a repeated id and a null id. The check is a
+    filter, which no later selection of columns can leave out. Without it every id gets a row with its ``state``:
+    paired, ref_only, hyp_only or repeated. The sides are grouped by the join's own key, so the check adds
+    no shuffle.
     """
-    joined = refs.select("utterance_id", "ref", F.lit(True).alias("__r")).join(
-        hyps.select("utterance_id", "hyp", F.lit(True).alias("__h")), "utterance_id", "full_outer"
+    joined = _once(refs, "__r").join(_once(hyps, "__h"), "utterance_id", "full_outer")
+    state = (
+        F.when(F.col("__r").isNull(), "hyp_only")
+        .when(F.col("__h").isNull(), "ref_only")
+        .when((F.col("__r") > 1) | (F.col("__h") > 1), "repeated")
+        .otherwise("paired")
     )
-    state = F.when(F.col("__r").isNull(), "hyp_only").when(F.col("__h").isNull(), "ref_only").otherwise("paired")
     if not strict:
-        return joined.select("utterance_id", "ref", "hyp", state.alias("state"))
-    unmatched = F.raise_error(F.concat(F.lit("unpaired utterance: "), F.col("utterance_id").cast("string")))
-    return joined.select(
-        F.when(state == "paired", F.col("utterance_id")).otherwise(unmatched).alias("utterance_id"), "ref", "hyp"
+        return joined.withColumn("state", state).drop("__r", "__h")
+    told = F.concat(
+        F.when(state == "repeated", F.lit("repeated")).otherwise(F.lit("unpaired")), F.lit(" utterance: "),
+        F.coalesce(F.col("utterance_id").cast("string"), F.lit("null")),
     )
+    paired = F.when(state == "paired", F.lit(True)).otherwise(F.raise_error(told).cast("boolean"))
+    return joined.filter(paired).drop("__r", "__h")
 
 
 def merge_partials(partials: DataFrame, losses: list[str], weight: str) -> DataFrame:

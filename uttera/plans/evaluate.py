@@ -15,11 +15,13 @@ def evaluate(
 ) -> dict[str, DataFrame]:
     """``refs`` has utterance_id, speaker_id, has_speaker_id and ref; ``hyps`` utterance_id, hyp.
 
+    Every id must occur once on either side. A null text counts as empty: a missing hypothesis loses all words.
+
     Edit distances are the costly part: they are counted once, kept on a reliable
     checkpoint, and all reports are sums over that table.
     """
-    paired = metrics.pair_ref_hyp(refs, hyps).join(
-        refs.select("utterance_id", "speaker_id", "has_speaker_id"), "utterance_id"
+    paired = metrics.pair_ref_hyp(
+        refs.select("utterance_id", "ref", "speaker_id", "has_speaker_id"), hyps.select("utterance_id", "hyp")
     )
     edits = cut_lineage(metrics.with_edits(paired))
     reports = {
