@@ -137,3 +137,35 @@ def test_redaction(spark):
     body = '{"training_args": {"api_key": "%s", "repo": "a/b"}, "n": 1}' % secret
     out = one(spark, body, redact.redact_json)
     assert secret not in out and '"repo": "a/b"' in out
+
+
+def test_nothing_below_a_secret_name_is_shown(spark):
+    schema = (
+        "api_keys array<string>, secret int, m map<string,array<string>>, s struct<token:struct<a:string,n:int>,ok:string>, "
+        "l array<struct<password:string,x:int>>, text string, n map<int,string>"
+    )
+    rows = [(["a", None, "b"], 7, {"token": ["t"], "names": ["sk-abcdefghij0123456789"]}, (("deep", 5), "fine"), [("p", 1), None],
+             "password=hunter2 and token: 'x y' api_key = \"q\" secret:z", {1: "passwd=1"})]
+    row = redact.redact(spark.createDataFrame(rows, schema)).first()
+    mark = redact.REDACTED
+    assert row["api_keys"] == [mark, None, mark] and row["secret"] is None
+    assert row["m"] == {"token": [mark], "names": [mark]} and row["n"] == {1: f"passwd={mark}"}
+    assert (tuple(row["s"]["token"]), row["s"]["ok"]) == ((mark, None), "fine")
+    assert [x and tuple(x) for x in row["l"]] == [(mark, 1), None]
+    assert row["text"] == f'password={mark} and token: "{mark}" api_key = "{mark}" secret:{mark}'
+
+
+def test_json_values_of_any_type(spark):
+    mark = f'"{redact.REDACTED}"'
+    cases = {
+        '{"api_key":12345,"n":1}': f'{{"api_key":{mark},"n":1}}',
+        '{"token":["abcdef",{"x":"]"}], "a":[1]}': f'{{"token":{mark}, "a":[1]}}',
+        '{"password":{"v":"hunter2"}}': f'{{"password":{mark}}}',
+        '{"secret": true, "x": {"access_key": -1.5e3}}': f'{{"secret": {mark}, "x": {{"access_key": {mark}}}}}',
+        '{"token":["cut': f'{{"token":{mark}',
+        '{"a":"token","b":[1,2]}': '{"a":"token","b":[1,2]}',
+        "": "",
+        None: None,
+    }
+    df = spark.createDataFrame([(c,) for c in cases], "c string")
+    assert [r[0] for r in df.select(redact.redact_json(F.col("c"))).collect()] == list(cases.values())

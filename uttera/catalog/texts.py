@@ -63,15 +63,14 @@ def safe_id(spark, folder):
 @query(
     "preview_name",
     v.sql(
-        r"""SELECT row_index, 'sample_' || CASE WHEN length((row_index % 100000)::varchar) >= 6 THEN substr((row_index % 100000)::varchar, 1, 6) ELSE lpad((row_index % 100000)::varchar, 6, '0') END || '_' ||
-        substr(regexp_replace(regexp_replace(regexp_replace(path, '[^A-Za-z0-9_.\-]+', '_', 'g'), '^[._]+|[._]+$', '', 'g'), '(?i)\.(wav|flac|mp3|opus|ogg|m4a|aac)$', ''), 1, 80) AS name
-        FROM manifest WHERE path IS NOT NULL""",
+        r"""SELECT row_index, 'sample_' || CASE WHEN length(row_index::varchar) >= 6 THEN row_index::varchar ELSE lpad(row_index::varchar, 6, '0') END || '_' ||
+        substr(regexp_replace(coalesce(nullif(regexp_replace(regexp_replace(path, '[^A-Za-z0-9_.\-]+', '_', 'g'), '^[._]+|[._]+$', '', 'g'), ''), 'utt' || row_index),
+        '(?i)\.(wav|flac|mp3|opus|ogg|m4a|aac)$', ''), 1, 80) AS name FROM manifest""",
         "manifest",
     ),
 )
 def preview_name(spark, folder):
-    rows = v.manifest(spark, folder).filter(F.col("path").isNotNull())
-    return rows.select("row_index", text.preview_name(F.col("row_index") % 100000, F.col("path")).alias("name"))
+    return v.manifest(spark, folder).select("row_index", text.preview_name(F.col("row_index"), F.col("path")).alias("name"))
 
 
 @query(
@@ -159,7 +158,7 @@ def filter_transcript(spark, folder):
         WHEN w / duration < 1 THEN 'words_per_second_too_low' WHEN w / duration > 2.2::double THEN 'words_per_second_too_high'
         WHEN duration / c < 0.07::double THEN 'duration_per_char_too_low' WHEN duration / c > 0.08::double THEN 'duration_per_char_too_high'
         WHEN duration / w < 0.45::double THEN 'duration_per_word_too_low' WHEN duration / w > 0.6::double THEN 'duration_per_word_too_high' END AS reason
-        FROM (SELECT row_index, duration, {v.sql_char_count('transcript')} AS c, len({v.sql_words('transcript')}) AS w FROM picked WHERE duration IS NOT NULL)""",
+        FROM (SELECT row_index, duration, {v.sql_char_count('transcript')} AS c, len({v.sql_words('transcript')}) AS w FROM picked)""",
         "picked",
     ),
 )
@@ -170,7 +169,7 @@ def filter_alignment(spark, folder):
         min_chars_per_second=5, max_chars_per_second=14, min_words_per_second=1, max_words_per_second=2.2,
         min_duration_per_char=0.07, max_duration_per_char=0.08, min_duration_per_word=0.45, max_duration_per_word=0.6,
     )
-    rows = v.manifest(spark, folder).filter(F.col("duration").isNotNull())
+    rows = v.manifest(spark, folder)
     t = text.normalize_transcript(F.col("sentence"))
     rows = rows.select("row_index", "duration", text.char_count(t).alias("c"), text.word_count(t).alias("w"))
     return rows.select("row_index", quality.alignment_reason(F.col("c"), F.col("w"), F.col("duration"), cfg).alias("reason"))
@@ -313,10 +312,15 @@ def chunk_plan(spark, folder):
 # --- secrets --------------------------------------------------------------------------
 
 
+def _sql_pattern(pattern: str) -> str:
+    return "'" + pattern.replace("'", "''") + "'"
+
+
 def _sql_redact(c: str) -> str:
-    inner = rf"""regexp_replace({c}, '{redact.ASSIGNED}', '\1"{redact.REDACTED}"', 'g')"""
+    inner = rf"""regexp_replace({c}, {_sql_pattern(redact.ASSIGNED)}, '\1"{redact.REDACTED}"', 'g')"""
     inner = f"regexp_replace({inner}, '{redact.BEARER}', 'Bearer {redact.REDACTED}', 'g')"
-    return f"regexp_replace({inner}, '{redact.TOKEN}', '{redact.REDACTED}', 'g')"
+    inner = f"regexp_replace({inner}, '{redact.TOKEN}', '{redact.REDACTED}', 'g')"
+    return rf"regexp_replace({inner}, {_sql_pattern(redact.BARE)}, '\1{redact.REDACTED}', 'g')"
 
 
 @query("redact_secrets", f"SELECT doc_id, {_sql_redact('text')} AS text FROM documents")
@@ -335,3 +339,36 @@ def redact_json(spark, folder):
         F.replace("props", F.lit(" "), F.lit("")), F.lit("}"),
     )
     return v.table(spark, folder, "events").select("event_id", redact.redact_json(raw).alias("payload"))
+
+
+@query(
+    "redact_json_values",
+    f"""SELECT event_id, '{{"api_key":"{redact.REDACTED}","tokens":"{redact.REDACTED}","password":"{redact.REDACTED}","value":' || event_id || ',"note":"' || event_type || '"}}' AS payload FROM events""",
+)
+def redact_json_values(spark, folder):
+    """Numbers, lists and objects under secret names."""
+    number, kind = F.col("event_id").cast("string"), F.col("event_type")
+    raw = F.concat(
+        F.lit('{"api_key":'), number, F.lit(',"tokens":["a]",{"b":'), number, F.lit('}],"password":{"v":["'), kind,
+        F.lit('"]},"value":'), number, F.lit(',"note":"'), kind, F.lit('"}'),
+    )
+    return v.table(spark, folder, "events").select("event_id", redact.redact_json(raw).alias("payload"))
+
+
+@query(
+    "redact_turns",
+    f"""SELECT conv_id, turn, {_sql_redact("role || ' token=' || conv_id || 'x password: \"' || role || '\" ' || text")} AS said,
+        '{redact.REDACTED}' AS session_token, CAST(NULL AS bigint) AS key_of_access, 'plain' AS other FROM conversations""",
+)
+def redact_turns(spark, folder):
+    """Assignments inside texts, and secret fields of texts and numbers below a struct and a map."""
+    conv = F.col("conv_id").cast("string")
+    said = F.concat("role", F.lit(" token="), conv, F.lit('x password: "'), "role", F.lit('" '), "text")
+    rows = v.table(spark, folder, "conversations").select(
+        "conv_id", "turn", said.alias("said"),
+        F.struct(conv.alias("session_token"), F.struct(F.col("conv_id").alias("id")).alias("access_key"), F.lit("plain").alias("other")).alias("s"),
+        F.create_map(F.lit("secrets"), F.array(conv), F.lit("names"), F.array(F.lit("plain"))).alias("m"),
+    )
+    out = redact.redact(rows)
+    kept = F.when(F.col("m")["secrets"][0] == redact.REDACTED, F.col("m")["names"][0])
+    return out.select("conv_id", "turn", "said", "s.session_token", F.col("s.access_key.id").alias("key_of_access"), kept.alias("other"))

@@ -52,7 +52,8 @@ def normalize_ws(c: Column) -> Column:
 
 
 def symbol_ratio(c: Column) -> Column:
-    noisy = F.length(F.regexp_replace(c, rf"[{ALNUM}\s\p{{Z}}\x1c-\x1f\x85'\-]", ""))
+    # Whole runs are taken out at a time, ASCII ones without looking at Unicode tables.
+    noisy = F.length(F.regexp_replace(c, rf"(?:[a-zA-Z0-9 ]|[{ALNUM}\s\p{{Z}}\x1c-\x1f\x85'\-])++", ""))
     return F.when(F.length(c) == 0, F.lit(1.0)).otherwise(noisy / F.length(c))
 
 
@@ -108,11 +109,11 @@ AUDIO_SUFFIXES = ("wav", "flac", "mp3", "opus", "ogg", "m4a", "aac")
 
 def preview_name(index: Column, c: Column) -> Column:
     slug = F.regexp_replace(F.regexp_replace(c, r"[^A-Za-z0-9_.\-]+", "_"), r"^[._]+|[._]+$", "")
-    slug = F.when(slug == "", F.concat(F.lit("utt"), index.cast("string"))).otherwise(slug)
+    slug = F.coalesce(F.nullif(slug, F.lit("")), F.concat(F.lit("utt"), index.cast("string")))
     slug = F.regexp_replace(slug, rf"(?i)\.({'|'.join(AUDIO_SUFFIXES)})$", "")
-    return F.concat(
-        F.lit("sample_"), F.lpad(index.cast("string"), 6, "0"), F.lit("_"), F.substring(slug, 1, 80)
-    )
+    number = index.cast("string")
+    number = F.when(F.length(number) < 6, F.lpad(number, 6, "0")).otherwise(number)
+    return F.concat(F.lit("sample_"), number, F.lit("_"), F.substring(slug, 1, 80))
 
 
 def run_name(project: Column, started: Column, epoch: Column, step: Column) -> Column:
