@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -40,6 +42,12 @@ def log_sum_exp(a: Column) -> Column:
     )
 
 
+def log_add(x: float, y: float) -> float:
+    """log(exp(x) + exp(y)) of two numbers, for code inside tasks."""
+    high, low = (x, y) if x > y else (y, x)
+    return high if low == -math.inf else high + math.log1p(math.exp(low - high))
+
+
 def log_add_exp(a: Column, b: Column) -> Column:
     ninf = F.lit(float("-inf"))
     high, low = F.greatest(a, b), F.least(a, b)
