@@ -84,18 +84,47 @@ def test_packing_equals_row_by_row(spark, seed):
     by_time = sorted(data, key=lambda r: (r[2], r[1], r[0]))
     by_both = sorted(data, key=lambda r: (r[1], r[3], r[0]))
     size = rng.randint(2, 9)
-    assert got(batching.batch_max_frames(df, budget, chunk=64)) == naive(
+    assert got(batching.batch_max_frames(df, budget)) == naive(
         by_frames, lambda b: len(b) * max(max(1, r[1]) for r in b) / budget
     )
-    assert got(batching.batch_length(df, size, chunk=64)) == naive(by_frames, lambda b: len(b) / size)
-    assert got(batching.batch_duration(df, 0.5, chunk=64)) == naive(by_time, lambda b: sum(r[2] for r in b) / 8000)
-    assert got(batching.batch_adaptive(df, "tokens", 25, chunk=64)) == naive(by_both, lambda b: sum(max(1, r[3]) for r in b) / 25)
-    assert got(batching.batch_adaptive(df, "frames", budget, chunk=64)) == naive(
+    assert got(batching.batch_length(df, size)) == naive(by_frames, lambda b: len(b) / size)
+    assert got(batching.batch_duration(df, 0.5)) == naive(by_time, lambda b: sum(r[2] for r in b) / 8000)
+    assert got(batching.batch_adaptive(df, "tokens", 25)) == naive(by_both, lambda b: sum(max(1, r[3]) for r in b) / 25)
+    assert got(batching.batch_adaptive(df, "frames", budget)) == naive(
         by_both, lambda b: sum(max(1, r[1]) for r in b) / budget
     )
     assert got(batching.batch_fixed(df, size, chunk=64)) == naive(sorted(data), lambda b: len(b) / size)
 
 
+def test_packing_of_a_million_different_lengths(spark):
+    n, budget = 1_000_000, 50_000_000
+    df = spark.range(n).select(
+        F.col("id").alias("row_index"), (F.col("id") * 7919 % n + 1).alias("num_samples"), F.lit(16000).alias("sample_rate"),
+        F.lit(10).cast("bigint").alias("estimated_frames"),
+    )
+    out = batching.batch_duration(df, budget / 16000)
+    per = out.groupBy("batch_id").agg(F.min("num_samples").alias("low"), F.max("num_samples").alias("high"), F.sum("num_samples").alias("s"))
+    rows = sorted(map(tuple, per.collect()))
+    want, start = [], 1
+    while start <= n:
+        end = start
+        while end < n and (start + end + 1) * (end + 2 - start) // 2 <= budget:
+            end += 1
+        want.append((len(want), start, end, (start + end) * (end + 1 - start) // 2))
+        start = end + 1
+    assert rows == want
+
+
+def test_packing_of_odd_tables(spark):
+    schema = "row_index bigint, estimated_frames bigint, num_samples bigint, sample_rate int, token_length bigint"
+    zeros = spark.createDataFrame([(i, 0, 0, 0, 0) for i in range(50)], schema).repartition(4)
+    assert {r["batch_id"] for r in batching.batch_duration(zeros, 1.0).collect()} == {0}
+    huge = spark.createDataFrame([(i, 10**6, 10**9, 16000, 10**6) for i in range(30)], schema).repartition(4)
+    for out in (batching.batch_duration(huge, 1.0), batching.batch_adaptive(huge, "tokens", 5), batching.batch_max_frames(huge, 5)):
+        assert sorted(r["batch_id"] for r in out.collect()) == list(range(30))
+    assert batching.batch_duration(huge.limit(0), 1.0).count() == 0
+
+
 def test_golden_budgets(spark):
     rows = [(0, 45), (1, 20), (2, 40), (3, 25)]
     df = spark.createDataFrame(rows, "row_index bigint, estimated_frames bigint")

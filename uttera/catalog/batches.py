@@ -120,13 +120,13 @@ def padding_waste(spark, folder):
 @query(
     "longest_first",
     v.sql(
-        _FIXED_STATS + """SELECT batch_id, max_frames, size FROM s ORDER BY max_frames DESC, size DESC, batch_id LIMIT 100""",
+        _FIXED_STATS + """SELECT batch_id, max_frames, size, row_number() OVER (ORDER BY max_frames DESC, size DESC, batch_id) - 1 AS place FROM s""",
         "sized",
     ),
 )
 def longest_first(spark, folder):
     stats = batching.batch_stats(batching.batch_length(sized(spark, folder), 16))
-    return batching.order_batches(stats, "length").limit(100).select("batch_id", "max_frames", "size")
+    return batching.order_batches(stats, "length").select("batch_id", "max_frames", "size", "place")
 
 
 def _shard(name: str, mode: str, sql_rows: str) -> None:
@@ -187,13 +187,12 @@ def collate(spark, folder):
     "num_samples",
     v.sql(
         """SELECT row_index, greatest(1, round_even(duration * 16000, 0))::bigint AS num_samples
-        FROM manifest WHERE duration > 0""",
+        FROM manifest""",
         "manifest",
     ),
 )
 def num_samples(spark, folder):
-    rows = v.manifest(spark, folder).filter(F.col("duration") > 0)
-    return rows.select("row_index", audio.num_samples(F.col("duration")).alias("num_samples"))
+    return v.manifest(spark, folder).select("row_index", audio.num_samples(F.col("duration")).alias("num_samples"))
 
 
 _RATES = "SELECT row_index, num_samples, CASE row_index % 4 WHEN 0 THEN 16000 WHEN 1 THEN 8000 WHEN 2 THEN 44100 ELSE 0 END AS rate, estimated_frames FROM sized"

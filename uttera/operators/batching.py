@@ -1,19 +1,21 @@
 """Length-aware batch packing.
 
-Greedy packing is a recurrence, but rows with the same sort key are interchangeable up to
-their stable rank. So the rows are only counted and ranked in parallel; the recurrence
-runs once per DISTINCT key over the histogram (a few thousand frame counts for clips of
-at most 30 s, whatever the number of rows), as a stream in one small task. What it returns
-per key, (room, open batch, capacity), turns each row's rank into its batch by arithmetic.
-Rows are never shuffled by length alone: a hot length is spread over bounded blocks.
+Greedy packing is a recurrence over sorted rows: a batch that starts at row i takes rows until the first that no
+longer fits. With prefix sums every row has two numbers, the value a batch gets that starts there and the
+smallest such value with which the row still fits. Both rise along the order, so the first row that does not fit is
+found by binary search. Rows are sorted once, by range partitions. Each partition tells, for any batch that may be open at
+its edge, which batch is open at its end (``_exits``, a short table); the tables are chained, a step per partition;
+then all partitions number their batches at the same time (``_number``).
 """
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from uttera.config import BatchConfig
@@ -21,82 +23,109 @@ from uttera.functions.audio import DEFAULT
 from uttera.functions.hashing import order_hash
 from uttera.operators import sequence
 from uttera.operators.sequence import CHUNK
-from uttera.session import cut_lineage
 
-UNBOUNDED = 1 << 62
-PLAN_COLUMNS = "__room long, __open long, __base long, __cap long"
+NOTHING_OPEN = -(1 << 62)
 
 
-def _room_by_longest(budget: int, unit: int, size: int, total: int) -> tuple[int, int]:
-    """(rows that still fit the open batch, rows of an empty batch); cost = rows * longest."""
-    return max(0, budget // unit - size), max(1, budget // unit)
+def _values(kind: str, budget: int, units: np.ndarray, row: int, total: int) -> tuple[np.ndarray, np.ndarray]:
+    """(value of a batch that starts at each row, smallest value of an open batch that the row still fits).
 
-
-def _room_by_sum(budget: int, unit: int, size: int, total: int) -> tuple[int, int]:
-    """Same for cost = sum of units; a unit of 0 always fits."""
-    if unit == 0:
-        return UNBOUNDED, UNBOUNDED
-    return max(0, (budget - total) // unit), max(1, budget // unit)
-
-
-_ROOM = {"longest": _room_by_longest, "sum": _room_by_sum}
-
-
-def _walk(kind: str, budget: int, keys: list[str]):
-    """Greedy recurrence over a sorted histogram, one step per distinct key."""
-    room_of = _ROOM[kind]
-
-    def walk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        batch, size, total = 0, 0, 0
-        for part in frames:
-            out = []
-            for row in part.itertuples(index=False):
-                unit, n = int(row.unit), int(row.n)
-                room, cap = room_of(budget, unit, size, total)
-                room = min(room, n) if size else 0
-                base = batch + 1 if size else batch
-                out.append((room, batch, base, cap))
-                rest = n - room
-                if rest:
-                    batch = base + (rest - 1) // cap
-                    size = (rest - 1) % cap + 1
-                    total = size * unit
-                else:
-                    size += n
-                    total += n * unit
-            plan = pd.DataFrame(out, columns=["__room", "__open", "__base", "__cap"])
-            yield pd.concat([part[keys].reset_index(drop=True), plan], axis=1)
-
-    return walk
-
-
-def _pack(
-    df: DataFrame, keys: list[str], unit: Column, kind: str, budget: int, order: str, chunk: int
-) -> DataFrame:
-    blocked = df.withColumn("__block", sequence.block_of(F.col(order), chunk))
-    # Used for the histogram and for the offsets: kept, so the rows are read for it once.
-    counts = cut_lineage(blocked.groupBy(*keys, "__block").agg(F.count("*").alias("n")))
-    histogram = counts.groupBy(*keys).agg(F.sum("n").alias("n")).withColumn("unit", unit.cast("bigint"))
-    key_types = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys)
-    plan = (
-        histogram.repartition(1)
-        .sortWithinPartitions(*keys)
-        .mapInPandas(_walk(kind, budget, keys), f"{key_types}, {PLAN_COLUMNS}")
-    )
-    before = Window.partitionBy(*keys).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
-    steps = (
-        counts.withColumn("__before", F.coalesce(F.sum("n").over(before), F.lit(0)))
-        .drop("n")
-        .join(plan, keys)
-    )
-    local = Window.partitionBy(*keys, "__block").orderBy(order)
-    ranked = blocked.withColumn("__local", F.row_number().over(local)).join(steps, [*keys, "__block"])
-    rank = F.col("__local") + F.col("__before")
-    later = F.col("__base") + F.floor((rank - 1 - F.col("__room")) / F.col("__cap"))
-    batch = F.when(rank <= F.col("__room"), F.col("__open")).otherwise(later)
-    return ranked.withColumn("batch_id", batch.cast("bigint")).drop(
-        "__block", "__local", "__before", "__room", "__open", "__base", "__cap"
+    ``row`` rows with ``total`` units come before. For cost = sum of units a batch's value is the units before it, for
+    cost = rows * longest (units rise along the order) it is the number of its first row.
+    """
+    if kind == "sum":
+        ends = total + np.cumsum(units)
+        return ends - units, ends - budget
+    at = row + np.arange(len(units))
+    return at, at + 1 - budget // units
+
+
+def _columns(batch: pa.RecordBatch, *names: str) -> list[np.ndarray]:
+    return [batch.column(batch.schema.get_field_index(n)).to_numpy(zero_copy_only=False) for n in names]
+
+
+def _exits(kind: str, budget: int):
+    """For one partition: (__part, least, leaves, batches) by rising ``least``. A batch open at the start with a value of
+    ``least`` or more (up to the next row's) is followed by ``batches`` new ones, the last of value ``leaves``. Where
+    ``batches`` is 0 the open batch takes the whole partition."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [_columns(b, "__part", "__unit", "__rows", "__units") for b in batches if b.num_rows]
+        if not parts:
+            return
+        units = np.concatenate([p[1] for p in parts])
+        part, _, row, total = (int(c[0]) for c in parts[0])
+        value, least = _values(kind, budget, units, row, total)
+        n = len(units)
+        # The next batch of a batch that starts at each row; n stands for the end. Jumps are doubled until all are there.
+        jump = np.append(np.maximum(np.searchsorted(least, value, "right"), np.arange(n) + 1), n)
+        last, steps = np.append(np.arange(n), n), np.append(np.ones(n, np.int64), 0)
+        while (jump < n).any():
+            last, steps, jump = np.where(jump < n, last[jump], last), steps + steps[jump], jump[jump]
+        # Possible first starts: up to the first row that does not fit a batch from this very edge.
+        entries = np.arange(min(n, int(np.searchsorted(least, value[0], "right")) + 1))
+        bounds = np.concatenate([[NOTHING_OPEN], least[entries[1:] - 1]])
+        leaves, count = value[last[entries]], steps[entries]
+        kept = np.flatnonzero(np.r_[True, (leaves[1:] != leaves[:-1]) | (count[1:] != count[:-1])])
+        rows = [np.append(bounds[kept], least[-1]), np.append(leaves[kept], 0), np.append(count[kept], 0)]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.full(len(rows[0]), part)), *[pa.array(r) for r in rows]], names=["__part", "least", "leaves", "batches"]
+        )
+
+    return run
+
+
+def _chained(tables: DataFrame) -> list[tuple[int, int, int]]:
+    """(partition, value of the batch open at its start, number of that batch): one step per partition."""
+    by_part: dict[int, list[tuple[int, int, int]]] = {}
+    for r in tables.collect():  # a few rows per partition
+        by_part.setdefault(r["__part"], []).append((r["least"], r["leaves"], r["batches"]))
+    opened, number, out = NOTHING_OPEN, -1, []
+    for part in sorted(by_part):
+        out.append((part, opened, number))
+        rows = sorted(by_part[part], key=lambda r: r[0])
+        _, leaves, batches = rows[bisect_right([r[0] for r in rows], opened) - 1]
+        if batches:
+            opened, number = leaves, number + batches
+    return out
+
+
+def _number(kind: str, budget: int, kept: list[str]):
+    """Batch ids of a partition, streamed from the batch open at its start."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        opened = number = row = total = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            units, first, before, start, count = _columns(batch, "__unit", "__rows", "__units", "__opened", "__number")
+            if opened is None:
+                opened, number, row, total = int(start[0]), int(count[0]), int(first[0]), int(before[0])
+            value, least = _values(kind, budget, units, row, total)
+            starts = np.zeros(len(units), np.int64)
+            at = int(np.searchsorted(least, opened, "right"))
+            while at < len(units):
+                starts[at], opened = 1, int(value[at])
+                at = max(at + 1, int(np.searchsorted(least, opened, "right")))
+            ids = number + np.cumsum(starts)
+            number, row, total = int(ids[-1]), row + len(units), total + int(units.sum())
+            yield pa.RecordBatch.from_arrays(
+                [*[batch.column(batch.schema.get_field_index(c)) for c in kept], pa.array(ids)], names=[*kept, "batch_id"]
+            )
+
+    return run
+
+
+def _pack(df: DataFrame, order: list[Column], unit: Column, kind: str, budget: int) -> DataFrame:
+    placed = sequence.sorted_parts(df.withColumn("__unit", unit.cast("bigint")), order)
+    before = sequence.sums_before(placed, __rows=F.lit(1), __units=F.col("__unit")).select("__part", "__rows", "__units")
+    located = placed.withColumn("__part", sequence.part_of()).join(F.broadcast(before), "__part")
+    tables = located.select("__part", "__unit", "__rows", "__units").mapInArrow(
+        _exits(kind, budget), "__part long, least long, leaves long, batches long"
     )
+    entries = df.sparkSession.createDataFrame(_chained(tables), "__part long, __opened long, __number long")
+    schema = df.withColumn("batch_id", F.lit(0).cast("bigint")).schema
+    return located.join(F.broadcast(entries), "__part").mapInArrow(_number(kind, budget, df.columns), schema)
 
 
 def batch_fixed(df: DataFrame, n: int, order: str = "row_index", chunk: int = CHUNK) -> DataFrame:
@@ -105,39 +134,32 @@ def batch_fixed(df: DataFrame, n: int, order: str = "row_index", chunk: int = CH
     return placed.withColumn("batch_id", F.floor(F.col("__pos") / n).cast("bigint")).drop("__pos")
 
 
-def batch_length(df: DataFrame, n: int, order: str = "row_index", chunk: int = CHUNK) -> DataFrame:
-    """Sort by frames, cut every n rows: a sum budget with one unit per row."""
-    return _pack(df, ["estimated_frames"], F.lit(1), "sum", n, order, chunk)
+def batch_length(df: DataFrame, n: int, order: str = "row_index") -> DataFrame:
+    """Sort by frames, cut every n rows."""
+    placed = sequence.position_by(df, [F.col("estimated_frames"), F.col(order)], "__pos")
+    return placed.withColumn("batch_id", F.floor(F.col("__pos") / n).cast("bigint")).drop("__pos")
 
 
-def batch_max_frames(df: DataFrame, budget: int, order: str = "row_index", chunk: int = CHUNK) -> DataFrame:
+def batch_max_frames(df: DataFrame, budget: int, order: str = "row_index") -> DataFrame:
     """Padded cost: rows times the longest row must stay within the budget."""
     unit = F.greatest(F.col("estimated_frames"), F.lit(1))
-    return _pack(df, ["estimated_frames"], unit, "longest", budget, order, chunk)
+    return _pack(df, [F.col("estimated_frames"), F.col(order)], unit, "longest", budget)
 
 
-def batch_duration(
-    df: DataFrame, seconds: float, order: str = "row_index", chunk: int = CHUNK, rate: int = DEFAULT.sample_rate
-) -> DataFrame:
+def batch_duration(df: DataFrame, seconds: float, order: str = "row_index", rate: int = DEFAULT.sample_rate) -> DataFrame:
     """Summed seconds, counted in whole samples at one rate so that sums are exact."""
     at_rate = F.when(
         (F.col("num_samples") > 0) & (F.col("sample_rate") > 0),
         F.floor(F.col("num_samples") * rate / F.col("sample_rate")),
     ).otherwise(0)
-    keyed = df.withColumn("__samples", at_rate.cast("bigint"))
-    packed = _pack(
-        keyed, ["__samples", "estimated_frames"], F.col("__samples"), "sum", int(seconds * rate), order, chunk
-    )
-    return packed.drop("__samples")
+    return _pack(df, [at_rate, F.col("estimated_frames"), F.col(order)], at_rate, "sum", int(seconds * rate))
 
 
-def batch_adaptive(
-    df: DataFrame, unit: str, budget: int, order: str = "row_index", chunk: int = CHUNK
-) -> DataFrame:
+def batch_adaptive(df: DataFrame, unit: str, budget: int, order: str = "row_index") -> DataFrame:
     """Summed frames or tokens, rows sorted by (frames, tokens)."""
     column = {"frames": "estimated_frames", "tokens": "token_length"}[unit]
     cost = F.greatest(F.col(column), F.lit(1))
-    return _pack(df, ["estimated_frames", "token_length"], cost, "sum", budget, order, chunk)
+    return _pack(df, [F.col("estimated_frames"), F.col("token_length"), F.col(order)], cost, "sum", budget)
 
 
 def plan_batches(df: DataFrame, cfg: BatchConfig, order: str = "row_index") -> DataFrame:
@@ -177,9 +199,12 @@ HEAVIEST = {
 
 
 def order_batches(stats: DataFrame, mode: str) -> DataFrame:
-    """Heaviest batch first; equal ones keep their order."""
+    """Adds ``place``: 0 for the heaviest batch; equal ones keep their order.
+
+    Places come from a range-partitioned sort, so the table comes out sorted and no task gets it whole.
+    """
     first, second = HEAVIEST[mode]
-    return stats.orderBy(F.desc(first), F.desc(second), "batch_id")
+    return sequence.position_by(stats, [-F.col(first), -F.col(second), F.col("batch_id")], "place")
 
 
 def shuffle_batches(batched: DataFrame, seed: int, epoch: int) -> DataFrame:
@@ -231,9 +256,3 @@ def collate(df: DataFrame, values: str, pad: float = 0.0, keys: str = "batch_id"
     return kept.join(longest, keys).withColumn(
         values, F.concat(F.col(values), F.array_repeat(F.lit(pad), missing))
     )
-
-
-def epoch_order(df: DataFrame, seed: int, epoch: int) -> DataFrame:
-    from uttera.operators.ranking import epoch_shuffle
-
-    return epoch_shuffle(df, seed, epoch)
