@@ -39,11 +39,13 @@ def test_counts_and_scores(spark, tmp_path, order):
         return total
 
     probes = spark.createDataFrame([(i, t) for i, t in enumerate(["abba", "abza", "", "b😀b"])], "i int, t string")
-    for limit in (1000, 0):  # broadcast, then the salted shuffle
-        got = {r["i"]: r["score"] for r in ngram.score_text(probes, "i", "t", model, limit=limit).collect()}
+    for limit in ("10m", "-1"):  # broadcast, then sorted and merged
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+        got = {r["i"]: r["score"] for r in ngram.score_text(probes, "i", "t", model).collect()}
         for i, t in enumerate(["abba", "abza", "", "b😀b"]):
             assert got[i] == pytest.approx(score(t)), (t, limit)
-        ext = {r["i"]: r["score"] for r in ngram.score_extension(probes, "i", "t", model, limit=limit).collect()}
+        ext = {r["i"]: r["score"] for r in ngram.score_extension(probes, "i", "t", model).collect()}
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         assert ext[0] == pytest.approx(score("abba", False) - score("abb", False)) and ext[2] == 0.0
     assert got[0] > got[1]
     path = str(tmp_path / "lm")
@@ -75,6 +77,12 @@ def test_vocabulary(spark):
     assert {r["token"] for r in vocab.char_vocab(df, "t", 2).collect()} == {"<blank>", "б"}
     ids = vocab.encode_chars(df, "t", table)
     assert [r["ids"] for r in ids.collect()] == [[5, 4, 5], [2, 1, 3]]
+    odd = spark.createDataFrame([([0, 1, 0, 0, 1, 0],)], "ids array<int>")
+    first = table.filter("id = 1").first()["token"]
+    assert odd.select(vocab.decode_ids(F.col("ids"), table)).first()[0] == first * 2
+    for bad in ([1, 99], [-1], [None]):
+        with pytest.raises(Exception, match="id not in the vocabulary"):
+            spark.createDataFrame([(bad,)], "ids array<int>").select(vocab.decode_ids(F.col("ids"), table)).collect()
     back = ids.select(vocab.decode_ids(F.col("ids"), table)).collect()
     assert [r[0] for r in back] == ["баб", "a b"]
     more = spark.createDataFrame([("axyx",)], "t string")
@@ -162,3 +170,18 @@ def test_expected_counts_are_those_of_all_segmentations():
     out = next(subword._expected_counts(logp, 8)(iter([pd.DataFrame({"word": [word], "n": [3]})])))
     got = dict(zip(out["piece"], out["n"]))
     assert got == pytest.approx({k: 3 * x / total for k, x in want.items()})
+
+
+def test_all_letters_are_kept(spark):
+    letters = [chr(0x4E00 + i) for i in range(120)]
+    df = spark.createDataFrame([("".join(letters[i : i + 3]),) for i in range(118)] + [("ab ab ab",)], "t string")
+    for kind, more in (("bpe", {}), ("unigram", {"seeds": 20})):
+        pieces = {r["piece"] for r in subword.subword_vocab(df, "t", 10, kind, **more).collect()}
+        assert {*letters, "a", "b"} <= pieces, kind
+
+
+def test_vocabularies_of_different_types_never_match(spark):
+    table = spark.createDataFrame([("<blank>", 0), ("a", 1)], "token string, id int")
+    assert vocab.vocab_match(table, table).count() == 0
+    told = vocab.vocab_match(table, table, ("character", "bpe")).collect()
+    assert sorted(r["only_in"] for r in told) == ["left: character", "right: bpe"]

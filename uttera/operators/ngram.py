@@ -1,6 +1,6 @@
 """Character n-gram language models as tables, and scoring by join.
 
-Model tables: ``counts`` (context, token, n), ``totals`` (context, total) and ``meta`` with
+Model tables: ``counts`` (context, token, n), ``maps`` (context, total, nexts: token -> n) and ``meta`` with
 one row (lines, vocab_size, order, alpha). The start symbol pads contexts and is no part of
 the vocabulary; the end symbol is.
 
@@ -11,31 +11,30 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from uttera.functions import text as tx
 from uttera.operators.common import computed_once
 from uttera.operators.vocab import characters
-from uttera.session import cut_lineage
+from uttera.session import scratch_path
 
 # Padding symbols and the separator inside a context key.
 BOS, EOS, SEP = "<s>", "</s>", "␟"
 
-# A model below this many (context, token) rows (some tens of MB) may be broadcast, above it is joined
-# by a salted shuffle.
-BROADCAST_ROWS = 500_000
-SALTS = 16
-
 
 @dataclass(frozen=True)
 class NgramModel:
     counts: DataFrame
-    totals: DataFrame
+    maps: DataFrame
     meta: DataFrame
     order: int
     alpha: float
 
+    @property
+    def totals(self) -> DataFrame:
+        return self.maps.select("context", "total")
+
     def vocab_size(self) -> Column:
         """A scalar subquery over the one-row table."""
         return self.meta.select("vocab_size").scalar()
@@ -95,30 +94,36 @@ def lm_meta(counts: DataFrame, order: int, alpha: float) -> DataFrame:
     )
 
 
-def train(df: DataFrame, column: str, order: int = 3, alpha: float = 0.1) -> NgramModel:
-    """The counts are kept on a reliable checkpoint since three tables are made from them."""
-    counts = cut_lineage(ngram_counts(df, column, order))
-    return NgramModel(counts, context_totals(counts), lm_meta(counts, order, alpha), order, alpha)
+def train(df: DataFrame, column: str, order: int = 3, alpha: float = 0.1, path: str | None = None) -> NgramModel:
+    """Fits a model and keeps its tables below ``path`` (a new place in the shared folder by default)."""
+    path = path or scratch_path(df.sparkSession, "lm")
+    counts = ngram_counts(df, column, order)
+    counts.write.mode("overwrite").parquet(f"{path}/counts")
+    counts = df.sparkSession.read.parquet(f"{path}/counts")
+    _save(NgramModel(counts, context_maps(counts), lm_meta(counts, order, alpha), order, alpha), path)
+    return load_lm(df.sparkSession, path)
+
+
+def _save(model: NgramModel, path: str) -> None:
+    model.maps.write.mode("overwrite").parquet(f"{path}/maps")
+    model.meta.write.mode("overwrite").json(f"{path}/meta")
 
 
 def save_lm(model: NgramModel, path: str) -> None:
     model.counts.write.mode("overwrite").parquet(f"{path}/counts")
-    model.totals.write.mode("overwrite").parquet(f"{path}/totals")
-    model.meta.write.mode("overwrite").json(f"{path}/meta")
+    _save(model, path)
 
 
 def load_lm(spark: SparkSession, path: str) -> NgramModel:
     schema = "lines bigint, vocab_size bigint, order int, alpha double"
     meta = spark.read.schema(schema).json(f"{path}/meta")
     row = meta.first()
-    return NgramModel(
-        spark.read.parquet(f"{path}/counts"), spark.read.parquet(f"{path}/totals"), meta, row["order"], row["alpha"]
-    )
+    return NgramModel(spark.read.parquet(f"{path}/counts"), spark.read.parquet(f"{path}/maps"), meta, row["order"], row["alpha"])
 
 
 def export_lm(model: NgramModel) -> DataFrame:
     """Interchange form: one JSON line per context."""
-    return context_maps(model.counts).select(
+    return model.maps.select(
         F.to_json(F.struct("context", "total", F.col("nexts").alias("next"))).alias("value")
     )
 
@@ -127,37 +132,26 @@ def token_logprob(n: Column, total: Column, vocab_size: Column, alpha: float) ->
     return F.log((F.coalesce(n, F.lit(0)) + alpha) / (F.coalesce(total, F.lit(0)) + vocab_size * alpha))
 
 
-def _with_counts(positions: DataFrame, model: NgramModel, limit: int) -> DataFrame:
-    """Positions with (n, total) of the model.
+def _with_counts(positions: DataFrame, model: NgramModel) -> DataFrame:
+    """Positions with (n, total) of the model, by one join on the context.
 
-    A model within the limit is broadcast, so positions are not shuffled at all. Beyond it
-    positions meet one row per context; frequent contexts would make that join uneven, so
-    positions get a salt from their own hash and the model is repeated once per salt.
+    The model's tables are files, so Spark knows their size: a small model is broadcast, a large one is joined by
+    sort and merge, where adaptive execution splits frequent contexts.
     """
-    if model.counts.limit(limit + 1).count() <= limit:
-        return positions.join(F.broadcast(model.counts), ["context", "token"], "left").join(
-            F.broadcast(model.totals), "context", "left"
-        )
-    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
-    maps = context_maps(model.counts).withColumn("__salt", salts)
-    salt = F.pmod(F.xxhash64(*positions.columns), F.lit(SALTS)).cast("int")
-    joined = positions.withColumn("__salt", salt).join(maps, ["context", "__salt"], "left")
-    return joined.withColumn("n", F.try_element_at("nexts", F.col("token"))).drop("nexts", "__salt")
-
-
-def score_text(
-    df: DataFrame, key: str, column: str, model: NgramModel, eos: bool = True, limit: int = BROADCAST_ROWS
-) -> DataFrame:
+    return positions.join(model.maps, "context", "left").withColumn("n", F.try_element_at("nexts", F.col("token"))).drop("nexts")
+
+
+def score_text(df: DataFrame, key: str, column: str, model: NgramModel, eos: bool = True) -> DataFrame:
     """Log probability of each text: sum over its positions, combined before the shuffle."""
     positions = explode_ngrams(df.select(key, column), column, model.order, eos, keep_empty=True)
     logp = token_logprob(F.col("n"), F.col("total"), model.vocab_size(), model.alpha)
-    scored = _with_counts(positions.select(key, "context", "token"), model, limit)
+    scored = _with_counts(positions.select(key, "context", "token"), model)
     return scored.groupBy(key).agg(
         F.sum(F.when(F.col("token").isNull(), 0.0).otherwise(logp)).alias("score")
     )
 
 
-def score_extension(df: DataFrame, key: str, column: str, model: NgramModel, limit: int = BROADCAST_ROWS) -> DataFrame:
+def score_extension(df: DataFrame, key: str, column: str, model: NgramModel) -> DataFrame:
     """Log probability of the last character of each text given those before it."""
     history = _padded(characters(F.col(column)), model.order, eos=False)
     width = model.order - 1
@@ -168,8 +162,7 @@ def score_extension(df: DataFrame, key: str, column: str, model: NgramModel, lim
     where = F.when(F.col("__t") != "", F.array_join(context, SEP))
     rows = tail.select(key, where.alias("context"), last.alias("token"))
     logp = token_logprob(F.col("n"), F.col("total"), model.vocab_size(), model.alpha)
-    scored = _with_counts(rows, model, limit)
-    return scored.select(key, F.when(F.col("token").isNull(), 0.0).otherwise(logp).alias("score"))
+    return _with_counts(rows, model).select(key, F.when(F.col("token").isNull(), 0.0).otherwise(logp).alias("score"))
 
 
 # Log scores are summed in bands of this width, so that exp() neither overflows nor vanishes.
@@ -191,8 +184,6 @@ def merge_nbest(hyps: DataFrame, k: int) -> DataFrame:
     peak = F.element_at("xs", -1)["band"]
     total = F.aggregate("xs", F.lit(0.0), lambda acc, x: acc + x["s"] * F.exp((x["band"] - peak) * BAND))
     merged = top.select("utterance_id", "tokens", (F.log(total) + peak * BAND).alias("log_prob"))
-    from pyspark.sql import Window
-
     best = Window.partitionBy("utterance_id").orderBy(F.desc("log_prob"), "tokens")
     return merged.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
 
@@ -204,15 +195,13 @@ def best_hypothesis(merged: DataFrame) -> DataFrame:
     return merged.groupBy("utterance_id").agg(best.alias("b")).select("utterance_id", "b.tokens", "b.score")
 
 
-def rescore_nbest(
-    hyps: DataFrame, model: NgramModel, weight: float, bonus: float, limit: int = BROADCAST_ROWS
-) -> DataFrame:
+def rescore_nbest(hyps: DataFrame, model: NgramModel, weight: float, bonus: float) -> DataFrame:
     """acoustic + weight * language model + bonus * length; the best text per utterance.
 
     Texts are scored once each, also where many utterances share them.
     """
     texts = hyps.select(F.col("text").alias("__text")).distinct().withColumn("__key", F.col("__text"))
-    scores = score_text(texts, "__key", "__text", model, eos=False, limit=limit)
+    scores = score_text(texts, "__key", "__text", model, eos=False)
     joined = hyps.join(scores.withColumnRenamed("__key", "text"), "text")
     total = F.col("acoustic") + F.col("score") * weight + F.length("text") * bonus
     ranked = joined.withColumn("total", total)

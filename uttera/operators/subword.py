@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from uttera.functions import text as tx
+from uttera.functions.arrays import log_add
 from uttera.operators.vocab import characters
 from uttera.session import cut_lineage
 
@@ -116,26 +117,22 @@ def bpe_merges(words: DataFrame, merges: int, ahead: int = 500) -> tuple[list[tu
     return done, table
 
 
-def _bpe(words: DataFrame, size: int) -> DataFrame:
-    """Letters plus merged pieces, with the count each piece had when it was made."""
+def _bpe(words: DataFrame, size: int, ahead: int) -> DataFrame:
+    """All letters plus merged pieces, with the count each piece had when it was made."""
     letters = cut_lineage(_letters(words))
     merges = max(0, size - letters.count())
-    made, _ = bpe_merges(words, merges)
+    made, _ = bpe_merges(words, merges, ahead)
+    every = letters.withColumn("rank", F.lit(-1))
     if not made:
-        return _top(letters, size)
+        return every
     rows = [(i, a + b, n) for i, (a, b, n) in enumerate(made)]
     merged = words.sparkSession.createDataFrame(rows, "rank int, piece string, n bigint")
-    return _top(letters, size).withColumn("rank", F.lit(-1)).unionByName(merged).select("piece", "n", "rank")
+    return every.unionByName(merged).select("piece", "n", "rank")
 
 
 # --- unigram model --------------------------------------------------------------------
 
 
-def _log_add(x: float, y: float) -> float:
-    high, low = (x, y) if x > y else (y, x)
-    return high if low == -math.inf else high + math.log1p(math.exp(low - high))
-
-
 def _expected_counts(logp: dict[str, float], longest: int):
     """Expected piece counts of one batch of words under the current model.
 
@@ -156,11 +153,11 @@ def _expected_counts(logp: dict[str, float], longest: int):
                         p = logp.get(word[i:j])
                         if p is not None:
                             spans.append((i, j, p))
-                            head[j] = _log_add(head[j], head[i] + p)
+                            head[j] = log_add(head[j], head[i] + p)
                 if head[size] == -math.inf:
                     continue
                 for i, j, p in reversed(spans):
-                    tail[i] = _log_add(tail[i], p + tail[j])
+                    tail[i] = log_add(tail[i], p + tail[j])
                 for i, j, p in spans:
                     share = math.exp(head[i] + p + tail[j] - head[size])
                     sums[word[i:j]] = sums.get(word[i:j], 0.0) + n * share
@@ -175,12 +172,12 @@ def _normalized(pieces: dict[str, float]) -> dict[str, float]:
 
 
 def _unigram(
-    words: DataFrame, size: int, longest: int = 8, seeds: int | None = None, rounds: int = 2, keep: float = 0.75
+    words: DataFrame, size: int, longest: int, seeds: int | None = None, rounds: int = 2, keep: float = 0.75
 ) -> DataFrame:
     """Expectation-maximisation over the distinct words, shrinking to ``size`` pieces.
 
-    The model sent to the tasks has at most ``seeds`` pieces (ten times the wanted size) and
-    all letters. Each round is one pass with map-side sums; pieces expected least are
+    The model sent to the tasks has at most ``seeds`` longer pieces (by default ten times the wanted
+    size), none over ``longest`` characters, and all letters. Each round is one pass with map-side sums; pieces expected least are
     dropped, letters are always kept so that every word stays writable.
     """
     words = cut_lineage(words)
@@ -196,7 +193,7 @@ def _unigram(
         )
     )
     counted = words.select(F.explode(spans).alias("piece"), "n").groupBy("piece").agg(F.sum("n").alias("n"))
-    letters = {r["piece"]: float(r["n"]) for r in _letters(words).orderBy(F.desc("n"), "piece").limit(seeds).collect()}
+    letters = {r["piece"]: float(r["n"]) for r in _letters(words).collect()}  # code points, so at most Unicode's
     longer = counted.filter(F.length("piece") > 1).orderBy(F.desc(F.col("n") * F.length("piece")), "piece")
     pieces = {r["piece"]: float(r["n"]) for r in longer.limit(seeds).collect()} | letters
     while True:
@@ -216,15 +213,23 @@ def _unigram(
     return words.sparkSession.createDataFrame(rows, "piece string, n double, logp double")
 
 
-def subword_vocab(df: DataFrame, column: str, size: int, kind: str = "bpe", seeds: int | None = None) -> DataFrame:
-    """Pieces of a vocabulary of at most ``size`` entries (letters are always all kept)."""
+def subword_vocab(
+    df: DataFrame, column: str, size: int, kind: str = "bpe", seeds: int | None = None, longest: int = 8, ahead: int = 500
+) -> DataFrame:
+    """Pieces of a vocabulary of about ``size`` entries.
+
+    "word" and "char" give the ``size`` most frequent words and characters. "bpe" and "unigram" keep all letters
+    of the corpus, also where there are more than ``size``, so that every word stays writable. ``seeds`` and
+    ``longest`` bound the number and the length of the pieces that "unigram" starts from; ``ahead`` is the number of
+    pairs that "bpe" looks at in a round, which changes its speed and not its result.
+    """
     words = word_counts(df, column)
     if kind == "word":
         return _top(words.withColumnRenamed("word", "piece"), size)
     if kind == "char":
         return _top(_letters(words), size)
     if kind == "bpe":
-        return _bpe(words, size)
+        return _bpe(words, size, ahead)
     if kind == "unigram":
-        return _unigram(words, size, seeds=seeds)
+        return _unigram(words, size, longest, seeds)
     raise ValueError("kind must be 'word', 'char', 'bpe' or 'unigram'")

@@ -77,14 +77,22 @@ def fill_token_lengths(df: DataFrame, column: str, known: str = "token_length")
     return df.withColumn(known, F.greatest(value, F.lit(1)))
 
 
-def vocab_match(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Rows in which two vocabularies differ; empty means identical."""
+def vocab_match(left: DataFrame, right: DataFrame, kinds: tuple[str, str] = ("character", "character")) -> DataFrame:
+    """Rows in which two vocabularies differ; empty means identical.
+
+    ``kinds`` are their types. Vocabularies of different types never match, whatever their tokens: a row (null, null)
+    for each side then tells its type as ``only_in``.
+    """
     a = left.select("token", "id", F.lit(True).alias("in_left"))
     b = right.select("token", "id", F.lit(True).alias("in_right"))
     joined = a.join(b, ["token", "id"], "full_outer")
-    return joined.filter(F.col("in_left").isNull() | F.col("in_right").isNull()).select(
+    differing = joined.filter(F.col("in_left").isNull() | F.col("in_right").isNull()).select(
         "token", "id", F.when(F.col("in_left").isNull(), "right").otherwise("left").alias("only_in")
     )
+    if kinds[0] == kinds[1]:
+        return differing
+    types = [(None, None, f"{side}: {kind}") for side, kind in zip(("left", "right"), kinds)]
+    return differing.unionByName(left.sparkSession.createDataFrame(types, differing.schema))
 
 
 def label_tokens(df: DataFrame, vocab: DataFrame, token: str = "token_id", blank: int = 0) -> DataFrame:
@@ -107,16 +115,30 @@ def label_tokens(df: DataFrame, vocab: DataFrame, token: str = "token_id", blank
     return df.join(names, token, "left").withColumn("label", label).drop("__text", "__piece")
 
 
+# Entries of a vocabulary that become a constant of the plan, at most.
+TABLE_ROWS = 1 << 20
+
+
 def token_table(vocab: DataFrame) -> Column:
-    """Constant array from id (+1) to token."""
-    rows = vocab.collect()
+    """Constant array from id (+1) to token. A vocabulary is a fitted artifact of bounded size; a table of more
+    than TABLE_ROWS rows is refused, not cut."""
+    rows = vocab.select("token", "id").limit(TABLE_ROWS + 1).collect()
+    if len(rows) > TABLE_ROWS or any(not 0 <= r["id"] <= TABLE_ROWS for r in rows):
+        raise ValueError(f"a vocabulary has at most {TABLE_ROWS} entries with ids from 0")
     table: list[str | None] = [None] * (max((r["id"] for r in rows), default=0) + 1)
     for r in rows:
         table[r["id"]] = r["token"]
     return F.from_json(F.lit(json.dumps(table)), "array<string>")
 
 
-def decode_ids(ids: Column, vocab: DataFrame) -> Column:
-    """Ids to text."""
+def decode_ids(ids: Column, vocab: DataFrame, blank: int = 0) -> Column:
+    """Ids to text. The blank is left out; an id that the vocabulary does not have fails the job."""
     table = token_table(vocab)
-    return F.array_join(F.transform(ids, lambda x: F.try_element_at(table, x + 1)), "")
+
+    def token(x: Column) -> Column:
+        told = F.concat(F.lit("id not in the vocabulary: "), F.coalesce(x.cast("string"), F.lit("null")))
+        found = F.when(x >= 0, F.try_element_at(table, (x + 1).cast("int")))
+        return F.coalesce(found, F.raise_error(told).cast("string"))
+
+    spoken = F.filter(ids, lambda x: F.coalesce(x != blank, F.lit(True)))
+    return F.array_join(F.transform(spoken, token), "")
