@@ -178,6 +178,18 @@ def test_latest_state_ways_agree(spark):
     assert sorted(map(tuple, features.latest_wide(log).collect())) == want
 
 
+def test_latest_state_on_equal_versions(spark, tmp_path):
+    plain = spark.createDataFrame([("a", 1, False, 1.0), ("a", 1, True, None), ("b", 2, False, 2.0)], "key string, version bigint, deleted boolean, value double")
+    want = [("b", 2, 2.0)]
+    assert sorted(map(tuple, features.latest_state(plain, ["value"]).collect())) == want
+    path = str(tmp_path / "log")
+    features.append_features(spark.createDataFrame([("x", 1.0), ("x", 2.0), ("y", 3.0)], "key string, value double").coalesce(1), path, 7, shards=2)
+    log = spark.read.parquet(path)
+    want = [("x", 7, 2.0), ("y", 7, 3.0)]
+    assert sorted(map(tuple, features.latest_state(log, ["value"]).collect())) == want
+    assert sorted(map(tuple, features.latest_wide(log).select("key", "version", "value").collect())) == want
+
+
 def test_spec_augment_masks_whole_bands(spark):
     rows = [(u, f, [1.0] * 20) for u in range(4) for f in range(60)]
     df = spark.createDataFrame(rows, "u int, f bigint, x array<double>")

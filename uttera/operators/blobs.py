@@ -6,14 +6,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def dedupe_blobs(df: DataFrame, column: str) -> DataFrame:
-    """One row per distinct content, named by its digest.
+def dedupe_blobs(df: DataFrame, column: str, key: str) -> DataFrame:
+    """(name, column, copies): one row per distinct content, named by its digest. Null contents are left out.
 
-    The digest is the only shuffle key; equal blobs meet a map-side combine first.
+    Contents are first counted by digest, with the smallest ``key`` of each (unique, not null); only that row's bytes are
+    then fetched, in a hash join, so bytes are neither aggregated nor sorted.
     """
-    return df.groupBy(F.sha2(F.col(column).cast("binary"), 256).alias("name")).agg(
-        F.any_value(column).alias(column), F.count("*").alias("copies")
+    named = df.filter(F.col(column).isNotNull()).select(
+        F.sha2(F.col(column).cast("binary"), 256).alias("name"), F.col(key).alias("__key"), column
     )
+    chosen = named.groupBy("name").agg(F.min("__key").alias("__key"), F.count("*").alias("copies"))
+    return named.join(chosen.hint("shuffle_hash"), ["name", "__key"]).select("name", column, "copies")
 
 
 def new_blobs(blobs: DataFrame, stored: DataFrame) -> DataFrame:

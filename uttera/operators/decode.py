@@ -7,8 +7,9 @@ whole; alignment keeps one small row of back pointers per frame.
 
 from __future__ import annotations
 
-import importlib
 import math
+import pkgutil
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -19,64 +20,47 @@ from pyspark.sql import functions as F
 NEG = -math.inf
 
 
-def _add(x: float, y: float) -> float:
-    high, low = (x, y) if x > y else (y, x)
-    return high if low == NEG else high + math.log1p(math.exp(low - high))
-
-
 def _by_utterance(frames: DataFrame, *order: str) -> DataFrame:
     return frames.repartition("utterance_id").sortWithinPartitions("utterance_id", *order)
 
 
-class _Beam:
-    """Prefixes of one utterance with their scores ending in blank and in a token."""
-
-    def __init__(self, width: int, blank: int, bonus: float, extend: Callable[[tuple], float] | None):
-        self.width, self.blank, self.bonus, self.extend = width, blank, bonus, extend
-        self.live: dict[tuple, tuple[float, float]] = {(): (0.0, NEG)}
-        self.extra: dict[tuple, float] = {}
-
-    def total(self, item) -> float:
-        prefix, (with_blank, with_token) = item
-        return _add(with_blank, with_token) + self.bonus * len(prefix)
-
-    def lm(self, prefix: tuple) -> float:
-        if self.extend is None:
-            return 0.0
-        if prefix not in self.extra:
-            self.extra[prefix] = self.extend(prefix)
-        return self.extra[prefix]
-
-    def step(self, scores: np.ndarray) -> None:
-        k = min(4 * self.width, scores.size)
-        chosen = np.argsort(-scores, kind="stable")[:k]
-        blank_ends: dict[tuple, float] = {}
-        token_ends: dict[tuple, float] = {}
-
-        def put(side: dict, prefix: tuple, score: float) -> None:
-            side[prefix] = _add(side.get(prefix, NEG), score)
-
-        for prefix, (with_blank, with_token) in self.live.items():
-            either = _add(with_blank, with_token)
-            last = prefix[-1] if prefix else None
-            for token in chosen.tolist():
-                p = float(scores[token])
-                if token == self.blank:
-                    put(blank_ends, prefix, either + p)
-                    continue
-                longer = (*prefix, token)
-                if token == last:
-                    put(token_ends, prefix, with_token + p)
-                    put(token_ends, longer, with_blank + p + self.lm(longer))
-                else:
-                    put(token_ends, longer, either + p + self.lm(longer))
-        seen = dict.fromkeys([*blank_ends, *token_ends])
-        scored = [(x, (blank_ends.get(x, NEG), token_ends.get(x, NEG))) for x in seen]
-        scored.sort(key=lambda item: (-self.total(item), item[0]))
-        self.live = dict(scored[: self.width])
+class _Prefixes:
+    """Prefix search over a trellis (Hannun et al. 2014): every kept prefix has two log masses, of paths that end in
+    the blank and of paths that end in its last token. A frame moves all prefixes at once, as a matrix of prefixes
+    by tokens."""
+
+    def __init__(self, width: int, considered: int, blank: int, bonus: float, extend: Callable[[tuple], float] | None):
+        self.width, self.considered, self.blank, self.bonus = width, considered, blank, bonus
+        self.extend = extend or (lambda prefix: 0.0)
+        self.words: list[tuple] = [()]
+        self.mass = np.array([[0.0, NEG]])  # ending in the blank, ending in the last token
+        self.language: dict[tuple, float] = {}
+
+    def advance(self, scores: np.ndarray) -> None:
+        heard = np.full(scores.size, NEG)
+        strongest = np.argsort(-scores, kind="stable")[: self.considered]
+        heard[strongest] = scores[strongest]
+        whole = np.logaddexp(self.mass[:, 0], self.mass[:, 1])
+        last = np.array([w[-1] if w else -1 for w in self.words])
+        repeated = np.where(last >= 0, heard[last], NEG)
+        moved = dict(zip(self.words, np.stack([whole + heard[self.blank], self.mass[:, 1] + repeated], axis=1), strict=True))
+        # A token after itself is a new token only behind a blank.
+        tokens = np.array([t for t in strongest if t != self.blank], np.int64)
+        longer = np.where(last[:, None] == tokens, self.mass[:, :1], whole[:, None]) + heard[tokens]
+        for row, column in np.argwhere(longer > NEG):
+            word = (*self.words[row], int(tokens[column]))
+            if word not in self.language:
+                self.language[word] = self.extend(word)
+            mass = moved.setdefault(word, np.array([NEG, NEG]))
+            mass[1] = np.logaddexp(mass[1], longer[row, column] + self.language[word])
+        ranked = sorted(moved, key=lambda w: (-self.value(w, moved[w]), w))[: self.width]
+        self.words, self.mass = ranked, np.array([moved[w] for w in ranked])
+
+    def value(self, word: tuple, mass: np.ndarray) -> float:
+        return float(np.logaddexp(*mass)) + self.bonus * len(word)
 
     def best(self) -> tuple:
-        return min(self.live.items(), key=lambda item: (-self.total(item), item[0]))[0]
+        return self.words[0]
 
 
 def beam_decode(
@@ -88,8 +72,14 @@ def beam_decode(
     scorer: Callable[[str], float] | None = None,
     lm_weight: float = 0.0,
     column: str = "log_probs",
+    considered: int | None = None,
 ) -> DataFrame:
-    """Best text per utterance. Equal scores are decided by the token ids."""
+    """Best text per utterance. Equal scores are decided by the token ids.
+
+    Of each frame the ``considered`` strongest tokens (the blank among them) can extend a prefix, four times
+    ``width`` unless told otherwise; ``width`` prefixes are kept.
+    """
+    considered = considered or 4 * width
     kind = frames.schema["utterance_id"].dataType.simpleString()
 
     def text_of(prefix: tuple) -> str:
@@ -104,8 +94,8 @@ def beam_decode(
                 if beam is None or utt != current:
                     if beam is not None:
                         done.append((current, text_of(beam.best())))
-                    current, beam = utt, _Beam(width, blank, length_bonus, extend)
-                beam.step(np.asarray(scores, np.float64))
+                    current, beam = utt, _Prefixes(width, considered, blank, length_bonus, extend)
+                beam.advance(np.asarray(scores, np.float64))
             yield pd.DataFrame(done, columns=["utterance_id", "hyp"])
         if beam is not None:
             yield pd.DataFrame([(current, text_of(beam.best()))], columns=["utterance_id", "hyp"])
@@ -188,17 +178,23 @@ def viterbi_align(frames: DataFrame, targets: DataFrame, blank: int = 0, column:
     return _by_utterance(both, "frame").mapInPandas(run, f"utterance_id {kind}, frame bigint, label bigint")
 
 
+# "package.module:name", with the argument of a factory behind a second colon.
+SPEC = re.compile(r"(?P<place>[\w.]+:[\w.]+)(?::(?P<argument>.*))?", re.DOTALL)
+
+
 def resolve_scorer(spec: str) -> Callable[[str], float]:
-    """``module:function`` or ``module:factory:argument`` to a callable text -> score."""
-    module, name, *argument = spec.split(":", 2)
-    found = getattr(importlib.import_module(module), name)
-    if not callable(found):
-        raise TypeError(f"scorer {spec!r} is not callable")
-    if argument:
-        found = found(argument[0])
-        if not callable(found):
-            raise TypeError(f"factory {spec!r} did not return a callable")
-    return found
+    """The scorer that a text names: a function from text to score, or what a factory makes of its argument."""
+    parts = SPEC.fullmatch(spec)
+    if not parts:
+        raise ValueError(f"a scorer is named as module:name or module:factory:argument, not {spec!r}")
+    made = pkgutil.resolve_name(parts["place"])
+    stages = {"named object": made}
+    if parts["argument"] is not None and callable(made):
+        stages["factory's result"] = made = made(parts["argument"])
+    for stage, thing in stages.items():
+        if not callable(thing):
+            raise TypeError(f"the {stage} of {spec!r} cannot be called with a text")
+    return made
 
 
 def scorer_column(spec: str, text: Column) -> Column:

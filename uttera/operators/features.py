@@ -13,17 +13,19 @@ from uttera.functions.hashing import shard_index
 
 
 def write_features(df: DataFrame, path: str, shards: int = 64, mode: str = "append") -> None:
-    """Log rows in ``shards`` folders by the first 32 key bits.
+    """Log rows in ``shards`` folders by the first 32 key bits. ``row`` numbers the rows of one write in order.
 
     ``rebalance`` lets the adaptive planner cut a heavy shard into several files instead of
     sending each shard through one task.
     """
+    if "row" not in df.columns:
+        df = df.withColumn("row", F.monotonically_increasing_id())
     sharded = df.withColumn("shard", shard_index(F.col("key"), shards))
     sharded.hint("rebalance", "shard").write.mode(mode).partitionBy("shard").parquet(path)
 
 
 def append_features(df: DataFrame, path: str, version: int, deleted: bool = False, shards: int = 64) -> None:
-    """Append stored or deleted rows; a later version wins."""
+    """Append stored or deleted rows; a later version wins, and within one append the later row (``row``)."""
     rows = df.withColumn("deleted", F.lit(deleted)).withColumn("version", F.lit(version).cast("bigint"))
     if deleted:
         for name in ("rows", "cols", "values"):
@@ -39,23 +41,27 @@ def read_features(spark: SparkSession, path: str, schema: str) -> DataFrame:
 def latest_state(log: DataFrame, payload: list[str], key: str = "key", version: str = "version") -> DataFrame:
     """Newest row per key; a key whose newest row is a deletion is gone.
 
-    Narrow payloads ride along in ``max_by``, which combines before the shuffle; number
-    columns keep the whole aggregate in hash tables. Versions are unique within a key.
+    The newest row has the highest version and, in a log with the column ``row``, the last of the rows with it; of
+    rows equal in both a deletion is the newest. Everything combines before the shuffle. A log without ``row`` has
+    one stored row per key and version; its number columns then keep the whole aggregate in hash tables.
     """
-    newest = [F.max_by(c, version).alias(c) for c in payload]
-    return (
-        log.groupBy(key)
-        .agg(F.max_by("deleted", version).alias("__deleted"), F.max(version).alias(version), *newest)
-        .filter(~F.col("__deleted"))
-        .select(key, version, *payload)
-    )
+    last = F.col("deleted").cast("long")
+    if "row" in log.columns:
+        newest = F.max_by(F.struct("deleted", version, *payload), F.struct(version, "row", last))
+        picked = log.groupBy(key).agg(newest.alias("__row")).select(key, "__row.*")
+    else:
+        age = 2 * F.col(version) + last
+        columns = [F.max_by(c, age).alias(c) for c in ("deleted", version, *payload)]
+        picked = log.groupBy(key).agg(*columns)
+    return picked.filter(~F.col("deleted")).select(key, version, *payload)
 
 
 def latest_wide(log: DataFrame, key: str = "key", version: str = "version") -> DataFrame:
-    """The same for large payloads: winners are found on (key, version, deleted) alone and
-    only then joined, so payloads that lost are never aggregated or sorted."""
-    winners = latest_state(log.select(key, version, "deleted"), [], key, version)
-    return log.join(winners, [key, version], "left_semi").drop("deleted")
+    """The same for large payloads: winners are found on (key, version, row, deleted) alone and only then joined, so
+    payloads that lost are never aggregated. A log without ``row`` has one row per key, version and kind."""
+    place = [version, "row"] if "row" in log.columns else [version]
+    winners = latest_state(log.select(key, *place, "deleted"), place[1:], key, version)
+    return log.filter(~F.col("deleted")).join(winners, [key, *place], "left_semi").drop("deleted")
 
 
 def join_features(records: DataFrame, feats: DataFrame, key: str = "key") -> DataFrame:
@@ -95,13 +101,18 @@ def oriented(features: Column, bins: int) -> Column:
     )
 
 
-def feature_plausible(features: Column, bins: int, estimated: Column) -> Column:
-    """Right number of bins in one orientation and a believable number of frames.
+def frame_limit(estimated: Column) -> Column:
+    """Most frames that are believable for an estimate.
 
     Fixed values: 20,000 frames, four times the estimate, or the estimate plus 1,024.
     """
     e = F.greatest(estimated, F.lit(1))
-    limit = F.greatest(F.lit(20000), e * 4, e + 1024)
+    return F.greatest(F.lit(20000), e * 4, e + 1024)
+
+
+def feature_plausible(features: Column, bins: int, estimated: Column) -> Column:
+    """Right number of bins in one orientation and a believable number of frames."""
+    limit = frame_limit(estimated)
     rows, cols = F.size(features), F.size(F.get(features, 0))
     regular = F.forall(features, lambda r: F.size(r) == cols)
     frames = F.when(cols == bins, rows).when(rows == bins, cols).otherwise(F.lit(0))
