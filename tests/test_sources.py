@@ -88,11 +88,36 @@ def test_record_table_is_reused_only_if_whole(spark, tmp_path):
     for _ in range(2):
         assert records.open_or_build(spark, path, build).count() == 20
     assert len(built) == 1
-    next((tmp_path / "records" / "split=test").glob("*.parquet")).unlink()
-    assert not records.is_complete(spark, path)
-    assert records.open_or_build(spark, path, build).count() == 20 and len(built) == 2
-    (tmp_path / "records" / "_SUCCESS").unlink()
-    assert not records.is_complete(spark, path)
+    old = records.read_records(spark, path)
+    assert records.open_or_build(spark, path, build, {"seed": 1}).count() == 20 and len(built) == 2
+    assert old.count() == 20  # a reader of the version before is not disturbed
+    assert records.open_or_build(spark, path, build, {"seed": 1}).count() == 20 and len(built) == 2
+    folder = records.current(spark, path)["folder"]
+    next((tmp_path / "records" / folder / "split=test").glob("*.parquet")).unlink()
+    assert not records.is_complete(spark, path, {"seed": 1})
+    assert records.open_or_build(spark, path, build, {"seed": 1}).count() == 20 and len(built) == 3
+    (tmp_path / "records" / records.CURRENT).write_text("{")
+    assert not records.is_complete(spark, path, {"seed": 1})
+
+
+def test_a_failed_build_leaves_the_table_as_it_was(spark, tmp_path):
+    path = str(tmp_path / "records")
+    records.write_records(spark.range(3).withColumn("split", F.lit("train")), path)
+    bad = spark.range(5).withColumn("split", F.raise_error(F.lit("broken")).cast("string"))
+    with pytest.raises(Exception, match="broken"):
+        records.write_records(bad, path)
+    assert records.read_records(spark, path).count() == 3 and records.is_complete(spark, path)
+
+
+def test_preview_takes_what_can_be_decoded(spark, tmp_path):
+    from test_signal import sine, wav
+
+    rows = [(i, bytearray(b"x" if i % 2 else wav(sine())), f"a/{i}.wav", f"u{i}", "t") for i in range(10)]
+    df = spark.createDataFrame(rows, "row_index int, audio_bytes binary, audio_path string, utterance_id string, transcript string")
+    out = records.write_preview(df.withColumn("source_ord", F.lit(0)), 3, str(tmp_path / "p"))
+    assert sorted((r["index"], r["row_index"], r["file"]) for r in out.collect()) == [(0, 0, "sample_000000_a_0"), (1, 2, "sample_000001_a_2"), (2, 4, "sample_000002_a_4")]
+    listed = [json.loads(r[0]) for r in spark.read.text(str(tmp_path / "p" / "manifest")).collect()]
+    assert [x["utterance_id"] for x in sorted(listed, key=lambda x: x["index"])] == ["u0", "u2", "u4"]
 
 
 def test_reports(spark, tmp_path):
@@ -146,3 +171,24 @@ def test_preparation_plan(spark, tmp_path):
     assert again["records"].count() == 24
     few = plan.prepare(spark, [str(tmp_path / "data")], str(tmp_path / "few"), FilterConfig(), max_samples=5)
     assert sorted(r["row_index"] for r in few["records"].collect()) == [0, 1, 2, 3, 4]
+
+
+def test_preparation_checks_audio_and_takes_a_validation_source(spark, tmp_path):
+    from test_signal import sine, wav
+
+    audio = tmp_path / "audio"
+    audio.mkdir()
+    for i in range(8):
+        (audio / f"c{i}.wav").write_bytes(b"RIFF\0\0\0\0WAVE" if i == 3 else b"OggS" if i == 4 else wav(sine()))
+    rows = [[str(audio / f"c{i}.wav"), f"text number {i}", f"spk{i}", "1.0"] for i in range(10)]
+    write_tsv(tmp_path / "train" / "m.tsv", ["path", "sentence", "client_id", "duration"], rows)
+    write_tsv(tmp_path / "valid" / "m.tsv", ["path", "sentence", "client_id", "duration"], rows[:2])
+    out = plan.prepare(
+        spark, [str(tmp_path / "train")], str(tmp_path / "out"), validation_roots=[str(tmp_path / "valid")], audio_root=str(audio)
+    )
+    got = sorted((r["split"], r["audio_path"][-6:], r["num_samples"], r["sample_rate"]) for r in out["records"].collect())
+    want = [("train", f"c{i}.wav", 16000 if i == 4 else 4800, 16000) for i in (0, 1, 2, 4, 5, 6, 7)]
+    assert got == want + [("validation", f"c{i}.wav", 4800, 16000) for i in (0, 1)]
+    assert plan.prepare(spark, [str(tmp_path / "train")], str(tmp_path / "out"), embedded_only=True)["records"].count() == 0
+    plain = plan.prepare(spark, [str(tmp_path / "train")], str(tmp_path / "out"), FilterConfig(min_chars=99))
+    assert plain["records"].count() == 0 and plain["summary"].first()["skipped_too_short"] == 10

@@ -18,17 +18,12 @@ MANIFEST_COLUMNS = "id, sentence, client_id, path, duration::varchar AS duration
 
 @query(
     "scan_tsv",
-    v.sql("SELECT id, sentence, source, path, row_index::varchar AS row_index FROM manifest WHERE regexp_matches(sentence, '[^\\s\\pZ]') AND path IS NOT NULL", "manifest"),
+    v.sql("SELECT id, sentence, source, path, row_index::varchar AS row_index FROM manifest", "manifest"),
 )
 def scan_tsv(spark, folder):
     """Manifest written as TSV and read back, all columns as text."""
     path = scratch_path(spark, "tsv")
-    rows = v.manifest(spark, folder).filter(F.col("sentence").rlike(r"[^\s\p{Z}]") & F.col("path").isNotNull())
-    rows = rows.select("id", "sentence", "source", "path", "row_index")
-    (
-        rows.write.option("sep", "\t").option("header", True).option("escape", '"')
-        .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
-    )
+    manifests.write_tsv(v.manifest(spark, folder).select("id", "sentence", "source", "path", "row_index"), path)
     return manifests.read_tsv(spark, path)
 
 
@@ -155,15 +150,15 @@ def lm_artifact(spark, folder):
 
 @query("blob_store", "SELECT sha256(text) AS name, count(*) AS copies, strlen(any_value(text)) AS size FROM documents GROUP BY 1")
 def blob_store(spark, folder):
-    docs = v.table(spark, folder, "documents").select(F.col("text").cast("binary").alias("data"))
-    return blobs.dedupe_blobs(docs, "data").select("name", "copies", F.octet_length("data").cast("bigint").alias("size"))
+    docs = v.table(spark, folder, "documents").select("doc_id", F.col("text").cast("binary").alias("data"))
+    return blobs.dedupe_blobs(docs, "data", "doc_id").select("name", "copies", F.octet_length("data").cast("bigint").alias("size"))
 
 
 @query("new_blobs", "SELECT sha256(text) AS name FROM conversations EXCEPT SELECT sha256(text) FROM conversations WHERE turn = 0")
 def new_blobs(spark, folder):
-    turns = v.table(spark, folder, "conversations")
-    stored = blobs.dedupe_blobs(turns.filter(F.col("turn") == 0).select("text"), "text")
-    return blobs.new_blobs(blobs.dedupe_blobs(turns.select("text"), "text"), stored).select("name")
+    turns = v.table(spark, folder, "conversations").select(F.struct("conv_id", "turn").alias("at"), "turn", "text")
+    stored = blobs.dedupe_blobs(turns.filter(F.col("turn") == 0), "text", "at")
+    return blobs.new_blobs(blobs.dedupe_blobs(turns, "text", "at"), stored).select("name")
 
 
 # --- audio fixtures: WAV bytes made from the embeddings --------------------------------
@@ -189,10 +184,14 @@ def wav_clips(spark, folder):
         F.array_join(F.array_sort(F.collect_list(F.struct("frame", "h")))["h"], "").alias("body")
     )
     size = (F.length("body") / 2).cast("bigint")
+    # Every fifth clip has a note of odd length before its sound, every sixth a longer format chunk.
+    note = F.when(F.col("utterance_id") % 5 == 1, F.lit("4C495354" + "05000000" + "494E464F00" + "00")).otherwise(F.lit(""))
+    longer = F.col("utterance_id") % 6 == 2
+    whole_size = size + 36 + F.length(note) / 2 + F.when(longer, 2).otherwise(0)
     head = F.concat(
-        F.lit("52494646"), _le(size + 36, 4), F.lit("57415645666D7420"), _le(F.lit(16), 4), _le(F.lit(1), 2),
-        _le(F.lit(1), 2), _le(F.lit(16000), 4), _le(F.lit(32000), 4), _le(F.lit(2), 2), _le(F.lit(16), 2),
-        F.lit("64617461"), _le(size, 4),
+        F.lit("52494646"), _le(whole_size.cast("bigint"), 4), F.lit("57415645666D7420"), F.when(longer, _le(F.lit(18), 4)).otherwise(_le(F.lit(16), 4)),
+        _le(F.lit(1), 2), _le(F.lit(1), 2), _le(F.lit(16000), 4), _le(F.lit(32000), 4), _le(F.lit(2), 2), _le(F.lit(16), 2),
+        F.when(longer, F.lit("0000")).otherwise(F.lit("")), note, F.lit("64617461"), _le(size, 4),
     )
     whole = F.unhex(F.concat(head, F.col("body")))
     built = computed_once(body, __wav=whole)
@@ -203,21 +202,31 @@ def wav_clips(spark, folder):
 _CLIPS = "SELECT (vec_id // 25)::bigint AS utterance_id, count(*) * 64 AS n FROM embeddings GROUP BY 1"
 
 
+def odd_clips(spark, folder):
+    """The clips, every seventh of them in a format whose header is not read."""
+    other = F.concat(F.lit("OggS").cast("binary"), F.col("audio_bytes"))
+    return wav_clips(spark, folder).withColumn(
+        "audio_bytes", F.when(F.col("utterance_id") % 7 == 4, other).otherwise(F.col("audio_bytes"))
+    )
+
+
 @query(
     "probe_audio",
-    f"SELECT utterance_id, CASE WHEN utterance_id % 10 = 3 THEN 0 ELSE n END AS num_samples, CASE WHEN utterance_id % 10 = 3 THEN 0 ELSE 16000 END::bigint AS sample_rate FROM ({_CLIPS})",
+    f"""SELECT utterance_id, CASE WHEN status = 'pcm' THEN n ELSE 0 END AS num_samples,
+        CASE WHEN status = 'pcm' THEN 16000 ELSE 0 END::bigint AS sample_rate, status
+        FROM (SELECT *, CASE WHEN utterance_id % 7 = 4 THEN 'unknown' WHEN utterance_id % 10 = 3 THEN 'broken' ELSE 'pcm' END AS status FROM ({_CLIPS}))""",
 )
 def probe_audio(spark, folder):
     from uttera.operators import signal
 
-    return signal.probe_audio(wav_clips(spark, folder)).select("utterance_id", "num_samples", "sample_rate")
+    return signal.probe_audio(odd_clips(spark, folder)).select("utterance_id", "num_samples", "sample_rate", "status")
 
 
-@query("prevalidate_audio", f"SELECT utterance_id FROM ({_CLIPS}) WHERE utterance_id % 10 <> 3")
+@query("prevalidate_audio", f"SELECT utterance_id FROM ({_CLIPS}) WHERE utterance_id % 7 = 4 OR utterance_id % 10 <> 3")
 def prevalidate_audio(spark, folder):
     from uttera.operators import signal
 
-    return signal.prevalidate(wav_clips(spark, folder)).select("utterance_id")
+    return signal.prevalidate(odd_clips(spark, folder)).select("utterance_id")
 
 
 @query(
@@ -229,7 +238,7 @@ def decode_wav(spark, folder):
     from uttera.functions.arrays import array_total
     from uttera.operators import signal
 
-    decoded = signal.decode_wav(signal.prevalidate(wav_clips(spark, folder)))
+    decoded = signal.decode_wav(signal.prevalidate(wav_clips(spark, folder), known=True))
     return decoded.select(
         "utterance_id", F.size("samples").cast("bigint").alias("n"), F.round(array_total(F.col("samples")), 6).alias("total")
     )
@@ -278,7 +287,7 @@ def _signal_query(name, job, sql=None):
     def run(spark, folder):
         from uttera.operators import signal
 
-        decoded = signal.decode_wav(signal.prevalidate(wav_clips(spark, folder)))
+        decoded = signal.decode_wav(signal.prevalidate(wav_clips(spark, folder), known=True))
         out = getattr(signal, job)(decoded)
         if "features" not in out.columns:
             return out
@@ -293,7 +302,7 @@ _signal_query("augment_waveform", "augment_waveform")
 @query(
     "extract_features",
     f"""SELECT CASE WHEN utterance_id % 10 = 3 THEN 'failed' WHEN utterance_id % 4 = 1 THEN 'hit' ELSE 'written' END AS outcome,
-        count(*) AS n FROM ({_CLIPS}) GROUP BY 1""",
+        count(*)::bigint AS n FROM ({_CLIPS}) GROUP BY 1""",
 )
 def extract_features(spark, folder):
     """Second run of the warming job after a first one over a quarter of the clips."""
@@ -304,7 +313,8 @@ def extract_features(spark, folder):
     early = F.col("utterance_id").cast("bigint") % 4 == 1
     good = F.col("utterance_id").cast("bigint") % 10 != 3
     warm.extract_features(clips.filter(early & good), path, version=1)
-    return warm.extract_features(clips, path, version=2)
+    found = warm.extract_features(clips, path, version=2)
+    return found.groupBy("outcome").agg(F.sum("n").alias("n"))
 
 
 @query("sniff_opus", "SELECT page_id, page_id % 3 = 0 OR contains(html, 'nav') AND page_id % 3 = 1 AS opus FROM pages")
@@ -474,3 +484,56 @@ def feature_plausible(spark, folder):
         "vec_id", features.feature_plausible(F.col("m"), 64, F.lit(2)).alias("ok"),
         F.when(fixed.isNotNull(), F.size(fixed)).alias("frames"),
     )
+
+
+@query(
+    "discover_manifests",
+    v.sql("SELECT source, count(*) AS n, count(path) AS paths FROM manifest GROUP BY source", "manifest"),
+)
+def discover_manifests(spark, folder):
+    """Manifests below nested folders, with Parquet beside them that is ignored as there are TSV files."""
+    path = scratch_path(spark, "manifests")
+    rows = v.manifest(spark, folder).select("id", "sentence", "source", "path")
+    late = F.pmod(F.xxhash64("id"), F.lit(2)) == 1
+    manifests.write_tsv(rows.filter(late), f"{path}/a/b")
+    manifests.write_tsv(rows.filter(~late).withColumnRenamed("id", "utterance"), f"{path}/c")
+    rows.limit(1).write.parquet(f"{path}/d")
+    renamed = spark.sparkContext._jvm.org.apache.hadoop.fs
+    for name in ("a/b", "c"):
+        _as_tsv(spark, renamed, f"{path}/{name}")
+    found = manifests.read_manifests(spark, path)
+    return found.groupBy("source").agg(F.count("*").alias("n"), F.count("path").alias("paths"))
+
+
+def _as_tsv(spark, hadoop, folder: str) -> None:
+    """Spark's writer names its files .csv; manifests are found by their suffix."""
+    root = hadoop.Path(folder)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for status in fs.listStatus(root):
+        name = status.getPath().getName()
+        if name.endswith(".csv"):
+            fs.rename(status.getPath(), hadoop.Path(root, name.replace(".csv", ".tsv")))
+
+
+@query("reuse_records", v.sql("SELECT utterance_id, split FROM records", "records"))
+def reuse_records(spark, folder):
+    """A table that is there is read; building it again would fail."""
+    path = scratch_path(spark, "reused")
+    rows = v.records(spark, folder).select("utterance_id", "split")
+    records.write_records(rows, path, {"seed": 13})
+
+    def never():
+        raise AssertionError("the table is complete")
+
+    return records.open_or_build(spark, path, never, {"seed": 13})
+
+
+@query(
+    "log_every",
+    "SELECT o_orderkey, CASE WHEN n <= 0 THEN 1 ELSE greatest(1000, least(50000, n // 20)) END AS every FROM (SELECT o_orderkey, o_orderkey * (o_custkey % 9) AS n FROM orders)",
+)
+def log_every(spark, folder):
+    from uttera.operators import ranking
+
+    n = F.col("o_orderkey") * (F.col("o_custkey") % 9)
+    return v.table(spark, folder, "orders").select("o_orderkey", ranking.progress_interval(n).alias("every"))

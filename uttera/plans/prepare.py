@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from dataclasses import asdict
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from uttera.config import TRAINING, FilterConfig, SplitConfig
-from uttera.operators import audit, quality, splits, vocab
+from uttera.config import TRAINING, FilterConfig, FrontendConfig, SplitConfig
+from uttera.functions.audio import reestimate_frames
+from uttera.operators import audit, quality, signal, splits, vocab
+from uttera.session import cut_lineage
 from uttera.sources import manifests, records
 
 
@@ -19,6 +23,41 @@ def judge(
     return splits.assign_split(quality.with_rejection(rows, cfg, base=F.col("source")), split)
 
 
+def _path_key(path: Column) -> Column:
+    """A path as a listing has it: local ones without scheme."""
+    return F.regexp_replace(path, "^file:/+", "/")
+
+
+def with_audio(rows: DataFrame, audio: DataFrame, cfg: FrontendConfig = FrontendConfig()) -> DataFrame:
+    """Checks record rows against audio files (path, audio_bytes) and takes lengths from their headers.
+
+    Rows whose file is not listed, or provably broken, go; embedded bytes count as listed and are probed like files. Only
+    paths and header numbers are joined, never bytes.
+    """
+    probe = signal.probe_audio(audio.select(_path_key(F.col("path")).alias("__path"), "audio_bytes")).select(
+        "__path", F.col("num_samples").alias("__n"), F.col("sample_rate").alias("__rate"), F.col("status").alias("__status")
+    )
+    probe = probe.groupBy("__path").agg(*[F.max(c).alias(c) for c in ("__n", "__rate", "__status")])
+    embedded = signal.probe_audio(rows.select("*", F.col("num_samples").alias("__was"), F.col("sample_rate").alias("__hz")))
+    rows = embedded.select(
+        *[c for c in rows.columns if c not in ("num_samples", "sample_rate")],
+        F.col("__was").alias("num_samples"), F.col("__hz").alias("sample_rate"),
+        F.struct(F.col("num_samples").alias("n"), F.col("sample_rate").alias("rate"), "status").alias("__own"),
+    )
+    joined = rows.join(probe, _path_key(F.col("audio_path")) == F.col("__path"), "left")
+    own = F.col("audio_bytes").isNotNull()
+    status = F.when(own, F.col("__own.status")).otherwise(F.col("__status"))
+    n, rate = F.when(own, F.col("__own.n")).otherwise(F.col("__n")), F.when(own, F.col("__own.rate")).otherwise(F.col("__rate"))
+    known = F.coalesce(n > 0, F.lit(False))
+    kept = joined.filter(status.isNotNull() & (status != "broken"))
+    return kept.select(
+        *[c for c in rows.columns if c not in ("num_samples", "sample_rate", "estimated_frames", "__own")],
+        F.when(known, n).otherwise(F.col("num_samples")).cast("bigint").alias("num_samples"),
+        F.when(known, rate).otherwise(F.col("sample_rate")).cast("int").alias("sample_rate"),
+        reestimate_frames(n, rate, F.col("estimated_frames"), cfg).alias("estimated_frames"),
+    )
+
+
 def prepare(
     spark: SparkSession,
     roots: list[str],
@@ -26,20 +65,38 @@ def prepare(
     cfg: FilterConfig = TRAINING,
     split: SplitConfig = SplitConfig(),
     max_samples: int | None = None,
+    validation_roots: list[str] | None = None,
+    audio_root: str | None = None,
+    embedded_only: bool = False,
 ) -> dict[str, DataFrame]:
-    """Record table (reused if complete) with summary, audit and vocabulary beside it."""
+    """Record table (reused if complete and made from the same settings) with summary, audit and vocabulary beside it.
+
+    With ``validation_roots`` those sources are the validation split and ``roots`` the training split, whole. With
+    ``audio_root`` rows must have a readable file below it (or embedded bytes), and lengths come from the headers.
+    ``embedded_only`` keeps rows with embedded bytes alone. All reports are made from the settings of the table.
+    """
+    settings = {
+        "roots": roots, "filter": asdict(cfg), "split": asdict(split), "max_samples": max_samples,
+        "validation_roots": validation_roots, "audio_root": audio_root, "embedded_only": embedded_only,
+    }
+    train = judge(spark, roots, cfg, split)
+    other = judge(spark, validation_roots, cfg, split) if validation_roots else None
+    judged = cut_lineage(train if other is None else splits.split_plan(train, other, split))
 
     def build() -> DataFrame:
-        selected = quality.usable(judge(spark, roots, cfg, split))
+        selected = quality.usable(judged)
+        if embedded_only:
+            selected = quality.require_bytes(selected)
+        if audio_root:
+            selected = with_audio(selected, records.read_audio(spark, audio_root))
         if max_samples is None:
             return selected
         return selected.orderBy("source_ord", "row_index").limit(max_samples)
 
-    table = records.open_or_build(spark, f"{out}/records", build)
-    found = audit.split_audit(table)
+    table = records.open_or_build(spark, f"{out}/records", build, settings)
     reports = {
-        "summary": audit.loader_summary(judge(spark, roots, cfg, split)),
-        "audit": found,
+        "summary": audit.loader_summary(judged),
+        "audit": audit.split_audit(table),
         "overlap": audit.speaker_overlap(table),
     }
     for name, report in reports.items():

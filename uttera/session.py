@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -29,7 +32,8 @@ def local_session(app: str = "uttera", cores: str = "8", **conf: str) -> SparkSe
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, named by the cluster in ``spark.checkpoint.dir``.
 
-    Only where the setting is absent (tests, one machine) a fresh local folder is used.
+    Only on a local master, where all tasks share the machine, a fresh local folder stands in for a missing
+    setting. It is removed when the program ends.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
@@ -37,7 +41,11 @@ def shared_dir(spark: SparkSession) -> str:
     known = spark.sparkContext.getCheckpointDir()
     if known:
         return known
+    master = spark.sparkContext.master
+    if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+        raise RuntimeError(f"set spark.checkpoint.dir to a folder that all executors of {master} share")
     local = tempfile.mkdtemp(prefix="uttera-")
+    atexit.register(shutil.rmtree, local, ignore_errors=True)
     spark.sparkContext.setCheckpointDir(local)
     return local
 

@@ -3,6 +3,8 @@ Spark can read works."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import SparkSession
 
 
@@ -41,6 +43,19 @@ def first_line(spark: SparkSession, path: str) -> str:
         stream.close()
 
 
+def publish_text(spark: SparkSession, path: str, body: str) -> None:
+    """Replace a small file so that readers see the old text or the new one, never a part."""
+    beside = f"{path}.{uuid.uuid4().hex}"
+    write_text(spark, beside, body)
+    target, fs = _fs(spark, path)
+    source = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(beside)
+    context = spark.sparkContext._jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    option = spark.sparkContext._jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    options = spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    options[0] = option
+    context.rename(fs.makeQualified(source), fs.makeQualified(target), options)
+
+
 def write_text(spark: SparkSession, path: str, body: str) -> None:
     target, fs = _fs(spark, path)
     stream = fs.create(target, True)

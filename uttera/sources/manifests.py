@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from uttera.functions import text
 from uttera.operators import quality
+from uttera.session import cut_lineage
 from uttera.sources import files
 
 
@@ -41,10 +43,19 @@ def read_tsv(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), scans)
 
 
-def read_parquet(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """Parquet manifests; optional columns of single files are merged into one schema."""
+def write_tsv(df: DataFrame, path: str) -> None:
+    """Tab-separated files that read_tsv reads back as they are: nulls, empty texts and outer blanks stay apart."""
+    (
+        df.write.option("sep", "\t").option("header", True).option("quote", '"').option("escape", '"')
+        .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+    )
+
+
+def read_parquet(spark: SparkSession, paths: str | list[str], merge: bool = True) -> DataFrame:
+    """Parquet manifests; optional columns of single files are merged into one schema. Without ``merge`` one footer
+    tells the schema of all files, which saves reading the others."""
     paths = [paths] if isinstance(paths, str) else list(paths)
-    return spark.read.option("mergeSchema", True).option("recursiveFileLookup", True).parquet(*paths)
+    return spark.read.option("mergeSchema", merge).option("recursiveFileLookup", True).parquet(*paths)
 
 
 def read_manifests(spark: SparkSession, root: str) -> DataFrame:
@@ -66,17 +77,29 @@ def union_sources(frames: list[DataFrame], names: list[str] | None = None) -> Da
 def with_row_index(df: DataFrame, out: str = "row_index") -> DataFrame:
     """Dense 0-based row number in file order for a DataFrame read from files.
 
-    A file block is read by one task, in order, so the running id of the scan gives the
-    place inside the block. Block sizes are one small row per block; their prefix sum gives
-    each block its start. Rows are neither sorted nor shuffled.
+    Parquet tells the row's number in its file, so only the files' sizes (from a scan that reads no column) are summed
+    up. Other formats are numbered by block, see _by_block. Rows are neither sorted nor numbered twice.
     """
+    try:
+        marked = df.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__at"))
+    except AnalysisException:
+        return _by_block(df, out)
+    sizes = df.select(F.col("_metadata.file_path").alias("__file")).groupBy("__file").agg(F.count("*").alias("__rows"))
+    before = Window.orderBy("__file").rowsBetween(Window.unboundedPreceding, -1)  # over files
+    starts = sizes.select("__file", F.coalesce(F.sum("__rows").over(before), F.lit(0)).alias("__skip"))
+    return marked.join(starts, "__file").withColumn(out, F.col("__at") + F.col("__skip")).drop("__file", "__at", "__skip")
+
+
+def _by_block(df: DataFrame, out: str) -> DataFrame:
+    """A file block is read by one task, in order, so the running id of the scan gives the place inside the
+    block. Block sizes are one small row per block; their prefix sum gives each block its start."""
     marked = df.select(
         "*",
         F.col("_metadata.file_path").alias("__file"),
         F.col("_metadata.file_block_start").alias("__start"),
         F.monotonically_increasing_id().alias("__id"),
     )
-    blocks = marked.groupBy("__file", "__start").agg(F.count("*").alias("__n"), F.min("__id").alias("__first"))
+    blocks = cut_lineage(marked.groupBy("__file", "__start").agg(F.count("*").alias("__n"), F.min("__id").alias("__first")))
     in_file = Window.partitionBy("__file").orderBy("__start").rowsBetween(Window.unboundedPreceding, -1)
     over_files = Window.orderBy("__file").rowsBetween(Window.unboundedPreceding, -1)
     per_file = blocks.groupBy("__file").agg(F.sum("__n").alias("__rows")).select(

@@ -3,45 +3,76 @@
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from uttera.functions import audio, text
 from uttera.sources import files
 
 RECORD_SCHEMA = (
     "row_index bigint, audio_path string, audio_bytes binary, transcript string, utterance_id string, "
     "speaker_id string, has_speaker_id boolean, num_samples bigint, sample_rate int, estimated_frames bigint"
 )
-ROWS_FILE = "_rows.json"
+CURRENT = "current.json"
 
 
-def write_records(df: DataFrame, path: str) -> None:
-    """One folder per split. The commit marker is written last, then the row count that
-    readers check, so a table is seen whole or not at all."""
-    df.write.mode("overwrite").partitionBy("split").parquet(path)
+def write_records(df: DataFrame, path: str, params: dict | None = None) -> None:
+    """A record table as a new version of ``path``, one folder per split.
+
+    Every version has a folder of its own. Once it is written and counted, the pointer file CURRENT is replaced in one
+    step, so readers see the old table or the new one whole. ``params`` tells what it was made from.
+    """
     spark = df.sparkSession
-    rows = spark.read.parquet(path).count()
-    files.write_text(spark, f"{path}/{ROWS_FILE}", json.dumps({"rows": rows}))
+    folder = f"v-{uuid.uuid4().hex}"
+    df.write.partitionBy("split").parquet(f"{path}/{folder}")
+    # The schema is kept with it: an empty table has no file to tell it.
+    entry = {"folder": folder, "schema": df.schema.jsonValue(), "params": params}
+    rows = _version(spark, path, entry).count()
+    files.publish_text(spark, f"{path}/{CURRENT}", json.dumps(entry | {"rows": rows}, sort_keys=True))
+
+
+def _version(spark: SparkSession, path: str, entry: dict) -> DataFrame:
+    return spark.read.schema(T.StructType.fromJson(entry["schema"])).parquet(f"{path}/{entry['folder']}")
+
+
+def current(spark: SparkSession, path: str) -> dict | None:
+    """What the pointer file says, if there is one that can be read."""
+    if not files.exists(spark, f"{path}/{CURRENT}"):
+        return None
+    try:
+        return json.loads(files.first_line(spark, f"{path}/{CURRENT}"))
+    except (ValueError, Py4JJavaError):  # cut short or damaged
+        return None
 
 
-def is_complete(spark: SparkSession, path: str) -> bool:
-    """Committed, and with as many rows as its writer counted (footers only, no scan)."""
-    if not (files.exists(spark, f"{path}/_SUCCESS") and files.exists(spark, f"{path}/{ROWS_FILE}")):
+def is_complete(spark: SparkSession, path: str, params: dict | None = None) -> bool:
+    """Published, made from these parameters, and with as many rows as its writer counted (footers only)."""
+    known = current(spark, path)
+    if known is None or json.loads(json.dumps(params)) != known["params"]:
         return False
     try:
-        wanted = json.loads(files.first_line(spark, f"{path}/{ROWS_FILE}"))["rows"]
-        return spark.read.parquet(path).count() == wanted
-    except Exception:
+        return _version(spark, path, known).count() == known["rows"]
+    except Exception:  # files are gone or damaged
         return False
 
 
-def open_or_build(spark: SparkSession, path: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """Reuse a complete record table, else build it again."""
-    if not is_complete(spark, path):
-        write_records(build(), path)
-    return spark.read.parquet(path)
+def read_records(spark: SparkSession, path: str) -> DataFrame:
+    known = current(spark, path)
+    if known is None:
+        raise FileNotFoundError(f"no published record table at {path}")
+    return _version(spark, path, known)
+
+
+def open_or_build(spark: SparkSession, path: str, build: Callable[[], DataFrame], params: dict | None = None) -> DataFrame:
+    """Reuse a complete record table made from the same parameters, else build it again."""
+    if not is_complete(spark, path, params):
+        write_records(build(), path, params)
+    return read_records(spark, path)
 
 
 def read_records_json(spark: SparkSession, path: str, schema: str = RECORD_SCHEMA) -> DataFrame:
@@ -57,14 +88,31 @@ def read_audio(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
 
 
 def preview(df: DataFrame, n: int, order: tuple[str, ...] = ("source_ord", "row_index")) -> DataFrame:
-    """First n records that can be decoded, numbered."""
-    from pyspark.sql import Window
-
+    """The first n records that can be decoded, numbered by ``index``. Embedded bytes must have a PCM header that tells
+    their length; records without bytes count by their metadata."""
+    known = F.lit(True)
+    for name in ("num_samples", "sample_rate"):
+        if name in df.columns:
+            known = known & (F.col(name) > 0)
+    if "audio_bytes" in df.columns:
+        size = F.octet_length("audio_bytes").cast("bigint")
+        header = audio.wav_header(F.col("audio_bytes"), size)["status"] == "pcm"
+        known = F.when(F.col("audio_bytes").isNotNull(), header).otherwise(known)
+    df = df.filter(known)
     first = df.orderBy(*order).limit(n).withColumn("__all", F.lit(0))
     ranked = Window.partitionBy("__all").orderBy(*order)
     return first.withColumn("index", F.row_number().over(ranked) - 1).drop("__all")
 
 
+def write_preview(df: DataFrame, n: int, path: str, order: tuple[str, ...] = ("source_ord", "row_index")) -> DataFrame:
+    """The preview as a table below ``path`` with a manifest of file names, ids and texts beside it."""
+    shown = preview(df, n, order).withColumn("file", text.preview_name(F.col("index"), F.coalesce("audio_path", "utterance_id")))
+    shown.write.mode("overwrite").parquet(f"{path}/records")
+    kept = df.sparkSession.read.parquet(f"{path}/records")
+    write_report(kept.orderBy("index").select("index", "file", "utterance_id", "transcript"), f"{path}/manifest")
+    return kept
+
+
 def to_report(df: DataFrame) -> DataFrame:
     """Each row as one JSON text."""
     return df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("value"))
