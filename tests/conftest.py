@@ -11,7 +11,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 def spark():
     from uttera.session import local_session
 
-    session = local_session("tests", "8")
+    session = local_session("tests", os.environ.get("TEST_CORES", "8"))
     session.conf.set("spark.sql.shuffle.partitions", "4")
     yield session
     session.stop()

@@ -12,8 +12,8 @@ from uttera.catalog import REGISTRY
 # Queries that run Python in the tasks, by design.
 PYTHON = {
     "beam_decode", "viterbi_align", "scorer_plugin", "decode_wav", "log_mel", "fbank_stacked", "augment_waveform",
-    "extract_features", "stream_alert", "unigram_vocab", "batch_length_bucket", "batch_max_frames", "batch_duration",
-    "batch_adaptive", "batch_adaptive_frames", "assign_batch", "batch_plan", "feature_payload", "padding_waste", "longest_first",
+    "extract_features", "stream_alert", "stream_warm", "unigram_vocab", "batch_max_frames", "batch_duration",
+    "batch_adaptive", "batch_adaptive_frames", "assign_batch", "batch_plan", "feature_payload", "redact_json", "redact_json_values",
 }
 
 
@@ -51,3 +51,25 @@ def test_driver_contract(spark):
     names = set(entry.queries())
     assert set(entry.oracle_sql()) <= names and len(names) > 130
     assert entry.entry(spark).count() > 0
+
+
+def test_entry_works_without_the_training_data_part():
+    """The package may be shipped without uttera.llm and corpus_pipeline."""
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    code = (
+        "import sys; sys.modules['{gone}'] = None; import __spark_entry__ as e; "
+        "assert len(e.queries()) > 130 and set(e.oracle_sql()) <= set(e.queries()); assert 'pipeline' not in e.queries()"
+    )
+    for gone in ("uttera.llm", "corpus_pipeline"):
+        subprocess.run([sys.executable, "-c", code.format(gone=gone)], check=True, cwd=Path(__file__).parent.parent)
+
+
+def test_bytes_are_not_sorted_where_blobs_are_deduplicated(spark, folder):
+    from uttera.operators import blobs
+
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    plan = blobs.dedupe_blobs(docs, "text", "doc_id")._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "SortMergeJoin" not in plan

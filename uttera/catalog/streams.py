@@ -1,6 +1,6 @@
 """Streaming operators, checked against the same result computed as a batch.
 
-The given tables are laid out as several files that arrive in order, one per micro-batch.
+The given tables are laid out as several files per step, and the steps arrive in order, one micro-batch each.
 """
 
 from __future__ import annotations
@@ -13,15 +13,17 @@ from uttera.operators import features, metrics
 from uttera.session import scratch_path
 from uttera.streaming import jobs
 
+FILES = 4
 
-def arriving(spark, df, order: str, pieces: int = 3):
-    """The rows as ``pieces`` files written one after the other, read back as a stream."""
+
+def arriving(spark, df, order: str, steps: int = 3):
+    """The rows in ``steps`` writes of FILES files, one after the other, read back as a stream."""
     path = scratch_path(spark, "arriving")
-    top = df.agg(F.max(order)).first()[0]
-    piece = F.floor(F.col(order) * pieces / (top + 1))
-    for i in range(pieces):
-        df.filter(piece == i).coalesce(1).write.mode("append").parquet(path)
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    end = df.agg(F.max(order) + 1).scalar()
+    step = F.floor(F.col(order) * steps / end)
+    for i in range(steps):
+        df.filter(step == i).repartition(FILES).write.mode("append").parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", FILES).parquet(path)
 
 
 def events(spark, folder):
@@ -41,7 +43,7 @@ def stream_records(spark, folder):
 @query("stream_dedup", "SELECT DISTINCT props FROM events")
 def stream_dedup(spark, folder):
     out = scratch_path(spark, "stream-dedup")
-    seen = jobs.stream_dedup(arriving(spark, events(spark, folder), "event_id"), "props", "ts", "3650 days")
+    seen = jobs.stream_dedup(arriving(spark, events(spark, folder), "event_id"), "props", "ts", "31 days")
     jobs.drain(seen.select("props"), out, scratch_path(spark, "ckpt"))
     return spark.read.parquet(out).select("props")
 
@@ -89,3 +91,22 @@ def stream_alert(spark, folder):
     rule = metrics.starvation_rule(F.col("step"), F.lit(1.5), share, F.col("value"))
     jobs.drain(jobs.stream_alert(steps, "run", "step", rule), out, scratch_path(spark, "ckpt"))
     return spark.read.parquet(out).select("run", "first_step")
+
+
+@query(
+    "stream_warm",
+    "SELECT u % 10 <> 3 AS stored, count(*) AS n FROM (SELECT DISTINCT vec_id // 25 AS u FROM embeddings) GROUP BY 1",
+)
+def stream_warm(spark, folder):
+    """Clips that arrive in three steps, then all of them again, which adds nothing."""
+    from uttera.catalog.storage import wav_clips
+    from uttera.plans import warm
+
+    clips = wav_clips(spark, folder).select(F.col("utterance_id").alias("at"), F.col("utterance_id").cast("string"), "audio_bytes")
+    path = scratch_path(spark, "stream-warm")
+    for _ in range(2):
+        stream = arriving(spark, clips, "at").drop("at")
+        jobs.stream_warm(stream, path, scratch_path(spark, "ckpt")).awaitTermination()
+    log = warm.read_log(clips, path)
+    last = log.groupBy("key").agg(F.count_if(~F.col("deleted")).alias("stored"))
+    return last.groupBy((F.col("stored") == 1).alias("stored")).agg(F.count("*").alias("n"))

@@ -15,13 +15,3 @@ def computed_once(df: DataFrame, **columns: Column) -> DataFrame:
     """
     bundle = F.struct(*[c.alias(name) for name, c in columns.items()])
     return df.select("*", F.inline(F.array(bundle)))
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Use all cores for an input that arrives in fewer pieces than there are cores.
-
-    Large tables have more scan tasks than cores and are returned as they are, so this
-    never shuffles data at scale.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

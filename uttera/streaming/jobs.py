@@ -13,8 +13,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from uttera.config import TRAINING, FilterConfig, SplitConfig
+from uttera.config import TRAINING, FilterConfig, FrontendConfig, SplitConfig
 from uttera.operators import features, quality, splits
+from uttera.plans import warm
 
 
 def _start(writer, checkpoint: str, trigger: dict | None) -> StreamingQuery:
@@ -61,6 +62,21 @@ def stream_features(
     return _start(log.writeStream.foreachBatch(append), checkpoint, trigger)
 
 
+def stream_warm(
+    clips: DataFrame, path: str, checkpoint: str, cfg: FrontendConfig = FrontendConfig(), shards: int = 64, trigger: dict | None = None
+) -> StreamingQuery:
+    """New clips (utterance_id, audio_bytes) -> features in the log at ``path``.
+
+    Each micro-batch is one run of the warming job: clips with stored features are skipped, implausible features are
+    done again, failures are logged. A batch that is run again finds its own rows and skips them.
+    """
+
+    def warm_batch(batch: DataFrame, batch_id: int) -> None:
+        warm.extract_features(batch, path, version=batch_id + 1, cfg=cfg, shards=shards).collect()  # a row per outcome
+
+    return _start(clips.writeStream.foreachBatch(warm_batch), checkpoint, trigger)
+
+
 def compact(log: DataFrame, payload: list[str], path: str) -> None:
     """Latest state as a new table; a batch job to run beside the stream."""
     features.latest_state(log, payload).withColumn("deleted", F.lit(False)).write.mode("overwrite").parquet(path)
