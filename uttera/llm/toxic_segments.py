@@ -10,6 +10,7 @@ sample turns it into a probability.
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -25,7 +26,7 @@ from uttera.llm.common import ALNUM, label_counts, labelled_sample, map_texts
 #: Labelled rows of each class that the scores are fitted on, at most.
 PER_CLASS = 2000
 #: z-score and size of the log-odds from which a word is evidence.
-MIN_Z, MIN_ODDS = 3.5, 1.0
+MIN_Z, MIN_ODDS = 3.0, 2.0
 #: Weight of the corpus prior, as a share of the sample's words.
 PRIOR_SHARE = 0.2
 #: Segments with at most so many expected chance occurrences in a clean text of that length are significant.
@@ -107,6 +108,11 @@ def _log_odds(toxic: Counter, clean: Counter, prior: dict[bytes, float], strengt
     return out
 
 
+def _sketch(words: set[bytes]) -> tuple[int, ...]:
+    """Three minimum hashes of a word set; near copies mostly share them, other texts hardly ever do."""
+    return tuple(min((zlib.crc32(w, seed) for w in words), default=0) for seed in (1, 2, 3))
+
+
 def corpus_counts(documents: DataFrame, words: list[bytes], text: str = "text") -> tuple[dict[bytes, int], int]:
     """In how many documents of the whole corpus each of the words occurs, and the sum of that over all words.
 
@@ -169,11 +175,16 @@ def fit(documents: DataFrame, labels: DataFrame, label: str = "toxic", per_class
     sample = labelled_sample(documents, labels, label, per_class)
     counts, sizes, bags = [Counter(), Counter()], [0, 0], []
     for row in sample.toLocalIterator():
-        text = (row["text"] or "").encode()
-        counts[row["label"]].update(set(tokens(text)))  # by document, so that no single text makes a word evidence
-        sizes[row["label"]] += 1
-        bags.append((row["doc_id"], row["label"], text))
+        bags.append((row["doc_id"], row["label"], (row["text"] or "").encode()))
     bags.sort(key=lambda b: b[0])
+    seen = set()
+    for _, y, text in bags:
+        sizes[y] += 1
+        # Counted by document, and near copies once, so that neither a long text nor a copied one makes evidence.
+        words = set(tokens(text))
+        if (mark := (y, _sketch(words))) not in seen:
+            seen.add(mark)
+            counts[y].update(words)
     nothing = Lexicon({}, -1.0, 1.0, 0.0, 0.0, odds)
     if not all(sizes):
         return nothing
