@@ -245,11 +245,13 @@ def components_of(prints: DataFrame, doc_id: str = "doc_id", most: int = MOST) -
     """
     nodes = cut_lineage(prints.groupBy("fingerprint").agg(F.min(doc_id).alias("low")))
     roots = connected_components(links_of(nodes.select("fingerprint"), most))
-    placed = nodes.join(roots.withColumnRenamed("node", "fingerprint"), "fingerprint", "left").select(
-        "fingerprint", F.coalesce("root", "fingerprint").alias("root"), "low"
+    linked = cut_lineage(nodes.join(roots.withColumnRenamed("node", "fingerprint"), "fingerprint"))
+    # Kept, so that both sides of the next join are dealt out by it, and a large component can be split.
+    lows = cut_lineage(linked.groupBy("root").agg(F.min("low").alias("component_id")))
+    named = linked.drop("low").join(lows, "root")
+    return nodes.join(named, "fingerprint", "left").select(
+        "fingerprint", F.coalesce("root", "fingerprint").alias("root"), F.coalesce("component_id", "low").alias("component_id")
     )
-    lows = placed.groupBy("root").agg(F.min("low").alias("component_id"))
-    return placed.drop("low").join(lows, "root").select("fingerprint", "root", "component_id")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", most: int = MOST) -> DataFrame:
