@@ -23,7 +23,9 @@ SHARE = 1.5
 MOST = 2
 #: Words that a slot stands for, on average.
 SLOT_WORDS = 1024
-BUCKET_ROWS = 4096
+BUCKET_ROWS = 1024
+#: Slots that are ranked together.
+SLOT_BLOCK = 1024
 # Fixed value: 2 ** 32 divided by the golden ratio. Points have 32 bits and repeat after 2 ** 31 slots.
 GOLDEN = 2654435769
 SPACE = 1 << 32
@@ -122,7 +124,7 @@ def schedule(targets: DataFrame, slot_words: int = SLOT_WORDS) -> DataFrame:
     slots = slots.withColumn("cell", F.shiftright("point", 32 - GRID_BITS)).join(_per_source(cells, sources), "cell").filter(
         "point >= low and point < high"
     )
-    ranked = rank_in_group(slots.select("slot", "sid"), ["sid"], "slot", chunk=1 << 16).withColumn("rank", F.col("rank").cast("long") - 1)
+    ranked = rank_in_group(slots.select("slot", "sid"), ["sid"], "slot", chunk=SLOT_BLOCK).withColumn("rank", F.col("rank").cast("long") - 1)
     counts = slots.groupBy("sid").agg(F.count("*").alias("slots"))
     held = parts.select("sid", "words").join(counts, "sid", "left")
     late = held.filter("slots is null").select((F.lit(n) + F.col("sid")).alias("slot"), "sid", F.lit(0).cast("long").alias("rank"))
