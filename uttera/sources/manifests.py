@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.errors import AnalysisException
@@ -15,6 +16,9 @@ from uttera.session import cut_lineage
 from uttera.sources import files
 
 
+HEADERS_AT_ONCE = 32
+
+
 def discover(spark: SparkSession, root: str) -> list[str]:
     """Manifest files below a root, sorted. Where there is any TSV, Parquet is ignored."""
     found = files.list_files(spark, root)
@@ -29,9 +33,12 @@ def read_tsv(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     scans are joined by name.
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
+    found = [p for root in paths for p in files.list_files(spark, root)]
     groups: dict[str, list[str]] = {}
-    for path in (p for root in paths for p in files.list_files(spark, root)):
-        groups.setdefault(files.first_line(spark, path), []).append(path)
+    # Headers are a line each and wait for the store, not for this machine, so many are read at a time.
+    with ThreadPoolExecutor(HEADERS_AT_ONCE) as pool:
+        for path, header in zip(found, pool.map(lambda p: files.first_line(spark, p), found), strict=True):
+            groups.setdefault(header, []).append(path)
     scans = []
     for header, members in groups.items():
         names = [n.strip().strip('"').lstrip("﻿") for n in header.split("\t")]
