@@ -1,7 +1,7 @@
 """The registered queries of this package, each applied to its whole table, and their SQL twins.
 
 A query derives its columns from what its operator returns. Queries without SQL use what DuckDB does not have
-(trained models, CRC-32, XXH64, byte-exact substring classes); tests/llm holds them against brute force.
+(trained models, XXH64, byte-exact substring classes); tests/llm holds them against brute force.
 """
 
 from __future__ import annotations
@@ -197,8 +197,46 @@ SELECT doc_id, size, source_size, target,
 FROM placed
 """
 
+
+
+def _op6_sql() -> str:
+    """Row numbers, CRC-32 from its polynomial, and the Feistel rounds one after the other, walking on while outside."""
+
+    def mixed(x: str) -> str:
+        once = f"(({x} * {feistel.MULTIPLY[0]} + keys[k % {feistel.ROUNDS} + 1]) & {feistel.MASK})"
+        twice = f"((xor({once}, {once} >> 15) * {feistel.MULTIPLY[1]}) & {feistel.MASK})"
+        return f"xor({twice}, {twice} >> 13)"
+
+    inside = f"k > 0 AND k % {feistel.ROUNDS} = 0 AND l * b + r < n"
+    return f"""
+WITH RECURSIVE steps(i, c, k) AS (
+    SELECT i, i::bigint, 0 FROM range(256) t(i) UNION ALL
+    SELECT i, CASE WHEN c % 2 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END, k + 1 FROM steps WHERE k < 8),
+polynomials AS (SELECT list(c ORDER BY i) AS crcs FROM steps WHERE k = 8),
+coded AS (
+    SELECT doc_id, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: ('0x' || x)::bigint) AS bytes
+    FROM documents),
+summed AS (
+    SELECT doc_id, len(bytes) + 1 AS size, CASE WHEN len(bytes) = 0 THEN 0 ELSE
+        xor(list_reduce(list_prepend(4294967295, bytes), lambda a, x: xor(a >> 8, crcs[(xor(a, x) & 255) + 1])), 4294967295) END AS crc
+    FROM coded, polynomials),
+numbered AS (
+    SELECT *, row_number() OVER (ORDER BY doc_id NULLS FIRST, crc, size) - 1 AS number, count(*) OVER () AS n FROM summed),
+sided AS (SELECT *, greatest(2, floor(sqrt(n - 1))::bigint + 1) AS a FROM numbered),
+halves AS (SELECT *, greatest(2, (n + a - 1) // a) AS b, {feistel.round_keys(1)} AS keys FROM sided),
+net(number, n, a, b, keys, l, r, k) AS (
+    SELECT number, n, a, b, keys, number // b, number % b, 0 FROM halves UNION ALL
+    SELECT number, n, a, b, keys, CASE WHEN k % 2 = 0 THEN (l + {mixed('r')} % a) % a ELSE l END,
+        CASE WHEN k % 2 = 1 THEN (r + {mixed('l')} % b) % b ELSE r END, k + 1 FROM net WHERE NOT ({inside})),
+placed AS (SELECT number, l * b + r AS place FROM net WHERE {inside})
+SELECT doc_id, size::bigint AS size, crc::bigint AS text_crc32, 'rows' AS law, (place % {SHARDS})::int AS shard,
+    (place // {SHARDS})::bigint AS slot, NULL::int AS grown_shard FROM numbered JOIN placed USING (number)
+"""
+
+
 ORACLES: dict[str, str] = {
     "op3_fm_index_decontamination": _OP3,
     "op4_warc_chunk_table": _OP4,
     "op5_golden_ratio_mix": _OP5,
+    "op6_feistel_shards": _op6_sql(),
 }
