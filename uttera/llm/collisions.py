@@ -27,12 +27,12 @@ from uttera.llm.common import opened
 from uttera.session import scratch_path
 from uttera.sources.files import list_files
 
-PROJECTIONS = 64
+PROJECTIONS = 32
 #: Width of a window over the radius.
 WIDTH = 2.0
 SLACK = 3.0
 #: By how much the radius grows in a step.
-GROWTH = 1.25
+GROWTH = 1.5
 #: Vectors in one set of sorted arrays, at most.
 INDEX_ROWS = 1 << 15
 QUERIES = 4096
@@ -56,37 +56,37 @@ class SortedLines:
         # Kept within floats' range also for huge components; distances are taken on the vectors themselves.
         self.scale = max(float(np.abs(vectors).max()), 1e-300)
         projected = (vectors / self.scale) @ self.lines
-        self.order = np.argsort(projected, axis=0, kind="stable").T.copy()
-        self.sorted = np.take_along_axis(projected.T, self.order, axis=1)
+        order = np.argsort(projected, axis=0, kind="stable").T
+        line = np.take_along_axis(projected.T, order, axis=1)
         p = math.erf(WIDTH / 2 / math.sqrt(2))
         self.threshold = max(1, math.floor(projections * p - SLACK * math.sqrt(projections * p * (1 - p))))
-        spread = float(np.ptp(self.sorted, axis=1).mean())
-        self.first = max(spread * 1e-3, 1e-9)
-        self.last = float(np.abs(self.sorted).max())
+        self.first = max(float(np.ptp(line, axis=1).mean()) * 1e-2, 1e-9)
+        # All lines in one rising array, each shifted to a stretch of its own, so that one search serves all of them.
+        self.limit = float(np.abs(line).max()) + 1.0
+        self.shift = np.arange(projections) * (4 * self.limit)
+        self.sorted = (line + self.shift[:, None]).ravel()
+        self.order = order.ravel()
 
     def nearest(self, query: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids and distances of the k nearest found, nearest first, ties to smaller ids; ``own`` is left out."""
-        n, lines = len(self.ids), len(self.sorted)
-        counts = np.zeros(n, np.int16)
+        n = len(self.ids)
+        counts = np.zeros(n, np.int64)
         checked = self.ids == own
         left = n - int(checked.sum())
         best_d, best_i = np.empty(0), np.empty(0, self.ids.dtype)
         at = (query / self.scale) @ self.lines
-        low = np.array([np.searchsorted(row, x) for row, x in zip(self.sorted, at, strict=True)])
+        edge = lambda x, side: np.searchsorted(self.sorted, np.clip(x, -self.limit, self.limit) + self.shift, side)
+        low = edge(at, "left")
         high = low.copy()
         radius = self.first
         while left:
             half = WIDTH * radius / 2
-            all_in = half > float(np.abs(at).max()) + self.last
-            touched = []
-            for j in range(lines):
-                row = self.sorted[j]
-                a = 0 if all_in else np.searchsorted(row, at[j] - half, "left")
-                b = n if all_in else np.searchsorted(row, at[j] + half, "right")
-                a, b = min(a, low[j]), max(b, high[j])
-                touched += [self.order[j, a : low[j]], self.order[j, high[j] : b]]
-                low[j], high[j] = a, b
-            counts += np.bincount(np.concatenate(touched), minlength=n).astype(np.int16)
+            a, b = np.minimum(edge(at - half, "left"), low), np.maximum(edge(at + half, "right"), high)
+            # What the windows gain on either side, as positions of the long array.
+            start, size = np.concatenate([a, high]), np.concatenate([low - a, b - high])
+            gained = np.arange(size.sum()) + np.repeat(start - np.r_[0, np.cumsum(size)[:-1]], size)
+            counts += np.bincount(self.order[gained], minlength=n)
+            low, high = a, b
             fresh = np.flatnonzero((counts >= self.threshold) & ~checked)
             if len(fresh):
                 checked[fresh] = True
