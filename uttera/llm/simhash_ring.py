@@ -249,9 +249,10 @@ def components_of(prints: DataFrame, doc_id: str = "doc_id", most: int = MOST) -
     # Kept, so that both sides of the next join are dealt out by it, and a large component can be split.
     lows = cut_lineage(linked.groupBy("root").agg(F.min("low").alias("component_id")))
     named = linked.drop("low").join(lows, "root")
-    return nodes.join(named, "fingerprint", "left").select(
+    placed = nodes.join(named, "fingerprint", "left").select(
         "fingerprint", F.coalesce("root", "fingerprint").alias("root"), F.coalesce("component_id", "low").alias("component_id")
     )
+    return cut_lineage(placed)  # dealt out anew by the joins with documents, which can then split a group of copies
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", most: int = MOST) -> DataFrame:
