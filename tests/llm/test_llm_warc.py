@@ -1,3 +1,4 @@
+import gzip
 import hashlib
 
 import pytest
@@ -62,23 +63,37 @@ def test_chunks_carry_the_payload_and_running_digests(spark, tmp_path, chunk, se
 def test_only_indexed_files_are_read(spark, tmp_path):
     _, df = pages(spark)
     index = wc.write_archives(wc.chunked(wc.plan_records(df)), str(tmp_path / "w"))
-    (tmp_path / "w" / "part-00000-99-left.warc").write_bytes(b"what a failed attempt left")
+    (tmp_path / "w" / "part-00000-99-left.warc.gz").write_bytes(b"what a failed attempt left")
     assert wc.read_archives(index, payload=False).filter("last").count() == df.count()
 
 
-def test_a_damaged_payload_stops_the_read(spark, tmp_path):
+def rewritten(spark, tmp_path, change):
+    """The index of a one-record archive whose file has been changed."""
     df = spark.createDataFrame([(1, "u", "hello world")], "page_id long, url string, html string")
-    index = wc.write_archives(wc.chunked(wc.plan_records(df)), str(tmp_path / "w"))
-    path = next((tmp_path / "w").iterdir())
-    path.write_bytes(path.read_bytes().replace(b"hello", b"jello"))
-    with pytest.raises(Exception, match="does not have its digest"):
-        wc.read_archives(index).collect()
+    wc.write_archives(wc.chunked(wc.plan_records(df)), str(tmp_path / "w"))
+    path = next((tmp_path / "w").glob("*.warc.gz"))
+    path.write_bytes(change(path.read_bytes()))
+    return spark.createDataFrame([(str(path), 0, path.stat().st_size, 1)], wc.INDEX)
+
+
+@pytest.mark.parametrize(
+    ("change", "told"),
+    [
+        (lambda b: gzip.compress(gzip.decompress(b).replace(b"hello", b"jello")), "does not have its digest"),
+        (lambda b: b[:-20], "ends within a"),
+        (lambda b: gzip.compress(gzip.decompress(b)[:-9]), "ends within a record"),
+        (lambda b: gzip.compress(b"no archive" + b"\r\n\r\n" * 2), "no WARC record"),
+    ],
+)
+def test_a_damaged_archive_stops_the_read(spark, tmp_path, change, told):
+    with pytest.raises(Exception, match=told):
+        wc.read_archives(rewritten(spark, tmp_path, change)).collect()
 
 
 def test_archives_are_plain_warc(spark, tmp_path):
     df = spark.createDataFrame([(1, "http://u", "hi")], "page_id long, url string, html string")
     wc.write_archives(wc.chunked(wc.plan_records(df)), str(tmp_path / "w"))
-    head, http, rest = next((tmp_path / "w").iterdir()).read_bytes().split(b"\r\n\r\n", 2)
+    head, http, rest = gzip.decompress(next((tmp_path / "w").glob("*.warc.gz")).read_bytes()).split(b"\r\n\r\n", 2)
     fields = dict(line.split(b": ", 1) for line in head.split(b"\r\n")[1:])
     assert head.startswith(b"WARC/1.1\r\nWARC-Type: response\r\n") and rest == b"hi\r\n\r\n"
     assert int(fields[b"Content-Length"]) == len(http) + 4 + 2

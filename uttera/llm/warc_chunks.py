@@ -4,6 +4,8 @@ A payload travels as rows (record, chunk number, bytes) of at most ``CHUNK`` byt
 reader allocates a whole record. The reader carries SHA-1 along: each chunk row has the digest of the payload up to
 its end, and the row with ``last`` has that of the whole.
 
+Records are gzip members of their own, the usual form of such archives, compressed and expanded chunk by chunk.
+
 Each writing task makes one file of its own in a shared folder, under a name that no other attempt uses, and
 returns an index of its segments (path, offset, length). The index is checkpointed: files that a failed attempt left
 behind are not in it and are never read. A segment holds whole records, so reading splits at segments.
@@ -15,6 +17,7 @@ import base64
 import hashlib
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -31,6 +34,8 @@ SEGMENT = 8 << 20
 REVISIT_FROM = 1000
 DATE = "2000-01-01T00:00:00Z"
 LONGEST_HEADER = 1 << 20
+#: Compression level, and zlib's mark for gzip members.
+LEVEL, GZIP = 1, 31
 CRLF = b"\r\n"
 
 INDEX = "path string, offset long, length long, records long"
@@ -130,9 +135,14 @@ def write_archives(chunks: DataFrame, folder: str, segment: int = SEGMENT) -> Da
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, base = opened(folder)
         task = TaskContext.get()
-        name = f"part-{task.partitionId():05d}-{task.taskAttemptId()}-{uuid.uuid4().hex}.warc"
+        name = f"part-{task.partitionId():05d}-{task.taskAttemptId()}-{uuid.uuid4().hex}.warc.gz"
         path = f"{folder.rstrip('/')}/{name}"
-        out, at, start, records, index = None, 0, 0, 0, []
+        out, member, at, start, records, index = None, None, 0, 0, 0, []
+
+        def put(data) -> int:
+            out.write(data)
+            return len(data)
+
         for batch in batches:
             numbers = batch.column(batch.schema.get_field_index("chunk_no")).to_pylist()
             bodies = batch.column(batch.schema.get_field_index("chunk"))
@@ -140,25 +150,21 @@ def write_archives(chunks: DataFrame, folder: str, segment: int = SEGMENT) -> Da
             for row, number, body in zip(heads, numbers, bodies, strict=True):
                 if out is None:
                     files.create_dir(base, recursive=True)
-                    out = files.open_output_stream(f"{base}/{name}")
+                    out = files.open_output_stream(f"{base}/{name}", compression=None)
                 if number == 0:
-                    if records:  # the end of the record before
-                        out.write(2 * CRLF)
-                        at += 4
+                    if member is not None:
+                        at += put(member.compress(2 * CRLF) + member.flush())
                     if at - start >= segment:
                         index.append((path, start, at - start, records))
                         start, records = at, 0
-                    head = _head(row)
-                    out.write(head)
-                    at += len(head)
+                    member = zlib.compressobj(LEVEL, zlib.DEFLATED, GZIP)
+                    at += put(member.compress(_head(row)))
                     records += 1
-                piece = body.as_buffer()
-                out.write(piece)
-                at += piece.size
+                at += put(member.compress(body.as_buffer()))
         if out is not None:
-            out.write(2 * CRLF)
+            at += put(member.compress(2 * CRLF) + member.flush())
             out.close()
-            index.append((path, start, at + 4 - start, records))
+            index.append((path, start, at - start, records))
         columns_out = list(zip(*index, strict=True)) if index else [[], [], [], []]
         kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64())
         yield pa.RecordBatch.from_arrays(
@@ -169,16 +175,34 @@ def write_archives(chunks: DataFrame, folder: str, segment: int = SEGMENT) -> Da
 
 
 class _Reader:
-    """Bounded buffer over a segment of a file."""
+    """Bounded buffer over the expanded records of a segment."""
 
     def __init__(self, source, length: int, step: int):
-        self.source, self.left, self.step, self.held = source, length, step, b""
+        self.source, self.left, self.step = source, length, step
+        self.held, self.raw, self.member = b"", b"", None
 
     def _fill(self) -> bool:
-        got = self.source.read(min(self.step, self.left)) if self.left else b""
-        self.left -= len(got)
-        self.held += got
-        return bool(got)
+        """At most ``step`` more bytes; False at the end."""
+        while True:
+            if not self.raw and self.left:
+                self.raw = self.source.read(min(self.step, self.left))
+                self.left -= len(self.raw)
+                if not self.raw:
+                    raise ValueError("the archive is shorter than its index says")
+            if self.member is None:
+                if not self.raw:
+                    return False
+                self.member = zlib.decompressobj(GZIP)
+            over = not self.raw
+            got = self.member.decompress(self.raw, self.step)
+            self.raw = self.member.unconsumed_tail
+            if self.member.eof:
+                self.raw, self.member = self.member.unused_data, None
+            elif over and not got:
+                raise ValueError("the archive ends within a record")
+            if got:
+                self.held += got
+                return True
 
     def head(self) -> bytes | None:
         """Bytes up to an empty line, without it; None at the end."""
