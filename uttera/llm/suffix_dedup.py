@@ -38,7 +38,7 @@ from uttera.session import cut_lineage
 LENGTH = 100
 K = 32
 #: Bytes of text for one bucket of anchors, about.
-BUCKET_BYTES = 8 << 20
+BUCKET_BYTES = 4 << 20
 #: Different contexts of an anchor in a batch from which it is hot, and in a bucket.
 HOT_IN_BATCH, HOT_IN_BUCKET = 16, 4096
 BAND = 20
