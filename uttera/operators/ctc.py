@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from uttera.functions import arrays
@@ -132,12 +132,12 @@ def encoder_stats(frames: DataFrame, column: str = "logits") -> DataFrame:
 def token_histogram(frames: DataFrame, k: int = 5, column: str = "logits") -> DataFrame:
     """The k most frequent argmax tokens with their share of all frames.
 
-    Counted once per token first; the total is a sum over that small table.
+    Frames are counted once per token; the total is a window over those counts, a row per entry of the vocabulary.
     """
     counts = frames.groupBy(arrays.argmax(F.col(column)).alias("token_id")).agg(F.count("*").alias("n"))
-    total = counts.agg(F.sum("n")).scalar()
+    everything = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     return (
-        counts.select("token_id", (F.col("n") / total).alias("share"))
+        counts.select("token_id", (F.col("n") / F.sum("n").over(everything)).alias("share"))
         .orderBy(F.desc("share"), "token_id")
         .limit(k)
     )

@@ -204,11 +204,11 @@ def require_bytes(records: DataFrame) -> DataFrame:
 def require_readable(records: DataFrame, files: DataFrame) -> DataFrame:
     """Rows with embedded bytes, or whose path is in the listing ``files(path)``.
 
-    Paths of the listing are unique, so the outer join keeps one row per record.
+    Embedded rows pass as they are; only the others, which have no bytes, are joined with the listing.
     """
-    listing = files.select(F.col("path").alias("__listed")).distinct()
-    return (
-        records.join(listing, records["audio_path"] == F.col("__listed"), "left")
-        .filter(F.col("audio_bytes").isNotNull() | F.col("__listed").isNotNull())
-        .drop("__listed")
-    )
+    embedded = records.filter(F.col("audio_bytes").isNotNull())
+    listing = files.select(F.col("path").alias("__listed"))
+    paths = records.filter(F.col("audio_bytes").isNull()).drop("audio_bytes")
+    found = paths.join(listing, F.col("audio_path") == F.col("__listed"), "left_semi")
+    kind = records.schema["audio_bytes"].dataType
+    return embedded.unionByName(found.withColumn("audio_bytes", F.lit(None).cast(kind))).select(*records.columns)

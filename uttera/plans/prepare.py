@@ -28,34 +28,44 @@ def _path_key(path: Column) -> Column:
     return F.regexp_replace(path, "^file:/+", "/")
 
 
+def _measured(rows: DataFrame, cfg: FrontendConfig) -> DataFrame:
+    """Rows with __n, __rate and __status of their header: broken ones go, known lengths replace the estimates."""
+    known = F.coalesce(F.col("__n") > 0, F.lit(False))
+    return rows.filter(F.col("__status") != "broken").withColumns(
+        {
+            "estimated_frames": reestimate_frames(F.col("__n"), F.col("__rate"), F.col("estimated_frames"), cfg),
+            "num_samples": F.when(known, F.col("__n")).otherwise(F.col("num_samples")).cast("bigint"),
+            "sample_rate": F.when(known, F.col("__rate")).otherwise(F.col("sample_rate")).cast("int"),
+        }
+    ).drop("__n", "__rate", "__status")
+
+
+def _probe(clips: DataFrame, *keep: str) -> DataFrame:
+    header = signal.probe_audio(clips.select(*keep, "audio_bytes"))
+    return header.select(
+        *keep, F.col("num_samples").alias("__n"), F.col("sample_rate").alias("__rate"), F.col("status").alias("__status")
+    )
+
+
 def with_audio(rows: DataFrame, audio: DataFrame, cfg: FrontendConfig = FrontendConfig()) -> DataFrame:
     """Checks record rows against audio files (path, audio_bytes) and takes lengths from their headers.
 
-    Rows whose file is not listed, or provably broken, go; embedded bytes count as listed and are probed like files. Only
-    paths and header numbers are joined, never bytes.
+    Rows whose file is not listed, or provably broken, go. Embedded bytes are probed where they are; for the others only
+    paths and header numbers are joined, so bytes never move.
     """
-    probe = signal.probe_audio(audio.select(_path_key(F.col("path")).alias("__path"), "audio_bytes")).select(
-        "__path", F.col("num_samples").alias("__n"), F.col("sample_rate").alias("__rate"), F.col("status").alias("__status")
-    )
-    probe = probe.groupBy("__path").agg(*[F.max(c).alias(c) for c in ("__n", "__rate", "__status")])
-    embedded = signal.probe_audio(rows.select("*", F.col("num_samples").alias("__was"), F.col("sample_rate").alias("__hz")))
-    rows = embedded.select(
+    embedded = rows.filter(F.col("audio_bytes").isNotNull())
+    status = signal.probe_audio(embedded.select("*", F.struct("num_samples", "sample_rate").alias("__was")))
+    embedded = status.select(
         *[c for c in rows.columns if c not in ("num_samples", "sample_rate")],
-        F.col("__was").alias("num_samples"), F.col("__hz").alias("sample_rate"),
-        F.struct(F.col("num_samples").alias("n"), F.col("sample_rate").alias("rate"), "status").alias("__own"),
-    )
-    joined = rows.join(probe, _path_key(F.col("audio_path")) == F.col("__path"), "left")
-    own = F.col("audio_bytes").isNotNull()
-    status = F.when(own, F.col("__own.status")).otherwise(F.col("__status"))
-    n, rate = F.when(own, F.col("__own.n")).otherwise(F.col("__n")), F.when(own, F.col("__own.rate")).otherwise(F.col("__rate"))
-    known = F.coalesce(n > 0, F.lit(False))
-    kept = joined.filter(status.isNotNull() & (status != "broken"))
-    return kept.select(
-        *[c for c in rows.columns if c not in ("num_samples", "sample_rate", "estimated_frames", "__own")],
-        F.when(known, n).otherwise(F.col("num_samples")).cast("bigint").alias("num_samples"),
-        F.when(known, rate).otherwise(F.col("sample_rate")).cast("int").alias("sample_rate"),
-        reestimate_frames(n, rate, F.col("estimated_frames"), cfg).alias("estimated_frames"),
-    )
+        F.col("__was.num_samples"), F.col("__was.sample_rate"),
+        F.col("num_samples").alias("__n"), F.col("sample_rate").alias("__rate"), F.col("status").alias("__status"),
+    )
+    files = _probe(audio.select(_path_key(F.col("path")).alias("__path"), "audio_bytes"), "__path")
+    files = files.groupBy("__path").agg(*[F.max(c).alias(c) for c in ("__n", "__rate", "__status")])
+    paths = rows.filter(F.col("audio_bytes").isNull()).drop("audio_bytes")
+    listed = paths.join(files, _path_key(F.col("audio_path")) == F.col("__path")).drop("__path")
+    listed = listed.withColumn("audio_bytes", F.lit(None).cast("binary"))
+    return _measured(embedded.unionByName(listed), cfg).select(*rows.columns)
 
 
 def prepare(
