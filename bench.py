@@ -18,7 +18,7 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from uttera.catalog import REGISTRY, views  # noqa: E402
-from uttera.session import local_session, scratch_path  # noqa: E402
+from uttera.session import clear_scratch, local_session, scratch_path  # noqa: E402
 
 HEADLINE = (
     "loader_summary normalize_transcript assign_split split_audit wer cer eval_rollup speaker_metrics "
@@ -45,6 +45,7 @@ def main() -> None:
                 spent.append(time.perf_counter() - start)
         times[name] = round(statistics.median(spent), 3)
         print(name, times[name], file=sys.stderr, flush=True)
+    clear_scratch(spark)
     spark.stop()
     total = round(sum(times.values()), 3)
     print(json.dumps({"metric": "total_wall_seconds", "value": total, "unit": "sec", "queries": times, "sf": folder}))

@@ -192,3 +192,36 @@ def test_preparation_checks_audio_and_takes_a_validation_source(spark, tmp_path)
     assert plan.prepare(spark, [str(tmp_path / "train")], str(tmp_path / "out"), embedded_only=True)["records"].count() == 0
     plain = plan.prepare(spark, [str(tmp_path / "train")], str(tmp_path / "out"), FilterConfig(min_chars=99))
     assert plain["records"].count() == 0 and plain["summary"].first()["skipped_too_short"] == 10
+
+
+def test_scratch_is_removed_on_demand(spark):
+    from pathlib import Path
+
+    from uttera.session import clear_scratch, scratch_path
+
+    clear_scratch(spark)
+    path = scratch_path(spark, "x")
+    spark.range(3).write.parquet(path)
+    scratch_path(spark, "never-written")
+    assert clear_scratch(spark) == 1 and not Path(path.removeprefix("file://").removeprefix("file:")).exists()
+    assert clear_scratch(spark) == 0
+
+
+def test_no_machine_local_scratch_on_a_cluster(monkeypatch):
+    from uttera import session
+
+    class Conf:
+        def get(self, key, default):
+            return default
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        conf, sparkContext = Conf(), Context()
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.shared_dir(Session())
