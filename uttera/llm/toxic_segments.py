@@ -108,9 +108,11 @@ def _log_odds(toxic: Counter, clean: Counter, prior: dict[bytes, float], strengt
     return out
 
 
-def _sketch(words: set[bytes]) -> tuple[int, ...]:
-    """Three minimum hashes of a word set; near copies mostly share them, other texts hardly ever do."""
-    return tuple(min((zlib.crc32(w, seed) for w in words), default=0) for seed in (1, 2, 3))
+def _sketch(words: list[bytes]) -> tuple[int, ...]:
+    """Three minimum hashes of the three-word shingles; near copies mostly share them, other texts hardly ever do."""
+    shingles = {b" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))}
+    hashes = np.array([zlib.crc32(x) for x in shingles], np.uint64)
+    return tuple(int(((hashes * np.uint64(m)) & np.uint64(0xFFFFFFFF)).min()) for m in (1, 2654435769, 2246822519))
 
 
 def corpus_counts(documents: DataFrame, words: list[bytes], text: str = "text") -> tuple[dict[bytes, int], int]:
@@ -181,10 +183,10 @@ def fit(documents: DataFrame, labels: DataFrame, label: str = "toxic", per_class
     for _, y, text in bags:
         sizes[y] += 1
         # Counted by document, and near copies once, so that neither a long text nor a copied one makes evidence.
-        words = set(tokens(text))
+        words = tokens(text)
         if (mark := (y, _sketch(words))) not in seen:
             seen.add(mark)
-            counts[y].update(words)
+            counts[y].update(set(words))
     nothing = Lexicon({}, -1.0, 1.0, 0.0, 0.0, odds)
     if not all(sizes):
         return nothing
