@@ -135,15 +135,15 @@ def _contexts(buckets: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = texts_in(batch.column(2))
-            sizes = np.array([len(t) for t in texts], np.int64)
-            ends = np.cumsum(sizes)
-            starts = ends - sizes
-            flat = np.frombuffer(b"".join(texts), np.uint8)
-            edge = np.zeros(len(flat) + 1, np.int32)
-            np.add.at(edge, np.maximum(starts, ends - LENGTH + 1), 1)
-            np.add.at(edge, ends, -1)
-            bad = np.cumsum(edge[:-1]) > 0
+            # The texts as they lie in the batch: one stretch of bytes and where each ends.
+            column = batch.column(2)
+            offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+            held = column.buffers()[2]
+            flat = np.frombuffer(held, np.uint8)[offsets[0] : offsets[-1]] if held else np.empty(0, np.uint8)
+            starts, ends = offsets[:-1] - offsets[0], offsets[1:] - offsets[0]
+            bad = np.zeros(len(flat), bool)  # where no window starts: the last bytes of each text
+            for a, b in zip(np.maximum(starts, ends - LENGTH + 1).tolist(), ends.tolist(), strict=True):
+                bad[a:b] = True
             d, h = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
             made = []
             for lo, hi, at, f, c in _anchors(flat, bad):
