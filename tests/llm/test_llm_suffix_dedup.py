@@ -1,4 +1,5 @@
 import hashlib
+from functools import partial
 
 import numpy as np
 import pytest
@@ -70,6 +71,31 @@ def test_a_hot_passage_in_many_documents(spark, prose):
     compare(spark, rows)
 
 
+def test_heavy_bands_are_spread_and_give_the_same(spark, prose, monkeypatch):
+    passage, line, short = prose(60), prose(20), prose(14)[:60]
+    rows = [(i, prose(12) + passage + prose(9) + "\n" + line + "\n" + short + prose(8)) for i in range(150)]
+    rows += [(200 + i, passage[i:] + prose(1 + i % 4)) for i in range(40)] + [(3, rows[3][1]), (None, rows[7][1])]
+    bound = 40 * (sd.LENGTH + sd.BAND)
+    bytes_of = []
+    compare_bucket, heavy_windows = sd._pieces, sd._heavy_windows
+
+    def weighed(marked, heavy):
+        rest = marked.mapInArrow(compare_bucket(1 << 30, heavy), "bucket int, d array<long>, h array<int>, lo array<long>, n array<int>, text binary")
+        per_key = rest.selectExpr("bucket", "aggregate(n, 0, (s, x) -> s + x + 99) as bytes").groupBy("bucket").sum("bytes")
+        bytes_of.append((len(heavy), max(r[1] for r in per_key.collect())))
+        return heavy_windows(marked, heavy)
+
+    monkeypatch.setattr(sd, "_heavy_windows", weighed)
+    whole = sd.without_repeats
+    monkeypatch.setattr(sd, "without_repeats", partial(whole, heavy_bytes=bound))
+    compare(spark, rows)
+    (heavy, most), = bytes_of
+    assert heavy > 4 and most <= bound
+    monkeypatch.setattr(sd, "without_repeats", whole)
+    compare(spark, rows)
+    assert len(bytes_of) == 1
+
+
 def test_repeated_rows_go_whole_but_one(spark, prose):
     text = prose(60)
     frame = spark.createDataFrame([(1, text), (1, text), (2, "short"), (2, "short")], "doc_id long, text string")

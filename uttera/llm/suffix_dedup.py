@@ -16,7 +16,9 @@ id) or earlier in its own. Nothing crosses documents, and strings are judged on
 Copies are dropped before they are shuffled: within a batch only the first of equal contexts travels. An anchor
 with many different contexts in one batch is hot (a passage or line that many documents share); its windows are cut
 into bands by their offset, and a band goes where its common part sends it, so no task gets all contexts of a hot
-anchor. Suffix sorting stops at depth LENGTH, which is all that the comparison needs.
+anchor. Where that common part is itself in many documents (near the ends of a shared passage), its bytes are counted,
+and from HEAVY_BYTES on its windows are not sorted but grouped, each by all its bytes: the common part's number
+and what the window has besides. Suffix sorting stops at depth LENGTH, which is all that the comparison needs.
 
 Contexts are compared by a 64-bit hash among those with one 64-bit K-gram hash, windows byte by byte.
 """
@@ -42,8 +44,12 @@ BUCKET_BYTES = 4 << 20
 #: Different contexts of an anchor in a batch from which it is hot, and in a bucket.
 HOT_IN_BATCH, HOT_IN_BUCKET = 16, 4096
 BAND = 20
+#: Bytes of pieces with one common part that go to one task.
+HEAVY_BYTES = 4 << 20
+#: Windows of heavy bands that a task holds at a time.
+WINDOWS_HELD = 1 << 18
 CHUNK = 1 << 18
-WHOLE, PIECE, BANDS, BEACON = range(4)
+WHOLE, PIECE, BANDS, BEACON, HEAVY = range(5)
 LAST = (1 << 63) - 1
 
 RECORD = np.dtype([
@@ -163,7 +169,7 @@ def _contexts(buckets: int):
             many = np.diff(np.r_[by_anchor, len(r)])
             hot = np.repeat(many >= HOT_IN_BATCH, many)
             beacons = r[by_anchor[many >= HOT_IN_BATCH]]
-            beacons["kind"], beacons["c"] = BEACON, 0
+            beacons["kind"], beacons["c"] = BEACON, many[many >= HOT_IN_BATCH]  # how many the batch settles
             r["kind"][hot] = BANDS
             settled = np.concatenate([copies, r[hot]])
             out = np.concatenate([r[~hot], beacons, settled])
@@ -196,51 +202,144 @@ def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list]]:
 MARKS = "d long, h int, kind int, lo long, hi long, at long"
 
 
-def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """What is known once all contexts of an anchor have met: windows to remove, contexts to compare further."""
-    for _, rows in _by_bucket(batches):
-        r = np.concatenate([_unpack(x["blob"]) for x in rows])
-        settled = r[(r["kind"] == WHOLE) | (r["kind"] == BANDS)]
-        beacons = np.unique(r["f"][r["kind"] == BEACON])
-        r, first, contexts = _firsts(r[r["kind"] == PIECE])
-        copies = r[~first]
-        copies["kind"] = WHOLE
-        heads = r[contexts]
-        by_anchor = _groups(heads["f"])
-        many = np.diff(np.r_[by_anchor, len(heads)])
-        many_of = np.repeat(many, many)
-        lit = np.isin(heads["f"], beacons)
-        heads["kind"] = np.where(lit | (many_of > HOT_IN_BUCKET), BANDS, PIECE)
-        out = np.concatenate([settled, copies, heads[lit | (many_of > 1)]])
-        lo = out["lo"].astype(np.int64)
-        columns = [out["d"], out["h"], out["kind"].astype(np.int32), lo, lo + out["span"], lo + out["at"]]
-        for at in range(0, len(out), 1 << 16):
+def _marks(heavy_bytes: int):
+    """What is known once all contexts of an anchor have met: windows to remove, contexts to compare further, and
+    (as HEAVY, in d) the hashes of anchors of which a band may hold more than ``heavy_bytes``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in _by_bucket(batches):
+            r = np.concatenate([_unpack(x["blob"]) for x in rows])
+            settled = r[(r["kind"] == WHOLE) | (r["kind"] == BANDS)]
+            lights = r[r["kind"] == BEACON]
+            beacons, which = np.unique(lights["f"], return_inverse=True)
+            sent = np.zeros(len(beacons), np.int64)
+            np.add.at(sent, which, lights["c"].astype(np.int64))
+            r, first, contexts = _firsts(r[r["kind"] == PIECE])
+            copies = r[~first]
+            copies["kind"] = WHOLE
+            heads = r[contexts]
+            by_anchor = _groups(heads["f"])
+            many = np.diff(np.r_[by_anchor, len(heads)])
+            many_of = np.repeat(many, many)
+            lit = np.isin(heads["f"], beacons)
+            heads["kind"] = np.where(lit | (many_of > HOT_IN_BUCKET), BANDS, PIECE)
+            met, which = np.unique(np.r_[beacons, heads["f"][by_anchor]], return_inverse=True)
+            contexts_of = np.zeros(len(met), np.int64)
+            np.add.at(contexts_of, which, np.r_[sent, np.where(lit[by_anchor] | (many > HOT_IN_BUCKET), many, 0)])
+            heavy = met[contexts_of * (LENGTH + BAND - 1) > heavy_bytes]
+            told = np.zeros(len(heavy), RECORD)
+            told["d"], told["kind"] = heavy.view(np.int64), HEAVY
+            out = np.concatenate([settled, copies, heads[lit | (many_of > 1)], told])
+            lo = out["lo"].astype(np.int64)
+            columns = [out["d"], out["h"], out["kind"].astype(np.int32), lo, lo + out["span"], lo + out["at"]]
+            for at in range(0, len(out), 1 << 16):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c[at : at + (1 << 16)]) for c in columns], names=["d", "h", "kind", "lo", "hi", "at"]
+                )
+
+    return run
+
+
+def _texts_and_marks(batch: pa.RecordBatch) -> Iterator[tuple]:
+    columns = [batch.column(i).to_pylist() for i in range(4)]
+    for d, h, z, marks in zip(*columns, strict=True):
+        yield d, h, zstandard.decompress(z), marks
+
+
+def _bands(text: bytes, mark: dict) -> Iterator[tuple[bytes, int, int, int]]:
+    """(common part, its start, first window, last window) of each band of a context; the common part's first byte is
+    the number of the band."""
+    lo, hi, at = mark["lo"], mark["hi"], mark["at"]
+    for near in range(0, _WINDOWS, BAND):
+        far = min(near + BAND, _WINDOWS) - 1
+        a, b = max(lo, at - far), min(hi, at - near)
+        if a <= b:
+            yield bytes([near]) + text[at - near : at - far + LENGTH], at - near, a, b
+
+
+def _weights(anchors: np.ndarray):
+    """(d, h, z, marks) -> (common, n): bytes that the bands of the given anchors have, by common part."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            weight: dict[bytes, int] = {}
+            for _, _, text, marks in _texts_and_marks(batch):
+                marks = [m for m in marks if m["kind"] == BANDS]
+                if not marks:
+                    continue
+                at = np.array([m["at"] for m in marks])
+                grams = np.frombuffer(text, np.uint8)[at[:, None] + np.arange(K)]
+                hashes = _mix((_VALUES[grams] * _UP[:K]).sum(axis=1, dtype=np.uint64))
+                for i in np.flatnonzero(np.isin(hashes, anchors)).tolist():
+                    for common, _, a, b in _bands(text, marks[i]):
+                        weight[common] = weight.get(common, 0) + b - a + LENGTH
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c[at : at + (1 << 16)]) for c in columns], names=["d", "h", "kind", "lo", "hi", "at"]
+                [pa.array(list(weight), pa.binary()), pa.array(list(weight.values()), pa.int64())], names=["common", "n"]
             )
 
+    return run
+
+
+def _windows(heavy: dict[bytes, int]):
+    """(d, h, z, marks) -> (w, d, h, lo, hi): windows of the heavy bands, w being all the window's bytes in short: number
+    of the common part, offset, bytes before and behind. Of WINDOWS_HELD the first of equal ones has a w; the
+    others are settled, whatever other tasks hold, and leave as runs."""
 
-def _pieces(buckets: int):
+    def out(first: dict[bytes, tuple], later: list[tuple]) -> Iterator[pa.RecordBatch]:
+        d, h, s = np.array(sorted(later), np.int64).reshape(-1, 3).T
+        starts = _groups(d, h, s - np.arange(len(s)))
+        ends = np.r_[starts[1:], len(s)] - 1 if len(s) else starts
+        places = np.array(list(first.values()), np.int64).reshape(-1, 3).T
+        w = pa.array([*first, *[None] * len(starts)], pa.binary())
+        d, h, lo = (np.r_[x, y] for x, y in zip(places, (d[starts], h[starts], s[starts]), strict=True))
+        yield pa.RecordBatch.from_arrays(
+            [w, pa.array(d), pa.array(h.astype(np.int32)), pa.array(lo), pa.array(np.r_[places[2], s[ends]])],
+            names=["w", "d", "h", "lo", "hi"],
+        )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first: dict[bytes, tuple] = {}
+        later: list[tuple] = []
+        for batch in batches:
+            for d, h, text, marks in _texts_and_marks(batch):
+                for m in marks:
+                    for common, start, a, b in _bands(text, m) if m["kind"] == BANDS else ():
+                        number = heavy.get(common)
+                        if number is None:
+                            continue
+                        end = start + len(common) - 1
+                        for lo in range(a, b + 1):
+                            w = number.to_bytes(4, "big") + bytes([start - lo]) + text[lo:start] + text[end : lo + LENGTH]
+                            place = (d, h, lo)
+                            met = first.setdefault(w, place)
+                            if place < met:
+                                first[w], met, place = place, place, met
+                            if place != met:
+                                later.append(place)
+                    if len(first) + len(later) >= WINDOWS_HELD:
+                        yield from out(first, later)
+                        first, later = {}, []
+        yield from out(first, later)
+
+    return run
+
+
+def _pieces(buckets: int, heavy: dict[bytes, int]):
     """(d, h, z, marks) -> pieces of text to compare: (bucket, d[], h[], lo[], windows[], text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made: dict[int, list] = {}
-            ds, hs = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for d, h, z, marks in zip(ds, hs, batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                text = zstandard.decompress(z)
+            for d, h, text, marks in _texts_and_marks(batch):
                 for m in marks:
-                    lo, hi, at = m["lo"], m["hi"], m["at"]
                     if m["kind"] == PIECE:
+                        lo, hi, at = m["lo"], m["hi"], m["at"]
                         key = int.from_bytes(hashlib.blake2b(text[at : at + K], digest_size=8).digest(), "little")
                         made.setdefault(key % buckets, []).append((d, h, lo, hi - lo + 1, text[lo : hi + LENGTH]))
                         continue
-                    for near in range(0, _WINDOWS, BAND):
-                        far = min(near + BAND, _WINDOWS) - 1
-                        a, b = max(lo, at - far), min(hi, at - near)
-                        if a <= b:
-                            common = text[at - near : at - far + LENGTH]
-                            key = int.from_bytes(hashlib.blake2b(common, digest_size=8, salt=bytes([near])).digest(), "little")
+                    for common, _, a, b in _bands(text, m):
+                        if common not in heavy:
+                            key = int.from_bytes(hashlib.blake2b(common, digest_size=8).digest(), "little")
                             made.setdefault(key % buckets, []).append((d, h, a, b - a + 1, text[a : b + LENGTH]))
             if made:
                 rows = [(k, *map(list, zip(*v, strict=True))) for k, v in made.items()]
@@ -407,13 +506,27 @@ def _cut(with_text: bool):
     return run
 
 
-def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", with_text: bool = True) -> DataFrame:
+def _heavy_windows(marked: DataFrame, heavy: dict[bytes, int]) -> DataFrame:
+    """(d, h, lo, hi) of the windows of heavy bands that also start earlier. A task sends one window once in
+    WINDOWS_HELD, so equal ones are few wherever they meet."""
+    windows = cut_lineage(marked.mapInArrow(_windows(heavy), "w binary, d long, h int, lo long, hi long"))
+    sent = windows.filter(F.col("w").isNotNull())
+    place = F.struct("d", "h", "lo")
+    first = sent.groupBy("w").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    later = sent.join(first, "w").filter(place != F.col("first"))
+    return windows.filter(F.col("w").isNull()).drop("w").unionAll(later.select("d", "h", "lo", "hi"))
+
+
+def without_repeats(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", with_text: bool = True, heavy_bytes: int = HEAVY_BYTES
+) -> DataFrame:
     """(doc_id, n_bytes, runs, kept, kept_sha256) per document.
 
     ``runs`` lists start, end, start, end ... of the removed bytes, ``kept`` has the remaining bytes (which need not be
     valid UTF-8; null without ``with_text``). Null texts are empty, null ids come last; rows of one id and different
     texts follow each other by a hash of the text; of repeated rows the first keeps what is left and the others go
-    whole, if they have LENGTH bytes. An empty table gives no rows. ``doc_id`` is an integer.
+    whole, if they have LENGTH bytes. An empty table gives no rows. ``doc_id`` is an integer. ``heavy_bytes`` changes
+    the way, not the result.
     """
     spark = docs.sparkSession
     keyed = docs.select(
@@ -428,15 +541,25 @@ def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         return df.repartition(buckets, "bucket").sortWithinPartitions("bucket")
 
     contexts = keyed.mapInArrow(_contexts(buckets), "bucket int, blob binary")
-    marks = cut_lineage(by_bucket(contexts).mapInArrow(_marks, MARKS))
+    marks = cut_lineage(by_bucket(contexts).mapInArrow(_marks(heavy_bytes), MARKS))
     small = keyed.mapInArrow(_shrink, "d long, h int, z binary")
-    wanted = marks.filter(F.col("kind") != WHOLE).groupBy("d", "h").agg(F.collect_list(F.struct("kind", "lo", "hi", "at")).alias("marks"))
+    compared = F.col("kind").isin(PIECE, BANDS)
+    wanted = marks.filter(compared).groupBy("d", "h").agg(F.collect_list(F.struct("kind", "lo", "hi", "at")).alias("marks"))
     # A repeated row sends its pieces again, under the same place, which removes nothing.
-    pieces = small.join(wanted, ["d", "h"]).mapInArrow(
-        _pieces(buckets), "bucket int, d array<long>, h array<int>, lo array<long>, n array<int>, text binary"
+    marked = small.join(wanted, ["d", "h"])
+    # Both lists are at most as long as the input has ``heavy_bytes``, times the bands that overlap.
+    anchors = np.array([r["d"] for r in marks.filter(F.col("kind") == HEAVY).select("d").collect()], np.int64).view(np.uint64)
+    heavy: dict[bytes, int] = {}
+    if len(anchors):
+        weights = marked.mapInArrow(_weights(anchors), "common binary, n long").groupBy("common").agg(F.sum("n").alias("n"))
+        heavy = {bytes(r["common"]): i for i, r in enumerate(weights.filter(F.col("n") > heavy_bytes).select("common").collect())}
+    pieces = marked.mapInArrow(
+        _pieces(buckets, heavy), "bucket int, d array<long>, h array<int>, lo array<long>, n array<int>, text binary"
     )
     found = by_bucket(pieces).mapInArrow(_compare, SPANS)
     removed = marks.filter(F.col("kind") == WHOLE).select("d", "h", "lo", "hi").unionAll(found)
+    if heavy:
+        removed = removed.unionAll(_heavy_windows(marked, heavy))
     removed = removed.groupBy("d", "h").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
     cut = small.join(removed, ["d", "h"], "left").mapInArrow(_cut(with_text), CUT)
     copies = cut.groupBy("d", "h", "n_bytes", "runs", "kept", "kept_sha256").agg(F.count("*").alias("__n"))
