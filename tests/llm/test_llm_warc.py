@@ -60,6 +60,17 @@ def test_chunks_carry_the_payload_and_running_digests(spark, tmp_path, chunk, se
     assert sum(r["records"] for r in index.collect()) == len(rows)
 
 
+def test_urls_of_several_megabytes(spark, tmp_path):
+    rows = [(1, "http://a/" + "é /" * 1_500_000, "x" * 1200), (2, "http://b/" + "y" * 3_000_000, "x" * 1200), (3, "u", "z" * 10)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = wc.through_archives(df.repartition(2)).collect()
+    assert sorted((tuple(r) for r in got), key=str) == expected(rows)
+    index = wc.write_archives(wc.chunked(wc.plan_records(df.coalesce(1))), str(tmp_path / "w"), 1)
+    uris = {r["page_id"]: r["uri"] for r in wc.read_archives(index).filter("last").collect()}
+    assert uris == {p: u.replace(" ", "%20") for p, u, _ in rows}
+    assert min(r["longest_header"] for r in index.collect()) < 2000  # the short one's segment stays bounded by its own
+
+
 def test_only_indexed_files_are_read(spark, tmp_path):
     _, df = pages(spark)
     index = wc.write_archives(wc.chunked(wc.plan_records(df)), str(tmp_path / "w"))

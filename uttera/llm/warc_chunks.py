@@ -7,7 +7,7 @@ its end, and the row with ``last`` has that of the whole.
 Records are gzip members of their own, the usual form of such archives, compressed and expanded chunk by chunk.
 
 Each writing task makes one file of its own in a shared folder, under a name that no other attempt uses, and
-returns an index of its segments (path, offset, length). The index is checkpointed: files that a failed attempt left
+returns an index of its segments (path, offset, length, longest header). The index is checkpointed: files that a failed attempt left
 behind are not in it and are never read. A segment holds whole records, so reading splits at segments.
 """
 
@@ -33,12 +33,14 @@ SEGMENT = 8 << 20
 #: Shorter payloads are always written whole.
 REVISIT_FROM = 1000
 DATE = "2000-01-01T00:00:00Z"
+#: Longest header to expect where an index does not tell it.
 LONGEST_HEADER = 1 << 20
 #: Compression level, and zlib's mark for gzip members.
 LEVEL, GZIP = 1, 31
 CRLF = b"\r\n"
 
 INDEX = "path string, offset long, length long, records long"
+WRITTEN = INDEX + ", longest_header long"
 CHUNKS = (
     "record_id string, page_id long, uri string, record_type string, refers_to long, chunk_no long, last boolean, "
     "payload_bytes long, payload_digest string, chunk binary"
@@ -137,7 +139,7 @@ def write_archives(chunks: DataFrame, folder: str, segment: int = SEGMENT) -> Da
         task = TaskContext.get()
         name = f"part-{task.partitionId():05d}-{task.taskAttemptId()}-{uuid.uuid4().hex}.warc.gz"
         path = f"{folder.rstrip('/')}/{name}"
-        out, member, at, start, records, index = None, None, 0, 0, 0, []
+        out, member, at, start, records, longest, index = None, None, 0, 0, 0, 0, []
 
         def put(data) -> int:
             out.write(data)
@@ -155,30 +157,33 @@ def write_archives(chunks: DataFrame, folder: str, segment: int = SEGMENT) -> Da
                     if member is not None:
                         at += put(member.compress(2 * CRLF) + member.flush())
                     if at - start >= segment:
-                        index.append((path, start, at - start, records))
-                        start, records = at, 0
+                        index.append((path, start, at - start, records, longest))
+                        start, records, longest = at, 0, 0
                     member = zlib.compressobj(LEVEL, zlib.DEFLATED, GZIP)
-                    at += put(member.compress(_head(row)))
+                    head = _head(row)
+                    at += put(member.compress(head))
                     records += 1
+                    longest = max(longest, len(head))
                 at += put(member.compress(body.as_buffer()))
         if out is not None:
             at += put(member.compress(2 * CRLF) + member.flush())
             out.close()
-            index.append((path, start, at - start, records))
-        columns_out = list(zip(*index, strict=True)) if index else [[], [], [], []]
-        kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64())
+            index.append((path, start, at - start, records, longest))
+        columns_out = list(zip(*index, strict=True)) if index else [[], [], [], [], []]
+        kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
         yield pa.RecordBatch.from_arrays(
-            [pa.array(c, k) for c, k in zip(columns_out, kinds, strict=True)], names=["path", "offset", "length", "records"]
+            [pa.array(c, k) for c, k in zip(columns_out, kinds, strict=True)],
+            names=["path", "offset", "length", "records", "longest_header"],
         )
 
-    return cut_lineage(chunks.mapInArrow(write, INDEX))
+    return cut_lineage(chunks.mapInArrow(write, WRITTEN))
 
 
 class _Reader:
     """Bounded buffer over the expanded records of a segment."""
 
-    def __init__(self, source, length: int, step: int):
-        self.source, self.left, self.step = source, length, step
+    def __init__(self, source, length: int, step: int, longest_header: int):
+        self.source, self.left, self.step, self.longest_header = source, length, step, longest_header
         self.held, self.raw, self.member = b"", b"", None
 
     def _fill(self) -> bool:
@@ -206,9 +211,11 @@ class _Reader:
 
     def head(self) -> bytes | None:
         """Bytes up to an empty line, without it; None at the end."""
-        while (end := self.held.find(2 * CRLF)) < 0:
-            if len(self.held) > LONGEST_HEADER:
+        searched = 0
+        while (end := self.held.find(2 * CRLF, searched)) < 0:
+            if len(self.held) > self.longest_header:
                 raise ValueError("a header does not end")
+            searched = max(0, len(self.held) - 3)
             if not self._fill():
                 if self.held:
                     raise ValueError("the archive ends within a header")
@@ -266,7 +273,7 @@ def _chunks(reader: _Reader) -> Iterator[tuple]:
 
 
 def read_archives(index: DataFrame, chunk: int = CHUNK, payload: bool = True) -> DataFrame:
-    """Chunk rows of all records in the index: columns as in CHUNKS.
+    """Chunk rows of all records in the index: columns as in CHUNKS. The index has the columns of INDEX or WRITTEN.
 
     ``payload_bytes`` and ``payload_digest`` are those of the payload up to and with the chunk; a revisit is one row
     with those of the payload it refers to. Without ``payload`` the bytes themselves are left null. A
@@ -286,9 +293,9 @@ def read_archives(index: DataFrame, chunk: int = CHUNK, payload: bool = True) ->
                 files, path = opened(entry["path"])
                 with files.open_input_file(path) as source:
                     source.seek(entry["offset"])
-                    for row in _chunks(_Reader(source, entry["length"], chunk)):
+                    for row in _chunks(_Reader(source, entry["length"], chunk, entry.get("longest_header") or LONGEST_HEADER)):
                         rows.append(row if payload else (*row[:-1], None))
-                        held += 256 + (len(row[-1]) if payload else 0)
+                        held += 256 + len(row[2] or "") + (len(row[-1]) if payload else 0)
                         if held > 4 * CHUNK:
                             yield batch_of(rows)
                             rows, held = [], 0
