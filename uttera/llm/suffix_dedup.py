@@ -1,4 +1,4 @@
-"""Exact substring de-duplication by distributed difference-cover suffix sorting.
+"""Exact substring de-duplication: equal contexts by hash, differing ones by difference-cover suffix sorting in each task.
 
 A byte goes if it is covered by a string of ``LENGTH`` bytes that also starts earlier, in an earlier document (smaller
 id) or earlier in its own. Nothing crosses documents, and strings are judged on the input.
