@@ -66,6 +66,29 @@ def test_phrases_against_brute_force(spark, monkeypatch, block):
     assert all(len(words_of(t)) == hits[d][0] - hits[d][1] for d, t in cut.items())
 
 
+def test_items_stay_out_of_the_driver_and_the_plan(spark, monkeypatch):
+    words = [f"w{k}" for k in range(5000)]
+    docs = [(k, " ".join(words[k : k + 60])) for k in range(0, 4900, 70)]
+    items = [(f"i{k:04}", " ".join(words[k : k + 20])) for k in range(0, 4900, 35)]
+    monkeypatch.setattr(fm, "BLOCK_BYTES", 2000)
+    monkeypatch.setattr(fm, "HELD_BYTES", 3000)
+    phrases = spark.createDataFrame(items, "item_id string, text string").repartition(2)
+
+    def refuse(*_, **__):
+        raise AssertionError("items pass through the driver")
+
+    monkeypatch.setattr(type(phrases), "toLocalIterator", refuse)
+    found = fm.find_phrases(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), phrases)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    got = {r["record"]["doc_id"]: (r["n_words"], list(r["spans"]), list(r["items"])) for r in found.collect()}
+    for k, _ in docs:
+        n, spans, hits = got[k]
+        reach = [int(i[1:]) for i, _ in items if max(int(i[1:]), k) + fm.WINDOW <= min(int(i[1:]) + 20, k + 60)]
+        assert n == 60 and hits == [f"i{x:04}" for x in reach]
+        inside = sorted({w - k for x in reach for w in range(max(x, k), min(x + 20, k + 60))})
+        assert inside == [w for a, b in zip(spans[::2], spans[1::2], strict=True) for w in range(a, b)]
+
+
 def test_empty_tables_and_the_rule(spark):
     docs = spark.createDataFrame([(1, "a b c"), (2, "a " + "x " * 30)], "doc_id long, text string")
     none = spark.createDataFrame([], "item_id long, text string")

@@ -13,16 +13,20 @@ an occurrence.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from uttera.llm.common import ALNUM, ragged, record_of, texts_in
+from uttera.llm.common import ALNUM, opened, ragged, record_of, texts_in
+from uttera.session import cut_lineage, scratch_path
 
 WINDOW = 13
 SAMPLE = 16
@@ -30,6 +34,8 @@ SAMPLE = 16
 SHARD = 1 << 20
 #: Bytes of test text that are searched for at once; more are searched for block by block.
 BLOCK_BYTES = 8 << 20
+#: Bytes of documents that a task holds while it goes through several blocks.
+HELD_BYTES = 32 << 20
 END, BREAK, FIRST = 0, 1, 2
 
 
@@ -200,51 +206,100 @@ FIELDS = [
 ]
 
 
-def _search(phrases: Phrases, text_at: int, names: list[str]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code = phrases.codes.get
-        for batch in batches:
-            record, _, spans, items = batch.columns
-            texts = texts_in(record.flatten()[text_at])
-            words, pieces = [], []
-            for t in texts:
-                w = t.translate(ALNUM).split()
-                words.append(len(w))
-                pieces.append(np.fromiter((code(x, BREAK) for x in chain(w, (b"",))), np.int32, len(w) + 1))
-            starts = np.r_[0, np.cumsum(np.array(words, np.int64) + 1)]
-            window, position = _occurrences(np.concatenate(pieces) if pieces else np.empty(0, np.int32), phrases)
-            doc = np.searchsorted(starts, position, "right") - 1
-            spans, items = spans.to_pylist(), items.to_pylist()
-            order = np.argsort(doc, kind="stable")
-            cuts = [0, *(np.flatnonzero(np.diff(doc[order])) + 1).tolist(), len(order)]
-            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                if a == b:  # nothing found in the batch
-                    continue
-                rows = order[a:b]
-                d = doc[rows[0]]
-                first = position[rows] - starts[d]
-                known = list(zip(spans[d][::2], spans[d][1::2], strict=True))
-                merged = _merge(known + list(zip(first.tolist(), (first + phrases.lengths[window[rows]]).tolist(), strict=True)))
-                spans[d] = [x for span in merged for x in span]
-                items[d] = sorted({*items[d], *(x for w in np.unique(window[rows]) for x in phrases.holders[w])})
+@lru_cache(maxsize=1)
+def _loaded(address: str | None, window: int) -> Phrases:
+    """The block in a file; the last one asked for stays with the Python worker."""
+    if address is None:
+        return Phrases([], window)
+    files, path = opened(address)
+    block = pq.read_table(path, filesystem=files)
+    return Phrases(list(zip(block["id"].to_pylist(), block["text"].to_pylist(), strict=True)), window)
+
+
+def _add(phrases: Phrases, texts: list[bytes], spans: list[list[int]], items: list[list[str]]) -> list[int]:
+    """Adds what a block finds in the texts of a batch to their spans and items; words of each text."""
+    code = phrases.codes.get
+    words, pieces = [], []
+    for t in texts:
+        w = t.translate(ALNUM).split()
+        words.append(len(w))
+        pieces.append(np.fromiter((code(x, BREAK) for x in chain(w, (b"",))), np.int32, len(w) + 1))
+    starts = np.r_[0, np.cumsum(np.array(words, np.int64) + 1)]
+    window, position = _occurrences(np.concatenate(pieces) if pieces else np.empty(0, np.int32), phrases)
+    doc = np.searchsorted(starts, position, "right") - 1
+    order = np.argsort(doc, kind="stable")
+    cuts = [0, *(np.flatnonzero(np.diff(doc[order])) + 1).tolist(), len(order)]
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        if a == b:  # nothing found in the batch
+            continue
+        rows = order[a:b]
+        d = doc[rows[0]]
+        first = position[rows] - starts[d]
+        known = list(zip(spans[d][::2], spans[d][1::2], strict=True))
+        merged = _merge(known + list(zip(first.tolist(), (first + phrases.lengths[window[rows]]).tolist(), strict=True)))
+        spans[d] = [x for span in merged for x in span]
+        items[d] = sorted({*items[d], *(x for w in np.unique(window[rows]) for x in phrases.holders[w])})
+    return words
+
+
+def _search(blocks: list[str | None], window: int, text_at: int, names: list[str]):
+    def answer(held: list[pa.RecordBatch], blocks: list[str | None]) -> Iterator[pa.RecordBatch]:
+        found = [([[] for _ in range(len(b))], [[] for _ in range(len(b))]) for b in held]
+        words: list[list[int]] = []
+        for address in blocks:
+            phrases = _loaded(address, window)
+            words = [_add(phrases, texts_in(b.column(0).flatten()[text_at]), *f) for b, f in zip(held, found, strict=True)]
+        for batch, n, (spans, items) in zip(held, words, found, strict=True):
             yield pa.RecordBatch.from_arrays(
-                [record, pa.array(words, pa.int64()), ragged(spans, pa.int64()), pa.array(items, pa.list_(pa.string()))],
+                [batch.column(0), pa.array(n, pa.int64()), ragged(spans, pa.int64()), pa.array(items, pa.list_(pa.string()))],
                 names=names,
             )
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, turn = [], 0, list(blocks)
+        for batch in batches:
+            held.append(batch)
+            size += batch.nbytes
+            if len(turn) == 1 or size >= HELD_BYTES:
+                yield from answer(held, turn)
+                held, size, turn = [], 0, turn[::-1]  # back from the block that is loaded
+        yield from answer(held, turn if held else [])
+
     return run
 
 
-def _blocks(phrases: DataFrame) -> Iterator[list[tuple[str | None, str | None]]]:
-    """Items in blocks of bounded bytes; always at least one block."""
-    block, size = [], 0
-    for row in phrases.toLocalIterator():
-        block.append((row[0], row[1]))
-        size += len((row[1] or "").encode())
-        if size > BLOCK_BYTES:
-            yield block
-            block, size = [], 0
-    yield block
+def _blocks(phrases: DataFrame) -> list[str | None]:
+    """Files in the shared folder with the items (id, text) in blocks of bounded bytes, written by tasks; at least one entry."""
+    spark, most, folder = phrases.sparkSession, BLOCK_BYTES, scratch_path(phrases.sparkSession, "items")
+    item, text = phrases.columns
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, base = opened(folder)
+        block, size = ([], []), 0
+
+        def put() -> pa.RecordBatch:
+            name = f"{uuid.uuid4().hex}.parquet"
+            files.create_dir(base, recursive=True)
+            rows = pa.table({"id": pa.array(block[0], pa.string()), "text": pa.array(block[1], pa.string())})
+            pq.write_table(rows, f"{base}/{name}", filesystem=files)
+            return pa.RecordBatch.from_arrays([pa.array([f"{folder}/{name}"])], names=["path"])
+
+        for batch in batches:
+            for key, value in zip(batch.column(0), batch.column(1), strict=True):
+                block[0].append(key.as_py())
+                block[1].append(value.as_py())
+                size += len((block[1][-1] or "").encode())
+                if size > most:
+                    yield put()
+                    block, size = ([], []), 0
+        if block[0]:
+            yield put()
+
+    bytes_of = phrases.agg(F.sum(F.octet_length(text).cast("long"))).first()[0] or 0
+    tasks = max(1, min(-(-bytes_of // most), int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    # Only files of attempts that came through are in the list.
+    written = cut_lineage(phrases.select(item, text).repartition(tasks).mapInArrow(write, "path string"))
+    return sorted(r["path"] for r in written.collect()) or [None]
 
 
 def find_phrases(docs: DataFrame, phrases: DataFrame, text: str = "text", window: int = WINDOW) -> DataFrame:
@@ -254,20 +309,14 @@ def find_phrases(docs: DataFrame, phrases: DataFrame, text: str = "text", window
     exclusive), ``items`` the distinct ids (as strings, sorted) of the items with an occurring window.
     ``phrases`` has the columns (id, text). Null texts have no words; a null id counts as an empty one; an
     empty table of either kind is searched like any other. Documents are neither shuffled nor collected;
-    items are sent to the tasks in blocks of at most BLOCK_BYTES and one item.
+    items do not pass through the driver: they are written to the shared folder in files of at most BLOCK_BYTES and
+    one item, which each task reads one after the other.
     """
     item, item_text = phrases.columns
     phrases = phrases.select(F.col(item).cast("string"), item_text)
-    df = record_of(docs).select(
-        "record",
-        F.lit(0).cast("long").alias("n_words"),
-        F.array().cast("array<long>").alias("spans"),
-        F.array().cast("array<string>").alias("items"),
-    )
+    df = record_of(docs)
     schema = T.StructType([df.schema["record"], *FIELDS])
-    for block in _blocks(phrases):
-        df = df.mapInArrow(_search(Phrases(block, window), docs.columns.index(text), schema.names), schema)
-    return df
+    return df.mapInArrow(_search(_blocks(phrases), window, docs.columns.index(text), schema.names), schema)
 
 
 def n_hit() -> Column:
