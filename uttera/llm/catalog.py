@@ -10,16 +10,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from uttera.llm import (
+    blockmax,
     collisions,
     factorisation,
     feistel,
     fm_index,
+    fragments,
     mixing,
     pii_tagger,
     simhash_ring,
     suffix_dedup,
     toxic_segments,
     warc_chunks,
+    whitening,
 )
 from uttera.llm.common import is_held_out, table
 
@@ -123,6 +126,39 @@ def op10_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op11_fragment_join(spark: SparkSession, folder: str) -> DataFrame:
+    """Four words and a similarity of 0.85; see fragments.near_copies."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return fragments.near_copies(docs, words=4, percent=85).select("doc_id", "n_shingles", "component_id")
+
+
+def op12_householder_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    """One row per usable vector and component; vectors of a dimension without a component of positive variance have none."""
+    vectors = table(spark, folder, "embeddings").select("vec_id", "embedding")
+    axes = whitening.fit(vectors)
+    errors = whitening.identity_errors(vectors, axes)
+    per_component = F.create_map(
+        *[x for d, a in axes.items() for x in (F.lit(d), F.array(*[F.lit(float(v)) for v in a.explained]))], F.lit(-1), F.array(F.lit(0.0))
+    )
+    error = F.create_map(*[x for d, e in errors.items() for x in (F.lit(d), F.lit(e))], F.lit(-1), F.lit(0.0))
+    size = F.size("record.embedding")
+    rows = whitening.whiten(vectors, axes).select(
+        "record.vec_id", "n", "deviation", F.element_at(error, size).alias("identity_error"),
+        F.element_at(per_component, size).alias("shares"), F.posexplode("whitened").alias("at", "whitened"),
+    )
+    return rows.select(
+        "vec_id", (F.col("at") + 1).alias("component"), "n", "deviation", "whitened",
+        F.element_at("shares", F.col("at") + 1).alias("explained"), "identity_error",
+    )
+
+
+def op13_block_max_search(spark: SparkSession, folder: str) -> DataFrame:
+    """The ten best documents of every item; see blockmax.search."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    found = blockmax.search(docs, table(spark, folder, "benchmark").select("item_id", "text"))
+    return found.select("record.item_id", F.col("rank").cast("int").alias("rank"), "doc_id", "score")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -136,6 +172,9 @@ QUERIES = {
         op8_suffix_array_dedup,
         op9_bilstm_crf_pii,
         op10_simhash_near_dedup,
+        op11_fragment_join,
+        op12_householder_whitening,
+        op13_block_max_search,
     )
 }
 
@@ -234,9 +273,53 @@ SELECT doc_id, size::bigint AS size, crc::bigint AS text_crc32, 'rows' AS law, (
 """
 
 
+_OP11 = r"""
+WITH RECURSIVE worded AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x20\x09-\x0D]+') AS w FROM documents),
+grams AS (
+    SELECT DISTINCT doc_id, CASE WHEN len(w) < 4 THEN array_to_string(w, ' ') ELSE array_to_string(w[p:p + 3], ' ') END AS gram, len(w) < 4 AS short
+    FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS p FROM worded WHERE len(w) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id),
+pairs AS (
+    SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM grams a JOIN grams b
+    ON a.gram = b.gram AND a.short = b.short AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
+links AS (
+    SELECT a, b FROM pairs JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * common >= 85 * (x.n + y.n - common)),
+reach(a, b) AS (SELECT a, b FROM links UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
+lowest AS (SELECT a, min(b) AS low FROM reach GROUP BY a)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, least(doc_id, coalesce(low, doc_id)) AS component_id
+FROM documents LEFT JOIN sizes USING (doc_id) LEFT JOIN lowest ON lowest.a = doc_id
+"""
+
+_OP13 = r"""
+WITH worded AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+sized AS (SELECT doc_id, w, cast(len(w) AS bigint) AS n FROM worded WHERE len(w) > 0),
+whole AS (SELECT count(*) AS docs, cast(sum(n) AS bigint) AS terms FROM sized),
+held AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(w) AS term FROM sized) GROUP BY doc_id, term),
+asked AS (
+    SELECT item_id, term, count(*) AS times FROM (
+        SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS term FROM benchmark) GROUP BY item_id, term),
+weighed AS (
+    SELECT term, cast(floor(1000 * ln((2 * docs + 2)::double / (2 * df + 1))) AS bigint) AS w
+    FROM (SELECT term, count(*) AS df FROM held GROUP BY term), whole),
+normed AS (SELECT doc_id, 25 + (75 * n * docs) // terms AS m FROM sized, whole),
+scored AS (
+    SELECT item_id, doc_id, cast(sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS bigint) AS score
+    FROM asked JOIN held USING (term) JOIN weighed USING (term) JOIN normed USING (doc_id) GROUP BY item_id, doc_id)
+SELECT item_id, cast(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS int) AS rank, doc_id, score
+FROM scored WHERE score > 0 QUALIFY rank <= 10
+"""
+
+
 ORACLES: dict[str, str] = {
     "op3_fm_index_decontamination": _OP3,
     "op4_warc_chunk_table": _OP4,
     "op5_golden_ratio_mix": _OP5,
     "op6_feistel_shards": _op6_sql(),
+    "op11_fragment_join": _OP11,
+    "op13_block_max_search": _OP13,
 }
