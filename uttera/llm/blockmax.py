@@ -124,8 +124,10 @@ class Shard:
         lists = [(self.lists[t], t, times) for _, t, times in known]
         self.blocks_there += sum(len(p.first) for p, _, _ in lists)
         scores, ids = best
-        for low in range(0, len(self.ids), WINDOW):
-            high = min(low + WINDOW, len(self.ids))
+        high, step = 0, max(1, WINDOW >> 4)  # short windows first: they give the bound that later ones are held against
+        while high < len(self.ids):
+            low, high = high, min(high + step, len(self.ids))
+            step = min(2 * step, WINDOW)
             least = int(scores[-1]) if len(scores) == k else 1
             essential = int(np.searchsorted(maxima, least, "left"))  # lists before it add up to less than the k-th score
             if essential == len(lists):

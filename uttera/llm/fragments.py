@@ -2,8 +2,7 @@
 
 All n-grams have one global order, rare ones first. The order is cut into ``FRAGMENTS`` fragments of equal weight, and
 every document's set falls into one segment for each. Overlaps are counted fragment by fragment, on segments alone, and
-summed per pair; after the fragment of the rarest n-grams, pairs that cannot reach the wanted overlap any more are
-dropped before the other segments are read.
+summed per pair.
 
 What comes before:
 
@@ -13,7 +12,8 @@ What comes before:
 * Two linked sets share one of the rarest n-grams of each (its prefix). Classes meet on these. Of the m classes of an n-gram
   every one meets those of smaller priority, in rounds: first only the two of smallest priority, then the next 30, and so on.
   Between rounds verified links are put together to components, and classes of one component need not meet any more. A
-  dense group of near copies thus costs rows in proportion to its members; pairs of different components are never left out.
+  dense group of near copies thus costs rows in proportion to its members; pairs of different components are never left out
+  but where sizes rule a link out: those of the whole sets, or, as odd or even, those of 512 cells of the hashes.
 
 N-grams are told apart by 64-bit hashes. What matters is a collision between two n-grams of one pair of documents: for
 two documents of 20000 words its probability is 2 in 10^11, whatever the size of the corpus. Classes that share the first 64
@@ -23,6 +23,7 @@ bits of their signature and not the others are detected, and another seed is tak
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -43,39 +44,59 @@ FRAGMENTS = 4
 COUNTERS = 1 << 20
 #: Bits of the filter that keeps hopeless sets from being shuffled, at most.
 FILTER_BITS = 1 << 28
+#: Cells whose odd or even sizes are compared before two sets meet.
+CELLS = 512
 #: Classes of an n-gram that all others meet in the first round, and by how much they become more in every round.
 FIRST, GROWTH = 2, 16
-#: Word hashes and signatures that a task remembers.
+#: Signatures that a task remembers.
 REMEMBERED = 1 << 18
 MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
-
-
-class WordHashes(dict):
-    """64-bit hash of a word, remembered."""
-
-    def __init__(self, seed: int):
-        super().__init__()
-        self.seed = seed
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        value = self[word] = xxhash.xxh64_intdigest(word, self.seed)
-        return value
-
-
-def ngram_set(text: bytes, words: int, hashes: WordHashes) -> np.ndarray:
-    """Sorted distinct hashes of a text's word n-grams; a text of fewer words, but not none, has one."""
-    parts = text.translate(ASCII_LOWER).split()
-    if not parts:
-        return np.empty(0, np.uint64)
-    codes = np.fromiter(map(hashes.__getitem__, parts), np.uint64, len(parts))
-    width = min(words, len(codes))
-    out = np.full(len(codes) - width + 1, width, np.uint64)  # a whole short text never equals a longer n-gram
-    for k in range(width):
-        out = (out ^ codes[k : k + len(out)]) * MIX[k % 2]
-        out ^= out >> np.uint64(29)
-    return np.unique(out)
+SPACES = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+
+
+def word_hashes(text: bytes, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """(start, 64-bit hash) of every word of lower-cased bytes, eight bytes of all words at a time."""
+    padded = np.frombuffer(text + b" " * 9, np.uint8)
+    inside = ~SPACES[padded]
+    edge = np.flatnonzero(np.diff(inside, prepend=False))
+    start, length = edge[::2], edge[1::2] - edge[::2]
+    out = length.astype(np.uint64) * MIX[1] + np.uint64(seed)
+    todo, at = np.arange(len(start)), 0
+    while len(todo):
+        left = length[todo] - at
+        lane = padded[np.minimum(start[todo, None] + at + np.arange(8), len(padded) - 1)].copy()
+        lane[np.arange(8) >= left[:, None]] = 0
+        out[todo] = _mixed(out[todo] ^ lane.view("<u8").ravel(), at // 8)
+        at += 8
+        todo = todo[left > 8]
+    return start, out
+
+
+def _mixed(value: np.ndarray, turn: int) -> np.ndarray:
+    value = value * MIX[turn % 2]
+    value ^= value >> np.uint64(32)
+    value *= MIX[1 - turn % 2]
+    return value ^ (value >> np.uint64(29))
+
+
+def ngram_sets(texts: list[bytes], words: int, seed: int = 0) -> list[np.ndarray]:
+    """Sorted distinct hashes of each text's word n-grams; a text of fewer words, but not none, has one."""
+    start, codes = word_hashes(b" ".join(texts).translate(ASCII_LOWER), seed)
+    cuts = np.searchsorted(start, np.cumsum([len(t) + 1 for t in texts])).tolist()
+    whole = np.full(max(0, len(codes) - words + 1), words, np.uint64)
+    for k in range(words):
+        whole = _mixed(whole ^ codes[k : k + len(whole)], k)
+    sets, first = [], 0
+    for end in cuts:
+        if end - first >= words:
+            sets.append(np.unique(whole[first : end - words + 1]))
+        else:
+            short = np.full(min(1, end - first), end - first, np.uint64)  # never that of a longer n-gram
+            for k in range(first, end):
+                short = _mixed(short ^ codes[k], k - first)
+            sets.append(short)
+        first = end
+    return sets
 
 
 def signature(grams: np.ndarray, seed: int) -> tuple[int, int]:
@@ -91,9 +112,8 @@ def _sets(docs: DataFrame, words: int, seed: int) -> DataFrame:
     """(doc_id, n, class, proof) of every document: size of its set and the two halves of its signature."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes(seed)
         for batch in batches:
-            found = [ngram_set(t, words, hashes) for t in texts_in(batch.column(1))]
+            found = ngram_sets(texts_in(batch.column(1)), words, seed)
             signed = [signature(g, seed) for g in found]
             columns = [_signed([len(g) for g in found]), _signed([s[0] for s in signed]), _signed([s[1] for s in signed])]
             yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, columns)], names=["doc_id", "n", "class", "proof"])
@@ -108,12 +128,11 @@ def _grams(docs: DataFrame, words: int, seed: int, below: int, chosen: list[str]
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, seen = WordHashes(seed), set()
+        seen: set[int] = set()
         held = None if chosen is None else _bit_filter(chosen, bits)
         for batch in batches:
             names, sizes, lists = [], [], []
-            for t in texts_in(batch.column(0)):
-                grams = ngram_set(t, words, hashes)
+            for grams in ngram_sets(texts_in(batch.column(0)), words, seed):
                 if not len(grams):
                     continue
                 name = signature(grams, seed)[0]
@@ -198,17 +217,26 @@ def _order(files: list[str], fragments: int) -> tuple[np.ndarray, np.ndarray]:
     return rank, fragment
 
 
+def odd_cells(grams: np.ndarray) -> np.ndarray:
+    """A bit for each cell of the hashes' low bits: whether the set has an odd number of n-grams there.
+
+    Where two sets' bits differ, at least one n-gram belongs to one of them alone.
+    """
+    counts = np.bincount((grams & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS)
+    return np.packbits((counts & 1).astype(bool), bitorder="little").view("<i8")
+
+
 def _segments(full: DataFrame, percent: int, fragments: int) -> DataFrame:
-    """(class, n, fragment, grams, prefix): a row for each segment; that of fragment 0 carries the set's prefix."""
+    """(class, n, fragment, grams, prefix, odd): a row for each segment; that of fragment 0 carries the set's prefix and odd cells."""
     counter = F.shiftrightunsigned(F.col("gram"), 64 - (COUNTERS.bit_length() - 1)).cast("int")
     counted = full.select(F.explode("grams").alias("gram")).groupBy(counter.alias("counter")).agg(F.count("*").alias("n"))
     files = _files(counted, "order")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank, fragment = _order(files, fragments)
-        shift = np.uint64(64 - (COUNTERS.bit_length() - 1))
+        shift, none = np.uint64(64 - (COUNTERS.bit_length() - 1)), np.empty(0, np.int64)
         for batch in batches:
-            names, sizes, parts, lists, prefixes = [], [], [], [], []
+            names, sizes, parts, lists, prefixes, odds = [], [], [], [], [], []
             values = batch.column(2)
             flat = values.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
             ends = np.cumsum(values.value_lengths().to_numpy(zero_copy_only=False))
@@ -225,14 +253,15 @@ def _segments(full: DataFrame, percent: int, fragments: int) -> DataFrame:
                     sizes.append(n)
                     parts.append(f)
                     lists.append(own.view(np.int64))
-                    prefixes.append(grams[order[: n - -(-percent * n // 100) + 1]].view(np.int64) if f == 0 else [])
+                    prefixes.append(grams[order[: n - -(-percent * n // 100) + 1]].view(np.int64) if f == 0 else none)
+                    odds.append(odd_cells(grams) if f == 0 else none)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(names, pa.int64()), pa.array(sizes, pa.int64()), pa.array(parts, pa.int32()), ragged(lists, pa.int64()),
-                 ragged(prefixes, pa.int64())], names=["class", "n", "fragment", "grams", "prefix"],
+                 ragged(prefixes, pa.int64()), ragged(odds, pa.int64())], names=["class", "n", "fragment", "grams", "prefix", "odd"],
             )
 
     return full.select("class", "n", "grams").mapInArrow(
-        run, "class long, n long, fragment int, grams array<long>, prefix array<long>"
+        run, "class long, n long, fragment int, grams array<long>, prefix array<long>, odd array<long>"
     )
 
 
@@ -250,52 +279,38 @@ def _overlaps(pairs: DataFrame, segments: DataFrame) -> DataFrame:
 
 def _linked(pairs: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
     """(a, b): pairs of sets of which the intersection holds ``percent`` of the union at least."""
-
-    def reaches(common: Column) -> Column:
-        return (100 + percent) * common >= percent * (F.col("na") + F.col("nb"))
-
-    front = segments.filter("fragment = 0")
-    sizes = front.select("class", F.size("grams").alias("__s"))
-    first = (
-        pairs.join(_overlaps(pairs.select("a", "b"), front), ["a", "b"])
-        .join(sizes.withColumnsRenamed({"class": "a", "__s": "sa"}), "a")
-        .join(sizes.withColumnsRenamed({"class": "b", "__s": "sb"}), "b")
-        .filter(reaches(F.col("common") + F.least(F.col("na") - F.col("sa"), F.col("nb") - F.col("sb"))))
-    )
-    first = _written(first.select("a", "b", "na", "nb", F.col("common").alias("__first")), "front")
-    rest = _overlaps(first.select("a", "b"), segments.filter("fragment > 0"))
-    whole = first.join(rest, ["a", "b"], "left")
-    return whole.filter(reaches(F.col("__first") + F.coalesce("common", F.lit(0)))).select("a", "b")
+    counted = pairs.join(_overlaps(pairs.select("a", "b"), segments), ["a", "b"])
+    return counted.filter((100 + percent) * F.col("common") >= percent * (F.col("na") + F.col("nb"))).select("a", "b")
 
 
 def _meetings(segments: DataFrame) -> DataFrame:
-    """(gram, class, n, priority, m, component): classes on the n-grams of their prefixes that m > 1 classes have there."""
-    posts = segments.filter("fragment = 0").select(F.explode("prefix").alias("gram"), "class", "n")
+    """(gram, class, n, odd, priority, m, component): classes on the n-grams of their prefixes that m > 1 classes have there."""
+    posts = segments.filter("fragment = 0").select(F.explode("prefix").alias("gram"), "class", "n", "odd")
     shared = posts.groupBy("gram").agg(F.count("*").alias("m")).filter("m > 1")
     priority = F.shiftrightunsigned(F.xxhash64("class", F.lit(7)), 12) / F.lit(float(1 << 52))
-    return posts.join(shared, "gram").select("gram", "class", "n", priority.alias("priority"), "m", F.col("class").alias("component"))
+    return posts.join(shared, "gram").select("gram", "class", "n", "odd", priority.alias("priority"), "m", F.col("class").alias("component"))
 
 
 def class_links(segments: DataFrame, percent: int = PERCENT) -> DataFrame | None:
-    """(node, root) of classes with partners: the components of all links; None if no two classes meet."""
+    """(node, root) of classes with partners: the components of all links; None if there is no link."""
     posts = _written(_meetings(segments), "meetings")
-    reached, roots, links = 0, None, []
-    step = FIRST
+    differing = " + ".join(f"bit_count(oa[{i}] ^ odd[{i}])" for i in range(CELLS // 64))
+    reached, step, roots, links = 0, FIRST, None, []
     while (most := posts.agg(F.max("m")).first()[0] or 0) > reached:
         hubs = posts.filter((F.col("priority") * F.col("m") >= reached) & (F.col("priority") * F.col("m") < step)).select(
-            "gram", F.col("class").alias("a"), F.col("n").alias("na"), F.col("priority").alias("pa"), F.col("component").alias("ca")
+            "gram", *[F.col(c).alias(x) for c, x in (("class", "a"), ("n", "na"), ("odd", "oa"), ("priority", "pa"), ("component", "ca"))]
         )
         met = hubs.join(posts, "gram").filter(
             "(pa < priority or pa = priority and a < class) and ca <> component "
-            f"and 100 * least(na, n) >= {int(percent)} * greatest(na, n)"
+            f"and 100 * least(na, n) >= {percent} * greatest(na, n) and {100 + percent} * ({differing}) <= {100 - percent} * (na + n)"
         )
         pairs = _written(met.select("a", F.col("class").alias("b"), "na", F.col("n").alias("nb")).distinct(), "pairs")
-        links.append(_written(_linked(pairs, segments, percent), "links"))
-        whole = links[0]
-        for more in links[1:]:
-            whole = whole.unionAll(more)
-        roots = connected_components(whole)
+        found = _written(_linked(pairs, segments, percent), "links")
         reached, step = step, step * GROWTH
+        if found.isEmpty():
+            continue
+        links.append(found)
+        roots = connected_components(reduce(DataFrame.unionAll, links))
         if most <= reached:
             break
         named = posts.drop("component").join(roots.withColumnsRenamed({"node": "class", "root": "component"}), "class", "left")
