@@ -41,16 +41,24 @@ def plain_components(rows, words, percent):
 @given(st.lists(st.text(alphabet="aB é\t\n\x0b\x1c ", max_size=60), max_size=4), st.integers(1, 5))
 def test_sets_of_any_texts(texts, words):
     raw = [t.encode() for t in texts]
-    found = fr.ngram_sets(raw, words)
+    found = list(fr.ngram_sets(raw, words))
     assert [len(s) for s in found] == [len(plain_set(t, words)) for t in texts]
-    assert all((fr.ngram_sets([t], words)[0] == s).all() for t, s in zip(raw, found, strict=True))
+    assert all((next(fr.ngram_sets([t], words)) == s).all() for t, s in zip(raw, found, strict=True))
+
+
+def test_pieces_give_the_same_sets(monkeypatch):
+    texts = [b"one two three four five", b"", b"a b c", b"word " * 300 + b"averyveryverylongwordindeed" * 9]
+    whole = list(fr.ngram_sets(texts, 3))
+    monkeypatch.setattr(fr, "TEXT_BYTES", 10)
+    monkeypatch.setattr(fr, "AT_ONCE", 7)
+    assert all((a == b).all() for a, b in zip(whole, fr.ngram_sets(texts, 3), strict=True))
 
 
 def test_words_are_told_apart_at_any_length():
     words = [b"a" * n + b"b" * m for n in range(40) for m in range(3)] + [b"\xc3\xa9" * n for n in range(1, 20)]
     words = sorted(set(words) - {b""})
     assert len(np.unique(fr.word_hashes(b" ".join(words))[1])) == len(words)
-    assert len({int(fr.ngram_sets([t], 4)[0][0]) for t in (b"a", b"a a", b"a a a", b"a a a a")}) == 4
+    assert len({int(next(fr.ngram_sets([t], 4))[0]) for t in (b"a", b"a a", b"a a a", b"a a a a")}) == 4
 
 
 def test_odd_cells_never_count_more_than_differ():

@@ -48,6 +48,9 @@ FILTER_BITS = 1 << 28
 CELLS = 512
 #: Classes of an n-gram that all others meet in the first round, and by how much they become more in every round.
 FIRST, GROWTH = 2, 16
+#: Words, and bytes of texts, that are hashed at once.
+AT_ONCE = 1 << 16
+TEXT_BYTES = 1 << 20
 #: Signatures that a task remembers.
 REMEMBERED = 1 << 18
 MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
@@ -61,14 +64,15 @@ def word_hashes(text: bytes, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
     edge = np.flatnonzero(np.diff(inside, prepend=False))
     start, length = edge[::2], edge[1::2] - edge[::2]
     out = length.astype(np.uint64) * MIX[1] + np.uint64(seed)
-    todo, at = np.arange(len(start)), 0
-    while len(todo):
-        left = length[todo] - at
-        lane = padded[np.minimum(start[todo, None] + at + np.arange(8), len(padded) - 1)].copy()
-        lane[np.arange(8) >= left[:, None]] = 0
-        out[todo] = _mixed(out[todo] ^ lane.view("<u8").ravel(), at // 8)
-        at += 8
-        todo = todo[left > 8]
+    for low in range(0, len(start), AT_ONCE):
+        todo, at = np.arange(low, min(low + AT_ONCE, len(start))), 0
+        while len(todo):
+            left = length[todo] - at
+            lane = padded[np.minimum(start[todo, None] + at + np.arange(8), len(padded) - 1)]
+            lane[np.arange(8) >= left[:, None]] = 0
+            out[todo] = _mixed(out[todo] ^ lane.view("<u8").ravel(), at // 8)
+            at += 8
+            todo = todo[left > 8]
     return start, out
 
 
@@ -79,8 +83,23 @@ def _mixed(value: np.ndarray, turn: int) -> np.ndarray:
     return value ^ (value >> np.uint64(29))
 
 
-def ngram_sets(texts: list[bytes], words: int, seed: int = 0) -> list[np.ndarray]:
-    """Sorted distinct hashes of each text's word n-grams; a text of fewer words, but not none, has one."""
+def ngram_sets(texts: list[bytes], words: int, seed: int = 0) -> Iterator[np.ndarray]:
+    """Sorted distinct hashes of each text's word n-grams; a text of fewer words, but not none, has one.
+
+    Texts are worked on a megabyte, or one text, at a time.
+    """
+    held, size = [], 0
+    for text in texts:
+        held.append(text)
+        size += len(text)
+        if size >= TEXT_BYTES:
+            yield from _sets_of(held, words, seed)
+            held, size = [], 0
+    if held:
+        yield from _sets_of(held, words, seed)
+
+
+def _sets_of(texts: list[bytes], words: int, seed: int) -> list[np.ndarray]:
     start, codes = word_hashes(b" ".join(texts).translate(ASCII_LOWER), seed)
     cuts = np.searchsorted(start, np.cumsum([len(t) + 1 for t in texts])).tolist()
     whole = np.full(max(0, len(codes) - words + 1), words, np.uint64)
@@ -113,9 +132,8 @@ def _sets(docs: DataFrame, words: int, seed: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = ngram_sets(texts_in(batch.column(1)), words, seed)
-            signed = [signature(g, seed) for g in found]
-            columns = [_signed([len(g) for g in found]), _signed([s[0] for s in signed]), _signed([s[1] for s in signed])]
+            found = [(len(g), signature(g, seed)) for g in ngram_sets(texts_in(batch.column(1)), words, seed)]
+            columns = [_signed([n for n, _ in found]), _signed([s[0] for _, s in found]), _signed([s[1] for _, s in found])]
             yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, columns)], names=["doc_id", "n", "class", "proof"])
 
     return docs.mapInArrow(run, "doc_id long, n long, class long, proof long")
