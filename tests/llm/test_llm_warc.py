@@ -108,3 +108,13 @@ def test_archives_are_plain_warc(spark, tmp_path):
     fields = dict(line.split(b": ", 1) for line in head.split(b"\r\n")[1:])
     assert head.startswith(b"WARC/1.1\r\nWARC-Type: response\r\n") and rest == b"hi\r\n\r\n"
     assert int(fields[b"Content-Length"]) == len(http) + 4 + 2
+
+
+def test_many_segments_are_read_by_many_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(wc, "READ_BYTES", 1 << 10)
+    rows = [(i, "u", f"{hashlib.sha512(str(i).encode()).hexdigest()} " * 20, "c", 0) for i in range(50)]
+    index = wc.write_archives(wc.chunked(wc.plan_records(spark.createDataFrame(rows, PAGES))), str(tmp_path / "w"), 1)
+    assert index.count() == 50
+    found = wc.read_archives(index, payload=False)
+    tasks = found.select("page_id", F.spark_partition_id().alias("task")).collect()
+    assert len(tasks) == 50 and len({r["task"] for r in tasks}) > 5

@@ -30,6 +30,9 @@ from uttera.session import cut_lineage, scratch_path
 
 CHUNK = 1 << 20
 SEGMENT = 8 << 20
+#: Stored bytes that one task reads back, and how many tasks there are at most.
+READ_BYTES = 4 << 20
+MOST_TASKS = 100_000
 #: Shorter payloads are always written whole.
 REVISIT_FROM = 1000
 DATE = "2000-01-01T00:00:00Z"
@@ -302,7 +305,10 @@ def read_archives(index: DataFrame, chunk: int = CHUNK, payload: bool = True) ->
         if rows:
             yield batch_of(rows)
 
-    return index.repartition("path", "offset").mapInArrow(read, CHUNKS)
+    # A given number of partitions is not merged by the adaptive planner, which would see only the small rows of the index.
+    stored = index.agg(F.sum("length")).first()[0] or 0
+    tasks = max(1, min(-(-stored // READ_BYTES), MOST_TASKS))
+    return index.repartition(int(tasks), "path", "offset").mapInArrow(read, CHUNKS)
 
 
 def through_archives(pages: DataFrame, folder: str | None = None) -> DataFrame:
