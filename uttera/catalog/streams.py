@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from uttera.catalog import views as v
 from uttera.catalog.base import query
-from uttera.operators import features, metrics
+from uttera.operators import metrics
 from uttera.session import scratch_path
+from uttera.sources import records
 from uttera.streaming import jobs
 
 FILES = 4
@@ -53,10 +54,49 @@ def stream_dedup(spark, folder):
     v.sql("""SELECT key, version, value FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY version DESC) AS n FROM cache_log) WHERE n = 1 AND NOT deleted""", "cache_log"),
 )
 def stream_features(spark, folder):
-    out = scratch_path(spark, "stream-features")
-    log = arriving(spark, v.cache_log(spark, folder), "version")
-    jobs.stream_features(log, out, scratch_path(spark, "ckpt"), ["value"]).awaitTermination()
-    return features.latest_state(spark.read.parquet(out), ["value"])
+    """The log arrives in steps, and then all of it again, which adds nothing; a published compaction is read back."""
+    out, published, at = (scratch_path(spark, f"stream-features{x}") for x in ("", "-compact", "-ckpt"))
+    log = v.cache_log(spark, folder)
+    end = log.agg(F.max("version") + 1).scalar()
+    twice = log.withColumn("at", F.col("version")).unionByName(log.withColumn("at", F.col("version") + end))
+    jobs.stream_features(arriving(spark, twice, "at", steps=6).drop("at"), out, at, ["value"]).awaitTermination()
+    jobs.compact(spark.read.parquet(out), ["value"], published)
+    return records.read_records(spark, published).select("key", "version", "value")
+
+
+_TURN = "floor(version * 3.0 / (max(version) OVER () + 1))"
+
+
+@query(
+    "stream_feature_actions",
+    v.sql(
+        f""", turns AS (SELECT *, {_TURN} AS turn FROM cache_log),
+        newest AS (SELECT key, turn, arg_max(deleted, version) AS gone, arg_max(coalesce(value, 0) >= 1, version) AS fine FROM turns GROUP BY key, turn),
+        seen AS (SELECT DISTINCT key, t.turn FROM cache_log, (SELECT unnest([0, 1, 2]) AS turn) t),
+        state AS (SELECT seen.key, seen.turn, max_by(gone OR NOT fine, n.turn) AS missing FROM seen LEFT JOIN newest n
+            ON n.key = seen.key AND n.turn <= seen.turn GROUP BY seen.key, seen.turn),
+        acts AS (
+            SELECT CASE WHEN gone OR NOT fine THEN 'delete' ELSE 'store' END AS action FROM newest UNION ALL
+            SELECT 'compute' FROM state WHERE coalesce(missing, true))
+        SELECT action, count(*) AS n FROM acts GROUP BY action""",
+        "cache_log",
+    ),
+)
+def stream_feature_actions(spark, folder):
+    """Every step brings the log rows of its time and a lookup of every key; values below 1 are not believable."""
+    log = v.cache_log(spark, folder)
+    end = log.agg(F.max("version") + 1).scalar()
+    turn = F.floor(F.col("version") * 3 / end)
+    rows = log.select("key", turn.alias("turn"), "version", "deleted", "value", F.lit(False).alias("lookup"))
+    asked = log.select("key").distinct().select(
+        "key", F.explode(F.array(*[F.lit(i) for i in range(3)])).alias("turn"), F.lit(None).alias("version"), F.lit(False).alias("deleted"),
+        F.lit(None).cast("double").alias("value"), F.lit(True).alias("lookup"),
+    )
+    out = scratch_path(spark, "feature-actions")
+    stream = arriving(spark, rows.unionByName(asked), "turn").drop("turn")
+    actions = jobs.feature_actions(stream, ["value"], F.col("lookup") | (F.col("value") >= 1))
+    jobs.drain(actions, out, scratch_path(spark, "ckpt"), keyed=True)
+    return spark.read.parquet(out).groupBy("action").agg(F.count("*").alias("n"))
 
 
 @query(
@@ -68,11 +108,18 @@ def stream_features(spark, folder):
     ),
 )
 def stream_metrics(spark, folder):
+    """Windows are written once, when the watermark has passed them, and leave the state. The first tenth of the rows
+    comes once more at the end, a week too late, and is dropped; a mark four days after all others closes the last windows."""
     out = scratch_path(spark, "stream-metrics")
-    steps = arriving(spark, v.step_metrics(spark, folder), "step").withColumn("weight", F.col("run") + 1.0)
+    told = v.step_metrics(spark, folder).select("step", "ts", "metric", "value", (F.col("run") + 1.0).alias("weight"))
+    end = told.agg(F.max("step").alias("step"), F.max("ts").alias("ts")).first()
+    mark = F.lit(end["ts"]) + F.expr("INTERVAL 4 DAYS")
+    marks = told.limit(1).select(F.lit(2 * end["step"]).alias("step"), mark.alias("ts"), F.lit(None).cast("string").alias("metric"), "value", "weight")
+    late = told.filter(F.col("step") < end["step"] / 10).withColumn("step", F.lit(2 * end["step"] - 1) - F.col("step") / end["step"])
+    steps = arriving(spark, told.unionByName(late.withColumn("step", F.col("step").cast("long"))).unionByName(marks), "step", steps=6)
     means = jobs.stream_metrics(steps, "ts", ["metric"], "value", "weight", "6 hours", "1 day")
-    jobs.drain(means, out, scratch_path(spark, "ckpt"), mode="complete")
-    done = spark.read.parquet(out)
+    jobs.drain(means, out, scratch_path(spark, "ckpt"))
+    done = spark.read.parquet(out).filter("metric IS NOT NULL").select("start", "metric", "n", "mean")
     return done.withColumn("mean", F.round("mean", 9)).withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
@@ -89,7 +136,7 @@ def stream_alert(spark, folder):
     steps = arriving(spark, v.step_metrics(spark, folder), "step").withColumn("step", F.col("step") + 1)
     share = F.when(F.col("metric") == "click", 0.0).otherwise(1.0)
     rule = metrics.starvation_rule(F.col("step"), F.lit(1.5), share, F.col("value"))
-    jobs.drain(jobs.stream_alert(steps, "run", "step", rule), out, scratch_path(spark, "ckpt"))
+    jobs.drain(jobs.stream_alert(steps, "run", "step", rule), out, scratch_path(spark, "ckpt"), keyed=True)
     return spark.read.parquet(out).select("run", "first_step")
 
 

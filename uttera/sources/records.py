@@ -22,14 +22,19 @@ CURRENT = "current.json"
 
 
 def write_records(df: DataFrame, path: str, params: dict | None = None) -> None:
-    """A record table as a new version of ``path``, one folder per split.
+    """A record table as a new version of ``path``, one folder per split; see publish."""
+    publish(df, path, params, ("split",))
+
+
+def publish(df: DataFrame, path: str, params: dict | None = None, by: tuple[str, ...] = ()) -> None:
+    """A table as a new version of ``path``, with folders by the given columns.
 
     Every version has a folder of its own. Once it is written and counted, the pointer file CURRENT is replaced in one
     step, so readers see the old table or the new one whole. ``params`` tells what it was made from.
     """
     spark = df.sparkSession
     folder = f"v-{uuid.uuid4().hex}"
-    df.write.partitionBy("split").parquet(f"{path}/{folder}")
+    df.write.partitionBy(*by).parquet(f"{path}/{folder}")
     # The schema is kept with it: an empty table has no file to tell it.
     entry = {"folder": folder, "schema": df.schema.jsonValue(), "params": params}
     rows = _version(spark, path, entry).count()
