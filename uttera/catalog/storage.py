@@ -8,7 +8,7 @@ from uttera.catalog import views as v
 from uttera.catalog.base import query
 from uttera.config import FrontendConfig
 from uttera.functions import audio, hashing
-from uttera.operators import blobs, features, ngram, quality, vocab
+from uttera.operators import blobs, feature_log, features, ngram, quality, vocab
 from uttera.operators.common import computed_once
 from uttera.session import scratch_path
 from uttera.sources import manifests, records
@@ -464,6 +464,40 @@ _miss("cache_miss", f", l AS ({_LATEST}) SELECT c_custkey FROM customer c ANTI J
 _miss("except_cached", f", l AS ({_LATEST}) SELECT c_custkey FROM customer WHERE sha256(c_custkey::varchar) IN (SELECT sha256(c_custkey::varchar) FROM customer EXCEPT SELECT key FROM l)")
 
 
+def _stored_log(spark, folder: str, buckets: int = 16) -> str:
+    """The log in buckets, appended in three parts, the last of them twice."""
+    path = scratch_path(spark, "bucketed-log")
+    feature_log.create(spark, path, "value double", buckets)
+    log = v.cache_log(spark, folder).drop("user_id")
+    for part in (0, 1, 2, 2):
+        feature_log.append(log.filter(F.col("version") % 3 == part), path)
+    return path
+
+
+@query("bucketed_latest", v.sql(_LATEST, "cache_log"))
+def bucketed_latest(spark, folder):
+    """Before and after a compaction the same rows: those of the log, less those of its compacted form that differ."""
+    path = _stored_log(spark, folder)
+    before = feature_log.latest(spark, path, ["value"])
+    feature_log.compact(spark, path)
+    return feature_log.latest(spark, path, ["value"]).join(before.select("key", "version"), ["key", "version"])
+
+
+@query(
+    "bucketed_lookup",
+    v.sql(f", l AS ({_LATEST}) SELECT o_orderkey, l.value, l.key IS NOT NULL AS hit FROM orders LEFT JOIN l ON sha256(o_custkey::varchar) = l.key", "cache_log"),
+)
+def bucketed_lookup(spark, folder):
+    orders = v.table(spark, folder, "orders").select("o_orderkey", F.sha2(F.col("o_custkey").cast("string"), 256).alias("key"))
+    return feature_log.lookup(orders, _stored_log(spark, folder), ["value"]).select("o_orderkey", "value", "hit")
+
+
+@query("bucketed_missing", v.sql(f", l AS ({_LATEST}) SELECT c_custkey FROM customer c ANTI JOIN l ON sha256(c_custkey::varchar) = l.key", "cache_log"))
+def bucketed_missing(spark, folder):
+    customers = v.table(spark, folder, "customer").select("c_custkey", F.sha2(F.col("c_custkey").cast("string"), 256).alias("key"))
+    return feature_log.missing(customers, _stored_log(spark, folder)).select("c_custkey")
+
+
 @query(
     "feature_plausible",
     """SELECT vec_id, CASE vec_id % 5 WHEN 0 THEN false WHEN 4 THEN false ELSE true END AS ok,
