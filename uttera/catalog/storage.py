@@ -27,6 +27,28 @@ def scan_tsv(spark, folder):
     return manifests.read_tsv(spark, path)
 
 
+_MIXED = v.sql(
+    "SELECT id, CASE WHEN row_index % 3 <> 1 THEN sentence END AS sentence, source, CASE WHEN row_index % 3 <> 2 THEN path END AS path FROM manifest",
+    "manifest",
+)
+
+
+def mixed_manifests(spark, folder):
+    """The manifest in three parts of different columns, each in a different order."""
+    rows = v.manifest(spark, folder)
+    parts = (["id", "sentence", "source", "path"], ["path", "source", "id"], ["source", "sentence", "id", "client_id"])
+    return [rows.filter(F.col("row_index") % 3 == i).select(*columns) for i, columns in enumerate(parts)]
+
+
+@query("scan_mixed_tsv", _MIXED)
+def scan_mixed_tsv(spark, folder):
+    """Files of three headers in one scan."""
+    path = scratch_path(spark, "mixed-tsv")
+    for i, part in enumerate(mixed_manifests(spark, folder)):
+        manifests.write_tsv(part, f"{path}/{i}")
+    return manifests.read_mixed_tsv(spark, path).select("id", "sentence", "source", "path")
+
+
 @query("scan_parquet", "SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS users FROM events GROUP BY event_type")
 def scan_parquet(spark, folder):
     rows = manifests.read_parquet(spark, f"{folder}/events.parquet")

@@ -7,11 +7,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from uttera.catalog import storage
 from uttera.catalog import views as v
 from uttera.catalog.base import query
 from uttera.operators import metrics
 from uttera.session import scratch_path
-from uttera.sources import records
+from uttera.sources import manifests, records
 from uttera.streaming import jobs
 
 FILES = 4
@@ -41,6 +42,16 @@ def stream_records(spark, folder):
     return spark.read.parquet(out).select("utterance_id", "transcript", "num_samples", "split")
 
 
+@query("stream_mixed_tsv", storage._MIXED)
+def stream_mixed_tsv(spark, folder):
+    """Files of another header arrive in every step; the query is started anew for each."""
+    path, out, at, log = (scratch_path(spark, f"stream-tsv{x}") for x in ("", "-out", "-ckpt", "-log"))
+    for i, part in enumerate(storage.mixed_manifests(spark, folder)):
+        manifests.write_tsv(part, f"{path}/{i}")
+        jobs.drain(manifests.stream_tsv(spark, path, ["id", "sentence", "source", "path"], log), out, at)
+    return spark.read.parquet(out).select("id", "sentence", "source", "path")
+
+
 @query("stream_dedup", "SELECT DISTINCT props FROM events")
 def stream_dedup(spark, folder):
     out = scratch_path(spark, "stream-dedup")

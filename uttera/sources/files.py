@@ -3,11 +3,28 @@ Spark can read works."""
 
 from __future__ import annotations
 
+import re
 import uuid
 
+import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import SparkSession
 
 
+def opened(address: str) -> tuple[pyarrow.fs.FileSystem, str]:
+    """File system and path of an address that tasks can open themselves; Hadoop writes local ones with a single slash."""
+    return pyarrow.fs.FileSystem.from_uri(re.sub(r"^file:/(?!/)", "file:///", address))
+
+
+def tasks_can_open(address: str) -> bool:
+    """Whether Python tasks have a reader for the address's file system; others are left to Spark's readers."""
+    try:
+        opened(address)
+    except (pa.ArrowException, OSError, ValueError):
+        return False
+    return True
+
+
 def _fs(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
@@ -13,7 +14,7 @@ from pyspark.sql import types as T
 from uttera.functions import text
 from uttera.operators import quality
 from uttera.session import cut_lineage
-from uttera.sources import files
+from uttera.sources import files, tsv
 
 
 HEADERS_AT_ONCE = 32
@@ -34,14 +35,9 @@ def read_tsv(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
     found = [p for root in paths for p in files.list_files(spark, root)]
-    groups: dict[str, list[str]] = {}
-    # Headers are a line each and wait for the store, not for this machine, so many are read at a time.
-    with ThreadPoolExecutor(HEADERS_AT_ONCE) as pool:
-        for path, header in zip(found, pool.map(lambda p: files.first_line(spark, p), found), strict=True):
-            groups.setdefault(header, []).append(path)
     scans = []
-    for header, members in groups.items():
-        names = [n.strip().strip('"').lstrip("﻿") for n in header.split("\t")]
+    for header, members in _by_header(spark, found).items():
+        names = tsv.header_names(header)
         schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
         scans.append(
             spark.read.schema(schema).option("sep", "\t").option("header", True).option("quote", '"')
@@ -50,6 +46,41 @@ def read_tsv(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), scans)
 
 
+def _by_header(spark: SparkSession, found: list[str]) -> dict[str, list[str]]:
+    """Files by their first line, in their order. Tasks open the files; a store that only Spark's own readers know is asked from
+    here, many files at a time, as a line each waits for the store and not for this machine."""
+    groups: dict[str, list[str]] = {}
+    if found and files.tasks_can_open(found[0]):
+        headers = tsv.headers(spark, found)
+    else:
+        with ThreadPoolExecutor(HEADERS_AT_ONCE) as pool:
+            headers = list(pool.map(lambda p: files.first_line(spark, p), found))
+    for path, header in zip(found, headers, strict=True):
+        groups.setdefault(header, []).append(path)
+    return groups
+
+
+def read_mixed_tsv(spark: SparkSession, roots: str | list[str], columns: list[str] | None = None) -> DataFrame:
+    """Tab-separated files of any headers in one scan, every column as text; see sources.tsv.
+
+    ``columns`` are those of the result; without them they are the columns of all files, in the order of first sight.
+    """
+    roots = [roots] if isinstance(roots, str) else list(roots)
+    if columns is None:
+        found = [p for root in roots for p in files.list_files(spark, root)]
+        columns = list(dict.fromkeys(n for header in _by_header(spark, found) for n in tsv.header_names(header)))
+    return tsv.register(spark).read.format(tsv.NAME).schema(tsv.schema_of(columns)).option("roots", json.dumps(roots)).load()
+
+
+def stream_tsv(spark: SparkSession, root: str, columns: list[str], log: str) -> DataFrame:
+    """New files below ``root`` as a stream of the given columns, whatever the headers of the files; see sources.tsv.
+
+    ``log`` is a folder of this stream's own, beside its checkpoint, that tells which files belong to which step.
+    """
+    source = tsv.register(spark).readStream.format(tsv.NAME).schema(tsv.schema_of(columns))
+    return source.option("roots", json.dumps([root])).option("log", log).load()
+
+
 def write_tsv(df: DataFrame, path: str) -> None:
     """Tab-separated files that read_tsv reads back as they are: nulls, empty texts and outer blanks stay apart."""
     (
