@@ -144,3 +144,25 @@ def test_batch_mode_order():
     assert BatchConfig(max_frames=5).mode == "frames"
     assert BatchConfig(bucket_by_length=True).mode == "length"
     assert BatchConfig().mode == "fixed"
+
+
+def test_refusals_of_parameter_rows_are_those_of_the_config(spark):
+    import itertools
+    import math
+
+    names = ["min_chars", "max_chars", "max_symbol_ratio", "min_duration", "max_duration", "min_words_per_second"]
+    rows = list(itertools.product([-1.0, 2.0], [1.0, 5.0], [0.5, 1.5, math.nan], [None, -1.0, 3.0], [math.nan, 2.0, math.inf], [None, math.nan, 1.0]))
+    df = spark.createDataFrame(rows, ", ".join(f"{n} double" for n in names))
+    told = df.select(*names, quality.refusal(df).alias("told")).collect()
+
+    def by_config(row):
+        try:
+            FilterConfig(**{n: v for n, v in zip(names, row, strict=True) if v is not None})
+        except ValueError as error:
+            return str(error)
+        return None
+
+    assert len(told) == len(rows)
+    assert all(r["told"] == by_config(tuple(r)[:-1]) for r in told)
+    plain = spark.range(1)
+    assert plain.select(quality.refusal(plain)).first()[0] is None

@@ -225,3 +225,16 @@ def test_no_machine_local_scratch_on_a_cluster(monkeypatch):
 
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         session.shared_dir(Session())
+
+
+def test_audio_listing_reads_no_bytes_and_pushes_the_size(spark, tmp_path):
+    for i in range(4):
+        (tmp_path / f"{i}.wav").write_bytes(bytes(10 * i + 1))
+    found = records.read_audio(spark, str(tmp_path), "*.wav")
+    small = found.filter("size < 15")
+    plan = small._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [IsNotNull(length), LessThan(length,15)]" in plan or "LessThan(length,15)" in plan
+    listing = found.select("path", "size")
+    assert "content" not in listing._jdf.queryExecution().executedPlan().toString().split("ReadSchema")[1]
+    assert sorted(r["size"] for r in listing.collect()) == [1, 11, 21, 31]
+    assert sorted(len(r["audio_bytes"]) for r in small.collect()) == [1, 11]

@@ -339,6 +339,72 @@ def extract_features(spark, folder):
     return found.groupBy("outcome").agg(F.sum("n").alias("n"))
 
 
+def stored_clips(clips, folder: str):
+    """(path) of the clips written as <utterance_id>.wav, by tasks; writing one again replaces it."""
+    import pyarrow as pa
+
+    from uttera.sources.files import opened
+
+    def write(batches):
+        system, base = opened(folder)
+        system.create_dir(base, recursive=True)
+        for batch in batches:
+            names = [f"{u}.wav" for u in batch.column(0).to_pylist()]
+            for name, body in zip(names, batch.column(1).to_pylist(), strict=True):
+                with system.open_output_stream(f"{base}/{name}") as out:
+                    out.write(body)
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string())], names=["path"])
+
+    return clips.select("utterance_id", "audio_bytes").mapInArrow(write, "path string")
+
+
+SMALL_CLIP = 3250
+
+
+@query(
+    "read_audio_files",
+    f"""SELECT utterance_id, size, CASE WHEN size > 30 THEN n ELSE 0 END AS num_samples FROM (SELECT utterance_id, n, CASE WHEN utterance_id % 10 = 3 THEN 30 ELSE
+          44 + 2 * n + CASE WHEN utterance_id % 5 = 1 THEN 14 ELSE 0 END + CASE WHEN utterance_id % 6 = 2 THEN 2 ELSE 0 END END AS size FROM ({_CLIPS}))
+        WHERE size < {SMALL_CLIP}""",
+)
+def read_audio_files(spark, folder):
+    """Clips written as files; those below a size are read, the bytes of the others are not."""
+    from uttera.operators import signal
+
+    path = scratch_path(spark, "audio")
+    stored_clips(wav_clips(spark, folder), path).write.format("noop").mode("overwrite").save()
+    small = records.read_audio(spark, path, "*.wav").filter(F.col("size") < SMALL_CLIP)
+    probed = signal.probe_audio(small)
+    name = F.regexp_extract("path", r"([0-9]+)\.wav$", 1).cast("bigint")
+    return probed.select(name.alias("utterance_id"), "size", "num_samples")
+
+
+_SWEEP = """SELECT p_partkey, p_size % 9 - 1 AS min_chars, p_size AS max_chars, p_size / 45.0::double AS max_symbol_ratio,
+    CASE WHEN p_size % 7 > 0 THEN p_size % 7 - 1.0::double END AS min_duration, CASE WHEN p_size % 5 = 0 THEN 'NaN'::double ELSE p_size / 4.0::double END AS max_duration,
+    (p_partkey % 11 - 1)::double AS min_chars_per_second, (p_partkey % 13)::double AS max_chars_per_second FROM part"""
+
+
+@query(
+    "check_params",
+    f"""SELECT p_partkey, CASE WHEN min_chars < 0 THEN 'min_chars must be >= 0'
+        WHEN max_symbol_ratio < 0 OR max_symbol_ratio > 1 THEN 'max_symbol_ratio must be within [0, 1]'
+        WHEN max_chars < min_chars THEN 'max_chars must be >= min_chars'
+        WHEN isnan(max_duration) THEN 'min_duration and max_duration must be numbers'
+        WHEN max_duration < coalesce(min_duration, 0.01) THEN 'max_duration must be >= min_duration'
+        WHEN min_chars_per_second < 0 THEN 'min_chars_per_second must be >= 0'
+        WHEN max_chars_per_second < min_chars_per_second THEN 'max_chars_per_second must be >= min_chars_per_second' END AS refusal FROM ({_SWEEP})""",
+)
+def check_params(spark, folder):
+    """A sweep of thresholds, a set per row of ``part``, each with what FilterConfig would refuse it for."""
+    size, key = F.col("p_size"), F.col("p_partkey")
+    sweep = v.table(spark, folder, "part").select(
+        "p_partkey", (size % 9 - 1).alias("min_chars"), size.alias("max_chars"), (size / 45.0).alias("max_symbol_ratio"),
+        F.when(size % 7 > 0, size % 7 - 1.0).alias("min_duration"), F.when(size % 5 == 0, F.lit(float("nan"))).otherwise(size / 4.0).alias("max_duration"),
+        (key % 11 - 1).cast("double").alias("min_chars_per_second"), (key % 13).cast("double").alias("max_chars_per_second"),
+    )
+    return sweep.select("p_partkey", quality.refusal(sweep).alias("refusal"))
+
+
 @query("sniff_opus", "SELECT page_id, page_id % 3 = 0 OR contains(html, 'nav') AND page_id % 3 = 1 AS opus FROM pages")
 def sniff_opus(spark, folder):
     kind = F.col("page_id") % 3

@@ -6,6 +6,15 @@ import math
 from dataclasses import dataclass
 
 INF = math.inf
+#: Thresholds that come in pairs, in the order in which they are checked.
+BOUNDS = (
+    ("min_chars", "max_chars"),
+    ("min_duration", "max_duration"),
+    ("min_chars_per_second", "max_chars_per_second"),
+    ("min_words_per_second", "max_words_per_second"),
+    ("min_duration_per_char", "max_duration_per_char"),
+    ("min_duration_per_word", "max_duration_per_word"),
+)
 
 
 @dataclass(frozen=True)
@@ -35,14 +44,7 @@ class FilterConfig:
             raise ValueError("min_chars must be >= 0")
         if not 0.0 <= self.max_symbol_ratio <= 1.0:
             raise ValueError("max_symbol_ratio must be within [0, 1]")
-        for low, high in (
-            ("min_chars", "max_chars"),
-            ("min_duration", "max_duration"),
-            ("min_chars_per_second", "max_chars_per_second"),
-            ("min_words_per_second", "max_words_per_second"),
-            ("min_duration_per_char", "max_duration_per_char"),
-            ("min_duration_per_word", "max_duration_per_word"),
-        ):
+        for low, high in BOUNDS:
             lo, hi = getattr(self, low), getattr(self, high)
             if math.isnan(lo) or math.isnan(hi):
                 raise ValueError(f"{low} and {high} must be numbers")

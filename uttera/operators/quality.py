@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from uttera.config import INF, TRAINING, FilterConfig, FrontendConfig
+from uttera.config import BOUNDS, FilterConfig, FrontendConfig, INF, TRAINING
 from uttera.functions import audio, text
 from uttera.operators.common import computed_once
 
@@ -212,3 +212,29 @@ def require_readable(records: DataFrame, files: DataFrame) -> DataFrame:
     found = paths.join(listing, F.col("audio_path") == F.col("__listed"), "left_semi")
     kind = records.schema["audio_bytes"].dataType
     return embedded.unionByName(found.withColumn("audio_bytes", F.lit(None).cast(kind))).select(*records.columns)
+
+
+def refusal(df: DataFrame) -> Column:
+    """Why the thresholds of a row, in columns named as in FilterConfig, would be refused; null if they would not.
+
+    The checks and their order are those of FilterConfig; columns that are missing or null have its defaults. For tables of
+    parameter sets, such as sweeps.
+    """
+
+    def value(name: str) -> Column:
+        default = F.lit(float(getattr(TRAINING, name)))
+        return F.coalesce(F.col(name).cast("double"), default) if name in df.columns else default
+
+    ratio = value("max_symbol_ratio")
+    checks = [
+        (value("min_chars") < 0, "min_chars must be >= 0"),
+        (F.isnan(ratio) | (ratio < 0) | (ratio > 1), "max_symbol_ratio must be within [0, 1]"),
+    ]
+    for low, high in BOUNDS:
+        lo, hi = value(low), value(high)
+        checks += [
+            (F.isnan(lo) | F.isnan(hi), f"{low} and {high} must be numbers"),
+            (lo < 0, f"{low} must be >= 0"),
+            (hi < lo, f"{high} must be >= {low}"),
+        ]
+    return F.coalesce(*[F.when(bad, F.lit(told)) for bad, told in checks])
