@@ -46,6 +46,10 @@ COUNTERS = 1 << 20
 FILTER_BITS = 1 << 28
 #: Cells whose odd or even sizes are compared before two sets meet.
 CELLS = 512
+#: Classes that meet on an n-gram, from which on sizes and cells are compared inside the join.
+CROWDED = 16
+#: Pairs whose classes may be broadcast.
+FEW_PAIRS = 1 << 18
 #: Classes of an n-gram that all others meet in the first round, and by how much they become more in every round.
 FIRST, GROWTH = 2, 16
 #: Words, and bytes of texts, that are hashed at once.
@@ -296,33 +300,66 @@ def _overlaps(pairs: DataFrame, segments: DataFrame) -> DataFrame:
 
 
 def _linked(pairs: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
-    """(a, b): pairs of sets of which the intersection holds ``percent`` of the union at least."""
-    counted = pairs.join(_overlaps(pairs.select("a", "b"), segments), ["a", "b"])
+    """(a, b): pairs of sets of which the intersection holds ``percent`` of the union at least. ``pairs`` is a written table.
+
+    Segments of classes in no pair are left where they are. For up to FEW_PAIRS pairs their classes are broadcast for it
+    (16 bytes a pair), beyond that they are joined like any table.
+    """
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
+    asked = F.broadcast(asked) if pairs.count() <= FEW_PAIRS else asked
+    counted = pairs.join(_overlaps(pairs.select("a", "b"), segments.join(asked, "class", "left_semi")), ["a", "b"])
     return counted.filter((100 + percent) * F.col("common") >= percent * (F.col("na") + F.col("nb"))).select("a", "b")
 
 
+def _traits(segments: DataFrame) -> DataFrame:
+    """(class, n, odd), a row per class."""
+    return segments.filter("fragment = 0").select("class", "n", "odd")
+
+
+def _may_link(percent: int, na: str, nb: str, oa: str, ob: str) -> str:
+    """What sizes and odd cells tell about a pair."""
+    differing = " + ".join(f"bit_count({oa}[{i}] ^ {ob}[{i}])" for i in range(CELLS // 64))
+    return (
+        f"100 * least({na}, {nb}) >= {percent} * greatest({na}, {nb}) "
+        f"and {100 + percent} * ({differing}) <= {100 - percent} * ({na} + {nb})"
+    )
+
+
+def _priority(name: str) -> Column:
+    return F.shiftrightunsigned(F.xxhash64(name, F.lit(7)), 12)
+
+
 def _meetings(segments: DataFrame) -> DataFrame:
-    """(gram, class, n, odd, priority, m, component): classes on the n-grams of their prefixes that m > 1 classes have there."""
-    posts = segments.filter("fragment = 0").select(F.explode("prefix").alias("gram"), "class", "n", "odd")
+    """(gram, class, m, component, n, odd): classes on the n-grams of their prefixes that m > 1 classes have there.
+
+    Rows are many and short. Only where more than CROWDED classes meet they carry the traits, which then rule
+    pairs out inside the join; other pairs are looked at once they are distinct.
+    """
+    posts = segments.filter("fragment = 0").select(F.explode("prefix").alias("gram"), "class")
     shared = posts.groupBy("gram").agg(F.count("*").alias("m")).filter("m > 1")
-    priority = F.shiftrightunsigned(F.xxhash64("class", F.lit(7)), 12) / F.lit(float(1 << 52))
-    return posts.join(shared, "gram").select("gram", "class", "n", "odd", priority.alias("priority"), "m", F.col("class").alias("component"))
+    met = _written(posts.join(shared, "gram"), "posts").withColumn("component", F.col("class"))
+    crowd = met.filter(F.col("m") > CROWDED).join(_traits(segments), "class")
+    rest = met.filter(F.col("m") <= CROWDED)
+    return crowd.unionByName(rest, allowMissingColumns=True)
 
 
 def class_links(segments: DataFrame, percent: int = PERCENT) -> DataFrame | None:
     """(node, root) of classes with partners: the components of all links; None if there is no link."""
     posts = _written(_meetings(segments), "meetings")
-    differing = " + ".join(f"bit_count(oa[{i}] ^ odd[{i}])" for i in range(CELLS // 64))
     reached, step, roots, links = 0, FIRST, None, []
+    one, other = (_traits(segments).toDF(*names) for names in (("a", "na", "oa"), ("b", "nb", "ob")))
     while (most := posts.agg(F.max("m")).first()[0] or 0) > reached:
-        hubs = posts.filter((F.col("priority") * F.col("m") >= reached) & (F.col("priority") * F.col("m") < step)).select(
-            "gram", *[F.col(c).alias(x) for c, x in (("class", "a"), ("n", "na"), ("odd", "oa"), ("priority", "pa"), ("component", "ca"))]
+        place = _priority("class") / F.lit(float(1 << 52)) * F.col("m")
+        hubs = posts.filter((place >= reached) & (place < step)).select(
+            "gram", F.col("class").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na"), F.col("odd").alias("oa")
         )
-        met = hubs.join(posts, "gram").filter(
-            "(pa < priority or pa = priority and a < class) and ca <> component "
-            f"and 100 * least(na, n) >= {percent} * greatest(na, n) and {100 + percent} * ({differing}) <= {100 - percent} * (na + n)"
+        first = (_priority("a") < _priority("class")) | ((_priority("a") == _priority("class")) & (F.col("a") < F.col("class")))
+        met = hubs.join(posts, "gram").filter(first).filter(
+            f"ca <> component and (m <= {CROWDED} or {_may_link(percent, 'na', 'n', 'oa', 'odd')})"
         )
-        pairs = _written(met.select("a", F.col("class").alias("b"), "na", F.col("n").alias("nb")).distinct(), "pairs")
+        distinct = met.select("a", F.col("class").alias("b")).distinct()
+        possible = distinct.join(one, "a").join(other, "b").filter(_may_link(percent, "na", "nb", "oa", "ob"))
+        pairs = _written(possible.select("a", "b", "na", "nb"), "pairs")
         found = _written(_linked(pairs, segments, percent), "links")
         reached, step = step, step * GROWTH
         if found.isEmpty():
@@ -331,7 +368,7 @@ def class_links(segments: DataFrame, percent: int = PERCENT) -> DataFrame | None
         roots = connected_components(reduce(DataFrame.unionAll, links))
         if most <= reached:
             break
-        named = posts.drop("component").join(roots.withColumnsRenamed({"node": "class", "root": "component"}), "class", "left")
+        named = posts.drop("component").join(roots.toDF("class", "component"), "class", "left")
         named = named.withColumn("component", F.coalesce("component", "class"))
         open_grams = named.groupBy("gram").agg(F.min("component").alias("__low"), F.max("component").alias("__high")).filter("__low <> __high")
         posts = _written(named.join(open_grams.select("gram"), "gram", "left_semi"), "meetings")
