@@ -185,3 +185,15 @@ def test_vocabularies_of_different_types_never_match(spark):
     assert vocab.vocab_match(table, table).count() == 0
     told = vocab.vocab_match(table, table, ("character", "bpe")).collect()
     assert sorted(r["only_in"] for r in told) == ["left: character", "right: bpe"]
+
+
+def test_pair_counts_follow_merges_without_a_recount(spark, monkeypatch):
+    monkeypatch.setattr(subword, "WRITE_EVERY", 3)  # tables are written in between several times
+    words = subword.word_counts(spark.createDataFrame([(" ".join(CORPUS),)], "t string"), "t")
+    got, _ = subword.bpe_merges(words, 12)
+    assert got == merges_by_hand(CORPUS, 12)
+    framed = words.select(subword._framed(F.col("word")).alias("framed"), F.col("n").cast("bigint").alias("n"))
+    after = framed.withColumn("framed", subword._merged(F.col("framed"), got))
+    kept = subword._changed_counts(subword.pair_counts(framed), framed, got)
+    assert {tuple(r) for r in kept.collect()} == {tuple(r) for r in subword.pair_counts(after).collect()}
+    assert subword.pair_changes(framed, [("q", "q", 1)]).count() == 0  # no word holds it, so none is counted

@@ -11,6 +11,7 @@ from uttera.functions import arrays
 from uttera.operators import ngram, vocab
 
 ORDER, ALPHA = 3, 0.1
+SUBWORDS = 120
 
 def _sql_grams(text: str, source: str, eos: str = ", ['</s>']") -> str:
     return f"""SELECT row_index, a || '␟' || b AS context, token FROM (
@@ -233,11 +234,29 @@ def char_pieces(spark, folder):
     return subword.subword_vocab(v.corpus(spark, folder), "transcript", 40, "char").select("piece", "n")
 
 
-@query("subword_vocab")
+# One merge at a time: every row of a step is a word, and all of them are merged by the step's most frequent pair.
+_BPE = f""", wc AS (SELECT w, count(*) AS n FROM (SELECT unnest({v.sql_words('transcript')}) AS w FROM corpus) GROUP BY w),
+  letters AS (SELECT piece, sum(n)::bigint AS n FROM (SELECT unnest(string_split(w, '')) AS piece, n FROM wc) GROUP BY piece),
+  merges AS (SELECT DISTINCT step, a, b, made FROM (
+    WITH RECURSIVE t AS (
+      SELECT 0 AS step, array_to_string(list_transform(string_split(w, ''), lambda x: chr(1) || x || chr(2)), '') AS framed, n::bigint AS n,
+        '' AS a, '' AS b, 0::bigint AS made FROM wc
+      UNION ALL
+      SELECT t.step + 1, replace(t.framed, chr(1) || p.a || chr(2) || chr(1) || p.b || chr(2), chr(1) || p.a || p.b || chr(2)), t.n, p.a, p.b, p.made
+      FROM t, (SELECT a, b, sum(n)::bigint AS made FROM (
+          SELECT unnest(s[:len(s) - 1]) AS a, unnest(s[2:]) AS b, n FROM (
+            SELECT string_split(substr(framed, 2, length(framed) - 2), chr(2) || chr(1)) AS s, n FROM t) WHERE len(s) > 1)
+        GROUP BY a, b ORDER BY made DESC, a COLLATE "C", b COLLATE "C" LIMIT 1) p
+      WHERE t.step < {SUBWORDS} - (SELECT count(*) FROM letters))
+    SELECT * FROM t WHERE step > 0))
+  SELECT piece, n, -1 AS rank FROM letters UNION ALL SELECT a || b, made, step - 1 FROM merges"""
+
+
+@query("subword_vocab", v.sql(_BPE, "corpus"))
 def subword_vocab(spark, folder):
     from uttera.operators import subword
 
-    return subword.subword_vocab(v.corpus(spark, folder), "transcript", 120, "bpe")
+    return subword.subword_vocab(v.corpus(spark, folder), "transcript", SUBWORDS, "bpe")
 
 
 @query("unigram_vocab")

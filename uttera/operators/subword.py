@@ -17,14 +17,15 @@ from pyspark.sql import functions as F
 
 from uttera.functions import text as tx
 from uttera.functions.arrays import log_add
+from uttera.operators.common import computed_once
 from uttera.operators.vocab import characters
-from uttera.session import cut_lineage
+from uttera.session import cut_lineage, scratch_path
 
 # Control characters that frame each symbol of a word, so that one literal replace merges
 # every non-overlapping occurrence of a pair from left to right.
 OPEN, CLOSE = "\x01", "\x02"
-# Merges between two reliable checkpoints of the word table.
-CHECKPOINT_EVERY = 20
+# Merges after which words and pair counts are written anew.
+WRITE_EVERY = 20
 
 
 def word_counts(df: DataFrame, column: str) -> DataFrame:
@@ -53,17 +54,32 @@ def _framed(word: Column) -> Column:
     return F.array_join(parts, "")
 
 
-def pair_counts(words: DataFrame) -> DataFrame:
-    """Neighbouring symbol pairs over all words, weighted by the word counts."""
+def _pair_rows(words: DataFrame) -> DataFrame:
+    """(a, b, n) for every neighbouring symbol pair of every word, repeats included."""
     listed = words.select(_symbols(F.col("framed")).alias("s"), "n").filter(F.size("s") > 1)
     pairs = F.arrays_zip(
         F.slice("s", F.lit(1), F.size("s") - 1).alias("a"), F.slice("s", F.lit(2), F.size("s") - 1).alias("b")
     )
-    return (
-        listed.select(F.explode(pairs).alias("p"), "n")
-        .groupBy(F.col("p.a").alias("a"), F.col("p.b").alias("b"))
-        .agg(F.sum("n").alias("n"))
-    )
+    return listed.select(F.explode(pairs).alias("p"), "n").select("p.a", "p.b", "n")
+
+
+def pair_counts(words: DataFrame) -> DataFrame:
+    """Neighbouring symbol pairs over all words, weighted by the word counts."""
+    return _pair_rows(words).groupBy("a", "b").agg(F.sum("n").alias("n"))
+
+
+def _merged(framed: Column, merges: list[tuple[str, str, int]]) -> Column:
+    for a, b, _ in merges:
+        framed = F.replace(framed, F.lit(f"{OPEN}{a}{CLOSE}{OPEN}{b}{CLOSE}"), F.lit(f"{OPEN}{a}{b}{CLOSE}"))
+    return framed
+
+
+def pair_changes(words: DataFrame, merges: list[tuple[str, str, int]]) -> DataFrame:
+    """(a, b, n): what pairs gain and lose by the merges. Only words that hold a merged pair are taken apart."""
+    both = computed_once(words, __after=_merged(F.col("framed"), merges)).filter(F.col("__after") != F.col("framed"))
+    after = F.struct(F.col("__after").alias("framed"), F.col("n").alias("n"))
+    before = F.struct(F.col("framed").alias("framed"), (-F.col("n")).alias("n"))
+    return _pair_rows(both.select(F.inline(F.array(after, before))))
 
 
 def _certain(top: list[tuple[str, str, int]], known: set[str], floor: int, limit: int) -> list[tuple[str, str, int]]:
@@ -92,33 +108,49 @@ def _certain(top: list[tuple[str, str, int]], known: set[str], floor: int, limit
 def bpe_merges(words: DataFrame, merges: int, ahead: int = 500) -> tuple[list[tuple[str, str, int]], DataFrame]:
     """The merge list in order, and the word table after it. Ties: smallest pair first.
 
-    One distributed count serves as many merges as are certain from it.
+    Words are read at a round, and counted only where a merge changed them: pair counts are a written table, to which the changes
+    since then are added. One look at the counts serves as many merges as are certain from it.
     """
-    table = cut_lineage(words.select(_framed(F.col("word")).alias("framed"), "n"))
+    table = _written(words.select(_framed(F.col("word")).alias("framed"), F.col("n").cast("bigint").alias("n")), "words")
+    counts = _written(pair_counts(table), "pairs")
     done: list[tuple[str, str, int]] = []
     known: set[str] = set()
-    pending = 0
+    pending: list[tuple[str, str, int]] = []
     while len(done) < merges:
-        rows = pair_counts(table).orderBy(F.desc("n"), "a", "b").limit(ahead).collect()
+        now = _changed_counts(counts, table, pending)
+        rows = now.orderBy(F.desc("n"), "a", "b").limit(ahead).collect()
         if not rows:
             break
         top = [(r["a"], r["b"], int(r["n"])) for r in rows]
         known |= {x for pair in top for x in pair[:2]}
         floor = top[-1][2] if len(top) == ahead else 0
         sure = _certain(top, known, floor, merges - len(done))
-        for a, b, _ in sure:
-            old, new = f"{OPEN}{a}{CLOSE}{OPEN}{b}{CLOSE}", f"{OPEN}{a}{b}{CLOSE}"
-            table = table.withColumn("framed", F.replace("framed", F.lit(old), F.lit(new)))
-            known.add(a + b)
+        known |= {a + b for a, b, _ in sure}
         done += sure
-        pending += len(sure)
-        if pending >= CHECKPOINT_EVERY:
-            table, pending = cut_lineage(table), 0
-    return done, table
+        pending += sure
+        if len(pending) >= WRITE_EVERY:
+            counts = _written(_changed_counts(counts, table, pending), "pairs")
+            table = _written(table.withColumn("framed", _merged(F.col("framed"), pending)), "words")
+            pending = []
+    return done, table.withColumn("framed", _merged(F.col("framed"), pending))
+
+
+def _changed_counts(counts: DataFrame, words: DataFrame, merges: list[tuple[str, str, int]]) -> DataFrame:
+    if not merges:
+        return counts
+    both = counts.unionByName(pair_changes(words, merges))
+    return both.groupBy("a", "b").agg(F.sum("n").alias("n")).filter("n > 0")
+
+
+def _written(df: DataFrame, name: str) -> DataFrame:
+    path = scratch_path(df.sparkSession, f"bpe-{name}")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def _bpe(words: DataFrame, size: int, ahead: int) -> DataFrame:
     """All letters plus merged pieces, with the count each piece had when it was made."""
+    words = _written(words, "counted")
     letters = cut_lineage(_letters(words))
     merges = max(0, size - letters.count())
     made, _ = bpe_merges(words, merges, ahead)
