@@ -111,3 +111,15 @@ def test_empty_table(spark):
 def test_sample_table_against_brute_force(spark, folder):
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{folder}/documents.parquet").collect()]
     compare(spark, rows)
+
+
+@pytest.mark.parametrize("large", ["true", "false"])
+def test_both_widths_of_arrow_offsets(spark, prose, large):
+    key = "spark.sql.execution.arrow.useLargeVarTypes"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, large)
+    try:
+        shared = prose(60)
+        compare(spark, [(1, shared), (2, "a" + shared), (3, None), (4, ""), (5, prose(80)), (6, shared * 2)])
+    finally:
+        spark.conf.set(key, before)

@@ -142,8 +142,10 @@ def _contexts(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             # The texts as they lie in the batch: one stretch of bytes and where each ends.
-            column = batch.column(2)
-            offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+            if not batch.num_rows:
+                continue
+            column = batch.column(2).cast(pa.large_binary())  # one width of offsets, whatever Spark sends
+            offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
             held = column.buffers()[2]
             flat = np.frombuffer(held, np.uint8)[offsets[0] : offsets[-1]] if held else np.empty(0, np.uint8)
             starts, ends = offsets[:-1] - offsets[0], offsets[1:] - offsets[0]
