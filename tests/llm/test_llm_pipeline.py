@@ -66,3 +66,14 @@ def test_stages_take_odd_and_empty_tables(spark, folder):
             out = stage(spark, docs, folder)
             assert out.columns[:5] == COLUMNS
             assert out.count() <= 2 * docs.count(), name
+
+
+def test_stages_keep_columns_of_clashing_names(spark, folder):
+    more = ["score", "record", "size", "key", "fingerprint", "root", "n_words", "items", "sid", "rank", "target"]
+    rows = [(i, f"some words of text number {i}", "en", "s", 30, *[f"{c}{i}" for c in more]) for i in range(1, 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in more))
+    whole = {r["doc_id"]: tuple(r) for r in docs.collect()}
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, folder)
+        assert out.columns[: len(docs.columns)] == docs.columns, name
+        assert all(tuple(r)[: len(docs.columns)] == whole[r["doc_id"]] for r in out.collect()), name
