@@ -1,5 +1,6 @@
 import hashlib
 import itertools
+import random
 import re
 
 import numpy as np
@@ -155,3 +156,74 @@ def test_query_spans_hash_is_that_of_the_listing(spark, folder):
         listed = ",".join(f"{pii.KINDS[k]}:{a}:{b}" for k, a, b in plain(texts[r["doc_id"]]))
         assert r["base_sha256"] == hashlib.sha256(listed.encode()).hexdigest()
         assert set(filter(None, listed.split(","))) <= set(r["spans"].split(","))
+
+
+FORMS = {0: "joe.77@mail3.example.com", 1: "97.51.17.173", 2: "4111111111111111", 3: "+1 (415) 555-0134"}
+
+
+@pytest.mark.parametrize("kind", FORMS)
+def test_rewrites_are_sound_and_are_what_no_pattern_matches(kind):
+    text = "an ther " * 20 + FORMS[kind] + " ing an" * 20
+    seen = set()
+    for seed in range(60):
+        for passage, k, a, b in pii.altered(text, random.Random(seed)):
+            assert len(passage) <= pii.WINDOW
+            if k < 0:
+                continue
+            form = passage[a:b]
+            seen.add(form)
+            assert k == kind and pii.sound(kind, form)
+            assert all(e <= a or s >= b for _, s, e in plain(passage))
+            assert pii._only_digits(form) in pii._only_digits(FORMS[kind])
+            assert len(pii.windows_of(passage)[0])
+    assert len(seen) >= 5
+
+
+def test_decoys_hold_no_personal_data():
+    for seed in range(300):
+        form = pii.decoy(random.Random(seed))
+        assert not plain(form) and not any(pii.sound(kind, form) for kind in (0, 2))
+
+
+def test_windows_with_spelt_signs_alone_run():
+    for text in ("joe at example.com", "joe [at] example", "joe (at) x", "joe x dot com"):
+        assert len(pii.windows_of("é " * 300 + text)[0])
+    assert not len(pii.windows_of("an at of the dots " * 100)[0])
+
+
+def test_query_lists_forms_that_no_pattern_matches(spark, tmp_path):
+    from uttera.llm.catalog import op9_bilstm_crf_pii
+
+    rng = np.random.default_rng(8)
+    words = ["an", "ther", "ing", "und", "la", "of", "re", "Es"]
+    digits = lambda n: "".join(map(str, rng.integers(0, 10, n)))
+    around = lambda: " ".join(rng.choice(words, rng.integers(8, 20)))
+
+    def card():
+        head = "4" + digits(14)
+        return next(head + str(k) for k in range(10) if pii.luhn(head + str(k)))
+
+    make = (
+        lambda: f"{rng.choice(words).lower()}.{digits(2)}@mail{digits(1)}.example.com",
+        lambda: ".".join(str(k) for k in rng.integers(10, 256, 4)),
+        card,
+        lambda: f"+1 ({digits(3)}) 555-{digits(4)}",
+    )
+    rows = [(i, f"{around()} {make[i % 4]()} {around()}") for i in range(400)]
+    planted = {}
+    for i in range(400, 480):
+        kind = i % 4
+        form, drawn = None, random.Random(i)
+        while form is None or plain(form):
+            form = pii.rewritten(kind, make[kind](), drawn)
+        head = around() + " "
+        planted[i] = f"{pii.KINDS[kind]}:{len(head)}:{len(head) + len(form)}"
+        rows.append((i, f"{head}{form} {around()}"))
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = {r["doc_id"]: r for r in op9_bilstm_crf_pii(spark, str(tmp_path)).collect()}
+    assert len(found) == len(rows)
+    hit = sum(planted[i] in found[i]["spans"].split(",") for i in planted)
+    wrong = sum(len(set(found[i]["spans"].split(",")) - {planted.get(i, "")}) - (i not in planted) for i in found if found[i]["spans"])
+    assert hit >= 0.6 * len(planted)
+    assert wrong <= 0.1 * hit
+    assert all(found[i][f"n_{k}"] == 0 for i in planted for k in pii.KINDS)

@@ -2,17 +2,21 @@
 
 Patterns give the base spans (email, ip, card, phone), which always stay. A character-level bidirectional LSTM with a
 linear-chain CRF, written in numpy and trained on windows that the patterns have labelled, adds spans of the same
-kinds that no pattern matches (other separators, unusual forms). Texts are cut into overlapping windows; the windows are
-decoded on their own, each position takes the tag from the window in which it lies farthest from an edge, and
-spans are put together over the whole text. An added span must be sure (mean marginal), be sound for its kind, and
-overlap no base span.
-
-Windows without a digit or an @ hold none of these kinds and are tagged as such without running the network.
+kinds that no pattern matches: other separators, bracketed or spelt-out signs, phone numbers without a plus. It learns
+these from rewrites of the patterns' spans in their own surroundings, beside decoys (dates, times, short numbers) that
+are no personal data. Texts are cut into overlapping windows; the windows are decoded on their own, each position takes
+the tag from the window in which it lies farthest from an edge, and spans are put together over the whole text. An
+added span must be sure (mean marginal; the bound is set on training documents that the network has not seen), be sound
+for its kind, and overlap no base span.
+
+Windows without a digit, an @ or a spelt-out sign (SPELT) do not run and take no part in the reconciliation.
 """
 
 from __future__ import annotations
 
+import random
 import re
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,8 +34,17 @@ HIDDEN = 16
 #: Documents whose windows the network is trained on, at most, and windows of one document.
 TRAIN_DOCS = 1000
 TRAIN_PER_DOC = 4
-EPOCHS = 5
-SURE = 0.9
+#: Batches of windows that the network is trained on, and the rate of the first.
+STEPS, RATE = 600, 0.03
+#: Rewrites and decoys of one document that the network is trained on, each.
+REWRITES = 4
+#: One training document of so many is kept back to set the bound on the mean marginal of added spans: the lowest of
+#: SURE at which the added spans there reach PRECISION, else the highest.
+KEPT_BACK = 5
+SURE = (0.5, 0.6, 0.7, 0.8, 0.9, 0.95, 0.99)
+PRECISION = 0.98
+#: Code points beyond which nothing is an address.
+LONGEST = 400
 #: Windows that go through the network together, at least where a batch has as many.
 TOGETHER = 2048
 
@@ -42,6 +55,11 @@ QUAD = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 DIGITS = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 PLUS = re.compile(r"\+[0-9]([\x20().0-9-]+)")
 TRIGGER = re.compile(r"[0-9@]")
+SPELT = re.compile(r"[\[(]\s?at\s?[\])]|\bdot\b|\bat\s[A-Za-z0-9-]+\.[A-Za-z]")
+# An address with its spelt-out or bracketed signs read as signs.
+AT_SIGN = re.compile(r"\s?[\[(]\s?(?:at|@)\s?[\])]\s?|\s?@\s?|\sat\s")
+DOT_SIGN = re.compile(r"\s?[\[(]\s?(?:dot|\.)\s?[\])]\s?|\sdot\s|\s\.\s")
+ADDRESS = re.compile(r"[\w.%+-]{2,}@[\w-]+(?:\.[\w-]+)*\.[^\W\d_]{2,}")
 
 
 def luhn(digits: str) -> bool:
@@ -113,8 +131,7 @@ def sound(kind: int, text: str) -> bool:
     """Whether a span that the network found can be of its kind at all."""
     digits = _only_digits(text)
     if kind == 0:
-        name, _, host = text.partition("@")
-        return len(name) > 1 and len(host) > 3 and not re.search(r"\s", text)
+        return len(text) <= LONGEST and bool(ADDRESS.fullmatch(DOT_SIGN.sub(".", AT_SIGN.sub("@", text))))
     if kind == 1:
         parts = re.findall(r"[0-9]+", text)
         return len(parts) == 4 and all(len(p) <= 3 and int(p) <= 255 for p in parts)
@@ -123,8 +140,46 @@ def sound(kind: int, text: str) -> bool:
     return 9 <= len(digits) <= 15 and len(text) <= 2 * len(digits)
 
 
-# Classes of characters that the network sees; digits, letters by case, each sign of its own, the rest by kind.
-SIGNS = " \n\t@.+-_%()/:,;='\"|#"
+def rewritten(kind: int, text: str, rng: random.Random) -> str:
+    """Another form of a span: the same address or number, with other separators or signs."""
+    groups = re.findall(r"[0-9]+", text)
+    if kind == 0:
+        name, _, host = text.rpartition("@")
+        at = rng.choice((" at ", " (at) ", "[at]", " [at] ", "(at)", " @ ", "[@]"))
+        return name + at + host.replace(".", rng.choice((" dot ", "[dot]", " (dot) ", ".", "[.]", ".")))
+    if kind == 1:
+        return rng.choice(("[.]", "(.)", " . ", " dot ", "[dot]")).join(groups)
+    if kind == 2:
+        digits = "".join(groups)
+        return rng.choice((".", "/", "_", " - ", "  ", ":")).join(digits[k : k + 4] for k in range(0, len(digits), 4))
+    if len(groups) < 3:
+        digits = "".join(groups)
+        groups = [digits[:-7], digits[-7:-4], digits[-4:]]
+    land, area, *rest = groups
+    form = rng.randrange(4)
+    if form == 0:
+        return f"({area}) {'-'.join(rest)}"
+    sign = rng.choice("-./ ")
+    if form == 1:
+        return sign.join((area, *rest))
+    if form == 2:
+        return sign.join((land, area, *rest))
+    return f"+{land} ({area}) {'/'.join(rest)}" if rng.random() < 0.5 else "+" + "/".join((land, area, *rest))
+
+
+def decoy(rng: random.Random) -> str:
+    """A date, time, range, price, short list or turn of phrase that is no personal data."""
+    n = lambda most: rng.randrange(1, most)
+    return rng.choice((
+        f"{n(29):02}/{n(13):02}/{1950 + n(80)}", f"{1950 + n(80)}-{n(13):02}-{n(29):02}", f"{n(24):02}:{n(60):02}:{n(60):02}",
+        f"{n(400)}-{n(400)}", f"{n(999)}.{n(99):02}", f"{n(99)}, {n(99)}, {n(99)}, {n(99)}", f"{n(10)}.{n(20)}.{n(20)}", f"({n(2000)})",
+        f"{n(10**6)}", f"{n(999)} {n(999):03}", f"at {n(24)}:{n(60):02}", f"a dot at {n(50)}.{n(50)}", f"{n(99)} dot {n(99)}", f"[{n(99)}]",
+    ))
+
+
+# Classes of characters that the network sees; digits, letters by case, each sign and each letter of "at" and "dot" of
+# its own, the rest by kind.
+SIGNS = " \n\t@.+-_%()[]/:,;='\"|#atdo"
 PAD, DIGIT, SMALL, LARGE, WIDE, OTHER = range(6)
 CLASSES = 6 + len(SIGNS)
 _TABLE = np.full(128, OTHER, np.uint8)
@@ -152,6 +207,7 @@ class Tagger:
     bo: np.ndarray
     moves: np.ndarray
     first: np.ndarray
+    sure: float = SURE[-3]
 
     @staticmethod
     def fresh(hidden: int = HIDDEN, seed: int = 3) -> Tagger:
@@ -266,32 +322,35 @@ def _logsum(x: np.ndarray, axis: int) -> np.ndarray:
     return np.log(np.exp(x - top).sum(axis=axis)) + top.squeeze(axis)
 
 
-def train(x: np.ndarray, tags: np.ndarray, epochs: int = EPOCHS, batch: int = 64, rate: float = 0.03) -> Tagger | None:
-    """Adam on windows of classes and tags; without any labelled window there is no tagger."""
+def train(x: np.ndarray, tags: np.ndarray, steps: int = STEPS, batch: int = 32, rate: float = RATE) -> Tagger | None:
+    """Adam on windows of classes and tags, at a rate that falls to zero over the steps; without any labelled window
+    there is no tagger."""
     if not len(x) or not tags.any():
         return None
     tagger = Tagger.fresh()
     rng = np.random.default_rng(5)
     first = [np.zeros_like(a) for a in tagger.arrays()]
     second = [np.zeros_like(a) for a in tagger.arrays()]
-    step = 0
-    for epoch in range(epochs):
-        order = rng.permutation(len(x))
-        for at in range(0, len(order), batch):
-            part = order[at : at + batch]
-            step += 1
-            for a, g, m, v in zip(tagger.arrays(), tagger.gradient(x[part], tags[part]), first, second, strict=True):
-                m += 0.1 * (g - m)
-                v += 0.001 * (g * g - v)
-                a -= rate * (0.5 ** (epoch / 2)) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+    order = np.empty(0, int)
+    for step in range(1, steps + 1):
+        if len(order) < batch:
+            order = np.r_[order, rng.permutation(len(x))]
+        part, order = order[:batch], order[batch:]
+        for a, g, m, v in zip(tagger.arrays(), tagger.gradient(x[part], tags[part]), first, second, strict=True):
+            m += 0.1 * (g - m)
+            v += 0.001 * (g * g - v)
+            a -= rate * (1 - step / steps) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
     return tagger
 
 
 def windows_of(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """(starts, classes) of the overlapping windows that hold a digit or an @; the last ones are padded."""
+    """(starts, classes) of the overlapping windows that hold a digit, an @ or the beginning of a spelt-out sign; the
+    last ones are padded."""
     codes = classes_of(text)
     starts = np.arange(0, max(1, len(codes) - (WINDOW - STRIDE)), STRIDE)
-    hot = np.r_[0, np.cumsum((codes == DIGIT) | (codes == _TABLE[ord("@")]))]
+    marked = (codes == DIGIT) | (codes == _TABLE[ord("@")])
+    marked[[m.start() for m in SPELT.finditer(text)]] = True
+    hot = np.r_[0, np.cumsum(marked)]
     ends = np.minimum(starts + WINDOW, len(codes))
     starts = starts[hot[ends] > hot[starts]]
     padded = np.concatenate([codes, np.zeros(WINDOW, np.uint8)])
@@ -322,7 +381,9 @@ def reconciled(length: int, starts: np.ndarray, tags: np.ndarray, sure: np.ndarr
     ]
 
 
-def added_spans(text: str, base: list[tuple[int, int, int]], found: list[tuple[int, int, int, float]]) -> list[tuple[int, int, int]]:
+def added_spans(
+    text: str, base: list[tuple[int, int, int]], found: list[tuple[int, int, int, float]], least: float
+) -> list[tuple[int, int, int]]:
     """The network's spans that are sure, sound and apart from base spans, without white space and stops around them."""
     taken = sorted((a, b) for _, a, b in base)
     out = []
@@ -330,43 +391,117 @@ def added_spans(text: str, base: list[tuple[int, int, int]], found: list[tuple[i
         inner = text[a:b]
         a += len(inner) - len(inner.lstrip(" \n\t.,;:\"'"))
         b -= len(inner) - len(inner.rstrip(" \n\t.,;:\"'"))
-        if p >= SURE and a < b and sound(kind, text[a:b]) and all(e <= a or s >= b for s, e in taken):
+        if p >= least and a < b and sound(kind, text[a:b]) and all(e <= a or s >= b for s, e in taken):
             out.append((kind, a, b))
     return out
 
 
-def fit(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", most: int = TRAIN_DOCS) -> Tagger | None:
-    """Trains on windows of at most ``most`` documents (by a hash of the id) that hold a digit or an @, TRAIN_PER_DOC
-    windows of each, labelled by the patterns. The windows (WINDOW bytes each) come to the driver."""
-    holding = documents.filter(F.col(text).rlike("[0-9@]"))
-    chance = F.xxhash64(F.col(doc_id).cast("string"), F.col(text))
-    bound = holding.select(chance.alias("h")).orderBy("h").limit(most).agg(F.max("h")).first()[0]
+def shapes(text: str) -> list[tuple[int, int, int]]:
+    """What the network learns to see: base spans, and numbers that fail a card's check digit alone, which is for
+    ``sound`` to tell."""
+    base = base_spans(text)
+    taken = np.zeros(len(text) + 1, bool)
+    for _, a, b in base:
+        taken[a:b] = True
+    runs = [m.span() for m in DIGITS.finditer(text) if m.end() - m.start() <= 40]
+    return base + [(2, a, b) for a, b in runs if 13 <= len(_only_digits(text[a:b])) <= 19 and not taken[a:b].any()]
+
+
+def _labelled(text: str, spans: list[tuple[int, int, int]]) -> np.ndarray:
+    """Tags of a text, with a window's room behind it."""
+    tags = np.zeros(len(text) + WINDOW, np.uint8)
+    for kind, a, b in spans:
+        tags[a:b] = kind + 1
+    return tags
+
+
+def altered(text: str, rng: random.Random, most: int = REWRITES) -> list[tuple[str, int, int, int]]:
+    """(passage, kind, start, end) for at most ``most`` base spans of a text, drawn by chance: a passage of up to WINDOW
+    code points in which the span has another form that no pattern matches; kind -1 and a decoy in its place after
+    each."""
+    base = base_spans(text)
+    out = []
+    for kind, a, b in rng.sample(base, min(most, len(base))):
+        for k, form in ((kind, rewritten(kind, text[a:b], rng)), (-1, decoy(rng))):
+            room = max(0, WINDOW - len(form))
+            before = rng.randrange(room + 1)
+            head, tail = text[max(0, a - before) : a], text[b : b + room - before]
+            passage, at = head + form + tail, len(head)
+            if k < 0 or all(e <= at or f >= at + len(form) for _, f, e in base_spans(passage)):
+                out.append((passage, k, at, at + len(form)))
+    return out
+
+
+def _bound(tagger: Tagger, rows: list[tuple[str, int, int, int]]) -> float:
+    """The lowest of SURE at which spans added to passages are right with PRECISION."""
+    if not rows:
+        return tagger.sure
+    x = np.stack([np.r_[classes_of(t), np.zeros(WINDOW, np.uint8)][:WINDOW] for t, *_ in rows])
+    tags, sure = _decode(tagger, x)
+    for least in SURE:
+        good = bad = 0
+        for k, (t, kind, a, b) in enumerate(rows):
+            spans = added_spans(t, base_spans(t), reconciled(len(t), np.array([0]), tags[k : k + 1], sure[k : k + 1]), least)
+            good += (kind, a, b) in spans
+            bad += len(set(spans) - {(kind, a, b)})
+        if good and good >= PRECISION * (good + bad):
+            return least
+    return SURE[-1]
+
+
+def fit(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", most: int = TRAIN_DOCS, steps: int = STEPS) -> Tagger | None:
+    """Trains on windows of at most ``most`` documents (by a hash of the id and text) that hold a digit or an @:
+    TRAIN_PER_DOC windows of each, labelled by the patterns, and REWRITES rewrites and decoys of its spans.
+
+    The windows and passages (WINDOW code points each) come to the driver; repeated rows count once. One document of
+    KEPT_BACK is not trained on; its rewrites and decoys set the tagger's bound ``sure``.
+    """
+    holding = documents.filter(F.col(text).rlike("[0-9@]")).select(F.xxhash64(F.col(doc_id).cast("string"), F.col(text)).alias("__h"), text)
+    bound = holding.select("__h").orderBy("__h").limit(most).agg(F.max("__h")).first()[0]
     if bound is None:
         return None
-    sample = holding.filter(chance <= bound).select(text)
 
     def make():
         def work(texts, _):
-            rows = []
+            rows, others = [], []
             for t in texts:
                 t = t.decode()
-                tags = np.zeros(len(t) + WINDOW, np.uint8)
-                for kind, a, b in base_spans(t):
-                    tags[a:b] = kind + 1
                 starts, x = windows_of(t)
-                y = tags[starts[:, None] + np.arange(WINDOW)]
+                y = _labelled(t, shapes(t))[starts[:, None] + np.arange(WINDOW)]
                 # Labelled windows first, then others, spread over the text.
                 pick = np.argsort(~(y > 0).any(axis=1), kind="stable")
                 pick = pick[np.unique(np.linspace(0, len(pick) - 1, TRAIN_PER_DOC).astype(int))]
                 rows.append([x[k].tobytes() + y[k].tobytes() for k in pick])
-            return [pa.array(rows, pa.list_(pa.binary()))]
+                rng = random.Random(zlib.crc32(t.encode()))
+                others.append([{"passage": p, "kind": k, "start": a, "end": b} for p, k, a, b in altered(t, rng)])
+            return [pa.array(rows, pa.list_(pa.binary())), pa.array(others, passages)]
 
         return work
 
-    made = map_texts(sample, make, [T.StructField("rows", T.ArrayType(T.BinaryType()))], text)
-    rows = sorted(bytes(r["w"]) for r in made.select(F.explode("rows").alias("w")).limit(most * TRAIN_PER_DOC).toLocalIterator())
-    both = np.frombuffer(b"".join(rows), np.uint8).reshape(-1, 2 * WINDOW)
-    return train(both[:, :WINDOW].copy(), both[:, WINDOW:].astype(np.int64))
+    passages = pa.list_(pa.struct([("passage", pa.string()), ("kind", pa.int64()), ("start", pa.int64()), ("end", pa.int64())]))
+    fields = [
+        T.StructField("rows", T.ArrayType(T.BinaryType())),
+        T.StructField("others", T.ArrayType(T.StructType.fromDDL("passage string, kind bigint, start bigint, end bigint"))),
+    ]
+    made = map_texts(holding.filter(F.col("__h") <= bound), make, fields, text).select("record.__h", "rows", "others").dropDuplicates(["__h"])
+    labelled, kept, trained = [], [], []
+    for r in sorted(made.toLocalIterator(), key=lambda r: r["__h"]):
+        mine = [tuple(o) for o in r["others"]]
+        if r["__h"] % KEPT_BACK == 0:
+            kept += mine
+            continue
+        labelled += map(bytes, r["rows"])
+        trained += mine
+    both = np.frombuffer(b"".join(labelled), np.uint8).reshape(-1, 2 * WINDOW)
+    x, y = [both[:, :WINDOW]], [both[:, WINDOW:]]
+    for t, kind, a, b in trained:
+        spans = [s for s in shapes(t) if s[2] <= a or s[1] >= b] + ([(kind, a, b)] if kind >= 0 else [])
+        x.append(np.r_[classes_of(t), np.zeros(WINDOW, np.uint8)][None, :WINDOW])
+        y.append(_labelled(t, spans)[None, :WINDOW])
+    tagger = train(np.concatenate(x), np.concatenate(y).astype(np.int64), steps)
+    if tagger is not None:
+        tagger.sure = _bound(tagger, kept)
+    return tagger
 
 
 SPANS = T.ArrayType(
@@ -391,7 +526,7 @@ def find_personal_data(documents: DataFrame, tagger: Tagger | None, text: str =
         at = 0
         for k, t, spans, starts, x in pending:
             part = slice(at, at + len(x))
-            added[k] = rows(sorted(added_spans(t, spans, reconciled(len(t), starts, tags[part], sure[part]))))
+            added[k] = rows(sorted(added_spans(t, spans, reconciled(len(t), starts, tags[part], sure[part]), tagger.sure)))
             at += len(x)
 
     def make():
@@ -401,7 +536,7 @@ def find_personal_data(documents: DataFrame, tagger: Tagger | None, text: str =
                 t = raw.decode()
                 spans = base_spans(t)
                 base.append(rows(spans))
-                if tagger is not None and TRIGGER.search(t):
+                if tagger is not None and (TRIGGER.search(t) or SPELT.search(t)):
                     pending.append((k, t, spans, *windows_of(t)))
                     waiting += len(pending[-1][3])
                 if waiting >= TOGETHER:
