@@ -11,6 +11,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -165,35 +166,111 @@ def _bpe(words: DataFrame, size: int, ahead: int) -> DataFrame:
 # --- unigram model --------------------------------------------------------------------
 
 
+# Words longer than this, and words of a probability below the other bound, are worked out in logarithms, one by one.
+LONG, LEAST = 200, 1e-200
+
+
+class _Pieces:
+    """A model in arrays: edges of the tree of all pieces, ordered by (node, character), and the pieces at its nodes."""
+
+    def __init__(self, logp: dict[str, float], longest: int):
+        self.logp, self.longest, self.names = logp, longest, list(logp)
+        self.letters = np.array(sorted({ord(c) for piece in logp for c in piece}), "u4")
+        at = {int(c): i for i, c in enumerate(self.letters)}
+        edges: dict[int, int] = {}
+        ends = [-1]
+        for i, piece in enumerate(self.names):
+            node = 0
+            for c in piece:
+                edge = node * len(at) + at[ord(c)]
+                if edge not in edges:
+                    edges[edge] = len(ends)
+                    ends.append(-1)
+                node = edges[edge]
+            ends[node] = i
+        self.edges = np.array(sorted(edges), "i8")
+        self.nodes = np.array([edges[int(e)] for e in self.edges], "i8")
+        self.ends = np.array(ends, "i8")
+        self.p = np.exp(np.array([logp[name] for name in self.names]))
+
+    def spans(self, words: list[str], size: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(length, pieces, probabilities) for every length: arrays by start and word, -1 and 0 where there is no piece."""
+        codes = np.ascontiguousarray(np.array(words, f"<U{size}").view("<u4").reshape(len(words), size).T)
+        letters = np.minimum(np.searchsorted(self.letters, codes), len(self.letters) - 1)
+        letters[self.letters[letters] != codes] = -1
+        nodes = np.zeros(codes.shape, "i8")
+        for length in range(1, min(size, self.longest) + 1):
+            nodes, last = nodes[: size - length + 1], letters[length - 1 :]
+            alive = np.nonzero((nodes >= 0) & (last >= 0))
+            wanted = nodes[alive] * len(self.letters) + last[alive]
+            found = np.minimum(np.searchsorted(self.edges, wanted), len(self.edges) - 1)
+            nodes = np.full(nodes.shape, -1, "i8")
+            nodes[alive] = np.where(self.edges[found] == wanted, self.nodes[found], -1)
+            pieces = np.where(nodes >= 0, self.ends[nodes], -1)
+            yield length, pieces, np.where(pieces >= 0, self.p[pieces], 0.0)
+
+    def add(self, words: list[str], n: np.ndarray, sums: np.ndarray) -> list[int]:
+        """Adds the expected counts of words of one length to ``sums``; returns the places of words of too small a probability."""
+        size, many = len(words[0]), len(words)
+        spans = list(self.spans(words, size))
+        head, tail = np.zeros((size + 1, many)), np.zeros((size + 1, many))
+        head[0] = tail[size] = 1.0
+        for j in range(1, size + 1):
+            for length, _, p in spans[:j]:
+                head[j] += head[j - length] * p[j - length]
+        for i in range(size - 1, -1, -1):
+            for length, _, p in spans[: size - i]:
+                tail[i] += p[i] * tail[i + length]
+        fine = head[size] >= LEAST
+        share = np.where(fine, n / np.where(fine, head[size], 1.0), 0.0)
+        for length, pieces, p in spans:
+            there = np.nonzero(pieces >= 0)
+            expected = (head[: size - length + 1] * p * tail[length:] * share)[there]
+            sums += np.bincount(pieces[there], expected, len(sums))
+        return np.nonzero(~fine)[0].tolist()
+
+    def add_by_logs(self, word: str, n: float, place: dict[str, int], sums: np.ndarray) -> None:
+        size = len(word)
+        spans = []
+        head, tail = [-math.inf] * (size + 1), [-math.inf] * (size + 1)
+        head[0] = tail[size] = 0.0
+        for i in range(size):
+            for j in range(i + 1, min(size, i + self.longest) + 1):
+                p = self.logp.get(word[i:j])
+                if p is not None:
+                    spans.append((i, j, p))
+                    head[j] = log_add(head[j], head[i] + p)
+        if head[size] == -math.inf:
+            return
+        for i, j, p in reversed(spans):
+            tail[i] = log_add(tail[i], p + tail[j])
+        for i, j, p in spans:
+            sums[place[word[i:j]]] += n * math.exp(head[i] + p + tail[j] - head[size])
+
+
 def _expected_counts(logp: dict[str, float], longest: int):
     """Expected piece counts of one batch of words under the current model.
 
     For each word the probabilities of all prefixes and suffixes are summed over its
     segmentations; a piece at [i, j) is then expected prefix(i) * p * suffix(j) / total times.
+    Words of one length are worked out together.
     """
+    model = _Pieces(logp, longest)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums: dict[str, float] = {}
+        sums = np.zeros(len(model.names))
+        place = {name: i for i, name in enumerate(model.names)}
         for frame in frames:
-            for word, n in zip(frame["word"], frame["n"]):
-                size = len(word)
-                spans = []
-                head, tail = [-math.inf] * (size + 1), [-math.inf] * (size + 1)
-                head[0] = tail[size] = 0.0
-                for i in range(size):
-                    for j in range(i + 1, min(size, i + longest) + 1):
-                        p = logp.get(word[i:j])
-                        if p is not None:
-                            spans.append((i, j, p))
-                            head[j] = log_add(head[j], head[i] + p)
-                if head[size] == -math.inf:
-                    continue
-                for i, j, p in reversed(spans):
-                    tail[i] = log_add(tail[i], p + tail[j])
-                for i, j, p in spans:
-                    share = math.exp(head[i] + p + tail[j] - head[size])
-                    sums[word[i:j]] = sums.get(word[i:j], 0.0) + n * share
-        yield pd.DataFrame({"piece": list(sums), "n": list(sums.values())})
+            words, counts = frame["word"].to_numpy(), frame["n"].to_numpy("f8")
+            sizes = np.fromiter(map(len, words), "i8", len(words))
+            for size in np.unique(sizes):
+                rows = np.nonzero(sizes == size)[0]
+                if 0 < size <= LONG:
+                    rows = rows[model.add(words[rows].tolist(), counts[rows], sums)]
+                for row in rows:
+                    model.add_by_logs(words[row], counts[row], place, sums)
+        seen = np.nonzero(sums)[0]
+        yield pd.DataFrame({"piece": [model.names[i] for i in seen], "n": sums[seen]})
 
     return run
 
@@ -214,19 +291,14 @@ def _unigram(
     """
     words = cut_lineage(words)
     seeds = seeds or size * 10
-    starts = F.sequence(F.lit(1), F.length("word"))
-    spans = F.flatten(
-        F.transform(
-            starts,
-            lambda i: F.transform(
-                F.sequence(F.lit(1), F.least(F.lit(longest), F.length("word") - i + 1)),
-                lambda k: F.substring(F.col("word"), i, k),
-            ),
-        )
-    )
-    counted = words.select(F.explode(spans).alias("piece"), "n").groupBy("piece").agg(F.sum("n").alias("n"))
+    # Starts and lengths are generated one after the other, beside the partial count; no array of pieces is made.
+    begun = words.filter(F.length("word") > 1).select("word", "n", F.explode(F.sequence(F.lit(1), F.length("word") - 1)).alias("i"))
+    most = F.least(F.lit(longest), F.length("word") - F.col("i") + 1)
+    lengths = F.when(most >= 2, F.sequence(F.lit(2), most)).otherwise(F.array().cast("array<int>"))
+    spans = begun.select("word", "n", "i", F.explode(lengths).alias("k"))
+    longer = spans.groupBy(F.substring("word", F.col("i"), F.col("k")).alias("piece")).agg(F.sum("n").alias("n"))
     letters = {r["piece"]: float(r["n"]) for r in _letters(words).collect()}  # code points, so at most Unicode's
-    longer = counted.filter(F.length("piece") > 1).orderBy(F.desc(F.col("n") * F.length("piece")), "piece")
+    longer = longer.orderBy(F.desc(F.col("n") * F.length("piece")), "piece")
     pieces = {r["piece"]: float(r["n"]) for r in longer.limit(seeds).collect()} | letters
     while True:
         for _ in range(rounds):
