@@ -72,13 +72,20 @@ def join_features(records: DataFrame, feats: DataFrame, key: str = "key") -> Dat
 
 
 def join_first_hit(records: DataFrame, feats: DataFrame, record_id: str, keys: str, value: str) -> DataFrame:
-    """Several candidate keys in order of preference; the first one with features wins."""
-    candidates = records.select(record_id, F.posexplode(keys).alias("pos", "key"))
-    found = candidates.join(feats.select("key", value), "key")
-    best = found.groupBy(record_id).agg(
-        F.min_by(F.struct("key", F.col(value).alias("v")), "pos").alias("b")
-    ).select(record_id, F.col("b.key").alias("hit_key"), F.col("b.v").alias(value))
-    return records.join(best, record_id, "left")
+    """Several candidate keys in order of preference; the first one with features wins.
+
+    A key may be a candidate of very many records. Candidates are therefore neither sorted nor aggregated where their key
+    lies: they pass by a hash table of the features there, and what is found, numbers alone, is dealt out by record. The
+    winning key is read from the record's own list.
+    """
+    listed = records.withColumn("__keys", F.xxhash64(keys))  # records of one id and other keys have winners of their own
+    candidates = listed.select(record_id, "__keys", F.posexplode(keys).alias("__pos", "key"))
+    found = candidates.join(feats.select("key", value).hint("shuffle_hash"), "key").select(record_id, "__keys", "__pos", value)
+    first = found.repartition(record_id, "__keys").groupBy(record_id, "__keys").agg(
+        F.min("__pos").alias("__first"), F.min_by(value, "__pos").alias(value)
+    )
+    joined = listed.join(first.hint("shuffle_hash"), [record_id, "__keys"], "left")
+    return joined.select(*records.columns, F.get(keys, F.col("__first")).alias("hit_key"), first[value])
 
 
 def cache_miss(records: DataFrame, feats: DataFrame, key: str = "key", overwrite: bool = False) -> DataFrame:
