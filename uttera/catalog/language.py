@@ -9,6 +9,7 @@ from uttera.catalog.base import query
 from uttera.catalog.ctc import rounded
 from uttera.functions import arrays
 from uttera.operators import ngram, vocab
+from uttera.session import cut_lineage
 
 ORDER, ALPHA = 3, 0.1
 SUBWORDS = 120
@@ -174,8 +175,8 @@ def unknown_chars(spark, folder):
     v.sql("SELECT row_index, transcript AS text FROM records", "records"),
 )
 def array_decode(spark, folder):
-    """Encoding and decoding again gives the text back."""
-    table = char_table(spark, folder)
+    """Encoding and decoding again gives the text back. Both read one vocabulary, for which the corpus is counted once."""
+    table = cut_lineage(char_table(spark, folder))
     ids = vocab.encode_chars(v.records(spark, folder).select("row_index", "transcript"), "transcript", table)
     return ids.select("row_index", vocab.decode_ids(F.col("ids"), table).alias("text"))
 
