@@ -25,7 +25,7 @@ from uttera.session import cut_lineage, scratch_path
 # Control characters that frame each symbol of a word, so that one literal replace merges
 # every non-overlapping occurrence of a pair from left to right.
 OPEN, CLOSE = "\x01", "\x02"
-# Merges after which words and pair counts are written anew.
+# Merges after which the words are written anew.
 WRITE_EVERY = 20
 
 
@@ -109,8 +109,8 @@ def _certain(top: list[tuple[str, str, int]], known: set[str], floor: int, limit
 def bpe_merges(words: DataFrame, merges: int, ahead: int = 500) -> tuple[list[tuple[str, str, int]], DataFrame]:
     """The merge list in order, and the word table after it. Ties: smallest pair first.
 
-    Words are read at a round, and counted only where a merge changed them: pair counts are a written table, to which the changes
-    since then are added. One look at the counts serves as many merges as are certain from it.
+    Words are read at a round, and counted only where its merges changed them: pair counts are a written table, to which the
+    changes of every round are added. One look at the counts serves as many merges as are certain from it.
     """
     table = _written(words.select(_framed(F.col("word")).alias("framed"), F.col("n").cast("bigint").alias("n")), "words")
     counts = _written(pair_counts(table), "pairs")
@@ -118,8 +118,7 @@ def bpe_merges(words: DataFrame, merges: int, ahead: int = 500) -> tuple[list[tu
     known: set[str] = set()
     pending: list[tuple[str, str, int]] = []
     while len(done) < merges:
-        now = _changed_counts(counts, table, pending)
-        rows = now.orderBy(F.desc("n"), "a", "b").limit(ahead).collect()
+        rows = counts.orderBy(F.desc("n"), "a", "b").limit(ahead).collect()
         if not rows:
             break
         top = [(r["a"], r["b"], int(r["n"])) for r in rows]
@@ -128,12 +127,17 @@ def bpe_merges(words: DataFrame, merges: int, ahead: int = 500) -> tuple[list[tu
         sure = _certain(top, known, floor, merges - len(done))
         known |= {a + b for a, b, _ in sure}
         done += sure
+        if len(done) < merges:
+            counts = _written(_changed_counts(counts, _up_to_date(table, pending), sure), "pairs")
         pending += sure
         if len(pending) >= WRITE_EVERY:
-            counts = _written(_changed_counts(counts, table, pending), "pairs")
-            table = _written(table.withColumn("framed", _merged(F.col("framed"), pending)), "words")
-            pending = []
-    return done, table.withColumn("framed", _merged(F.col("framed"), pending))
+            table, pending = _written(_up_to_date(table, pending), "words"), []
+    return done, _up_to_date(table, pending)
+
+
+def _up_to_date(table: DataFrame, merges: list[tuple[str, str, int]]) -> DataFrame:
+    """The words after merges that the written table lacks."""
+    return computed_once(table.select(F.col("framed").alias("__old"), "n"), framed=_merged(F.col("__old"), merges)).select("framed", "n")
 
 
 def _changed_counts(counts: DataFrame, words: DataFrame, merges: list[tuple[str, str, int]]) -> DataFrame:
