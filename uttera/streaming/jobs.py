@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
@@ -72,51 +72,47 @@ def stream_dedup(df: DataFrame, column: str, ts: str, keep_for: str) -> DataFram
     return df.withWatermark(ts, keep_for).dropDuplicatesWithinWatermark([column])
 
 
+# Where the columns of feature_actions lie in a row of its input: key, version, row, deleted, lookup, plausible, payload.
+PLACE, LOOKUP, PLAUSIBLE, PAYLOAD = slice(1, 4), 4, 5, slice(6, None)
+
+
 class NewestFeature(StatefulProcessor):
     """Keeps the place (version, row, deleted) of each key's newest log row; payloads pass through and are not kept.
 
-    Tombstones stay in the state, so that rows which arrive late do not bring a deleted key back.
+    Tombstones stay in the state, so that rows which arrive late do not bring a deleted key back. Rows are handled as they
+    come, without a data frame per key, as a batch may have many keys of a few rows.
     """
 
     def __init__(self, payload: list[str]):
-        self.payload = payload
+        self.names, self.nothing = ["key", "action", "version", "row", "deleted", *payload], [None] * len(payload)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.newest = handle.getValueState("newest", "version bigint, row bigint, deleted boolean")
+        self.action = Row(*self.names)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        old = self.newest.get() if self.newest.exists() else None
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         last, asked = None, False
-        for part in rows:  # a key with many rows comes in parts, of which only the newest row is held
-            asked = asked or bool(part["lookup"].any())
-            logged = part[~part["lookup"]]
-            if len(logged):
-                top = logged.sort_values(["version", "row", "deleted"]).iloc[-1]
-                if last is None or _place(top) > _place(last):
-                    last = top
-        out = []
-        if last is not None and (old is None or _place(last) > tuple(old)):
-            version, row, deleted = _place(last)
-            kept = not deleted and bool(last["plausible"])
+        for row in rows:  # of a key with many rows only the newest is held
+            if row[LOOKUP]:
+                asked = True
+            elif last is None or row[PLACE] >= last[PLACE]:
+                last = row
+        old = self.newest.get()  # none, if the key is new
+        if last is not None and (old is None or last[PLACE] > tuple(old)):
+            version, row, deleted = last[PLACE]
+            kept = not deleted and last[PLAUSIBLE]
             if not deleted and not kept:
                 asked = True  # what is not believable is deleted and has to be worked out again
             old = (version, row, not kept)
             self.newest.update(old)
-            out.append(("store" if kept else "delete", version, row, not kept, *(last[c] if kept else None for c in self.payload)))
+            yield self.action(key[0], "store" if kept else "delete", version, row, not kept, *(last[PAYLOAD] if kept else self.nothing))
         if asked and (old is None or old[2]):
-            out.append(("compute", None, None, None, *[None] * len(self.payload)))
-        if out:
-            names = ["action", "version", "row", "deleted", *self.payload]
-            yield pd.DataFrame({"key": [key[0]] * len(out)} | {n: pd.Series([r[i] for r in out], dtype=object) for i, n in enumerate(names)})
+            yield self.action(key[0], "compute", None, None, None, *self.nothing)
 
     def close(self) -> None:
         pass
 
 
-def _place(row) -> tuple[int, int, bool]:
-    return int(row["version"]), int(row["row"]), bool(row["deleted"])
-
-
 def feature_actions(log: DataFrame, payload: list[str], plausible: Column | None = None) -> DataFrame:
     """(key, action, version, row, deleted, *payload): what a stream of log rows and lookups asks for, per key and batch.
 
@@ -140,7 +136,7 @@ def feature_actions(log: DataFrame, payload: list[str], plausible: Column | None
         [T.StructField("key", log.schema["key"].dataType), T.StructField("action", T.StringType()), T.StructField("version", T.LongType()),
          T.StructField("row", T.LongType()), T.StructField("deleted", T.BooleanType()), *[T.StructField(c, log.schema[c].dataType) for c in payload]]
     )
-    return rows.groupBy("key").transformWithStateInPandas(NewestFeature(payload), schema, "append", "none")
+    return rows.groupBy("key").transformWithState(NewestFeature(payload), schema, "append", "none")
 
 
 def stream_features(
