@@ -114,9 +114,9 @@ def score_extension(spark, folder):
 )
 def rescore_nbest(spark, folder):
     pairs = v.pairs(spark, folder)
-    good = pairs.select("utterance_id", F.col("ref").alias("text"), (F.length("ref") * -1.0).alias("acoustic"))
-    other = pairs.select("utterance_id", F.col("hyp").alias("text"), (F.length("hyp") * -0.9).alias("acoustic"))
-    best = ngram.rescore_nbest(good.unionByName(other), model(spark, folder), 0.5, 0.2)
+    both = [F.struct(F.col(c).alias("text"), (F.length(c) * each).alias("acoustic")) for c, each in (("ref", -1.0), ("hyp", -0.9))]
+    hyps = pairs.select("utterance_id", F.inline(F.array(*both)))  # the records are derived once for both
+    best = ngram.rescore_nbest(hyps, model(spark, folder), 0.5, 0.2)
     return rounded(best, 6, "total")
 
 
