@@ -94,6 +94,35 @@ def test_merge_chunks(spark):
         assert got[key] == want, key
 
 
+def test_merge_chunks_on_random_windows(spark):
+    """Few words and letters, so that overlaps of any size, containment and near misses are frequent."""
+    import random
+
+    rng, rows = random.Random(7), []
+    for rec in range(400):
+        letters = rng.choice(["ab", "a", "ab.,", "é😀", "a$\\(", "abcdefghijklmnopq"])
+        words = ["".join(rng.choices(letters, k=rng.choice([1, 2, 5, 12]))) for _ in range(rng.choice([2, 5, 40]))]
+        source = " ".join(rng.choices(words, k=rng.choice([3, 30, 300])))
+        at = 0
+        for i in range(rng.randint(1, 12)):
+            rows.append((rec, i, source[at : at + rng.choice([3, 20, 60, 400])]))
+            at = max(0, at + rng.choice([-15, 0, 2, 10, 18, 55, 150, 390]))
+    df = spark.createDataFrame(rows, "rec int, i int, t string")
+    got = {r["rec"]: r["transcript"] for r in chunks.merge_chunks(df, "rec", "i", "t").collect()}
+    want = dict.fromkeys(got, "")
+    for rec, _, part in rows:
+        want[rec] = merge_by_hand(want[rec], " ".join(part.split()))
+    assert got == want
+
+
+def test_merge_chunks_tries_no_size_one_by_one(spark):
+    """The overlap is found by matching; a loop over 20 and 112 sizes at each window took most of the query's time."""
+    df = spark.createDataFrame([(1, 0, "a b"), (1, 1, "b c"), (2, 0, "x"), (2, 1, None)], "rec int, i int, t string")
+    merged = chunks.merge_chunks(df, "rec", "i", "t")
+    assert "sequence(" not in merged._jdf.queryExecution().optimizedPlan().toString()
+    assert {r["rec"]: r["transcript"] for r in merged.collect()} == {1: "a b c", 2: None}
+
+
 def test_chunk_plan(spark):
     df = spark.createDataFrame([(1, 16000 * 40), (2, 16000 * 60), (3, 16000 * 55)], "id int, num_samples bigint")
     got = [(r["id"], r["chunk"], r["start"] // 16000, r["end"] // 16000) for r in chunks.chunk_plan(df).collect()]

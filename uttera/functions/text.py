@@ -80,13 +80,17 @@ def normalized_counts(c: Column) -> tuple[Column, Column]:
     return chars, F.when(c == "", 0).otherwise(F.length(c) - chars + 1)
 
 
+def is_glued(left: Column, right: Column) -> Column:
+    """Whether two pieces need no space between them; the end of ``left`` is enough."""
+    return left.rlike(r"[ \n]\z") | right.rlike(r"\A[ \n,.!?:;]")
+
+
 def join_transcripts(left: Column, right: Column) -> Column:
     """One space between two pieces unless one side already brings a break."""
-    glued = left.rlike(r"[ \n]\z") | right.rlike(r"\A[ \n,.!?:;]")
     return (
         F.when(left == "", right)
         .when(right == "", left)
-        .when(glued, F.concat(left, right))
+        .when(is_glued(left, right), F.concat(left, right))
         .otherwise(F.concat(left, F.lit(" "), right))
     )
 

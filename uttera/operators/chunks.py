@@ -31,58 +31,44 @@ def chunk_plan(
     return planned.select("*", start.alias("start"), end.cast("bigint").alias("end"))
 
 
-def _overlap(sizes: Column, matches) -> Column:
-    """Largest size for which ``matches`` holds, null if there is none."""
-    return F.array_max(F.filter(sizes, matches))
-
-
-def _upto(low: int, high: Column) -> Column:
-    empty = F.array().cast("array<int>")
-    return F.when(high >= low, F.sequence(F.lit(low), high)).otherwise(empty)
-
-
 def merge_two(old: Column, new: Column) -> Column:
     """Join two transcripts of neighbouring windows; both already have single spaces.
 
-    Only the last words and characters of ``old`` can overlap, so only they are split.
+    Only the last words and characters of ``old`` can overlap, so only they are taken out, from its end. They are cut
+    to the first place where ``new`` may begin; from there the leftmost match of a back-reference over the line break,
+    which neither text holds, is the largest overlap.
     """
+    last = F.substring_index(old, " ", -MAX_WORDS)
 
-    def shared_words(tail: Column, head: Column) -> Column:
-        sizes = _upto(1, F.least(F.size(tail), F.size(head)))
-        return _overlap(sizes, lambda k: F.slice(tail, -k, k) == F.slice(head, F.lit(1), k))
-
-    def after_words(k: Column) -> Column:
-        rest = let(
-            F.split(new, " "),
-            lambda w: F.array_join(F.slice(w, k + 1, F.greatest(F.size(w) - k, F.lit(0))), " "),
-        )
-        return F.when(k.isNotNull(), F.when(rest == "", old).otherwise(F.concat(old, F.lit(" "), rest)))
-
-    by_words = let(
-        F.split(F.substring_index(old, " ", -MAX_WORDS), " "),
-        lambda tail: let(
-            F.split(F.substring_index(new, " ", MAX_WORDS), " "),
-            lambda head: let(shared_words(tail, head), after_words),
-        ),
-    )
+    def without(shared: Column) -> Column:
+        return F.concat(old, F.substring(new, F.length(shared) + 1, F.length(new)))
+
+    def matched(tail: Column, head: Column, pattern: str) -> Column:
+        shared = F.regexp_extract(F.concat(tail, F.lit("\n"), head), pattern, 1)
+        return let(shared, lambda s: F.when(s != "", without(s)))
+
+    def shared_words(tail: Column) -> Column:
+        at = F.instr(tail, F.concat(F.lit(" "), F.substring_index(new, " ", 1), F.lit(" ")))
+        begun = F.substring(tail, at, F.length(tail) - at)
+        head = F.substring_index(new, " ", MAX_WORDS)
+        return F.when(at > 0, matched(begun, head, r" ([^\n]++)\n\1(?: |\z)"))
 
     def shared_chars(tail: Column) -> Column:
-        sizes = _upto(MIN_CHARS, F.least(F.length(tail), F.length(new), F.lit(MAX_CHARS)))
-        return _overlap(sizes, lambda k: F.right(tail, k) == F.left(new, k))
-
-    by_chars = let(
-        F.right(old, F.lit(MAX_CHARS)),
-        lambda tail: let(
-            shared_chars(tail),
-            lambda k: F.when(k.isNotNull(), F.concat(old, F.substring(new, k + 1, F.length(new)))),
-        ),
-    )
+        at = F.instr(tail, F.left(new, F.lit(MIN_CHARS)))
+        begun = F.substring(tail, at, F.length(tail))
+        found = matched(begun, F.left(new, F.lit(MAX_CHARS)), rf"([^\n]{{{MIN_CHARS},}}+)\n\1")
+        return F.when((at > 0) & (F.length(new) >= MIN_CHARS), found)
+
+    by_words = let(F.concat(F.lit(" "), last, F.lit(" ")), shared_words)
+    # Words have a character and a space at least, so that many of them hold the last characters.
+    by_chars = let(F.right(F.substring_index(old, " ", -MAX_CHARS), F.lit(MAX_CHARS)), shared_chars)
+    joined = F.when(text.is_glued(last, new), F.concat(old, new)).otherwise(F.concat(old, F.lit(" "), new))
     return (
         F.when(old == "", new)
         .when(new == "", old)
         .when(F.contains(old, new), old)
         .when(F.contains(new, old), new)
-        .otherwise(F.coalesce(by_words, by_chars, text.join_transcripts(old, new)))
+        .otherwise(F.coalesce(by_words, by_chars, joined))
     )
 
 
